@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from voxloom.llm.byte_bpe import op5_byte_bpe
 from voxloom.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}
