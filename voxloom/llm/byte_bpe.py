@@ -25,14 +25,14 @@ from voxloom.llm.wordbpe import Memo
 
 # The split pattern of the vocabulary in its parts, with white space spelled out
 # as Unicode defines it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHOLE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
+_L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\t-\r \x85\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^\t-\r a-zA-Z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-_BEYOND = re.compile("[^\0-ž]")
+_BEYOND = re.compile("[^\0-\u017e]")
 
 
 def pre_tokens(text: str) -> list[str]:

@@ -15,8 +15,8 @@ from array import array
 
 MEMO = 400_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_UNSAFE = re.compile("[^\t-\r -~\xa0-įĲ-ž]")
-_L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
+_UNSAFE = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017e]")
+_L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 _PIECE_ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
