@@ -99,3 +99,15 @@ def order_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
     if row is None or row["lo"] is None:
         return []
     return sorted({row["lo"], *(x for x in row["q"] or [] if x is not None)})
+
+
+def range_of(key, cuts: list[int]):
+    """Column: the number of the range of ascending ``cuts`` that ``key`` is in, 0 for null and
+    for keys below the second cut. A binary search in built-in functions."""
+    if len(cuts) < 2:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(c) for c in cuts[1:]])
+    n = len(cuts) - 1
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    go = lambda at, step: F.when((at + step <= n) & (F.try_element_at(bounds, at + step) <= key), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), go)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from voxloom.llm.byte_bpe import op5_byte_bpe
+from voxloom.llm.id_files import op9_id_files
+from voxloom.llm.packing import op4_packing
 from voxloom.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_id_files": op9_id_files,
     "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}
