@@ -17,17 +17,10 @@ from voxloom.llm.base import map_rows, table, texts
 LIMIT = 2048
 
 
-def byte_letters() -> dict[str, int]:
-    """Printable stand-ins of byte-level vocabularies, by the published rule."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(keep)]
-    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def prove_whole(path: str) -> frozenset[str]:
     """Word-end strings of the vocabulary that encode alone as that one token. Bounded by the
     vocabulary's size."""
-    bpe, letters = wordbpe.WordBpe(path), byte_letters()
+    bpe, letters = wordbpe.WordBpe(path), wordbpe.byte_letters()
     strings, ids = [], []
     for token, i in bpe.lib.get_vocab(with_added_tokens=False).items():
         if token.endswith("</w>"):
@@ -52,7 +45,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
         bpe, single = wordbpe.load(tokenizer_path), whole.value
-        count = wordbpe.Memo(lambda p: 1 if p in single else len(bpe.library_ids(p)))
+        count = wordbpe.Memo(lambda p: 1 if p in single else len(bpe.piece_ids(p)))
         for doc_id, text in feed:
             text = text or ""
             found = wordbpe.pieces(text)

@@ -3,7 +3,7 @@
 The library splits a normalised text into pieces and merges each piece by itself, so a piece
 always gives the same ids. Texts made only of characters whose normalisation and classes are
 certain (ASCII and precomposed Latin letters) are split here and pieces are looked up in a
-bounded memo that asks the library once per piece; every other text, and any text with a
+bounded memo that asks the library's merges once per piece; every other text, and any text with a
 special string, goes to the library whole.
 """
 
@@ -13,7 +13,7 @@ import functools
 import re
 from array import array
 
-MEMO = 400_000
+MEMO = 1_000_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _UNSAFE = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017e]")
 _L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e"
@@ -36,6 +36,13 @@ class Memo(dict):
         return value
 
 
+def byte_letters() -> dict[str, int]:
+    """Printable stand-ins of byte-level vocabularies, by the published rule."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(keep)]
+    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def pieces(text: str) -> list[str] | None:
     """Pre-tokens of a text, or None where only the library may split it."""
     if "<|" in text and any(s in text for s in SPECIAL):
@@ -54,19 +61,24 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.packed = Memo(self._pack)
+        self.model = self.lib.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.packed = Memo(lambda piece: array("I", self.piece_ids(piece)).tobytes())
 
     def library_ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def _pack(self, piece: str) -> bytes:
-        return array("I", self.library_ids(piece)).tobytes()
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of one pre-token, by the library's merges alone."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         found = pieces(text)
         if found is None:
-            return self._pack(text)
+            return array("I", self.library_ids(text)).tobytes()
         return b"".join(map(self.packed.__getitem__, found))
 
 
