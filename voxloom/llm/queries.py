@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from voxloom.llm.avi import op2_avi_clips
 from voxloom.llm.byte_bpe import op5_byte_bpe
 from voxloom.llm.id_files import op9_id_files
 from voxloom.llm.packing import op4_packing
 from voxloom.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op2_avi_clips": op2_avi_clips,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_id_files": op9_id_files,
