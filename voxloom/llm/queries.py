@@ -5,11 +5,13 @@ from __future__ import annotations
 from voxloom.llm.avi import op2_avi_clips
 from voxloom.llm.byte_bpe import op5_byte_bpe
 from voxloom.llm.id_files import op9_id_files
+from voxloom.llm.language_id import op6_language_id
 from voxloom.llm.lz_fingerprint import op1_lz_fingerprint
 from voxloom.llm.packing import op4_packing
 from voxloom.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_avi_clips": op2_avi_clips,
     "op4_packing": op4_packing,
