@@ -9,8 +9,10 @@ from voxloom.llm.language_id import op6_language_id
 from voxloom.llm.lz_fingerprint import op1_lz_fingerprint
 from voxloom.llm.packing import op4_packing
 from voxloom.llm.token_counts import op8_token_counts
+from voxloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op6_language_id": op6_language_id,
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_avi_clips": op2_avi_clips,
