@@ -7,11 +7,13 @@ from voxloom.llm.byte_bpe import op5_byte_bpe
 from voxloom.llm.id_files import op9_id_files
 from voxloom.llm.language_id import op6_language_id
 from voxloom.llm.lz_fingerprint import op1_lz_fingerprint
+from voxloom.llm.minmax import op3_minmax_near_dedup
 from voxloom.llm.packing import op4_packing
 from voxloom.llm.token_counts import op8_token_counts
 from voxloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op6_language_id": op6_language_id,
     "op1_lz_fingerprint": op1_lz_fingerprint,
