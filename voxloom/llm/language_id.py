@@ -184,16 +184,23 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     return map_rows(texts(df, id_col, text_col), rows, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``df``, all columns, whose text is identified with a cosine of at least ``least``."""
+def keep_identified(df: DataFrame, profiles: Profiles, least: float = 0.1, least_letters: int = 200, text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, that have a language: texts without a letter go, and texts of at
+    least ``least_letters`` characters whose cosine with every prototype is below ``least``;
+    shorter texts say too little to be rejected."""
     held = df.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("double")
-    def score(text):
+    @F.pandas_udf("boolean")
+    def stays(text):
         classify = held.value.classify
-        return text.map(lambda t: classify(t)[1]).astype("float64")
 
-    return df.filter(score(F.col(f"`{text_col}`")) >= least)
+        def one(t: str | None) -> bool:
+            lang, cosine = classify(t)
+            return lang != "und" and (cosine >= least or len(t) < least_letters)
+
+        return text.map(one).astype(bool)
+
+    return df.filter(stays(F.col(f"`{text_col}`")))
 
 
 FOLDS, FOLD = 4, 2

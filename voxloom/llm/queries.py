@@ -9,10 +9,12 @@ from voxloom.llm.language_id import op6_language_id
 from voxloom.llm.lz_fingerprint import op1_lz_fingerprint
 from voxloom.llm.minmax import op3_minmax_near_dedup
 from voxloom.llm.packing import op4_packing
+from voxloom.llm.pseudonyms import op7_pii_pseudonyms
 from voxloom.llm.token_counts import op8_token_counts
 from voxloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op6_language_id": op6_language_id,
