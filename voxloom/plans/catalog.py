@@ -2,5 +2,343 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxloom.functions import intercepts, thinning
+from voxloom.operators import measures as M
+from voxloom.operators import parity
+from voxloom.operators import relational as R
+from voxloom.operators import report
+from voxloom.plans import fixtures as X
+from voxloom.plans.oracles import ORACLES
+from voxloom.sources import spacing as S
+from voxloom.sources import tiff
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _round(df: DataFrame, **digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in df.columns])
+
+
+def _topology(*cols: str, **digits: int) -> Query:
+    """A projection of the topology kernel: one pass over the volumes."""
+    return lambda s, d: _round(M.run(X.volumes(s, d), M.topology, M.TOPOLOGY, "omit").select("specimen", *cols), **digits)
+
+
+def _kernel(kernel, schema: str, *cols: str, on_error: str = "keep", **digits: int) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        df = M.run(X.volumes(s, d), kernel, schema, on_error)
+        return _round(df.select("specimen", *cols) if cols else df, **digits)
+
+    return query
+
+
+def bv_tv(s: SparkSession, d: str) -> DataFrame:
+    n = X.bone_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("bone_voxels"))
+    return n.select("specimen", "bone_voxels", F.lit(9216).cast("long").alias("tv_voxels"), F.round(F.col("bone_voxels") / 9216.0, 9).alias("bv_tv"))
+
+
+def phase_inside(s: SparkSession, d: str) -> DataFrame:
+    inside = F.count_if(X.in_disc(F.col("x"), F.col("y")))
+    return X.solid_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("solid"), inside.alias("inside"), (9216 - inside).alias("marrow"))
+
+
+def neighbours6(s: SparkSession, d: str) -> DataFrame:
+    b = X.bone_voxels(s, d)
+    return R.neighbour_pairs(b, b, R.OFFSETS6).groupBy("specimen", "dx", "dy", "dz").agg(F.count("*").alias("pairs"))
+
+
+def degree26(s: SparkSession, d: str) -> DataFrame:
+    return R.degree26(X.bone_voxels(s, d)).groupBy("specimen", "degree").agg(F.count("*").alias("voxels"))
+
+
+def ridge_templates(s: SparkSession, d: str) -> DataFrame:
+    return R.ridge_table(s, 100)
+
+
+def euler_lut(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(thinning.euler_table(), "config int, contribution int")
+
+
+def window_moments(s: SparkSession, d: str) -> DataFrame:
+    seeds = X.balls(s, d).select("specimen", F.col("ball").alias("seed"), F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("cz").alias("sz"))
+    return R.window_moments(seeds, X.bone_voxels(s, d), 4)
+
+
+def grid_representatives(s: SparkSession, d: str) -> DataFrame:
+    return R.grid_representatives(X.bone_voxels(s, d), 100.0, 25.0).select("specimen", "x", "y", "z")
+
+
+def _axes(s: SparkSession, d: str) -> DataFrame:
+    u = R.unit(*[F.col(f"c{c}") - 11.5 for c in "xyz"])
+    return X.balls(s, d).select("specimen", F.col("ball").alias("id"), "r", *[F.col(f"c{c}").alias(c) for c in "xyz"], *[v.alias(f"u{c}") for c, v in zip("xyz", u, strict=True)])
+
+
+def _pair_angle(kind: str):
+    dot = F.least(F.abs(sum(F.col(f"u{c}_a") * F.col(f"u{c}_b") for c in "xyz")), F.lit(1.0))
+    return F.degrees(F.acos(dot) if kind == "same" else F.asin(dot))
+
+
+def misorientation(s: SparkSession, d: str) -> DataFrame:
+    a = _axes(s, d)
+    local = R.radius_pairs(a, a, 8.0).filter("id_a <> id_b").groupBy("specimen", "id_a").agg(F.avg(_pair_angle("same")).alias("m"))
+    return local.groupBy("specimen").agg(F.round(F.avg("m"), 3).alias("misorientation"), F.count("*").alias("centers"))
+
+
+def orthogonality(s: SparkSession, d: str) -> DataFrame:
+    a = _axes(s, d)
+    pairs = R.radius_pairs(a.filter("r = 2"), a.filter("r > 2"), 8.0).select("specimen", "id_a", "id_b", _pair_angle("cross").alias("m"))
+    side = lambda k: pairs.groupBy("specimen", k).agg(F.avg("m").alias("m")).groupBy("specimen").agg(F.avg("m").alias(k))
+    return side("id_a").join(side("id_b"), "specimen").select("specimen", F.round(0.5 * (F.col("id_a") + F.col("id_b")), 3).alias("deviation"))
+
+
+def da_domain(s: SparkSession, d: str) -> DataFrame:
+    xy = s.range(24 * 24).select((F.col("id") % 24).cast("int").alias("x"), F.floor(F.col("id") / 24).cast("int").alias("y"))
+    bad = xy.filter(~X.in_disc(F.col("x"), F.col("y")))
+    # the smallest centred square that a bad column lies in; sides below all of them fit
+    def least(c: str):
+        v = F.col(c)
+        odd = lambda k: F.greatest(F.lit(0), F.when(v < 12, 24 - 2 * v).otherwise(2 * v - 22) - k)
+        return odd(0)
+
+    first = bad.select(F.greatest(least("x"), least("y")).alias("even"), F.greatest(*[F.when(F.col(c) < 11, 24 - 2 * F.col(c) - 1).otherwise(2 * F.col(c) - 21) for c in "xy"]).alias("odd"))
+    m = first.agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    return m.select(F.greatest(F.col("even") - 2, F.col("odd") - 2).cast("int").alias("side"))
+
+
+def weighted_quantile(s: SparkSession, d: str) -> DataFrame:
+    return _round(R.weighted_quantiles(X.table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity", (0.1, 0.5, 0.9)), value=4)
+
+
+def gini(s: SparkSession, d: str) -> DataFrame:
+    return _round(R.gini(X.table(s, d, "orders"), ["o_orderpriority"], "o_totalprice"), gini=9)
+
+
+def rep_summary(s: SparkSession, d: str) -> DataFrame:
+    return _round(R.repetition_summary(X.table(s, d, "lineitem"), ["l_suppkey"], "l_extendedprice"), mean=4, sd=4, cv=6)
+
+
+def convergence_summary(s: SparkSession, d: str) -> DataFrame:
+    return _round(parity.run_summary(X.table(s, d, "orders").withColumn("ok", F.col("o_orderstatus") == "F"), ["o_orderpriority"], "o_totalprice"), mean=4)
+
+
+def collapsed_edges(s: SparkSession, d: str) -> DataFrame:
+    e = X.table(s, d, "lineitem").select((F.col("l_suppkey") % 40).cast("int").alias("u"), (F.col("l_partkey") % 40).cast("int").alias("v"), F.col("l_quantity").alias("length"))
+    return _round(R.collapse_edges(e, []), conductance=6)
+
+
+def curvature_summary(s: SparkSession, d: str) -> DataFrame:
+    c = X.table(s, d, "lineitem").select("l_linestatus", (F.col("l_discount") - 0.05).alias("h"), ((F.col("l_tax") - 0.04) * 0.01).alias("k"), F.col("l_quantity").alias("w"))
+    out = R.curvature_summary(c, ["l_linestatus"], "h", "k", "w")
+    return _round(out, **dict.fromkeys(out.columns[1:], 6))
+
+
+def canonical_axis(s: SparkSession, d: str) -> DataFrame:
+    u = [F.col(f"u{c}") for c in "xyz"]
+    k = R.axis_sign(*u)
+    return _axes(s, d).select(F.col("id").alias("ball"), *[F.round(k * v, 9).alias(c) for c, v in zip("xyz", u, strict=True)])
+
+
+def axis_angles(s: SparkSession, d: str) -> DataFrame:
+    theta, phi = R.axis_angles(*[F.col(f"u{c}") for c in "xyz"])
+    return _axes(s, d).select(F.col("id").alias("ball"), F.round(theta, 9).alias("theta"), F.round(phi, 9).alias("phi"))
+
+
+def axis_angle(s: SparkSession, d: str) -> DataFrame:
+    a = _axes(s, d).select(F.col("id").alias("ball"), *[F.col(f"u{c}").alias(f"a{c}") for c in "xyz"])
+    b = _axes(s, d).select((F.col("id") - 1).alias("ball"), *[F.col(f"u{c}").alias(f"b{c}") for c in "xyz"])
+    angle = R.axis_angle_deg([F.col(f"a{c}") for c in "xyz"], [F.col(f"b{c}") for c in "xyz"])
+    return a.join(b, "ball").select("ball", F.round(angle, 6).alias("angle"))
+
+
+def ray_box(s: SparkSession, d: str) -> DataFrame:
+    near, far = R.ray_box([F.col("cx") - 30.0, F.col("cy") + 0.25, F.col("cz") + 0.25], [F.lit(1.0), (F.col("r") - 2.5) / 4, (F.col("r") - 3.25) / 4], 0.0, 24.0)
+    return X.balls(s, d).select("ball", F.round(near, 9).alias("entry"), F.round(far, 9).alias("leave"))
+
+
+def splitmix64(s: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("long")
+    def draw(seed):
+        return seed.map(lambda v: intercepts.SplitMix64(v).next() >> 11)
+
+    return X.table(s, d, "part").select(F.col("p_partkey").alias("seed"), draw("p_partkey").alias("draw"))
+
+
+def unit_scale(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(u) for u in (" nm", "Micron", "mm ", "CM", "in", "parsec")])
+    return X.table(s, d, "part").select("p_partkey", S.unit_scale(names[(F.col("p_partkey") % 6).cast("int")]).alias("um"))
+
+
+def spacing_isotropy(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    x = F.when(n % 7 == 0, 0.0).otherwise(25.0)
+    y = F.when((n % 7 != 0) & (n % 5 == 0), 26.0).otherwise(25.0)
+    z = F.when((n % 7 != 0) & (n % 5 != 0) & (n % 3 == 0), 25.001).otherwise(25.0)
+    return X.table(s, d, "part").select("p_partkey", S.isotropy(x, y, z).alias("problem"))
+
+
+def spacing_table(s: SparkSession, d: str) -> DataFrame:
+    rows = X.table(s, d, "supplier").select(F.concat(F.lit(" scans/"), "s_name", F.lit(" ")).alias("filename"), (20.0 + F.col("s_suppkey") % 6).alias("spacing_micrometers"), (F.col("s_suppkey") % 5 == 0).alias("twice"))
+    return S.checked_table(rows.unionByName(rows.filter("twice")))
+
+
+def spacing_join(s: SparkSession, d: str) -> DataFrame:
+    sup = X.table(s, d, "supplier")
+    known = S.checked_table(sup.filter("s_suppkey % 4 <> 0").select(F.upper("s_name").alias("filename"), (20.0 + F.col("s_suppkey") % 6).alias("spacing_micrometers"))).select("name", "h_um")
+    return S.attach(sup.select(F.col("s_name").alias("path")), known).select(F.col("path").alias("filename"), "h_um")
+
+
+def roi_match(s: SparkSession, d: str) -> DataFrame:
+    sup = X.table(s, d, "supplier")
+    found = report.match_regions(sup.select(F.concat(F.lit("bone/"), "s_name").alias("path")), sup.filter("s_suppkey % 4 <> 0").select(F.concat(F.lit("roi/"), "s_name").alias("path")), "bone/", "roi/")
+    return found.agg(F.count("roi_path").alias("matched"), F.count_if(F.col("roi_path").isNull()).alias("missing"))
+
+
+def specimen_code(s: SparkSession, d: str) -> DataFrame:
+    return X.table(s, d, "supplier").select("s_suppkey", S.specimen_code(F.concat(F.lit("x/"), "s_name", F.lit("_roi_mask.TIF"))).alias("code"))
+
+
+def input_qc(s: SparkSession, d: str) -> DataFrame:
+    n = X.solid_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("foreground"))
+    return report.input_qc(n.withColumn("background", 13824 - F.col("foreground")).withColumn("h_um", F.lit(25.0)))
+
+
+def parity_report(s: SparkSession, d: str) -> DataFrame:
+    sup = X.table(s, d, "supplier").filter("s_suppkey < 1000")
+    name = F.concat(F.lit("scan_qc"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit(".tif"))
+    ours = sup.select(name.alias("filename"), F.col("s_acctbal").alias("v"))
+    theirs = sup.select(name.alias("filename"), F.when(F.col("s_suppkey") % 10 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal") + 1e-9).alias("v"))
+    return parity.compare(ours, theirs, ["v"]).select("code", "pass")
+
+
+def tiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Volumes written as TIFF bytes and read back page by page."""
+    from voxloom.operators.specimens import per_specimen
+
+    def kernel(bone, roi, h) -> dict:
+        data = tiff.write(bone, h)
+        found = list(tiff.read_pages(data, 0, "strict"))
+        same = all(found[z][6] == M.np.packbits(bone[z]).tobytes() for z in range(len(bone)))
+        return {"pages": len(found), "bytes": len(data), "h": tiff.isotropic(*found[0][3:6]), "same": same}
+
+    return per_specimen(X.volumes(s, d), kernel, "pages long, bytes long, h double, same boolean")
+
+
+def wide(kernel, schema: str) -> Query:
+    """A measure that needs room: one specimen of 64 voxels a side."""
+    return lambda s, d: M.run(X.volumes(s, d, 64, wide=True), kernel, schema)
+
+
+def degree_of_anisotropy(s: SparkSession, d: str) -> DataFrame:
+    return M.anisotropy(X.volumes(s, d), directions=32, lines=16, repetitions=3)
+
+
+def da_convergence(s: SparkSession, d: str) -> DataFrame:
+    """Direction and line counts crossed, summarised over repetitions."""
+    few = X.volumes(s, d).filter("specimen = 0")
+    parts = [M.anisotropy_repetitions(few, directions=n, lines=k, repetitions=3).withColumn("directions", F.lit(n)).withColumn("lines", F.lit(k)) for n in (16, 32, 64) for k in (4, 16)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return parity.run_summary(every.withColumn("ok", F.col("status") == "OK"), ["specimen", "directions", "lines"], "da")
+
+
+def graph_summary(s: SparkSession, d: str) -> DataFrame:
+    """Branch statistics by aggregation of the edge rows, beside the kernel's own."""
+    e = M.run(X.volumes(s, d), M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double", "omit")
+    return e.groupBy("specimen").agg(F.count("*").alias("branches"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"), F.avg(F.when(F.col("distance") > 0, F.col("length") / F.col("distance"))).alias("mean_tortuosity"))
+
+
+def skeleton_block(s: SparkSession, d: str) -> DataFrame:
+    return report.skeleton_block(M.run(X.volumes(s, d), M.graph, M.GRAPH, "omit"), F.lit(9216 * 25.0**3))
+
+
+def terminals(s: SparkSession, d: str) -> DataFrame:
+    n = M.run(X.volumes(s, d), M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean", "omit")
+    return n.groupBy("specimen").agg(F.count_if("top").alias("top"), F.count_if("bottom").alias("bottom"), F.count_if(F.col("top") & F.col("bottom")).alias("both"))
+
+
+_COUNTS = "d2 long, n long"
+_TH = {"mean": 3, "sd": 3, "max": 3}
+_Q = dict.fromkeys(("p10", "p25", "median", "p75", "p90"), 3)
+
+QUERIES: dict[str, Query] = {
+    "bv_tv": bv_tv,
+    "phase_inside": phase_inside,
+    "neighbours6": neighbours6,
+    "degree26": degree26,
+    "roi_boundary_fraction": _topology("boundary_fraction", boundary_fraction=9),
+    "interface_faces": lambda s, d: _topology("interface_faces", "bs")(s, d).withColumnRenamed("interface_faces", "faces"),
+    "euler_chi": _topology("euler"),
+    "mean_breadth": _topology("breadth", breadth=6),
+    "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
+    "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / 9216.0, 9).alias("conn_per_voxel")),
+    "betti": _kernel(M.betti, M.BETTI, "b0", "b1", "b2", on_error="omit"),
+    "betti_density": _kernel(M.betti, M.BETTI, "b0_density", "b1_density", "b2_density", "spans", on_error="omit"),
+    "edt_squared": _kernel(M.thickness_counts("distance"), _COUNTS, on_error="omit"),
+    "ridge_templates": ridge_templates,
+    "distance_ridge": _kernel(M.thickness_counts("ridge"), _COUNTS, on_error="omit"),
+    "ridge_ball": _kernel(M.thickness_counts("balls"), _COUNTS, on_error="omit"),
+    "tb_th": _kernel(M.thickness(True), M.DISTRIBUTION, *_TH, on_error="omit", **_TH),
+    "tb_sp": _kernel(M.thickness(False), M.DISTRIBUTION, *_TH, on_error="omit", **_TH),
+    "thickness_quantiles": _kernel(M.thickness(True), M.DISTRIBUTION, *_Q, on_error="omit", **_Q),
+    "thickness_clean": _kernel(M.thickness(True), M.DISTRIBUTION),
+    "thickness_raw": _kernel(M.thickness(True, clean=False), M.DISTRIBUTION),
+    "mesh_surface_area": _kernel(M.surface, M.SURFACE, "area", on_error="omit", area=3),
+    "midpoint_mesh": lambda s, d: _kernel(M.surface, M.SURFACE, "midpoint_area", on_error="omit", midpoint_area=3)(s, d).withColumnRenamed("midpoint_area", "area"),
+    "surface_cases": _kernel(M.surface_cases, "case int, n long", on_error="omit"),
+    "isosurface": _kernel(M.isosurface(30.0), M.ISOSURFACE),
+    "sdf": _kernel(M.field("distance"), M.FIELD, "n", "high", "low", "total", "squares", on_error="omit", high=6, low=6, total=3),
+    "gaussian_smooth": _kernel(M.field("smooth"), M.FIELD),
+    "curvature_grid": _kernel(M.field("curvature"), M.FIELD),
+    "curvature_stats": wide(M.curvature(), M.CURVATURE),
+    "curvature_summary": curvature_summary,
+    "w102": wide(M.w102(), M.W102),
+    "euler_lut": euler_lut,
+    "skeleton": _kernel(M.skeleton, M.SKELETON),
+    "skeleton_degree": lambda s, d: M.run(X.volumes(s, d), M.skeleton_points, "x int, y int, z int, degree int", "omit").groupBy("specimen", "degree").agg(F.count("*").alias("voxels")),
+    "graph_stats": _kernel(M.graph, M.GRAPH),
+    "graph_edges": _kernel(M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double"),
+    "compressed_graph": _kernel(M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean"),
+    "graph_summary": graph_summary,
+    "skeleton_block": skeleton_block,
+    "terminals": terminals,
+    "collapsed_edges": collapsed_edges,
+    "axial_graph": _kernel(M.axial, M.AXIAL),
+    "gini": gini,
+    "weighted_quantile": weighted_quantile,
+    "rep_summary": rep_summary,
+    "convergence_summary": convergence_summary,
+    "window_moments": window_moments,
+    "ef_stats": _kernel(M.ef(), M.EF),
+    "plate_rod": _kernel(M.plate_rod(), M.PLATE_ROD),
+    "grid_representatives": grid_representatives,
+    "orientation_samples": _kernel(M.orientation_samples, "x int, y int, z int, kind string, vx double, vy double, vz double, ef double, thickness_vox double, radius_vox int"),
+    "soi": _kernel(M.soi, M.SOI),
+    "canonical_axis": canonical_axis,
+    "axis_angles": axis_angles,
+    "axis_angle": axis_angle,
+    "misorientation": misorientation,
+    "orthogonality": orthogonality,
+    "da_domain": da_domain,
+    "splitmix64": splitmix64,
+    "ray_box": ray_box,
+    "mil_points": _kernel(M.mil_points(0, 16, 16), "rep int, direction int, mx double, my double, mz double"),
+    "degree_of_anisotropy": degree_of_anisotropy,
+    "da_convergence": da_convergence,
+    "unit_scale": unit_scale,
+    "spacing_isotropy": spacing_isotropy,
+    "spacing_table": spacing_table,
+    "spacing_join": spacing_join,
+    "roi_match": roi_match,
+    "specimen_code": specimen_code,
+    "input_qc": input_qc,
+    "tiff_roundtrip": tiff_roundtrip,
+    "parity_report": parity_report,
+    **{f"schema_{mode}": (lambda s, d, mode=mode: report.analyse(X.volumes(s, d), mode)) for mode in ("bonej", "classic", "refined", "experimental")},
+    "descriptor_catalog": lambda s, d: report.catalogue(s),
+}
