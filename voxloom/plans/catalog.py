@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from voxloom.operators import relational as R
 from voxloom.operators import report
 from voxloom.plans import fixtures as X
 from voxloom.plans.oracles import ORACLES
+from voxloom.session import Config
 from voxloom.sources import spacing as S
 from voxloom.sources import tiff
 
@@ -222,7 +226,7 @@ def tiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
     def kernel(bone, roi, h) -> dict:
         data = tiff.write(bone, h)
         found = list(tiff.read_pages(data, 0, "strict"))
-        same = all(found[z][6] == M.np.packbits(bone[z]).tobytes() for z in range(len(bone)))
+        same = all(found[z][6] == np.packbits(bone[z]).tobytes() for z in range(len(bone)))
         return {"pages": len(found), "bytes": len(data), "h": tiff.isotropic(*found[0][3:6]), "same": same}
 
     return per_specimen(X.volumes(s, d), kernel, "pages long, bytes long, h double, same boolean")
@@ -237,6 +241,43 @@ def degree_of_anisotropy(s: SparkSession, d: str) -> DataFrame:
     return M.anisotropy(X.volumes(s, d), directions=32, lines=16, repetitions=3)
 
 
+def quadric_fit(s: SparkSession, d: str) -> DataFrame:
+    return M.anisotropy_repetitions(X.volumes(s, d), directions=64, lines=16, repetitions=1)
+
+
+def eigh3(s: SparkSession, d: str) -> DataFrame:
+    """Ascending eigenvalues of the window covariances: moments by SQL, eigenvalues of whole Arrow
+    batches at once."""
+    m = window_moments(s, d).filter("n > 1")
+    mean = {c: F.col(f"m{c}") / F.col("n") for c in "xyz"}
+    cov = [((F.col(f"m{a}{b}") - F.col("n") * mean[a] * mean[b]) / (F.col("n") - 1)).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]
+
+    @F.pandas_udf("array<double>")
+    def eigenvalues(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.Series:
+        t = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]).transpose(2, 0, 1)
+        return pd.Series(list(np.linalg.eigvalsh(t)))
+
+    e = eigenvalues("xx", "yy", "zz", "xy", "xz", "yz")
+    return m.select("specimen", "seed", *cov).withColumn("e", e).select("specimen", "seed", *[F.round(F.col("e")[i], 6).alias(f"e{i + 1}") for i in range(3)])
+
+
+def orientation_kde(s: SparkSession, d: str) -> DataFrame:
+    """Density of one specimen's axes on a grid of 5 degrees, both axes reflected at their ends."""
+    theta, phi = R.axis_angles(*[F.col(f"u{c}") for c in "xyz"])
+    at = _axes(s, d).filter("specimen = 0").select(theta.alias("t"), phi.alias("p"))
+    bw = math.radians(4.5)
+
+    def side(g, v, lo: float, hi: float):
+        bell = lambda x: F.exp(-0.5 * ((g - x) / bw) * ((g - x) / bw))
+        return bell(v) + bell(2 * lo - v) + bell(2 * hi - v)
+
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    cells = at.select("t", "p", steps(36).alias("i")).select("t", "p", "i", steps(18).alias("j"))
+    a = side(F.radians(5.0 * F.col("i")) - math.pi / 2, F.col("t"), -math.pi / 2, math.pi / 2)
+    b = side(F.radians(5.0 * F.col("j")), F.col("p"), 0.0, math.pi / 2)
+    return cells.groupBy("i", "j").agg(F.round(F.sum(a * b) / (2 * math.pi * bw * bw * F.count("*")), 6).alias("pdf"))
+
+
 def da_convergence(s: SparkSession, d: str) -> DataFrame:
     """Direction and line counts crossed, summarised over repetitions."""
     few = X.volumes(s, d).filter("specimen = 0")
@@ -278,6 +319,8 @@ QUERIES: dict[str, Query] = {
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
     "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / 9216.0, 9).alias("conn_per_voxel")),
     "betti": _kernel(M.betti, M.BETTI, "b0", "b1", "b2", on_error="omit"),
+    **{f"beta{b[1]}": _kernel(M.betti, M.BETTI, b, on_error="omit") for b in ("b0", "b1", "b2")},
+    "spanning": _kernel(M.betti, M.BETTI, "spans", on_error="omit"),
     "betti_density": _kernel(M.betti, M.BETTI, "b0_density", "b1_density", "b2_density", "spans", on_error="omit"),
     "edt_squared": _kernel(M.thickness_counts("distance"), _COUNTS, on_error="omit"),
     "ridge_templates": ridge_templates,
@@ -287,19 +330,22 @@ QUERIES: dict[str, Query] = {
     "tb_sp": _kernel(M.thickness(False), M.DISTRIBUTION, *_TH, on_error="omit", **_TH),
     "thickness_quantiles": _kernel(M.thickness(True), M.DISTRIBUTION, *_Q, on_error="omit", **_Q),
     "thickness_clean": _kernel(M.thickness(True), M.DISTRIBUTION),
+    "thickness_stats": _kernel(M.thickness(False), M.DISTRIBUTION),
     "thickness_raw": _kernel(M.thickness(True, clean=False), M.DISTRIBUTION),
     "mesh_surface_area": _kernel(M.surface, M.SURFACE, "area", on_error="omit", area=3),
     "midpoint_mesh": lambda s, d: _kernel(M.surface, M.SURFACE, "midpoint_area", on_error="omit", midpoint_area=3)(s, d).withColumnRenamed("midpoint_area", "area"),
     "surface_cases": _kernel(M.surface_cases, "case int, n long", on_error="omit"),
+    "vertex_area": _kernel(M.isosurface(30.0), M.ISOSURFACE, "area", "vertex_area", on_error="omit"),
     "isosurface": _kernel(M.isosurface(30.0), M.ISOSURFACE),
     "sdf": _kernel(M.field("distance"), M.FIELD, "n", "high", "low", "total", "squares", on_error="omit", high=6, low=6, total=3),
-    "gaussian_smooth": _kernel(M.field("smooth"), M.FIELD),
+    "gaussian_smooth": _kernel(M.field("smooth"), M.FIELD, "n", "high", "low", "total", on_error="omit", high=4, low=4, total=2),
     "curvature_grid": _kernel(M.field("curvature"), M.FIELD),
     "curvature_stats": wide(M.curvature(), M.CURVATURE),
     "curvature_summary": curvature_summary,
     "w102": wide(M.w102(), M.W102),
     "euler_lut": euler_lut,
     "skeleton": _kernel(M.skeleton, M.SKELETON),
+    "junction_clusters": _kernel(M.graph, M.GRAPH, "junction_voxels", "junction_clusters", on_error="omit"),
     "skeleton_degree": lambda s, d: M.run(X.volumes(s, d), M.skeleton_points, "x int, y int, z int, degree int", "omit").groupBy("specimen", "degree").agg(F.count("*").alias("voxels")),
     "graph_stats": _kernel(M.graph, M.GRAPH),
     "graph_edges": _kernel(M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double"),
@@ -309,6 +355,10 @@ QUERIES: dict[str, Query] = {
     "terminals": terminals,
     "collapsed_edges": collapsed_edges,
     "axial_graph": _kernel(M.axial, M.AXIAL),
+    "axial_shortest_path": _kernel(M.axial, M.AXIAL, "axial_tortuosity", on_error="omit"),
+    "edge_connectivity": _kernel(M.axial, M.AXIAL, "edge_connectivity", "n_top", "n_bottom", on_error="omit"),
+    "cz_fraction": _kernel(M.axial, M.AXIAL, "path_fraction", on_error="omit"),
+    "dissipation_gini": _kernel(M.axial, M.AXIAL, "dissipation_gini", "conductance", "energy_error", on_error="omit"),
     "gini": gini,
     "weighted_quantile": weighted_quantile,
     "rep_summary": rep_summary,
@@ -319,6 +369,8 @@ QUERIES: dict[str, Query] = {
     "grid_representatives": grid_representatives,
     "orientation_samples": _kernel(M.orientation_samples, "x int, y int, z int, kind string, vx double, vy double, vz double, ef double, thickness_vox double, radius_vox int"),
     "soi": _kernel(M.soi, M.SOI),
+    "t50": _kernel(M.soi, M.SOI, "t50", "n_grid_representatives", on_error="omit"),
+    "orientation_kde": orientation_kde,
     "canonical_axis": canonical_axis,
     "axis_angles": axis_angles,
     "axis_angle": axis_angle,
@@ -328,6 +380,8 @@ QUERIES: dict[str, Query] = {
     "splitmix64": splitmix64,
     "ray_box": ray_box,
     "mil_points": _kernel(M.mil_points(0, 16, 16), "rep int, direction int, mx double, my double, mz double"),
+    "quadric_fit": quadric_fit,
+    "eigh3": eigh3,
     "degree_of_anisotropy": degree_of_anisotropy,
     "da_convergence": da_convergence,
     "unit_scale": unit_scale,
@@ -340,5 +394,7 @@ QUERIES: dict[str, Query] = {
     "tiff_roundtrip": tiff_roundtrip,
     "parity_report": parity_report,
     **{f"schema_{mode}": (lambda s, d, mode=mode: report.analyse(X.volumes(s, d), mode)) for mode in ("bonej", "classic", "refined", "experimental")},
+    "schema_standard": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", da_directions=24, da_lines=16, da_repetitions=2)),
+    "families_core": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", preset="core", da_directions=24, da_lines=16, da_repetitions=2)),
     "descriptor_catalog": lambda s, d: report.catalogue(s),
 }

@@ -93,7 +93,7 @@ _TH_Q = "SELECT s AS specimen, {} FROM scaled GROUP BY s".format(", ".join(f"rou
 ORACLES: dict[str, str] = {
     "bv_tv": _with(_BASE, select="SELECT s AS specimen, count(*) AS bone_voxels, CAST(9216 AS BIGINT) AS tv_voxels, round(count(*) / 9216.0, 9) AS bv_tv FROM bone GROUP BY s"),
     "phase_inside": _with(_BASE, select="SELECT s AS specimen, count(*) AS solid, count(disc.x) AS inside, 9216 - count(disc.x) AS marrow FROM solid LEFT JOIN disc USING (x, y) GROUP BY s"),
-    "neighbours6": _with(_BASE, _D3, select="SELECT a.s AS specimen, dx, dy, dz, count(*) AS pairs FROM bone a CROSS JOIN n6 JOIN bone b ON b.s = a.s AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL"),
+    "neighbours6": _with(_BASE, _D3, "moved AS (SELECT s, dx, dy, dz, x + dx AS px, y + dy AS py, z + dz AS pz FROM bone CROSS JOIN n6)", select="SELECT m.s AS specimen, dx, dy, dz, count(*) AS pairs FROM moved m JOIN bone b ON b.s = m.s AND b.x = px AND b.y = py AND b.z = pz GROUP BY ALL"),
     "degree26": _with(_BASE, _D3, select="SELECT specimen, degree, count(*) AS voxels FROM (SELECT a.s AS specimen, a.x, a.y, a.z, count(b.s) AS degree FROM bone a CROSS JOIN n26 LEFT JOIN bone b ON b.s = a.s AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL) GROUP BY ALL"),
     "roi_boundary_fraction": _with(_BASE, _D3, select="SELECT s AS specimen, round(sum(edge) / count(*), 9) AS boundary_fraction FROM (SELECT a.s, a.x, a.y, a.z, max(CAST(disc.x IS NULL OR a.z + dz NOT BETWEEN 0 AND 23 AS INT)) AS edge FROM bone a CROSS JOIN n6 LEFT JOIN disc ON disc.x = a.x + dx AND disc.y = a.y + dy GROUP BY ALL) GROUP BY s"),
     "interface_faces": _with(_BASE, _D3, select="SELECT a.s AS specimen, count(*) AS faces, count(*) * 625.0 AS bs FROM bone a CROSS JOIN n6 JOIN disc ON disc.x = a.x + dx AND disc.y = a.y + dy LEFT JOIN bone b ON b.s = a.s AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE b.s IS NULL AND a.z + dz BETWEEN 0 AND 23 GROUP BY a.s"),
@@ -167,4 +167,23 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
     "specimen_code": "SELECT s_suppkey, upper(s_name) AS code FROM supplier",
     "input_qc": _with(_BASE, select="SELECT s AS specimen, count(*) AS foreground, 13824 - count(*) AS background, true AS both_phases, CAST(NULL AS VARCHAR) AS warning FROM solid GROUP BY s"),
     "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier WHERE s_suppkey < 1000) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
+    "gaussian_smooth": _with(
+        _BASE, _GRID.replace("LEFT JOIN bone ON bone.s", "LEFT JOIN solid bone ON bone.s"), _edt("bone"), _edt("NOT bone").replace("f0", "h0").replace("f1", "h1").replace("f2", "h2").replace("edt", "edu"),
+        "raww AS (SELECT CAST(i AS INT) AS k, exp(-0.5 * power(i / 1.2, 2)) AS v FROM range(-5, 6) t(i))", "w AS (SELECT k, v / (SELECT sum(v) FROM raww) AS v FROM raww)",
+        "phi AS (SELECT s, x, y, z, 25.0 * (sqrt(edt.d2) - sqrt(edu.d2)) AS v FROM edt JOIN edu USING (s, x, y, z))",
+        "e1 AS (SELECT s, x, y, z, least(greatest(x + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s1 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e1 e JOIN phi ON phi.s = e.s AND phi.x = e.q AND phi.y = e.y AND phi.z = e.z GROUP BY ALL)",
+        "e2 AS (SELECT s, x, y, z, least(greatest(y + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s2 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e2 e JOIN s1 ON s1.s = e.s AND s1.y = e.q AND s1.x = e.x AND s1.z = e.z GROUP BY ALL)",
+        "e3 AS (SELECT s, x, y, z, least(greatest(z + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s3 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e3 e JOIN s2 ON s2.s = e.s AND s2.z = e.q AND s2.x = e.x AND s2.y = e.y GROUP BY ALL)",
+        select="SELECT s AS specimen, count(*) AS n, round(max(v), 4) AS high, round(min(v), 4) AS low, round(sum(v), 2) AS total FROM s3 GROUP BY s",
+    ),
+    "orientation_kde": _with(
+        _BASE, "v AS (SELECT ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls WHERE s = 0)", "t AS (SELECT ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
+        "m AS (SELECT CASE WHEN a > pi() / 2 THEN a - pi() WHEN a <= -pi() / 2 THEN a + pi() ELSE a END AS theta, phi FROM t)",
+        "gt AS (SELECT CAST(i AS INT) AS i, radians(5.0 * i) - pi() / 2 AS g FROM range(37) t(i))", "gp AS (SELECT CAST(i AS INT) AS j, radians(5.0 * i) AS g FROM range(19) t(i))",
+        "tv AS (SELECT i, theta, phi, exp(-0.5 * power((g - theta) / radians(4.5), 2)) + exp(-0.5 * power((g + pi() + theta) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + theta) / radians(4.5), 2)) AS a FROM gt, m)",
+        "pv AS (SELECT j, theta, phi, exp(-0.5 * power((g - phi) / radians(4.5), 2)) + exp(-0.5 * power((g + phi) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + phi) / radians(4.5), 2)) AS b FROM gp, (SELECT DISTINCT theta, phi FROM m))",
+        select="SELECT i, j, round(sum(a * b) / (2 * pi() * power(radians(4.5), 2) * (SELECT count(*) FROM m)), 6) AS pdf FROM tv JOIN pv USING (theta, phi) GROUP BY i, j",
+    ),
 }
+for _k in ("b0", "b1", "b2"):
+    ORACLES["beta" + _k[1]] = f"SELECT specimen, {_k} FROM ({ORACLES['betti']})"
