@@ -8,9 +8,11 @@ by connected components.
 
 Work is done between classes: documents of one shingle set are one class with its smallest doc_id
 as representative, so copies cost nothing after the first aggregation. In each bucket, members are
-compared with a few pivots, not with each other; buckets whose members already share a component
-are settled, the rest go on with the next pivots until every pair from different components has
-been compared. So the number of comparisons follows the members, and no link is given up.
+first compared with one pivot, not with each other. Buckets whose members then share a component
+are settled. In the others every pair from different components is still compared, so no link is
+given up: in small buckets as pairs, in large ones by families of buckets that overlap, where
+blocks of the members outside the family's largest component each stay in memory while all
+members stream by. Rows between tasks follow members times blocks, never pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from voxloom.llm.base import map_rows, materialize, table, texts
 from voxloom.llm.components import components
@@ -33,7 +34,10 @@ WORDS, PERCENT = 5, 80
 MEMBERS_PER_SALT = 256
 #: Ids of candidates are broadcast to the scan of the texts up to this number, else joined.
 BROADCAST_IDS = 1_000_000
-PIVOTS = 8
+#: Unsettled buckets up to this size are compared as pairs, larger ones by families.
+SMALL_BUCKET = 16
+#: Documents of a family in a block, and members that stream by a block in one place.
+BLOCK, STREAM = 256, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,6 +124,14 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows by doc_id with their texts; texts of other documents do not leave the scan while the
+    wanted ids are few enough to be broadcast."""
+    wanted = materialize(rows.select("doc_id").distinct(), "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return rows.join(docs.join(ids, "doc_id", "left_semi"), "doc_id")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, pivot) that are linked on their full sets; ``docs`` has doc_id and text.
 
@@ -127,16 +139,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     size, to each of which the pivot's text goes along. A group streams: memory holds the pivot's
     set and one member. Where several rows have one id, any of their texts may link.
     """
-    wanted = pairs.select(F.explode(F.array("a", "pivot")).alias("doc_id")).distinct()
-    wanted = materialize(wanted, "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    text = docs.join(ids, "doc_id", "left_semi")
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS_PER_SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("doc_id"), F.lit(1).alias("member"))
     pivots = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("doc_id"), F.lit(0).alias("member"))
     dealt = (
-        members.unionByName(pivots)
-        .join(text, "doc_id")
+        _with_text(materialize(members.unionByName(pivots), "dealt"), docs)
         .select("pivot", "salt", "member", "doc_id", "text")
         .repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", "member")
@@ -156,6 +163,80 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return map_rows(dealt, rows, "a long, b long")
 
 
+class _Block:
+    """Shingle sets of a block's documents as one sorted array, to count common shingles of a
+    set with all of them at once."""
+
+    def __init__(self):
+        self.sets: list[np.ndarray] = []
+        self.ids: list[int] = []
+        self.of: list[int] = []
+
+    def add(self, doc_id: int, component: int, found: np.ndarray) -> None:
+        self.sets.append(found)
+        self.ids.append(doc_id)
+        self.of.append(component)
+
+    def seal(self) -> None:
+        sizes = np.array([len(s) for s in self.sets])
+        every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(self.sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.owner, self.first = owner[order], np.append(first, len(every))
+        self.sizes, self.component = sizes, np.array(self.of)
+
+    def links(self, doc_id: int, component: int, found: np.ndarray, percent: int) -> list[int]:
+        """Documents of the block in other components that are linked with the set, one of each
+        component."""
+        if not len(self.keys) or not len(found):
+            return []
+        at = np.searchsorted(self.keys, found)
+        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found)]
+        lo, hi = self.first[at], self.first[at + 1]
+        n = hi - lo
+        runs = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        common = np.bincount(self.owner[runs], minlength=len(self.sizes))
+        hit = np.flatnonzero((100 * common >= percent * (self.sizes + len(found) - common)) & (self.component != component))
+        return [self.ids[k] for k in {int(self.component[k]): k for k in hit}.values()]
+
+
+def confirm_families(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of each family; ``members`` has family, doc_id,
+    component. Every pair of a family from different components has one end outside the family's
+    largest component: those documents form blocks, and all members stream by each block."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    families = sizes.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    families = families.select("family", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM).cast("int").alias("salts")).filter("blocks > 0")
+    own = members.join(families, "family")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = own.filter("component <> largest").select("family", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), every("salts").alias("salt"), F.lit(0).alias("member"), "doc_id", "component")
+    streaming = own.select("family", every("blocks").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "doc_id", "component")
+    dealt = (
+        _with_text(materialize(outside.unionByName(streaming), "dealt"), docs)
+        .select("family", "block", "salt", "member", "doc_id", "component", "text")
+        .repartition("family", "block", "salt")
+        .sortWithinPartitions("family", "block", "salt", "member")
+    )
+
+    def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
+        group, block, sealed = None, _Block(), False
+        for family, number, salt, member, doc_id, component, text in feed:
+            if (family, number, salt) != group:
+                group, block, sealed = (family, number, salt), _Block(), False
+            found = shingles(text, words)
+            if not member:
+                block.add(doc_id, component, found)
+                continue
+            if not sealed:
+                block.seal()
+                sealed = True
+            for other in block.links(doc_id, component, found, percent):
+                yield doc_id, other
+
+    return map_rows(dealt, rows, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept.
 
@@ -177,25 +258,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = materialize(members.filter("a <> pivot").select("a", "pivot").distinct(), "pairs")
     edges = materialize(confirm(docs, pairs, words, percent), "links")
     found = materialize(components(edges), "components")
-    used, step = 1, PIVOTS
-    while True:
-        # buckets that hold several components and more members than were pivots, but for one
-        left = members.filter(F.col("n") > used + 1).select("key", "a", "n").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        left = materialize(left.join(mixed, "key", "left_semi"), "unsettled")
-        if left.isEmpty():
-            break
-        members = left.select("key", "a", "n")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("a"))
-        pivots = left.withColumn("rank", rank).filter(F.col("rank") <= used + step).filter(F.col("rank") > used)
-        pivots = pivots.select("key", F.col("a").alias("pivot"), F.col("component").alias("of"))
-        pairs = left.join(pivots, "key").filter("a > pivot AND component <> of").select("a", "pivot").distinct()
-        pairs = materialize(pairs, "pairs")
-        more = materialize(confirm(docs, pairs, words, percent), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            found = materialize(components(edges), "components")
-        used, step = used + step, step * 4
+    left = members.select("key", "a", "n").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    # a bucket of two has been compared; of the others, those in one component are settled
+    mixed = left.filter("n > 2").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("a").alias("first")).filter("lo <> hi").select("key", "first")
+    left = materialize(left.join(mixed, "key"), "unsettled")
+    small = left.filter(F.col("n") <= SMALL_BUCKET)
+    other = small.select("key", F.col("a").alias("pivot"), F.col("component").alias("of"))
+    again = small.join(other, "key").filter("a > pivot AND component <> of").select("a", "pivot").distinct().join(pairs, ["a", "pivot"], "left_anti")
+    again = materialize(again, "pairs")
+    more = confirm(docs, again, words, percent)
+    large = left.filter(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        family = components(large.select(F.col("first").alias("a"), F.col("a").alias("b"))).withColumnRenamed("component", "family")
+        of_family = materialize(large.select(F.col("a").alias("node"), "component").distinct().join(family, "node").select("family", F.col("node").alias("doc_id"), "component"), "families")
+        more = more.unionByName(confirm_families(docs, of_family, words, percent))
+    more = materialize(more, "links")
+    if not more.isEmpty():
+        found = materialize(components(edges.unionByName(more)), "components")
     grouped = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # documents without shingles or id stay out of the join on the digest
     inside = with_id.join(grouped, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
