@@ -38,6 +38,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python. A batch stands in both, and buffers double as
+#: they grow, so Spark's default of 64 MB takes several hundred MB of an executor with two cores.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the batch size of this session where it has Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Apply a generator over the rows of each partition, moved as Arrow batches.
 
@@ -65,6 +77,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
         if out:
             yield _batch(out, names, target)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
