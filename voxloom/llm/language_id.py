@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import map_rows, table, texts
+from voxloom.llm.base import map_rows, small_batches, table, texts
 
 ORDER = 3
 DIMENSIONS = 1024
@@ -77,44 +77,26 @@ def letter_vectors() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
 
 
+@functools.lru_cache(maxsize=1)
+def _pairs() -> np.ndarray:
+    """The first two letters' bound vectors, rotated by 2 and 1: SYMBOLS ** 2 small rows."""
+    v = letter_vectors()
+    return (np.roll(v, 2, axis=1)[:, None, :] * np.roll(v, 1, axis=1)[None, :, :]).reshape(-1, DIMENSIONS)
+
+
 def bind(codes: np.ndarray) -> np.ndarray:
     """Vectors of n-gram codes: the product of the letters' vectors, rotated by 2, 1 and 0."""
-    v = letter_vectors()
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    return first[codes // (SYMBOLS * SYMBOLS)] * second[codes // SYMBOLS % SYMBOLS] * v[codes % SYMBOLS]
+    return _pairs()[codes // SYMBOLS] * letter_vectors()[codes % SYMBOLS]
 
 
-def bundle(codes: np.ndarray, counts: np.ndarray, step: int = 4096) -> np.ndarray:
+def bundle(codes: np.ndarray, counts: np.ndarray, step: int = 1024) -> np.ndarray:
+    """Sum of the n-grams' vectors, a bounded number of them at a time."""
     out = np.zeros(DIMENSIONS, np.float64)
     for at in range(0, len(codes), step):
-        out += counts[at : at + step].astype(np.float64) @ bind(codes[at : at + step])
+        out += counts[at : at + step].astype(np.float32) @ bind(codes[at : at + step]).astype(np.float32)
     return out
 
 
-class _Binder:
-    """Bound vectors by code, computed when a code is first met; at most SYMBOLS ** ORDER."""
-
-    def __init__(self):
-        self.at = np.full(SYMBOLS**ORDER, -1, np.int32)
-        self.rows = np.zeros((4096, DIMENSIONS), np.int8)
-        self.n = 0
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.at[codes] < 0]
-        if len(new):
-            while self.n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.n : self.n + len(new)] = bind(new)
-            self.at[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-        return self.rows[self.at[codes]]
-
-
-@functools.lru_cache(maxsize=1)
-def _binder() -> _Binder:
-    return _Binder()
-
-
 class Profiles:
     """Language prototypes of unit length; what an executor needs to classify texts."""
 
@@ -130,7 +112,7 @@ class Profiles:
         codes, counts = ngrams(text)
         if not len(codes):
             return "und", 0.0
-        v = counts.astype(np.float32) @ _binder()(codes).astype(np.float32)
+        v = bundle(codes, counts).astype(np.float32)
         cosines = self.matrix @ (v / max(float(np.linalg.norm(v)), 1e-12))
         best = int(np.argmax(cosines))
         return self.names[best], float(np.clip(cosines[best], 0, 1))
@@ -188,6 +170,7 @@ def keep_identified(df: DataFrame, profiles: Profiles, least: float = 0.1, least
     """Rows of ``df``, all columns, that have a language: texts without a letter go, and texts of at
     least ``least_letters`` characters whose cosine with every prototype is below ``least``;
     shorter texts say too little to be rejected."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import map_rows, table, texts
+from voxloom.llm.base import map_rows, small_batches, table, texts
 from voxloom.llm.wordbpe import Memo
 
 #: Bounds of the labelled sample: rows of each label, taken in the order of a hash of the id.
@@ -171,7 +171,7 @@ class Grammar:
 
     def __post_init__(self):
         self.named = {w: k for k, ws in WORDS.items() for w in ws.split()}
-        self.kinds = Memo(self.kind)
+        self.kinds = Memo(self.kind, 200_000)
 
     def __getstate__(self):
         return self.insults, self.stems, self.bias, self.machine
@@ -245,7 +245,7 @@ def learn(labelled: DataFrame, label_col: str = "label", text_col: str = "text")
                 seen.add(f)
             for f in seen:
                 docs[f] = docs.get(f, 0) + 1
-            if len(docs) > 500_000:  # partial sums; the shuffle adds them up
+            if len(docs) > 200_000:  # partial sums; the shuffle adds them up
                 yield from ((f, n, contexts[f] - (1 << 64) * (contexts[f] >> 63)) for f, n in docs.items())
                 docs, contexts = {}, {}
         yield from ((f, n, contexts[f] - (1 << 64) * (contexts[f] >> 63)) for f, n in docs.items())
@@ -317,6 +317,7 @@ def scores(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: st
 
 def keep_clean(df: DataFrame, grammar: Grammar, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """Rows of ``df``, all columns, whose text scores below ``cutoff``."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")
