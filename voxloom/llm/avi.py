@@ -26,7 +26,8 @@ from voxloom.llm.base import map_rows, table, texts
 
 WIDTH, HEIGHT, FPS = 64, 32, 25
 BINS = 16
-#: A cut: a histogram difference of at least FLOOR that exceeds mean + SPREAD * deviation of up to WINDOW differences before it.
+#: A cut: a histogram difference of at least FLOOR that exceeds mean + SPREAD * deviation of up to WINDOW differences
+#: before it in its shot.
 WINDOW, SPREAD, FLOOR = 8, 3.0, 0.05
 
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -389,11 +390,15 @@ def shots(hist: np.ndarray, window: int = WINDOW, spread: float = SPREAD, floor:
     diff = np.zeros(n)
     diff[1:] = np.abs(hist[1:] - hist[:-1]).sum(axis=1) / 2
     sums, squares = np.concatenate([[0], np.cumsum(diff)]), np.concatenate([[0], np.cumsum(diff * diff)])
-    lo, hi = np.maximum(1, np.arange(n) - window), np.arange(n)
-    count = np.maximum(1, hi - lo)
-    mean = (sums[hi] - sums[np.minimum(lo, hi)]) / count
-    deviation = np.sqrt(np.maximum(0, (squares[hi] - squares[np.minimum(lo, hi)]) / count - mean * mean))
-    cuts = np.flatnonzero((diff >= floor) & (diff > mean + spread * deviation) & (hi > 0)).tolist()
+    cuts, last = [], 0
+    for i in np.flatnonzero(diff >= floor).tolist():
+        lo = max(last + 1, i - window)  # a cut's own difference says nothing about its shot
+        k = i - lo
+        mean = (sums[i] - sums[lo]) / k if k else 0.0
+        deviation = np.sqrt(max(0.0, (squares[i] - squares[lo]) / k - mean * mean)) if k else 0.0
+        if diff[i] > mean + spread * deviation:
+            cuts.append(i)
+            last = i
     starts = [0, *cuts]
     return [(a, b, float(diff[a])) for a, b in zip(starts, [*cuts, n], strict=True)]
 
