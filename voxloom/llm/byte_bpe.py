@@ -76,7 +76,8 @@ class PerfectHash:
                 self.slots[s] = k
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h & 0xFFFFFFFF) + d * (((h >> 32) & 0xFFFFFFFF) | 1) + d * d) % self.n
+        x = ((h & 0xFFFFFFFFFFFFFFFF) + d * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+        return (x ^ x >> 32) * 0xC2B2AE3D27D4EB4F % (1 << 64) // (1 << 20) % self.n
 
     def find(self, key: bytes) -> int:
         """The key's slot, or -1 where it is no member."""
