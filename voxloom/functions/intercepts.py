@@ -82,32 +82,60 @@ def intercept_length(bone: np.ndarray, square: tuple[int, int, int], rotation: n
     m = math.isqrt(lines)
     target, total, changes = lines * diagonal, 0.0, 0
     order = list(range(m * m))
-    while True:
+    while target - total > 1e-12:
         for i in range(len(order) - 1, 0, -1):
             j = min(int(rng.double() * (i + 1)), i)
             order[i], order[j] = order[j], order[i]
         du, dt = rng.double() / m, rng.double() / m
-        for cell in order:
+        u, t = np.divmod(np.array(order), m)
+        points = centre + ((t / m + dt - 0.5) * diagonal)[:, None] * rotation[:, 0] + ((u / m + du - 0.5) * diagonal)[:, None] * rotation[:, 1]
+        near, far = _chords(points, along, low, high)
+        # one draw for each chord that is used, in the order of the cycle; sampling is done together
+        used: list[tuple[int, float, int]] = []
+        for k in np.flatnonzero(far > near).tolist():
             if target - total <= 1e-12:
-                return total / max(changes, 1) if total > 0 else None
-            u, t = divmod(cell, m)
-            point = centre + (t / m + dt - 0.5) * diagonal * rotation[:, 0] + (u / m + du - 0.5) * diagonal * rotation[:, 1]
-            hit = ray_box(point, along, low, high)
-            if hit is None or hit[1] <= hit[0]:
-                continue
-            a, b = hit[0], min(hit[1], hit[0] + target - total)
+                break
+            a = float(near[k])
+            b = min(float(far[k]), a + target - total)
             if b <= a:
                 continue
             start = a + rng.double() * increment
             n = math.ceil((b - start) / increment)
             if n < 1:
                 continue  # the draw is used up, no length is added
-            p = np.floor(point + (start + np.arange(n) * increment)[:, None] * along).astype(int)
-            ok = ((p >= low) & (p < high)).all(axis=1)
-            q = np.where(ok[:, None], p, 0)
-            on = ok & bone[q[:, 2], q[:, 1], q[:, 0]]
-            changes += int(on[0]) + int(np.count_nonzero(on[1:] != on[:-1]))
+            used.append((k, start, n))
             total += b - a
+        changes += _phase_changes(bone, points, along, low, high, used, increment)
+    return total / max(changes, 1) if total > 0 else None
+
+
+def _chords(points: np.ndarray, along: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ray_box`` for many points; missed boxes have far < near."""
+    near, far = np.full(len(points), -np.inf), np.full(len(points), np.inf)
+    for axis in range(3):
+        p, d = points[:, axis], along[axis]
+        if abs(d) < 1e-12:
+            far = np.where((p < low[axis]) | (p > high[axis]), -np.inf, far)
+            continue
+        a, b = (low[axis] - p) / d, (high[axis] - p) / d
+        near, far = np.maximum(near, np.minimum(a, b)), np.minimum(far, np.maximum(a, b))
+    return near, np.where(far < 0, -np.inf, far)
+
+
+def _phase_changes(bone, points, along, low, high, used, increment) -> int:
+    if not used:
+        return 0
+    line, start, n = (np.array(x) for x in zip(*used, strict=True))
+    first = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(first, n)
+    p = np.floor(points[np.repeat(line, n)] + (np.repeat(start, n) + step * increment)[:, None] * along).astype(int)
+    ok = ((p >= low) & (p < high)).all(axis=1)
+    q = np.where(ok[:, None], p, 0)
+    on = ok & bone[q[:, 2], q[:, 1], q[:, 0]]
+    before = np.empty_like(on)
+    before[1:] = on[:-1]
+    before[first] = False  # every line starts outside
+    return int(np.count_nonzero(on != before))
 
 
 def cloud(bone: np.ndarray, square: tuple[int, int, int], seed: int, rep: int, directions: int = DIRECTIONS, lines: int = LINES, increment: float = INCREMENT) -> np.ndarray:

@@ -225,7 +225,8 @@ def anisotropy_repetitions(volumes: DataFrame, directions: int = intercepts.DIRE
     they are dealt out as rows and sampled in parallel; a specimen's result does not depend on
     where they run."""
     reps = F.explode(F.array(*[F.lit(r) for r in range(repetitions)]))
-    dealt = volumes.withColumn("rep", reps).repartition("specimen", "rep")
+    tasks = int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = volumes.withColumn("rep", reps).repartition(tasks, "specimen", "rep")
     keyed = dealt.withColumn("specimen", F.struct("specimen", "rep"))
 
     def kernel(bone, roi, h, rep) -> dict:

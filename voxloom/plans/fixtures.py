@@ -88,5 +88,7 @@ def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wi
         found = table(spark, sf_dir, "part").filter(F.col("p_partkey") < 120).select(
             F.lit(0).alias("specimen"), F.col("p_partkey").alias("ball"), at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"), (5 + F.col("p_size") % 5).cast("int").alias("r")
         )
-    held = found.groupBy("specimen").agg(F.sort_array(F.collect_list(F.struct("ball", "cx", "cy", "cz", "r"))).alias("balls"))
+    # few bytes here become much work: without a number, adaptive execution would make one task of it
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = found.repartition(tasks, "specimen").groupBy("specimen").agg(F.sort_array(F.collect_list(F.struct("ball", "cx", "cy", "cz", "r"))).alias("balls"))
     return held.mapInArrow(run, "specimen int, width int, height int, depth int, h_um double, bone binary, roi binary")
