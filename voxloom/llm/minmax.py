@@ -284,3 +284,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+#: The same result by brute force over shared shingles.
+ORACLE_SQL = r"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM spots),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM size UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.doc_id WHERE ways.b > reach.root),
+root AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, documents.doc_id) AS component_id, coalesce(root, documents.doc_id) = documents.doc_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN root USING (doc_id)"""
