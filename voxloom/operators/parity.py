@@ -51,3 +51,37 @@ def run_summary(runs: DataFrame, by: list[str], value: str, ok: str = "ok") -> D
         F.count("*").alias("runs"), good.alias("ok"), F.avg(F.when(F.col(ok), F.col(value))).alias("mean"),
         F.when(good == F.count("*"), "PASS").when(good > 0, "PARTIAL").otherwise("FAIL").alias("status"),
     )
+
+
+# How result headers of other tools begin, and the name they stand for. A pattern
+# without an end matches any ending.
+HEADERS = (
+    (r"^BV/TV$", "BV/TV"),
+    (r"^BV($| |\()", "BV"),
+    (r"^TV($| |\()", "TV"),
+    (r"^Tb\.Th Mean", "Tb.Th Mean"),
+    (r"^Tb\.Th Std Dev", "Tb.Th Std Dev"),
+    (r"^Tb\.Th Max", "Tb.Th Max"),
+    (r"^Tb\.Sp Mean", "Tb.Sp Mean"),
+    (r"^Tb\.Sp Std Dev", "Tb.Sp Std Dev"),
+    (r"^Tb\.Sp Max", "Tb.Sp Max"),
+    (r"^Connectivity$", "Connectivity"),
+    (r"^(Conn\.D|(?i:connectivity density|conn\. density))", "Connectivity density"),
+    (r"^(\u0394\(\u03c7\)|(?i:corr\. euler|corrected euler|delta euler))", "Euler change/correction"),
+    (r"^(?i:euler ch)", "Euler characteristic"),
+)
+
+
+def header_name(header: Column) -> Column:
+    """Name of a result header; null for one that stands for nothing here. The first fit counts."""
+    out, h = F.lit(None).cast("string"), F.trim(header)
+    for pattern, name in reversed(HEADERS):
+        out = F.when(h.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def radii_check(fits: DataFrame) -> DataFrame:
+    """Anisotropy recomputed from the shortest and longest radius, beside the fit's own."""
+    again = 1.0 - (F.col("radius_a") / F.col("radius_c")) * (F.col("radius_a") / F.col("radius_c"))
+    known = F.col("radius_c") > 0
+    return fits.select("specimen", "da", F.when(known, again).alias("da_from_radii"), F.when(known, F.abs(F.col("da") - again)).alias("difference"))

@@ -307,6 +307,17 @@ _COUNTS = "d2 long, n long"
 _TH = {"mean": 3, "sd": 3, "max": 3}
 _Q = dict.fromkeys(("p10", "p25", "median", "p75", "p90"), 3)
 
+def radii_check(s: SparkSession, d: str) -> DataFrame:
+    return parity.radii_check(quadric_fit(s, d).filter("status = 'OK'"))
+
+
+def header_names(s: SparkSession, d: str) -> DataFrame:
+    """Headers of another tool's table under common names."""
+    heads = ("BV (mm)", "TV", "BV/TV", "Tb.Th Mean (mm)", "Conn.D (mm)", "Corr. Euler", "Euler char.", "other")
+    names = F.array(*[F.lit(f" {h} ") for h in heads])
+    return X.table(s, d, "supplier").select("s_suppkey", parity.header_name(names[(F.col("s_suppkey") % len(heads)).cast("int")]).alias("name"))
+
+
 QUERIES: dict[str, Query] = {
     "bv_tv": bv_tv,
     "phase_inside": phase_inside,
@@ -393,6 +404,8 @@ QUERIES: dict[str, Query] = {
     "input_qc": input_qc,
     "tiff_roundtrip": tiff_roundtrip,
     "parity_report": parity_report,
+    "radii_check": radii_check,
+    "header_names": header_names,
     **{f"schema_{mode}": (lambda s, d, mode=mode: report.analyse(X.volumes(s, d), mode)) for mode in ("bonej", "classic", "refined", "experimental")},
     "schema_standard": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", da_directions=24, da_lines=16, da_repetitions=2)),
     "families_core": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", preset="core", da_directions=24, da_lines=16, da_repetitions=2)),

@@ -166,6 +166,7 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
     "roi_match": "SELECT count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS matched, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS missing FROM supplier",
     "specimen_code": "SELECT s_suppkey, upper(s_name) AS code FROM supplier",
     "input_qc": _with(_BASE, select="SELECT s AS specimen, count(*) AS foreground, 13824 - count(*) AS background, true AS both_phases, CAST(NULL AS VARCHAR) AS warning FROM solid GROUP BY s"),
+    "header_names": "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'BV' WHEN 1 THEN 'TV' WHEN 2 THEN 'BV/TV' WHEN 3 THEN 'Tb.Th Mean' WHEN 4 THEN 'Connectivity density' WHEN 5 THEN 'Euler change/correction' WHEN 6 THEN 'Euler characteristic' END AS name FROM supplier",
     "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier WHERE s_suppkey < 1000) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
     "gaussian_smooth": _with(
         _BASE, _GRID.replace("LEFT JOIN bone ON bone.s", "LEFT JOIN solid bone ON bone.s"), _edt("bone"), _edt("NOT bone").replace("f0", "h0").replace("f1", "h1").replace("f2", "h2").replace("edt", "edu"),
