@@ -285,10 +285,11 @@ def learn(labelled: DataFrame, label_col: str = "label", text_col: str = "text")
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN) -> DataFrame:
     """At most ``most_toxic`` and ``most_clean`` labelled rows with their texts: (label, text).
 
-    The ids are chosen first, by a hash, so the sample is the same in every run; at most the sum
+    Of several labels of one id the largest counts. The ids are chosen first, by a hash, so the
+    sample is the same in every run; at most the sum
     of the two bounds is broadcast to the scan of the texts.
     """
-    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     pick = lambda label, n: known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, most_toxic).unionByName(pick(0, most_clean))
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
