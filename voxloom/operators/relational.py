@@ -14,6 +14,10 @@ OFFSETS6 = [o for o in product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
 OFFSETS26 = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
 
 
+# Joins of exploded sides ask for a merge join: the planner's size estimate does not count what an
+# explode multiplies, so it could broadcast a side that grows with the data.
+
+
 def offset_rows(offsets: list[tuple[int, int, int]]) -> Column:
     """The offsets as an array literal to explode: a constant, so no join and no shuffle."""
     return F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in offsets]))
@@ -25,7 +29,7 @@ def neighbour_pairs(a: DataFrame, b: DataFrame, offsets: list[tuple[int, int, in
     moved = a.select("specimen", "x", "y", "z", offset_rows(offsets).alias("o"))
     moved = moved.select("specimen", "x", "y", "z", "o.dx", "o.dy", "o.dz", *[(F.col(c) + F.col(f"o.d{c}")).alias(f"n{c}") for c in "xyz"])
     other = b.select("specimen", *[F.col(c).alias(f"n{c}") for c in "xyz"])
-    return moved.join(other, ["specimen", "nx", "ny", "nz"]).select("specimen", "x", "y", "z", "dx", "dy", "dz")
+    return moved.join(other.hint("merge"), ["specimen", "nx", "ny", "nz"]).select("specimen", "x", "y", "z", "dx", "dy", "dz")
 
 
 def degree26(voxels: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def window_moments(seeds: DataFrame, voxels: DataFrame, r: int) -> DataFrame:
     blocks = F.explode(F.array(*[F.struct(*[F.floor((F.col(f"s{c}") + s * r) / side).cast("int").alias(f"b{c}") for c, s in zip("xyz", o, strict=True)]) for o in product((-1, 1), repeat=3)]))
     at = seeds.select("specimen", "seed", "sx", "sy", "sz", blocks.alias("b")).select("specimen", "seed", "sx", "sy", "sz", "b.*").distinct()
     near = voxels.select("specimen", "x", "y", "z", *[F.floor(F.col(c) / side).cast("int").alias(f"b{c}") for c in "xyz"])
-    inside = at.join(near, ["specimen", "bx", "by", "bz"]).filter(" AND ".join(f"abs({c} - s{c}) <= {r}" for c in "xyz"))
+    inside = at.join(near.hint("merge"), ["specimen", "bx", "by", "bz"]).filter(" AND ".join(f"abs({c} - s{c}) <= {r}" for c in "xyz"))
     sums = {"n": F.count("*"), **{f"m{c}": F.sum(c) for c in "xyz"}, **{f"m{a}{b}": F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")}}
     return inside.groupBy("specimen", "seed").agg(*[v.cast("long").alias(k) for k, v in sums.items()])
 
@@ -64,7 +68,7 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     right = b.select("specimen", *[F.col(c).alias(f"{c}_b") for c in b.columns if c != "specimen"], *[v.alias(f"k{c}") for c, v in cell.items()], spread.alias("o"))
     right = right.select("*", *[(F.col(f"k{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"]).drop("o", "kx", "ky", "kz")
     d2 = sum((F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in "xyz")
-    return left.join(right, ["specimen", "cx", "cy", "cz"]).filter(d2 <= radius * radius).drop("cx", "cy", "cz")
+    return left.join(right.hint("merge"), ["specimen", "cx", "cy", "cz"]).filter(d2 <= radius * radius).drop("cx", "cy", "cz")
 
 
 def grid_representatives(points: DataFrame, cell_um: float, h_um: float) -> DataFrame:
