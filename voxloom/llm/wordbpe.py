@@ -13,7 +13,7 @@ import functools
 import re
 from array import array
 
-MEMO = 1_000_000
+MEMO = 690_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _UNSAFE = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017e]")
 _L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e"
