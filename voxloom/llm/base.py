@@ -50,17 +50,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+#: What workers keep between tasks, by name; workers are reused, so another operator's must go.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str | None = None) -> None:
+    """Drop what a reused worker holds of other operators."""
+    for name, clear in CACHES.items():
+        if name != keep:
+            clear()
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, keep: str | None = None) -> DataFrame:
     """Apply a generator over the rows of each partition, moved as Arrow batches.
 
     ``rows`` gets the iterator of value tuples of a partition and yields output tuples; memory
-    holds one input batch and one output chunk at a time.
+    holds one input batch and one output chunk at a time, and the cache named ``keep``.
     """
     names = [f.name for f in _struct(schema)]
     target = _arrow(schema)
     step = 2048
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
+
         def feed() -> Iterator[tuple]:
             for b in batches:
                 # short slices, so that Python objects of one slice only are alive

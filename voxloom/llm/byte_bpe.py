@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm.base import map_rows, table, texts
+from voxloom.llm.base import CACHES, map_rows, table, texts
 from voxloom.llm.wordbpe import Memo
 
 # The split pattern of the vocabulary in its parts, with white space spelled out
@@ -143,6 +143,9 @@ def load(path: str) -> ByteBpe:
         return ByteBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+CACHES["byte_bpe"] = load.cache_clear
+
+
 def encode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode texts: doc_id, ids (little-endian unsigned 32-bit integers as binary).
 
@@ -155,7 +158,7 @@ def encode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
         for doc_id, text in feed:
             yield doc_id, bpe.encode(text or "")
 
-    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, ids binary")
+    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, ids binary", keep="byte_bpe")
 
 
 def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -166,7 +169,7 @@ def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids
         for doc_id, ids in feed:
             yield doc_id, bpe.decode(ids or b"")
 
-    return map_rows(df.select(df[id_col].cast("long"), df[ids_col]), rows, "doc_id long, bytes binary")
+    return map_rows(df.select(df[id_col].cast("long"), df[ids_col]), rows, "doc_id long, bytes binary", keep="byte_bpe")
 
 
 def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +185,7 @@ def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
             ids = bpe.encode(text or "")
             yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
-    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep="byte_bpe")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

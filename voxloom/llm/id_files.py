@@ -238,7 +238,7 @@ def write_id_files(df: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
     fs, folder = pafs.FileSystem.from_uri(out_dir)
     fs.create_dir(folder, recursive=True)
     dealt = rows.withColumn("bucket", at).select("bucket", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
-    found = map_rows(dealt, write, "shard int, path string, n_docs long, n_ids long").collect()
+    found = map_rows(dealt, write, "shard int, path string, n_docs long, n_ids long", keep="wordbpe").collect()
     return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(found, key=lambda r: r["shard"])]
 
 

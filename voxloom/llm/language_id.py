@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import map_rows, small_batches, table, texts
+from voxloom.llm.base import map_rows, release, small_batches, table, texts
 
 ORDER = 3
 DIMENSIONS = 1024
@@ -175,6 +175,7 @@ def keep_identified(df: DataFrame, profiles: Profiles, least: float = 0.1, least
 
     @F.pandas_udf("boolean")
     def stays(text):
+        release()
         classify = held.value.classify
 
         def one(t: str | None) -> bool:

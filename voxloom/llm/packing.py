@@ -172,7 +172,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         yield from flush(True)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return map_rows(texts(df, id_col, text_col), rows, schema + (", ids binary" if with_ids else ""))
+    return map_rows(texts(df, id_col, text_col), rows, schema + (", ids binary" if with_ids else ""), keep="wordbpe")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

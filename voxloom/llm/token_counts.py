@@ -52,7 +52,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             n = len(bpe.library_ids(text)) if found is None else sum(map(count.__getitem__, found))
             yield doc_id, len(text.encode()), n, n > limit
 
-    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keep="wordbpe")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

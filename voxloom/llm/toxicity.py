@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import map_rows, small_batches, table, texts
+from voxloom.llm.base import map_rows, release, small_batches, table, texts
 from voxloom.llm.wordbpe import Memo
 
 #: Bounds of the labelled sample: rows of each label, taken in the order of a hash of the id.
@@ -323,6 +323,7 @@ def keep_clean(df: DataFrame, grammar: Grammar, text_col: str = "text", cutoff:
 
     @F.pandas_udf("double")
     def score(text):
+        release()
         g = held.value
         return text.map(g.score).astype("float64")
 

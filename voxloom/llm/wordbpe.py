@@ -13,6 +13,8 @@ import functools
 import re
 from array import array
 
+from voxloom.llm.base import CACHES
+
 MEMO = 690_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _UNSAFE = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017e]")
@@ -86,3 +88,6 @@ class WordBpe:
 def load(path: str) -> WordBpe:
     """One tokenizer for each Python worker and path."""
     return WordBpe(path)
+
+
+CACHES["wordbpe"] = load.cache_clear
