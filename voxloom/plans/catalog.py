@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions import intercepts, thinning
+from voxloom.functions import intercepts, shape, thinning
 from voxloom.operators import measures as M
 from voxloom.operators import parity
 from voxloom.operators import relational as R
@@ -262,7 +263,8 @@ def eigh3(s: SparkSession, d: str) -> DataFrame:
 
 
 def orientation_kde(s: SparkSession, d: str) -> DataFrame:
-    """Density of one specimen's axes on a grid of 5 degrees, both axes reflected at their ends."""
+    """Density of one specimen's axes on a grid of 5 degrees, both axes reflected at their ends: what
+    its SQL holds. ``orientation_density`` is the whole job."""
     theta, phi = R.axis_angles(*[F.col(f"u{c}") for c in "xyz"])
     at = _axes(s, d).filter("specimen = 0").select(theta.alias("t"), phi.alias("p"))
     bw = math.radians(4.5)
@@ -278,6 +280,23 @@ def orientation_kde(s: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.round(F.sum(a * b) / (2 * math.pi * bw * bw * F.count("*")), 6).alias("pdf"))
 
 
+def orientation_density(s: SparkSession, d: str) -> DataFrame:
+    """Density of every specimen's axes on the grid of 0.5 degrees (361 x 181): the axes of a specimen
+    meet in one row, and its grid is one product of two matrices."""
+    theta, phi = R.axis_angles(*[F.col(f"u{c}") for c in "xyz"])
+    tasks = int(s.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many rows, as in the volumes
+    held = _axes(s, d).select("specimen", F.struct("id", theta.alias("t"), phi.alias("p")).alias("a")).repartition(tasks, "specimen").groupBy("specimen").agg(F.sort_array(F.collect_list("a")).alias("axes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b.to_pylist():
+                pdf = shape.density(np.array([(a["t"], a["p"]) for a in v["axes"]]))
+                i, j = np.indices(pdf.shape, np.int32)
+                yield pa.RecordBatch.from_pydict({"specimen": np.full(pdf.size, v["specimen"], np.int32), "i": i.ravel(), "j": j.ravel(), "pdf": pdf.ravel()})
+
+    return held.mapInArrow(run, "specimen int, i int, j int, pdf double")
+
+
 def da_convergence(s: SparkSession, d: str) -> DataFrame:
     """Direction and line counts crossed, summarised over repetitions."""
     few = X.volumes(s, d).filter("specimen = 0")
@@ -382,6 +401,7 @@ QUERIES: dict[str, Query] = {
     "soi": _kernel(M.soi, M.SOI),
     "t50": _kernel(M.soi, M.SOI, "t50", "n_grid_representatives", on_error="omit"),
     "orientation_kde": orientation_kde,
+    "orientation_density": orientation_density,
     "canonical_axis": canonical_axis,
     "axis_angles": axis_angles,
     "axis_angle": axis_angle,
