@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from voxloom.functions import intercepts
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as X
 
@@ -19,3 +20,18 @@ def test_orientation_density(spark, sf_dir):
     edge = lambda k, n: np.where((k == 0) | (k == n), 0.5, 1.0)
     total = (df["pdf"] * edge(df["i"], 360) * edge(df["j"], 180)).groupby(df["specimen"]).sum() * np.radians(0.5) ** 2
     assert np.allclose(total, 1, atol=0.02)
+
+
+def test_sweep(spark, sf_dir):
+    df = catalog.QUERIES["da_convergence"](spark, sf_dir).toPandas()
+    specimens = {r[0] for r in X.balls(spark, sf_dir).select("specimen").distinct().collect()}
+    wanted = {(s, d, k) for s in specimens for d in (64, 128, 256, 512, 1024, 2048) for k in (8, 16, 32, 64, 128)}
+    assert {(r.specimen, r.directions, r.lines) for r in df.itertuples()} == wanted and (df["runs"] == 3).all()
+
+
+def test_kept_lines_change_nothing(monkeypatch):
+    bone = np.random.default_rng(0).random((20, 18, 18)) < 0.3
+    kept = [intercepts.cloud(bone & keep, (2, 2, 14), 7, 1, 20, 16) for keep in (True, bone[::-1])]
+    monkeypatch.setattr(intercepts, "KEPT_SAMPLES", 0)
+    for a, keep in zip(kept, (True, bone[::-1]), strict=True):
+        assert np.array_equal(a, intercepts.cloud(bone & keep, (2, 2, 14), 7, 1, 20, 16))

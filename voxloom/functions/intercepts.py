@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -70,17 +72,16 @@ def ray_box(point: np.ndarray, direction: np.ndarray, low: np.ndarray, high: np.
     return None if near > far or far < 0 else (near, far)
 
 
-def intercept_length(bone: np.ndarray, square: tuple[int, int, int], rotation: np.ndarray, rng: SplitMix64, lines: int = LINES, increment: float = INCREMENT) -> float | None:
-    """Line length for each phase change along parallel lines of one direction. Lines start from
-    strata of a plane as wide as the domain's diagonal, in shuffled cycles with one common offset,
-    until they are ``lines`` diagonals long in total; the last is cut."""
-    x0, y0, side = square
-    depth = bone.shape[0]
-    low, high = np.array([x0, y0, 0.0]), np.array([x0 + side, y0 + side, float(depth)])
-    diagonal = math.sqrt(2 * side * side + depth * depth)
+def _cycles(square: tuple[int, int, int], depth: int, rotation: np.ndarray, rng: SplitMix64, lines: int, increment: float) -> Iterator[tuple[np.ndarray, list[tuple[int, float, int]], float]]:
+    """Parallel lines of one direction: (points, used, total) of each cycle, with used lines as (point,
+    start, samples) and the length so far. Lines start from strata of a plane as wide as the
+    domain's diagonal, in shuffled cycles with one common offset, until they are ``lines`` diagonals
+    long in total; the last is cut. No draw depends on the bone."""
+    low, high = _box(square, depth)
+    diagonal = _diagonal(square, depth)
     centre, along = (low + high) / 2, rotation[:, 2]
     m = math.isqrt(lines)
-    target, total, changes = lines * diagonal, 0.0, 0
+    target, total = lines * diagonal, 0.0
     order = list(range(m * m))
     while target - total > 1e-12:
         for i in range(len(order) - 1, 0, -1):
@@ -105,7 +106,24 @@ def intercept_length(bone: np.ndarray, square: tuple[int, int, int], rotation: n
                 continue  # the draw is used up, no length is added
             used.append((k, start, n))
             total += b - a
-        changes += _phase_changes(bone, points, along, low, high, used, increment)
+        yield points, used, total
+
+
+def _box(square: tuple[int, int, int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    x0, y0, side = square
+    return np.array([x0, y0, 0.0]), np.array([x0 + side, y0 + side, float(depth)])
+
+
+def _diagonal(square: tuple[int, int, int], depth: int) -> float:
+    return math.sqrt(2 * square[2] * square[2] + depth * depth)
+
+
+def intercept_length(bone: np.ndarray, square: tuple[int, int, int], rotation: np.ndarray, rng: SplitMix64, lines: int = LINES, increment: float = INCREMENT) -> float | None:
+    """Line length for each phase change along the lines of one direction."""
+    low, high = _box(square, len(bone))
+    total, changes = 0.0, 0
+    for points, used, total in _cycles(square, len(bone), rotation, rng, lines, increment):
+        changes += _phase_changes(bone, points, rotation[:, 2], low, high, used, increment)
     return total / max(changes, 1) if total > 0 else None
 
 
@@ -122,24 +140,71 @@ def _chords(points: np.ndarray, along: np.ndarray, low: np.ndarray, high: np.nda
     return near, np.where(far < 0, -np.inf, far)
 
 
-def _phase_changes(bone, points, along, low, high, used, increment) -> int:
-    if not used:
-        return 0
+def _samples(points, along, low, high, used, increment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Voxels (x, y, z) of the lines' samples, which of them lie in the box, and each line's first."""
     line, start, n = (np.array(x) for x in zip(*used, strict=True))
     first = np.cumsum(n) - n
     step = np.arange(int(n.sum())) - np.repeat(first, n)
     p = np.floor(points[np.repeat(line, n)] + (np.repeat(start, n) + step * increment)[:, None] * along).astype(int)
-    ok = ((p >= low) & (p < high)).all(axis=1)
+    return p, ((p >= low) & (p < high)).all(axis=1), first
+
+
+def _phase_changes(bone, points, along, low, high, used, increment) -> int:
+    if not used:
+        return 0
+    p, ok, first = _samples(points, along, low, high, used, increment)
     q = np.where(ok[:, None], p, 0)
     on = ok & bone[q[:, 2], q[:, 1], q[:, 0]]
+    return int(np.count_nonzero(_changes(on, first)))
+
+
+def _changes(on: np.ndarray, first: np.ndarray) -> np.ndarray:
     before = np.empty_like(on)
     before[1:] = on[:-1]
     before[first] = False  # every line starts outside
-    return int(np.count_nonzero(on != before))
+    return on != before
+
+
+#: Samples of a repetition up to which its lines are kept for the next volume with the same domain.
+KEPT_SAMPLES, KEPT = 6_000_000, 6
+
+
+@functools.lru_cache(maxsize=KEPT)
+def _kept_lines(square: tuple[int, int, int], shape: tuple[int, int, int], seed: int, rep: int, directions: int, lines: int, increment: float) -> tuple[np.ndarray, ...]:
+    """All samples of a repetition: flat voxel of each (one past the last if outside), each line's
+    first, each direction's first, its axis and its length."""
+    rng = SplitMix64(repetition_seed(seed, rep))
+    low, high = _box(square, shape[0])
+    outside = int(np.prod(shape))
+    kind = np.uint16 if outside < 1 << 16 else np.int32
+    at, firsts, starts, axes, lengths, n = [], [], [], [], [], 0
+    for _ in range(directions):
+        rotation = random_rotation(rng)
+        total, start = 0.0, n
+        for points, used, total in _cycles(square, shape[0], rotation, rng, lines, increment):
+            if used:
+                p, ok, first = _samples(points, rotation[:, 2], low, high, used, increment)
+                at.append(np.where(ok, (p[:, 2] * shape[1] + p[:, 1]) * shape[2] + p[:, 0], outside).astype(kind))
+                firsts.append(first + n)
+                n += len(p)
+        if total > 0:
+            starts.append(start)
+            axes.append(rotation[:, 2])
+            lengths.append(total)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(at, kind), join(firsts, int), np.array(starts, int), np.array(axes).reshape(-1, 3), np.array(lengths)
 
 
 def cloud(bone: np.ndarray, square: tuple[int, int, int], seed: int, rep: int, directions: int = DIRECTIONS, lines: int = LINES, increment: float = INCREMENT) -> np.ndarray:
-    """Points direction * intercept length of one repetition, whose draws come from one stream."""
+    """Points direction * intercept length of one repetition, whose draws come from one stream.
+    Lines do not depend on the bone, so those of small volumes are drawn once for all volumes with
+    the same domain; the points are the same either way."""
+    if directions * lines * _diagonal(square, len(bone)) / increment <= KEPT_SAMPLES and bone.size < 1 << 31:
+        at, first, start, axes, length = _kept_lines(square, bone.shape, seed, rep, directions, lines, increment)
+        if not len(start):
+            return np.zeros((0, 3))
+        changes = np.add.reduceat(_changes(np.append(bone.ravel(), False)[at], first), start, dtype=int)
+        return axes * (length / np.maximum(changes, 1))[:, None]
     rng = SplitMix64(repetition_seed(seed, rep))
     out = []
     for _ in range(directions):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -237,6 +239,26 @@ def anisotropy_repetitions(volumes: DataFrame, directions: int = intercepts.DIRE
     return _with_rep(keyed, kernel)
 
 
+#: The reference's sweep.
+SWEEP_DIRECTIONS, SWEEP_LINES, SWEEP_REPETITIONS = (64, 128, 256, 512, 1024, 2048), (8, 16, 32, 64, 128), 3
+
+
+def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIRECTIONS, lines: tuple[int, ...] = SWEEP_LINES, repetitions: int = SWEEP_REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED) -> DataFrame:
+    """One quadric for each specimen, direction count, line count and repetition. All are dealt out
+    as rows; blocks of specimens stay together in a setting, as its lines are drawn once a task."""
+    settings = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("directions", "lines", "rep"), x, strict=True)]) for x in product(directions, lines, range(repetitions))]))
+    tasks = int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = volumes.withColumn("at", settings).select(*volumes.columns, "at.*", F.pmod(F.hash("specimen"), F.lit(max(1, tasks // 48))).alias("block"))
+    dealt = dealt.repartition(tasks, "directions", "lines", "rep", "block").sortWithinPartitions("directions", "lines", "rep").drop("block")
+
+    def kernel(bone, roi, h, rep, directions, lines) -> dict:
+        square = intercepts.domain(roi)
+        p = intercepts.cloud(voxels.phase(bone, roi, True), square, seed, rep, directions, lines, increment)
+        return intercepts.anisotropy(p) | {"side": square[2], "depth": bone.shape[0]}
+
+    return _with_rep(dealt.withColumn("specimen", F.struct("specimen", "rep", "directions", "lines")), kernel)
+
+
 def _with_rep(keyed: DataFrame, kernel) -> DataFrame:
     from collections.abc import Iterator
 
@@ -246,8 +268,8 @@ def _with_rep(keyed: DataFrame, kernel) -> DataFrame:
 
     from voxloom.operators.specimens import unpack
 
-    kind = keyed.schema["specimen"].dataType["specimen"].dataType.simpleString()
-    ddl = f"specimen {kind}, rep int, da double, angle_deg double, radius_a double, radius_b double, radius_c double, side int, depth int, status string, error string"
+    keys = keyed.schema["specimen"].dataType
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", da double, angle_deg double, radius_a double, radius_b double, radius_c double, side int, depth int, status string, error string"
     target = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +279,7 @@ def _with_rep(keyed: DataFrame, kernel) -> DataFrame:
                 key = v["specimen"]
                 try:
                     roi = unpack(v["roi"], at) if v["roi"] is not None else np.ones(at, bool)
-                    row = kernel(unpack(v["bone"], at), roi, v["h_um"], key["rep"]) | {"status": "OK", "error": None}
+                    row = kernel(unpack(v["bone"], at), roi, v["h_um"], **{k: x for k, x in key.items() if k != "specimen"}) | {"status": "OK", "error": None}
                 except MorphometryError as why:
                     row = {"status": "FAIL", "error": str(why)}
                 row |= key

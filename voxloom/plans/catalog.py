@@ -298,12 +298,8 @@ def orientation_density(s: SparkSession, d: str) -> DataFrame:
 
 
 def da_convergence(s: SparkSession, d: str) -> DataFrame:
-    """Direction and line counts crossed, summarised over repetitions."""
-    few = X.volumes(s, d).filter("specimen = 0")
-    parts = [M.anisotropy_repetitions(few, directions=n, lines=k, repetitions=3).withColumn("directions", F.lit(n)).withColumn("lines", F.lit(k)) for n in (16, 32, 64) for k in (4, 16)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """The reference's direction and line counts crossed, over all specimens, summarised over repetitions."""
+    every = M.anisotropy_sweep(X.volumes(s, d))
     return parity.run_summary(every.withColumn("ok", F.col("status") == "OK"), ["specimen", "directions", "lines"], "da")
 
 
