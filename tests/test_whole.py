@@ -35,3 +35,10 @@ def test_kept_lines_change_nothing(monkeypatch):
     monkeypatch.setattr(intercepts, "KEPT_SAMPLES", 0)
     for a, keep in zip(kept, (True, bone[::-1]), strict=True):
         assert np.array_equal(a, intercepts.cloud(bone & keep, (2, 2, 14), 7, 1, 20, 16))
+
+
+@pytest.mark.parametrize("name", ["w102", "curvature_stats"])
+def test_every_wide_specimen(spark, sf_dir, name):
+    parts = X.table(spark, sf_dir, "part").count()
+    df = catalog.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(df["specimen"]) == list(range(-(-parts // 120)))

@@ -234,7 +234,7 @@ def tiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 
 def wide(kernel, schema: str) -> Query:
-    """A measure that needs room: one specimen of 64 voxels a side."""
+    """A measure that needs room: specimens of 64 voxels a side, of 120 parts each."""
     return lambda s, d: M.run(X.volumes(s, d, 64, wide=True), kernel, schema)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxloom.operators.specimens import VOLUME_SCHEMA
 
 N, PARTS, H_UM = 24, 40, 25.0
+WIDE_PARTS = 120
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,8 @@ def region(n: int = N) -> np.ndarray:
 
 
 def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wide: bool = False) -> DataFrame:
-    """One row for each specimen in the operators' volume form. ``wide`` makes one larger specimen
-    of the first parts, for measures that need room around them."""
+    """One row for each specimen in the operators' volume form. ``wide`` makes larger
+    specimens of more parts, for measures that need room around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roi = region(n)
@@ -85,8 +86,8 @@ def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wi
     found = balls(spark, sf_dir)
     if wide:
         at = lambda m, a: ((F.col("p_partkey") * m + a) % n).cast("int")
-        found = table(spark, sf_dir, "part").filter(F.col("p_partkey") < 120).select(
-            F.lit(0).alias("specimen"), F.col("p_partkey").alias("ball"), at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"), (5 + F.col("p_size") % 5).cast("int").alias("r")
+        found = table(spark, sf_dir, "part").select(
+            F.floor(F.col("p_partkey") / float(WIDE_PARTS)).cast("int").alias("specimen"), F.col("p_partkey").alias("ball"), at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"), (5 + F.col("p_size") % 5).cast("int").alias("r")
         )
     # few bytes here become much work: without a number, adaptive execution would make one task of it
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
