@@ -42,3 +42,21 @@ def test_every_wide_specimen(spark, sf_dir, name):
     parts = X.table(spark, sf_dir, "part").count()
     df = catalog.QUERIES[name](spark, sf_dir).toPandas()
     assert sorted(df["specimen"]) == list(range(-(-parts // 120)))
+
+
+def test_default_counts(spark, sf_dir):
+    points = catalog.QUERIES["mil_points"](spark, sf_dir).toPandas()
+    assert (points.groupby(["specimen", "rep"]).size() == 1024).all() and set(points["rep"]) == set(range(5))
+    fits = catalog.QUERIES["quadric_fit"](spark, sf_dir).toPandas()
+    assert len(fits) == 5 * points["specimen"].nunique() and len(catalog.QUERIES["radii_check"](spark, sf_dir).toPandas()) == len(fits)
+    again = points[(points["specimen"] == 1) & (points["rep"] == 3)][["mx", "my", "mz"]].to_numpy()
+    fit = fits[(fits["specimen"] == 1) & (fits["rep"] == 3)].iloc[0]
+    assert fit["da"] == pytest.approx(intercepts.anisotropy(again)["da"], abs=1e-12)
+    da = fits.groupby("specimen")["da"].mean()
+    da_mean = catalog.QUERIES["degree_of_anisotropy"](spark, sf_dir).toPandas().set_index("specimen")
+    assert (da_mean["repetitions"] == 5).all() and np.allclose(da_mean["da_mean"].sort_index(), da, atol=1e-12)
+    column = "DA mean (native MIL candidate)"
+    for name in ("schema_standard", "families_core"):
+        df = catalog.QUERIES[name](spark, sf_dir).toPandas()
+        found = next(c for c in df.columns if c in (column, "da_mean", "paper_morphometry.DA_mean"))
+        assert np.allclose(np.sort(df[found].astype(float)), np.sort(da), atol=1e-9)

@@ -214,10 +214,11 @@ def soi(bone, roi, h) -> dict:
 DA = _d("da_mean da_sd da_cv da_min da_max angle_mean radius_a radius_b radius_c") + ", side int, depth int"
 
 
-def mil_points(rep: int, directions: int, lines: int, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED):
+def mil_points(directions: int = intercepts.DIRECTIONS, lines: int = intercepts.LINES, repetitions: int = intercepts.REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED):
     def kernel(bone, roi, h) -> list[dict]:
-        p = intercepts.cloud(voxels.phase(bone, roi, True), intercepts.domain(roi), seed, rep, directions, lines, increment)
-        return [{"rep": rep, "direction": i, "mx": x, "my": y, "mz": z} for i, (x, y, z) in enumerate(p.tolist())]
+        inside, square = voxels.phase(bone, roi, True), intercepts.domain(roi)
+        clouds = [intercepts.cloud(inside, square, seed, rep, directions, lines, increment) for rep in range(repetitions)]
+        return [{"rep": rep, "direction": i, "mx": x, "my": y, "mz": z} for rep, p in enumerate(clouds) for i, (x, y, z) in enumerate(p.tolist())]
 
     return kernel
 

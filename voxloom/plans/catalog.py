@@ -239,11 +239,11 @@ def wide(kernel, schema: str) -> Query:
 
 
 def degree_of_anisotropy(s: SparkSession, d: str) -> DataFrame:
-    return M.anisotropy(X.volumes(s, d), directions=32, lines=16, repetitions=3)
+    return M.anisotropy(X.volumes(s, d))
 
 
 def quadric_fit(s: SparkSession, d: str) -> DataFrame:
-    return M.anisotropy_repetitions(X.volumes(s, d), directions=64, lines=16, repetitions=1)
+    return M.anisotropy_repetitions(X.volumes(s, d))
 
 
 def eigh3(s: SparkSession, d: str) -> DataFrame:
@@ -406,7 +406,7 @@ QUERIES: dict[str, Query] = {
     "da_domain": da_domain,
     "splitmix64": splitmix64,
     "ray_box": ray_box,
-    "mil_points": _kernel(M.mil_points(0, 16, 16), "rep int, direction int, mx double, my double, mz double"),
+    "mil_points": _kernel(M.mil_points(), "rep int, direction int, mx double, my double, mz double"),
     "quadric_fit": quadric_fit,
     "eigh3": eigh3,
     "degree_of_anisotropy": degree_of_anisotropy,
@@ -423,7 +423,7 @@ QUERIES: dict[str, Query] = {
     "radii_check": radii_check,
     "header_names": header_names,
     **{f"schema_{mode}": (lambda s, d, mode=mode: report.analyse(X.volumes(s, d), mode)) for mode in ("bonej", "classic", "refined", "experimental")},
-    "schema_standard": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", da_directions=24, da_lines=16, da_repetitions=2)),
-    "families_core": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", preset="core", da_directions=24, da_lines=16, da_repetitions=2)),
+    "schema_standard": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-")),
+    "families_core": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", preset="core")),
     "descriptor_catalog": lambda s, d: report.catalogue(s),
 }
