@@ -60,3 +60,10 @@ def test_default_counts(spark, sf_dir):
         df = catalog.QUERIES[name](spark, sf_dir).toPandas()
         found = next(c for c in df.columns if c in (column, "da_mean", "paper_morphometry.DA_mean"))
         assert np.allclose(np.sort(df[found].astype(float)), np.sort(da), atol=1e-9)
+
+
+def test_parity_of_many_suppliers(spark, tmp_path):
+    keys = range(2345)
+    spark.createDataFrame([(k, k / 7) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = catalog.QUERIES["parity_report"](spark, str(tmp_path)).collect()
+    assert sorted((r["code"], r["pass"]) for r in rows) == sorted((f"QC{k % 1000:03d}", k % 10 != 0) for k in keys)

@@ -20,15 +20,15 @@ def close(a: Column, b: Column, abs_: float = ABS, rel: float = REL) -> Column:
     return (F.isnan(a) & F.isnan(b)) | F.coalesce(F.abs(a - b) <= F.greatest(F.lit(abs_), rel * F.greatest(F.abs(a), F.abs(b))), F.lit(False))
 
 
-def compare(ours: DataFrame, theirs: DataFrame, columns: list[str], abs_: float = ABS, rel: float = REL) -> DataFrame:
+def compare(ours: DataFrame, theirs: DataFrame, columns: list[str], abs_: float = ABS, rel: float = REL, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each code of either side: pass, and the columns that differ. Codes that one side
-    lacks fail."""
-    a = ours.select(code(F.col("filename")).alias("code"), *[F.col(c).alias(f"a_{c}") for c in columns]).filter("code IS NOT NULL")
-    b = theirs.select(code(F.col("filename")).alias("code"), *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("there")).filter("code IS NOT NULL")
-    joined = a.withColumn("here", F.lit(True)).join(b, "code", "full")
+    lacks fail. Where codes are used again, ``by`` names columns of both sides that tell the uses apart."""
+    a = ours.select(*by, code(F.col("filename")).alias("code"), *[F.col(c).alias(f"a_{c}") for c in columns]).filter("code IS NOT NULL")
+    b = theirs.select(*by, code(F.col("filename")).alias("code"), *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("there")).filter("code IS NOT NULL")
+    joined = a.withColumn("here", F.lit(True)).join(b, [*by, "code"], "full")
     odd = F.array_compact(F.array(*[F.when(~close(F.col(f"a_{c}"), F.col(f"b_{c}"), abs_, rel), F.lit(c)) for c in columns]))
     both = F.col("here") & F.col("there")
-    return joined.select("code", F.coalesce(both & (F.size(odd) == 0), F.lit(False)).alias("pass"), F.when(F.coalesce(both, F.lit(False)), odd).alias("differ"), F.when(F.col("here").isNull(), "ours").when(F.col("there").isNull(), "theirs").alias("missing"))
+    return joined.select(*by, "code", F.coalesce(both & (F.size(odd) == 0), F.lit(False)).alias("pass"), F.when(F.coalesce(both, F.lit(False)), odd).alias("differ"), F.when(F.col("here").isNull(), "ours").when(F.col("there").isNull(), "theirs").alias("missing"))
 
 
 def families(ours: DataFrame, theirs: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
