@@ -325,3 +325,9 @@ def test_extra_columns_stay(spark):
     assert pseudonyms.pseudonymize(df.limit(0), "k").count() == 0
 
 
+
+
+def test_access_key_of_letters(spark):
+    key = "AKIA" + "QWERTZUIOPASDFGH"
+    (alone, beside), kinds = pseudonym(spark, [f"use {key} here", f"use {key} here, 7 times"])
+    assert key not in alone and beside == alone + ", 7 times"

@@ -48,7 +48,7 @@ PATTERNS = {
 #: Kinds of equal reach are told apart by which pattern matches the whole value, in this order.
 _ORDER = ("email", "secret", "access_key", "ipv4", "iban", "date", "ssn", "card", "phone")
 ANY = "|".join(PATTERNS[k].replace(r"\1", "(?:[./])").replace("([./])", "[./]") for k in _ORDER)
-_HINT = "[0-9@]|[=:]"
+_HINT = "[0-9@]|[=:]|AKIA"
 
 
 def _let(value: Column, f) -> Column:
