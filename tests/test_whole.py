@@ -67,3 +67,13 @@ def test_parity_of_many_suppliers(spark, tmp_path):
     spark.createDataFrame([(k, k / 7) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     rows = catalog.QUERIES["parity_report"](spark, str(tmp_path)).collect()
     assert sorted((r["code"], r["pass"]) for r in rows) == sorted((f"QC{k % 1000:03d}", k % 10 != 0) for k in keys)
+
+
+def test_window_points(spark, sf_dir):
+    got = catalog.QUERIES["window_points"](spark, sf_dir).toPandas()
+    seeds = X.balls(spark, sf_dir).toPandas().set_index("ball")
+    at = got.join(seeds, on="seed", rsuffix="_seed")
+    assert (at["specimen"] == at["specimen_seed"]).all() and all(((at[c] - at["c" + c]).abs() <= 4).all() for c in "xyz")
+    assert not got.duplicated().any()
+    n = {r["seed"]: r["n"] for r in catalog.QUERIES["window_moments"](spark, sf_dir).collect()}
+    assert got.groupby("seed").size().to_dict() == n

@@ -69,9 +69,16 @@ def euler_lut(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(thinning.euler_table(), "config int, contribution int")
 
 
+def _seeds(s: SparkSession, d: str) -> DataFrame:
+    return X.balls(s, d).select("specimen", F.col("ball").alias("seed"), F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("cz").alias("sz"))
+
+
+def window_points(s: SparkSession, d: str) -> DataFrame:
+    return R.window_points(_seeds(s, d), X.bone_voxels(s, d), 4)
+
+
 def window_moments(s: SparkSession, d: str) -> DataFrame:
-    seeds = X.balls(s, d).select("specimen", F.col("ball").alias("seed"), F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("cz").alias("sz"))
-    return R.window_moments(seeds, X.bone_voxels(s, d), 4)
+    return R.window_moments(_seeds(s, d), X.bone_voxels(s, d), 4)
 
 
 def grid_representatives(s: SparkSession, d: str) -> DataFrame:
@@ -390,6 +397,7 @@ QUERIES: dict[str, Query] = {
     "weighted_quantile": weighted_quantile,
     "rep_summary": rep_summary,
     "convergence_summary": convergence_summary,
+    "window_points": window_points,
     "window_moments": window_moments,
     "ef_stats": _kernel(M.ef(), M.EF),
     "plate_rod": _kernel(M.plate_rod(), M.PLATE_ROD),
