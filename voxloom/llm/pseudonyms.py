@@ -16,11 +16,15 @@ domain for any sizes, so no domain needs cycle walking:
     IPv4            2**16 x 2**16
     other strings   character shifts within each character's class, side by side
 
-The round function is SHA-256 over the key, the kind, the round and the other side.
+The round function is SHA-256 over the key, the kind, the round and the other side. Strings cost
+time in proportion to their length: the other side is hashed once a round, and the shifts come from
+hashes of that digest. Repeated groups of the patterns are bounded or possessive, so that the JVM's
+matcher neither recurses nor backtracks over a long text.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,26 +33,29 @@ from pyspark.sql import functions as F
 from voxloom.llm.base import table
 
 ROUNDS = 8
-#: Key of the registered query; a deployment passes its own secret.
-DEMO_KEY = "demonstration-key"
+#: Setting of the session that holds the key. Its name falls under Spark's redaction of secrets.
+KEY_SETTING = "spark.voxloom.pseudonym.secret"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = {
-    "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]*@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+",
+    "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z][0-9A-Za-z._%+-]*+@[0-9A-Za-z-]++(?:\.[0-9A-Za-z-]++)++",
     "secret": r"(?i:(?<![0-9A-Za-z])(?:token|password|passwd|secret|api[_-]?key)) ?[=:] ?\"?[0-9A-Za-z+/_-]{8,}" + _END,
     "access_key": _FREE + r"AKIA[0-9A-Z]{16}" + _END,
     "ipv4": r"(?<![0-9A-Za-z.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9A-Za-z]|\.[0-9])",
     "iban": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END,
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|(?<![0-9])[0-9]{3}(?=[ .-]))[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+    # national numbers of three, three and four digits, or a plus sign and 8 to 15 digits in any groups
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|(?<![0-9])[0-9]{3}(?=[ .-]))[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14})(?![0-9A-Za-z]|[.-][0-9])",
     "card": _FREE + r"(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
 }
 #: Kinds of equal reach are told apart by which pattern matches the whole value, in this order.
 _ORDER = ("email", "secret", "access_key", "ipv4", "iban", "date", "ssn", "card", "phone")
 ANY = "|".join(PATTERNS[k].replace(r"\1", "(?:[./])").replace("([./])", "[./]") for k in _ORDER)
 _HINT = "[0-9@]|[=:]|AKIA"
+#: Calling codes of two digits; 1 and 7 have one digit, all others three. Fixed values of the numbering plan.
+CODES2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 
 
 def _let(value: Column, f) -> Column:
@@ -94,16 +101,20 @@ def permute_text(text: Column, key: str, kind: str, alphabets: tuple[str, ...],
     that hash the other half; others stay."""
 
     def shifted(half: Column, other: Column, i: Column) -> Column:
-        def at(c: Column, k: Column) -> Column:
-            # two hash digits for each character, from a hash for each run of 32
-            step = F.conv(F.substr(_hash(key, kind, i, F.floor(k / 32), other), 2 * (k % 32) + 1, F.lit(2)), 16, 10).cast("int")
-            out = c
-            for letters in reversed(alphabets):
-                p = F.instr(F.lit(letters), c)
-                out = F.when((p > 0) & (c != ""), F.substr(F.lit(letters), (p - 1 + step) % len(letters) + 1, F.lit(1))).otherwise(out)
-            return out
+        def with_steps(steps: Column) -> Column:
+            def at(c: Column, k: Column) -> Column:
+                # two hash digits for each character, from a hash for each run of 32
+                step = F.conv(F.substr(F.try_element_at(steps, F.floor(k / 32).cast("int") + 1), 2 * (k % 32) + 1, F.lit(2)), 16, 10).cast("int")
+                out = c
+                for letters in reversed(alphabets):
+                    p = F.instr(F.lit(letters), c)
+                    out = F.when((p > 0) & (c != ""), F.substr(F.lit(letters), (p - 1 + step) % len(letters) + 1, F.lit(1))).otherwise(out)
+                return out
 
-        return F.concat_ws("", F.transform(F.split(half, ""), at))
+            return F.concat_ws("", F.transform(F.split(half, ""), at))
+
+        runs = F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int"))
+        return _let(_hash(key, kind, i, other), lambda told: _let(F.transform(runs, lambda run: _hash(key, kind, run, told)), with_steps))
 
     def turn(s: Column, i: Column) -> Column:
         return F.struct(
@@ -206,7 +217,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """National numbers of ten digits; what stands before them, as a country code, stays."""
+    """National numbers of ten digits; what stands before them, as a country code, stays. Behind a
+    plus sign and another calling code than 1, the national digits are permuted among those of
+    their length."""
+
+    def abroad(d: Column) -> Column:
+        two = F.substr(d, F.lit(1), F.lit(2))
+        size = F.when(F.substr(d, F.lit(1), F.lit(1)).isin("1", "7"), 1).when(F.instr(F.lit(f" {CODES2} "), F.concat(F.lit(" "), two, F.lit(" "))) > 0, 2).otherwise(3)
+        code = F.substr(d, F.lit(1), size)
+        return F.concat(code, permute_digits(F.substr(d, size + 1), key, "phone_abroad"))
 
     def made(d: Column) -> Column:
         n = F.length(d)
@@ -217,7 +236,8 @@ def _phone(m: Column, key: str) -> Column:
         low = F.concat(F.substr(national, F.lit(1), F.lit(1)), permute_digits(F.substr(national, F.lit(2)), key, "phone_low"))
         return F.concat(code, F.when(F.substr(national, F.lit(1), F.lit(1)) >= "2", joined).otherwise(F.coalesce(low, plain)))
 
-    return _let(_digits(m), lambda d: F.when(F.length(d) >= 10, _laid_out(m, made(d))))
+    national = ~m.startswith("+") | m.rlike(r"^\+1[^0-9]*+(?:[0-9][^0-9]*+){10}$") | m.rlike(r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}$")
+    return _let(_digits(m), lambda d: F.when(national & (F.length(d) >= 10), _laid_out(m, made(d))).when(~national, _laid_out(m, abroad(d))))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -270,6 +290,14 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(local, key, "email", (_LOWER, _UPPER, _TEN)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def _email_and_domain(m: Column, key: str) -> Column:
+    """The local part and the domain are permuted on their own, so that addresses of one domain
+    stay linked; the domain's last label stays."""
+    domain, last = F.substring_index(m, "@", -1), F.substring_index(m, ".", -1)
+    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+    return F.concat(F.substring_index(_email(m, key), "@", 1), F.lit("@"), permute_text(host, key, "domain", (_LOWER, _UPPER, _TEN)), F.lit("."), last)
+
+
 def _secret(m: Column, key: str) -> Column:
     value = F.regexp_extract(m, r"[0-9A-Za-z+/_-]+$", 0)
     before = F.substr(m, F.lit(1), F.length(m) - F.length(value))
@@ -289,13 +317,14 @@ def _kind(m: Column) -> Column:
     return reduce(lambda rest, kt: F.when(kt[1], F.lit(kt[0])).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
-def pseudonymized(text: Column, key: str) -> Column:
+def pseudonymized(text: Column, key: str, domains: bool = False) -> Column:
     """struct(text, kinds): the text with pseudonyms, and the kind of each replaced value in
-    order. Null for a null text."""
+    order; ``domains`` includes the domains of e-mail addresses. Null for a null text."""
+    makers = _MAKERS | ({"email": _email_and_domain} if domains else {})
 
     def one(m: Column) -> Column:
         def as_kind(k: Column) -> Column:
-            made = reduce(lambda rest, name: F.when(k == name, _MAKERS[name](m, key)).otherwise(rest), reversed(_ORDER), F.lit(None).cast("string"))
+            made = reduce(lambda rest, name: F.when(k == name, makers[name](m, key)).otherwise(rest), reversed(_ORDER), F.lit(None).cast("string"))
             return _let(made, lambda v: F.struct(F.coalesce(v, m).alias("value"), F.when(v.isNotNull(), k).alias("kind")))
 
         return _let(_kind(m), as_kind)
@@ -311,20 +340,34 @@ def pseudonymized(text: Column, key: str) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(~text.rlike(_HINT), nothing).otherwise(_let(found, spliced))
 
 
-def pseudonymize(df: DataFrame, key: str, text_col: str = "text", out_col: str = "text", kinds_col: str | None = None) -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, text_col: str = "text", out_col: str = "text", kinds_col: str | None = None, domains: bool = False) -> DataFrame:
     """``df`` with the texts pseudonymised in ``out_col`` and, with ``kinds_col``, the kinds of
-    the replaced values.
+    the replaced values. ``domains`` includes the domains of e-mail addresses.
 
     A projection: no shuffle, no Python. Null texts stay null and empty ones empty; values that fail
-    validation stay; all other columns and rows are as they were.
+    validation stay; all other columns and rows are as they were, whatever their names; an
+    existing column named ``out_col`` or ``kinds_col`` is replaced.
     """
-    rows = df.withColumn("__pseudonyms", pseudonymized(F.col(f"`{text_col}`").cast("string"), key))
-    out = rows.withColumn(out_col, F.col("__pseudonyms.text"))
+    held = "pseudonyms"
+    while held in {c.lower() for c in df.columns}:
+        held += "_"
+    rows = df.withColumn(held, pseudonymized(F.col(f"`{text_col}`").cast("string"), key, domains))
+    out = rows.withColumn(out_col, F.col(held)["text"])
     if kinds_col:
-        out = out.withColumn(kinds_col, F.coalesce("__pseudonyms.kinds", F.array().cast("array<string>")))
-    return out.drop("__pseudonyms")
+        out = out.withColumn(kinds_col, F.coalesce(F.col(held)["kinds"], F.array().cast("array<string>")))
+    return out.drop(held)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of ``spark.voxloom.pseudonym.secret``. Where it is unset, a random one is set for this
+    session: values are then linked within the session and nobody can invert them later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, DEMO_KEY, kinds_col="kinds").withColumn("n_replaced", F.size("kinds").cast("long"))
+    return pseudonymize(docs, session_key(spark), kinds_col="kinds", domains=True).withColumn("n_replaced", F.size("kinds").cast("long"))
