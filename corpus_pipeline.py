@@ -35,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by pseudonyms of the same format."""
-    out = pseudonyms.pseudonymize(docs, pseudonyms.DEMO_KEY)
+    """Replace personal data by pseudonyms of the same format, under the session's secret."""
+    out = pseudonyms.pseudonymize(docs, pseudonyms.session_key(spark), domains=True)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
