@@ -1,7 +1,7 @@
 """AVI motion-JPEG: container, intra frames and shots.
 
-``decode_avi`` reads a RIFF AVI file by its index, decodes each motion-JPEG frame (baseline DCT
-or lossless process, ITU T.81) and ``shots`` cuts the frames where the difference of neighbouring
+``Avi`` reads a RIFF AVI file by its index, ``pictures`` decodes a stream's motion-JPEG frames
+(baseline DCT or lossless process, ITU T.81) one after another and ``shots`` cuts the frames where the difference of neighbouring
 luma histograms exceeds a threshold that adapts to the differences before it. ``clips`` yields one
 timed row for each shot of each media value of a table.
 
@@ -13,9 +13,11 @@ in the table it reads; any other table is decoded symbol by symbol.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,94 +120,113 @@ def encode_avi(payload: bytes, width: int = WIDTH, height: int = HEIGHT, fps: in
 
 # --- reading -------------------------------------------------------------------------------------
 
+#: A frame with more samples than this is not decoded.
+MOST_PIXELS = 1 << 25
+#: Frames of the uniform kind that are decoded together.
+TOGETHER = 512
+
 
 class Avi:
-    """Parsed container: fps, frames' (offset, length) from the index, or from the chunks where
-    there is none, and the payload length where the comment names one."""
+    """Parsed container: the video streams' frames as (offset, length), from the index, or from the
+    chunks where there is none or the file goes on beyond its first part; each stream's frames a
+    second; and the payload length where the comment names one. Lists are entered in one pass over
+    the chunks, so neither nesting nor size costs more than the file's length."""
 
     def __init__(self, data: bytes):
         if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
             raise ValueError("not an AVI file")
-        self.data, self.fps, self.payload = data, float(FPS), None
-        self.frames: list[tuple[int, int]] = []
-        self._movi, self._chunks, self._index = 0, [], b""
-        self._walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
-        if self._index:
-            entries = list(struct.iter_unpack("<4sIII", self._index[: len(self._index) // 16 * 16]))
-            # offsets count from the movi list's name, in some files from the file's start
-            base = self._movi if entries and data[self._movi + entries[0][2] : self._movi + entries[0][2] + 4] == entries[0][0] else 0
-            self.frames = [(base + at + 8, size) for name, _, at, size in entries if name[2:] in (b"dc", b"db")]
-        else:
-            self.frames = self._chunks
-
-    def _walk(self, at: int, end: int) -> None:
-        data = self.data
-        while at + 8 <= end:
+        self.data, self.payload = data, None
+        self.streams: dict[int, list[tuple[int, int]]] = {}
+        rates: list[float | None] = []
+        default, movi, index, more, chunks, at = float(FPS), 0, b"", False, [], 12
+        while at + 8 <= len(data):
             name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body, stop = at + 8, min(end, at + 8 + size)
-            if name == b"LIST":
-                if data[body : body + 4] == b"movi":
-                    self._movi = body
-                self._walk(body + 4, stop)
-            elif name == b"avih" and size >= 4:
-                self.fps = 1e6 / max(1, struct.unpack_from("<I", data, body)[0])
+            body, stop = at + 8, min(len(data), at + 8 + size)
+            if name in (b"LIST", b"RIFF"):
+                movi = movi or (body if data[body : body + 4] == b"movi" else 0)
+                more |= name == b"RIFF"
+                at = body + 4
+                continue
+            if name == b"avih" and size >= 4:
+                default = 1e6 / max(1, struct.unpack_from("<I", data, body)[0])
+            elif name == b"strh" and stop - body >= 28:
+                scale, rate = struct.unpack_from("<II", data, body + 20)
+                rates.append(rate / scale if data[body : body + 4] == b"vids" and rate and scale else None)
             elif name == b"ICMT" and data[body:stop].startswith(b"payload="):
                 self.payload = int(data[body + 8 : stop].rstrip(b"\0"))
             elif name == b"idx1":
-                self._index = data[body:stop]
-            elif name[2:] in (b"dc", b"db"):
-                self._chunks.append((body, stop - body))
+                index = data[body:stop]
+            elif name[2:] in (b"dc", b"db") and name[:2].isdigit():
+                chunks.append((int(name[:2]), body, stop - body))
             at = body + size + size % 2
+        if index and not more:
+            entries = list(struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]))
+            # offsets count from the movi list's name, in some files from the file's start
+            base = movi if entries and data[movi + entries[0][2] : movi + entries[0][2] + 4] == entries[0][0] else 0
+            chunks = [(int(name[:2]), base + at + 8, size) for name, _, at, size in entries if name[2:] in (b"dc", b"db") and name[:2].isdigit()]
+        for stream, at, size in chunks:
+            self.streams.setdefault(stream, []).append((at, size))
+        self._rates = {k: r for k, r in enumerate(rates) if r}
+        self._default = default
 
+    def fps(self, stream: int) -> float:
+        return self._rates.get(stream, self._default)
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
-
-    def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
-            return (self.value << -self.left) & ((1 << n) - 1)
-        return self.value >> self.left & ((1 << n) - 1)
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in codes:
-                return codes[n, code]
-        raise ValueError("no such code")
-
-    def signed(self, s: int) -> int:
-        if not s:
-            return 0
-        v = self.take(s)
-        return v if v >> (s - 1) else v - (1 << s) + 1
-
-
-def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    code, at, out = 0, 0, {}
+    @property
+    def frames(self) -> list[tuple[int, int]]:
+        """Frames of the first stream."""
+        return self.streams.get(0, [])
+
+
+@functools.lru_cache(maxsize=16)
+def _lookup(counts: bytes, symbols: bytes) -> array:
+    """For each 16 bits that may come next: length * 256 + symbol of the code they begin with, 0
+    where they begin with none."""
+    out, at, code = np.zeros(1 << 16, np.uint16), 0, 0
     for n in range(1, 17):
         for _ in range(counts[n - 1]):
-            out[n, code] = symbols[at]
+            if code >> n:
+                raise ValueError("more codes than bits")
+            out[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
-    return out
+    return array("H", out.tobytes())
+
 
+def _standard(counts: str, first: str) -> tuple[bytes, bytes]:
+    """A table of run and size symbols: the named ones first, then all others in ascending order."""
+    named = list(bytes.fromhex(first))
+    return bytes.fromhex(counts), bytes(named + [r << 4 | s for r in range(16) for s in range(1, 11) if r << 4 | s not in named])
 
-_UNIFORM = _huffman(bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1)))
+
+# The typical Huffman tables of ITU T.81, K.3, which motion-JPEG frames leave out.
+STANDARD = {
+    (0, 0): (bytes.fromhex("00010501010101010100000000000000"), bytes(range(12))),
+    (0, 1): (bytes.fromhex("00030101010101010101010000000000"), bytes(range(12))),
+    (1, 0): _standard("0002010303020403050504040000017d", "010203000411051221314106135161072271143281 91a1082342b1c11552d1f02433627282090a"),
+    (1, 1): _standard("00020102040403040705040400010277", "0001020311040521310612415107617113223281 08144291a1b1c109233352f0156272d10a162434e125f1"),
+}
+_UNIFORM = bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1))
 _BASIS = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
+def _windows(data: bytes) -> array:
+    """The 32 bits that begin at each byte; zeros follow the end."""
+    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+    n = len(data) + 4
+    return array("I", (raw[:n] << 24 | raw[1 : n + 1] << 16 | raw[2 : n + 2] << 8 | raw[3 : n + 3]).tobytes())
+
+
 class Jpeg:
     """Headers of one frame and where its entropy-coded data stand."""
 
     def __init__(self, data: bytes):
-        self.tables: dict[tuple[int, int], dict] = {}
+        self.tables: dict[tuple[int, int], tuple[bytes, bytes]] = {}
         self.quant: dict[int, np.ndarray] = {}
-        self.restart = 0
+        self.restart, self.parts, self.scan = 0, [], {}
+        self.lossless = False
         at = 2
-        while True:
+        while not self.scan:
             if data[at] != 0xFF:
                 raise ValueError("marker expected")
             marker = data[at + 1]
@@ -213,6 +234,8 @@ class Jpeg:
                 at += 1
                 continue
             size = data[at + 2] << 8 | data[at + 3]
+            if size < 2:
+                raise ValueError("segment without length")
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
             if marker == 0xC4:
@@ -220,7 +243,9 @@ class Jpeg:
                 while k < len(body):
                     counts = body[k + 1 : k + 17]
                     n = sum(counts)
-                    self.tables[body[k] >> 4, body[k] & 15] = _huffman(counts, body[k + 17 : k + 17 + n])
+                    if len(counts) < 16 or k + 17 + n > len(body):
+                        raise ValueError("short table")
+                    self.tables[body[k] >> 4, body[k] & 15] = counts, body[k + 17 : k + 17 + n]
                     k += 17 + n
             elif marker == 0xDB:
                 k = 0
@@ -238,14 +263,27 @@ class Jpeg:
                 self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
             elif marker == 0xDA:
                 self.scan = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-                self.predictor = body[1 + 2 * body[0]]
-                break
+                self.predictor, self.shift = body[1 + 2 * body[0]], body[3 + 2 * body[0]] & 15
+                if not self.scan:
+                    raise ValueError("empty scan")
+        if not self.parts or not self.height or not self.width or self.height * self.width > MOST_PIXELS:
+            raise ValueError("no frame header, or no size that is decoded")
+        if any(not 1 <= f <= 4 for _, h, v, _ in self.parts for f in (h, v)):
+            raise ValueError("sampling factors are 1 to 4")
         end = data.rfind(b"\xff\xd9")
-        self.entropy = data[at : end if end > 0 else len(data)]
+        self.entropy = data[at : end if end > at else len(data)]
+        # a sample costs a bit at least, a block two
+        least = self.height * self.width if self.lossless else -(-self.height // 32) * -(-self.width // 32) * 2
+        if 8 * len(self.entropy) < least:
+            raise ValueError("frame is cut short")
 
     @property
     def uniform(self) -> bool:
-        return self.lossless and len(self.parts) == 1 and self.predictor == 1 and not self.restart and self.tables.get((0, 0)) == _UNIFORM and self.width % 8 == 0
+        return self.lossless and len(self.parts) == 1 and self.predictor == 1 and not self.shift and not self.restart and self.tables.get((0, 0)) == _UNIFORM and self.width % 8 == 0
+
+    def codes(self, kind: int, number: int) -> array:
+        """Lookup of a frame's own table, or of the standard one where it has none."""
+        return _lookup(*(self.tables.get((kind, number)) or STANDARD[kind, number]))
 
     def segments(self) -> list[bytes]:
         """Entropy-coded bytes between restart markers, without stuffing."""
@@ -261,109 +299,179 @@ class Jpeg:
         return self._lossless() if self.lossless else self._baseline()
 
     def _lossless(self) -> np.ndarray:
-        if len(self.parts) != 1:
-            raise ValueError("lossless frames have one component here")
+        if len(self.parts) != 1 or not 1 <= self.predictor <= 7 or self.shift:
+            raise ValueError("lossless frames have one component, a predictor and whole samples here")
         h, w = self.height, self.width
-        pix = np.zeros((h, w), np.int64)
-        codes = self.tables[0, self.scan[self.parts[0][0]] >> 4]
-        segments = self.segments()
-        per, at = self.restart or h * w, 0
-        for data in segments:
-            bits, first = _Bits(data), at
-            for at in range(first, min(first + per, h * w)):  # noqa: B020
-                y, x = divmod(at, w)
+        codes = self.codes(0, self.scan[self.parts[0][0]] >> 4)
+        predict = (None, lambda a, b, c: b, lambda a, b, c: c, lambda a, b, c: a + b - c, lambda a, b, c: a + (b - c >> 1), lambda a, b, c: b + (a - c >> 1), lambda a, b, c: a + b >> 1)[self.predictor - 1]
+        pix, segments, per = bytearray(h * w), self.segments(), self.restart or h * w
+        if len(segments) < -(-h * w // per):
+            raise ValueError("a restart interval is missing")
+        for number, data in enumerate(segments):
+            bits, p, first = _windows(data), 0, number * per
+            for at in range(first, min(first + per, h * w)):
                 if at == first:
-                    p = 128
-                elif y == first // w:
-                    p = pix[y, x - 1]
-                elif x == 0:
-                    p = pix[y - 1, 0]
+                    held = 128
+                elif at < first // w * w + w or (at % w and predict is None):
+                    held = pix[at - 1]
+                elif not at % w:
+                    held = pix[at - w]
                 else:
-                    a, b, c = int(pix[y, x - 1]), int(pix[y - 1, x]), int(pix[y - 1, x - 1])
-                    p = (a, b, c, a + b - c, a + (b - c >> 1), b + (a - c >> 1), a + b >> 1)[self.predictor - 1]
-                pix[y, x] = (int(p) + bits.signed(bits.symbol(codes))) & 0xFF
-            at = first + per
-        return pix.astype(np.uint8)
+                    held = predict(pix[at - 1], pix[at - w], pix[at - w - 1])
+                e = codes[bits[p >> 3] >> (16 - (p & 7)) & 0xFFFF]
+                p += e >> 8
+                s = e & 255
+                if not e or s > 15:
+                    raise ValueError("no such code")
+                if s:
+                    v = bits[p >> 3] >> (32 - (p & 7) - s) & ((1 << s) - 1)
+                    p += s
+                    held += v if v >> (s - 1) else v - (1 << s) + 1
+                pix[at] = held & 0xFF
+            if p > 8 * len(data):
+                raise ValueError("frame is cut short")
+        return np.frombuffer(bytes(pix), np.uint8).reshape(h, w)
 
     def _baseline(self) -> np.ndarray:
-        hmax, vmax = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
-        if len(self.parts) == 1:
-            hmax = vmax = 1
+        alone = len(self.parts) == 1
+        hmax, vmax = (1, 1) if alone else (max(p[1] for p in self.parts), max(p[2] for p in self.parts))
+        ch, cv = (1, 1) if alone else self.parts[0][1:3]
         mx, my = -(-self.width // (8 * hmax)), -(-self.height // (8 * vmax))
-        ch, cv = (1, 1) if len(self.parts) == 1 else self.parts[0][1:3]
-        out = np.zeros((my * cv * 8, mx * ch * 8))
-        segments, per = self.segments(), self.restart or mx * my
-        for k, data in enumerate(segments):
-            bits, last = _Bits(data), {}
-            for unit in range(k * per, min((k + 1) * per, mx * my)):
-                uy, ux = divmod(unit, mx)
-                for i, (cid, h, v, q) in enumerate(self.parts):
-                    if len(self.parts) == 1:
-                        h = v = 1
-                    tabs = self.scan[cid]
-                    for by in range(v):
-                        for bx in range(h):
-                            block = np.zeros(64)
-                            last[cid] = block[0] = last.get(cid, 0) + bits.signed(bits.symbol(self.tables[0, tabs >> 4]))
-                            z = 1
-                            while z < 64:
-                                rs = bits.symbol(self.tables[1, tabs & 15])
-                                run, s = rs >> 4, rs & 15
-                                if not s:
-                                    if run != 15:
-                                        break
-                                    z += 16
-                                    continue
-                                z += run
-                                block[z] = bits.signed(s)
-                                z += 1
-                            if i == 0:
-                                full = np.zeros(64)
-                                full[ZIGZAG] = block * self.quant[q]
-                                y, x = 8 * (uy * v + by), 8 * (ux * h + bx)
-                                out[y : y + 8, x : x + 8] = _BASIS.T @ full.reshape(8, 8) @ _BASIS + 128
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)[: self.height, : self.width]
-
-
-def decode_avi(data: bytes) -> tuple[Avi, list[np.ndarray]]:
-    """The container and its frames' luma samples. Frames that share a header of the uniform
-    kind are decoded together, in blocks of bounded size."""
-    avi = Avi(data)
-    frames: list[np.ndarray] = []
+        plan = []
+        for i, (cid, h, v, _) in enumerate(self.parts):
+            tabs = self.scan[cid]
+            plan += [(i, self.codes(0, tabs >> 4), self.codes(1, tabs & 15), i == 0)] * (1 if alone else h * v)
+        units, per, segments = mx * my, self.restart or mx * my, self.segments()
+        if len(segments) < -(-units // per) or 2 * units * len(plan) > 8 * len(self.entropy):
+            raise ValueError("frame is cut short")
+        quant, out = self.quant[self.parts[0][3]], np.empty((my * cv * 8, mx * ch * 8), np.uint8)
+        for k, data in enumerate(segments[: -(-units // per)]):
+            n = min(per, units - k * per)
+            where, what = _coefficients(data, plan, n)
+            blocks = np.zeros(n * ch * cv * 64)
+            blocks[np.frombuffer(where, np.int64)] = np.frombuffer(what, np.int64)
+            full = np.zeros((n * ch * cv, 64))
+            full[:, ZIGZAG] = blocks.reshape(-1, 64) * quant
+            done = np.clip(np.rint(_BASIS.T @ full.reshape(-1, 8, 8) @ _BASIS + 128), 0, 255).astype(np.uint8)
+            unit = np.arange(k * per, k * per + n)
+            y, x = unit // mx * cv, unit % mx * ch
+            tiles = out.reshape(my * cv, 8, mx * ch, 8)
+            for by in range(cv):
+                for bx in range(ch):
+                    tiles[y + by, :, x + bx] = done[by * ch + bx :: ch * cv]
+        return out[: self.height, : self.width]
+
+
+def _coefficients(data: bytes, plan: list[tuple], units: int) -> tuple[array, array]:
+    """Places and values of the first component's coefficients that are not zero, in zigzag order,
+    64 places a block."""
+    bits, p, block = _windows(data), 0, 0
+    last = [0] * (1 + max(part for part, *_ in plan))
+    where, what = array("q"), array("q")
+    for _ in range(units):
+        for part, dc, ac, keep in plan:
+            e = dc[bits[p >> 3] >> (16 - (p & 7)) & 0xFFFF]
+            p += e >> 8
+            s = e & 255
+            if not e or s > 15:
+                raise ValueError("no such code")
+            if s:
+                v = bits[p >> 3] >> (32 - (p & 7) - s) & ((1 << s) - 1)
+                p += s
+                last[part] += v if v >> (s - 1) else v - (1 << s) + 1
+            if keep:
+                where.append(block)
+                what.append(last[part])
+            z = 1
+            while z < 64:
+                e = ac[bits[p >> 3] >> (16 - (p & 7)) & 0xFFFF]
+                if not e:
+                    raise ValueError("no such code")
+                p += e >> 8
+                s = e & 15
+                if s:
+                    z += e >> 4 & 15
+                    if z > 63:
+                        raise ValueError("more coefficients than places")
+                    v = bits[p >> 3] >> (32 - (p & 7) - s) & ((1 << s) - 1)
+                    p += s
+                    if keep:
+                        where.append(block + z)
+                        what.append(v if v >> (s - 1) else v - (1 << s) + 1)
+                    z += 1
+                elif e & 0xF0 == 0xF0:
+                    z += 16
+                else:
+                    break
+            block += 64 if keep else 0
+    if p > 8 * len(data):
+        raise ValueError("frame is cut short")
+    return where, what
+
+
+def pictures(avi: Avi, stream: int) -> Iterator[np.ndarray]:
+    """Luma samples of a stream's frames, as arrays (frames, height, width) of a bounded number of
+    frames in order. Frames that share a header of the uniform kind are decoded together. A frame
+    without bytes shows the picture before it; those before the first picture show the first."""
     known: dict[bytes, Jpeg] = {}
     pend: list[bytes] = []
     shape: tuple[int, int] = (0, 0)
+    before, early = None, 0
 
-    def flush() -> None:
+    def flush() -> Iterator[np.ndarray]:
+        nonlocal before
         if pend:
-            frames.extend(_uniform_frames(pend, *shape))
+            done = _uniform_frames(pend, *shape)
             pend.clear()
-
-    for at, size in avi.frames:
-        raw = data[at : at + size]
+            before = done[-1]
+            yield done
+
+    for at, size in avi.streams.get(stream, []):
+        if not size:
+            yield from flush()
+            if before is None:
+                early += 1
+            else:
+                yield before[None]
+            continue
+        raw = avi.data[at : at + size]
+        if len(raw) < size:
+            raise ValueError("file is cut short")
         scan = raw.find(b"\xff\xda")
         head = raw[: scan + 2 + (raw[scan + 2] << 8 | raw[scan + 3])] if scan > 0 else raw
         jpeg = known.get(head)
         if jpeg is None:
             jpeg = Jpeg(raw)
-            if jpeg.uniform:
+            if jpeg.uniform and len(known) < 16:
                 known[head] = jpeg
+        if early and before is None and not pend:
+            first = jpeg.luma()
+            for _ in range(early):
+                yield first[None]
         if not jpeg.uniform:
-            flush()
-            frames.append(jpeg.luma())
+            yield from flush()
+            before = jpeg.luma()
+            yield before[None]
             continue
-        if (jpeg.height, jpeg.width) != shape or len(pend) >= 512:
-            flush()
+        if (jpeg.height, jpeg.width) != shape or len(pend) >= max(1, min(TOGETHER, (1 << 22) // (jpeg.height * jpeg.width))):
+            yield from flush()
             shape = (jpeg.height, jpeg.width)
         end = raw.rfind(b"\xff\xd9")
         pend.append(raw[len(head) : end if end > 0 else len(raw)].replace(b"\xff\0", b"\xff"))
-    flush()
-    return avi, frames
+    yield from flush()
+
+
+def decode_avi(data: bytes, stream: int = 0) -> tuple[Avi, list[np.ndarray]]:
+    """The container and all of one stream's frames' luma samples, for files that fit memory."""
+    avi = Avi(data)
+    return avi, [f for run in pictures(avi, stream) for f in run]
 
 
 def _uniform_frames(parts: list[bytes], height: int, width: int) -> np.ndarray:
     need = height * width * 9 // 8
-    raw = np.frombuffer(b"".join(p[:need].ljust(need, b"\0") for p in parts), np.uint8)
+    if any(len(p) < need for p in parts):
+        raise ValueError("frame is cut short")
+    raw = np.frombuffer(b"".join(p[:need] for p in parts), np.uint8)
     diff = _DIFFS[_unpack9(raw)].astype(np.uint8).reshape(len(parts), height, width)  # modulo 256
     diff[:, 0, 0] += np.uint8(128)
     diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1, dtype=np.uint8)
@@ -373,13 +481,14 @@ def _uniform_frames(parts: list[bytes], height: int, width: int) -> np.ndarray:
 # --- shots ---------------------------------------------------------------------------------------
 
 
-def histograms(frames: list[np.ndarray], bins: int = BINS) -> np.ndarray:
-    """Relative luma histogram of each frame."""
-    if frames and all(f.shape == frames[0].shape for f in frames):
-        flat = (np.stack(frames).reshape(len(frames), -1) >> (8 - bins.bit_length() + 1)).astype(np.int64)
-        flat += np.arange(len(frames))[:, None] * bins
-        return np.bincount(flat.ravel(), minlength=len(frames) * bins).reshape(len(frames), bins) / max(1, frames[0].size)
-    return np.array([np.bincount(f.ravel() >> (8 - bins.bit_length() + 1), minlength=bins) / max(1, f.size) for f in frames]).reshape(len(frames), bins)
+def histograms(frames: np.ndarray | list[np.ndarray], bins: int = BINS) -> np.ndarray:
+    """Relative luma histogram of each frame of an array (frames, height, width)."""
+    if not len(frames):
+        return np.zeros((0, bins))
+    frames = np.asarray(frames)
+    flat = (frames.reshape(len(frames), -1) >> (8 - bins.bit_length() + 1)).astype(np.int64)
+    flat += np.arange(len(frames))[:, None] * bins
+    return np.bincount(flat.ravel(), minlength=len(frames) * bins).reshape(len(frames), bins) / max(1, frames[0].size)
 
 
 def shots(hist: np.ndarray, window: int = WINDOW, spread: float = SPREAD, floor: float = FLOOR) -> list[tuple[int, int, float]]:
@@ -405,26 +514,38 @@ def shots(hist: np.ndarray, window: int = WINDOW, spread: float = SPREAD, floor:
 
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Timed clip rows of AVI motion-JPEG media: doc_id, clip, first_frame, n_frames, start_s,
-    end_s, cut_difference, mean_luma.
+    end_s, cut_difference, mean_luma, stream. Clips are numbered in each video stream.
 
-    Narrow: no shuffle. Null and empty media give no rows; media that cannot be read give one row
-    with clip -1 and nulls, so that they are not lost from sight; null ids and repeated rows pass
-    through; an empty table gives no rows; other columns are ignored.
+    Narrow: no shuffle; a task holds one media value, a bounded number of its frames and 17 numbers
+    a frame. Null and empty media and files without a picture give no rows; media that cannot be
+    read to their end, for whatever damage, give one row with clip -1 and nulls, so that they are not
+    lost from sight; null ids and repeated rows pass through; an empty table gives no rows; other
+    columns are ignored.
     """
 
+    def found(media: bytes) -> list[tuple]:
+        avi, out = Avi(media), []
+        for stream in sorted(avi.streams):
+            hist, luma, fps = [], [], avi.fps(stream)
+            for run in pictures(avi, stream):
+                hist.append(histograms(run))
+                luma += run.reshape(len(run), -1).mean(axis=1).tolist()
+            for k, (a, b, d) in enumerate(shots(np.concatenate(hist) if hist else np.zeros((0, BINS)))):
+                out.append((k, a, b - a, a / fps, b / fps, d, float(np.mean(luma[a:b])), stream))
+        return out
+
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, media in feed:
             if not media:
                 continue
             try:
-                avi, frames = decode_avi(media)
-            except (ValueError, IndexError, KeyError, struct.error):
-                yield doc_id, -1, None, None, None, None, None, None
-                continue
-            for k, (a, b, d) in enumerate(shots(histograms(frames))):
-                yield doc_id, k, a, b - a, a / avi.fps, b / avi.fps, d, float(np.mean([f.mean() for f in frames[a:b]]))
+                clip_rows = found(media)
+            except Exception:  # noqa: BLE001  media come from anywhere: whatever fails, the row says so
+                clip_rows = [(-1, *[None] * 7)]
+            for r in clip_rows:
+                yield (doc_id, *r)
 
-    schema = "doc_id long, clip int, first_frame long, n_frames long, start_s double, end_s double, cut_difference double, mean_luma double"
+    schema = "doc_id long, clip int, first_frame long, n_frames long, start_s double, end_s double, cut_difference double, mean_luma double, stream int"
     return map_rows(df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{media_col}`").cast("binary")), rows, schema)
 
 
@@ -456,13 +577,18 @@ def stored_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for doc_id, text in feed:
             raw = (text or "").encode()
             media = encode_avi(padded(raw))
-            avi, frames = decode_avi(media)
-            payload = b"".join(f.tobytes() for f in frames)[: avi.payload]
-            hist = histograms(frames)
-            found = shots(hist)
-            told = hashlib.sha256(hist.tobytes() + repr(found).encode()).hexdigest()[:16]
-            feature = f"{len(frames)} frames, {len(found)} clips, {told}"
-            yield doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(found)
+            avi = Avi(media)
+            told, hist, left, tail = hashlib.sha256(), [], avi.payload, b""
+            for run in pictures(avi, 0):
+                hist.append(histograms(run))
+                stored = run.tobytes()[:left]
+                told.update(stored)
+                left, tail = left - len(stored), (tail + stored[-64:])[-64:]
+            hist = np.concatenate(hist)
+            cut = shots(hist)
+            digest = hashlib.sha256(hist.tobytes() + repr(cut).encode()).hexdigest()[:16]
+            feature = f"{len(hist)} frames, {len(cut)} clips, {digest}"
+            yield doc_id, len(raw), avi.payload - left, told.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, len(cut)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips long"
     return map_rows(texts(df, id_col, text_col), rows, schema)
