@@ -168,3 +168,14 @@ def test_step_groups_are_balanced():
     groups = packing.deal(seqs, 1 << 16)
     load = np.bincount(groups, weights=[t for t, _ in seqs])
     assert len(load) > 50 and load.max() / load.min() < 1.35
+
+
+def test_decode_of_odd_ids(spark):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe = byte_bpe.load(ranks)
+    ids = array("I", [bpe.ranks[b"the"], 50_256, 4_000_000_000, bpe.ranks[b" cat"]]).tobytes()
+    df = spark.createDataFrame([(1, bytearray(ids), "x"), (2, bytearray(ids + b"\1\2"), "x"), (3, None, "x"), (None, bytearray(), "x")], "doc_id long, ids binary, bytes string")
+    got = {r["doc_id"]: bytes(r["bytes"]) for r in byte_bpe.decode_documents(df, ranks).collect()}
+    odd = b"the\xef\xbf\xbd\xef\xbf\xbd cat"
+    assert got == {1: odd, 2: odd, 3: b"", None: b""}
+    assert byte_bpe.decode_documents(df.limit(0), ranks).count() == 0

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm.base import CACHES, map_rows, table, texts
 from voxloom.llm.wordbpe import Memo
@@ -87,12 +88,19 @@ class PerfectHash:
         return s if self.slots[s] == key else -1
 
 
+class _Strings(dict):
+    """Byte strings by id; ids that are in no vocabulary read as the replacement character."""
+
+    def __missing__(self, key: int) -> bytes:
+        return b"\xef\xbf\xbd"
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.hash = PerfectHash(list(ranks))
         self.ids = array("q", (ranks[k] if k is not None else -1 for k in self.hash.slots))
-        self.strings = {i: k for k, i in ranks.items()}
+        self.strings = _Strings((i, k) for k, i in ranks.items())
         self.packed = Memo(lambda p: array("I", self.encode_piece(p.encode())).tobytes())
 
     def rank(self, part: bytes) -> int:
@@ -134,7 +142,7 @@ class ByteBpe:
         return b"".join(map(self.packed.__getitem__, pre_tokens(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.strings.__getitem__, array("I", ids)))
+        return b"".join(map(self.strings.__getitem__, array("I", ids[: len(ids) // 4 * 4])))
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,14 +170,17 @@ def encode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
 
 
 def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Decode ids of ``encode_documents``: doc_id, bytes (binary; null ids give empty bytes)."""
+    """Decode ids of ``encode_documents``: doc_id, bytes (binary; null and empty ids give empty
+    bytes). An id that is not in the vocabulary gives the three bytes of U+FFFD; up to three bytes
+    behind the last whole id are ignored; null ids of documents, repeated rows and empty tables
+    pass through; other columns are ignored."""
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
         bpe = load(ranks_path)
         for doc_id, ids in feed:
             yield doc_id, bpe.decode(ids or b"")
 
-    return map_rows(df.select(df[id_col].cast("long"), df[ids_col]), rows, "doc_id long, bytes binary", keep="byte_bpe")
+    return map_rows(df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{ids_col}`").cast("binary")), rows, "doc_id long, bytes binary", keep="byte_bpe")
 
 
 def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
