@@ -228,6 +228,66 @@ def test_toxicity_is_learned(spark):
     assert c[1, 1] / (c[1, 0] + c[1, 1]) > 0.8 and c[0, 1] / (c[0, 0] + c[0, 1]) < 0.01
 
 
+def test_odds_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["fool", "scoundrel", "scouting", "tree", "river", "stone", "cloud", "moss", "fern", "reed"]
+    rows = [(int(k % 3 == 0), k % 4 % 3, " ".join(rng.choice(words[:3] if k % 3 == 0 and rng.random() < 0.4 else words[3:]) for _ in range(12))) for k in range(90)]
+    got = {r["feature"]: r for r in toxicity.odds_table(spark.createDataFrame(rows, "label int, fold int, text string")).collect()}
+    n_got = 0
+    for f in {f for _, _, t in rows for f, _ in toxicity._features(t)}:
+        expected = {}
+        for left_out in (None, 0, 1, 2):
+            held = [(y, set(toxicity._features(t))) for y, k, t in rows if k != left_out]
+            count = {y: sum(any(g == f for g, _ in s) for z, s in held if z == y) for y in (0, 1)}
+            size = {y: sum(z == y for z, _ in held) for y in (0, 1)}
+            contexts = {zlib.crc32(b.encode()) & 63 for z, s in held if z for g, b in s if g == f}
+            value = np.log((count[1] + 0.5) / (size[1] + 1)) - np.log((count[0] + 0.5) / (size[0] + 1))
+            expected[left_out] = round(value, 4) if len(contexts) >= toxicity.LEAST_CONTEXTS else None
+        if max(v if v is not None else -1 for v in expected.values()) >= min(toxicity.ODDS):
+            n_got += 1
+            assert [got[f]["odds"], *(got[f][f"odds_{k}"] for k in range(3))] == [pytest.approx(v) if v is not None else None for v in expected.values()]
+    assert n_got == len(got) > 2
+
+
+def test_cut_and_curve_against_brute_force():
+    rng = np.random.default_rng(6)
+    y = (rng.random(300) < 0.3).astype(float)
+    x = np.round(rng.normal(y * 2, 1), 1)
+    f1, cut = toxicity.best_cut(x, y)
+    every = {c: 2 * (y[x >= c]).sum() / ((x >= c).sum() + y.sum()) for c in np.unique(x)}
+    assert f1 == pytest.approx(max(every.values())) and every[min(c for c in every if c >= cut)] == pytest.approx(f1)
+    slope, loss = toxicity.fit_logistic(x, y)
+    x2, y2 = np.append(x, [x.min(), x.max()]), np.append(y, [1, 0])
+    grid = min((-(y2 * np.log(p) + (1 - y2) * np.log(1 - p)).mean(), b) for b in np.arange(0.5, 4, 0.02) for a in np.arange(-6, 1, 0.05) for p in [1 / (1 + np.exp(-(a + b * x2)))])
+    assert loss <= grid[0] + 1e-4 and slope == pytest.approx(grid[1], abs=0.1)
+
+
+def test_clean_words_before_insults_are_learned(spark):
+    rng = random.Random(7)
+    insults, fill = [f"in{c}sult{c}" for c in "abcdefgh"], [f"word{chr(97 + k)}" for k in range(20)]
+    rows = []
+    for k in range(600):
+        toxic, told = k % 2, k % 4 == 0
+        body = [rng.choice(fill) for _ in range(8)]
+        if toxic:
+            body[rng.randrange(2, 8)] = rng.choice(insults)
+        elif told:
+            body[1:4] = ["hardly", rng.choice(fill), rng.choice(insults)]
+        rows.append((toxic, " ".join(body)))
+    weighed = [(f"n{w}", y, 1, None) for y, t in rows for i, v in enumerate(t.split()) if v in insults for w in t.split()[max(0, i - 3) : i]] + [("*", y, 1, None) for y, t in rows if set(t.split()) & set(insults)]
+    beside = toxicity._beside(spark.createDataFrame(weighed, "beside string, label int, n long, totals array<double>"))
+    assert beside == {"hardly": toxicity.NEGATION}
+    g = toxicity.Grammar({w: 8.0 for w in insults}, {}, beside=beside)
+    assert g.score(f"hardly worda {insults[0]}") < g.score(f"worda wordb {insults[0]}")
+
+
+def test_repeated_ids_keep_the_samples_bound(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}", "x", "y") for k in range(50)], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k < 2), 0) for k in range(5)] + [(0, 0, 1), (None, 1, 1)], "doc_id long, toxic int, text int")
+    got = toxicity.labelled_sample(docs, labels, most_toxic=1, most_clean=2).collect()
+    assert sorted(r["label"] for r in got) == [0, 0, 1]
+
+
 def test_toxicity_cases(spark):
     empty = toxicity.learn(spark.createDataFrame([], "label int, text string"))
     assert empty.insults == {} and toxicity.scores(frame(spark, ODD), empty).filter("predicted = 1").isEmpty()
