@@ -184,11 +184,49 @@ def test_language_cases(spark):
     assert sorted(r["doc_id"] for r in language_id.keep_identified(frame(spark, rows[1:5]), p).collect()) == [4, 5]
 
 
-def test_binding_by_definition():
-    v = language_id.letter_vectors().astype(int)
-    a, b, c, m = 3, 7, 11, language_id.SYMBOLS
-    got = language_id.bind(np.array([(a * m + b) * m + c]))[0]
-    assert (got == np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]).all()
+def by_definition(text):
+    """Sum over all trigrams of the products of their letters' rotated vectors."""
+    low = re.sub(r"[^\w]|[\d_]", "\0", text.lower())
+    s = [0, *([ord(c) if c.isalpha() else 0 for c in low]), 0]
+    s = [c for k, c in enumerate(s) if c or not k or s[k - 1]]
+    out = np.zeros(language_id.DIMENSIONS, int)
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        va, vb, vc = (language_id.letter_vector(x).astype(int) for x in (a, b, c))
+        out += np.roll(va, 2) * np.roll(vb, 1) * vc
+    return out
+
+
+@pytest.mark.parametrize("text", ["Straße, naïve: 2 cafés", "Привет, мир!", "漢字と仮名 𐐨𐐩 x", "a" * 5000 + " b"])
+def test_binding_by_definition(text):
+    assert (language_id.bundle(*language_id.ngrams(text)) == by_definition(text)).all()
+
+
+def test_letters_are_their_own(monkeypatch):
+    v = [language_id.letter_vector(ord(c)).astype(int) for c in "àíüñãœабвгдαβγδ"]
+    assert max(abs(int(a @ b)) for i, a in enumerate(v) for b in v[:i]) < 200  # no two share a vector
+    texts_ = ["".join(chr(0x4E00 + (k * 37 + j) % 9000) for j in range(3000)) for k in range(4)]
+    whole = [language_id.bundle(*language_id.ngrams(t)) for t in texts_]
+    monkeypatch.setattr(language_id, "HELD", 4000)  # letters are dropped and made again
+    assert all((language_id.bundle(*language_id.ngrams(t)) == w).all() for t, w in zip(texts_, whole, strict=True))
+
+
+def test_training_by_definition(spark, monkeypatch):
+    rows = [("en", "the cat sat"), ("en", "on the mat"), ("fr", "le chat"), ("en", None), (None, "x y"), ("fr", "12"), ("el", "το γάτα")] * 3
+    p = language_id.train(spark.createDataFrame(rows, "lang string, text string").repartition(5))
+    assert p.names == ["el", "en", "fr"]
+    for name, row in zip(p.names, p.matrix, strict=True):
+        v = sum(by_definition(t) for lang, t in rows if lang == name and t and t != "12")
+        assert np.allclose(row, v / np.linalg.norm(v), atol=1e-6)
+
+
+def test_scripts(spark):
+    rng = random.Random(2)
+    alphabets = {"ru": "оеаинтсрвл", "uk": "оаниетвріс", "bg": "аоиентрсвл", "el": "αοιεηστνρκ", "hy": "աենրուտկհմ"}
+    tails = {lang: ["".join(rng.choice(a) for _ in range(3)) for _ in range(12)] for lang, a in alphabets.items()}
+    make = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 4))) + rng.choice(tails[lang]) for _ in range(n))
+    p = language_id.train(spark.createDataFrame([(lang, make(lang, 60)) for lang in alphabets for _ in range(20)], "lang string, text string"))
+    tests = [(lang, make(lang, 40)) for lang in alphabets for _ in range(20)]
+    assert np.mean([p.classify(t)[0] == lang for lang, t in tests]) > 0.97
 
 
 # --- toxicity ------------------------------------------------------------------------------------
