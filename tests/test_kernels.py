@@ -224,3 +224,31 @@ def test_anisotropy_depends_on_seed_alone():
     v = blobs(2)
     a = intercepts.cloud(v, (0, 0, 20), 7, 0, 12, 9)
     assert np.array_equal(a, intercepts.cloud(v, (0, 0, 20), 7, 0, 12, 9)) and not np.array_equal(a, intercepts.cloud(v, (0, 0, 20), 7, 1, 12, 9))
+
+
+def test_networks_of_random_skeletons():
+    rng = np.random.default_rng(11)
+    for k in range(150):
+        n = int(rng.integers(3, 10))
+        v = rng.random((n, n, n)) < rng.choice([0.05, 0.1, 0.2, 0.35])
+        net = networks.Network.of(v, 1.0)
+        up = list(range(len(net.nodes)))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        touch = [0] * len(net.nodes)
+        for e in net.edges:
+            up[find(e.u)] = find(e.v)
+            touch[e.u] += 1
+            touch[e.v] += 1
+            assert e.length >= (0 if e.pure_cycle else net.distance(net.nodes[e.u][0], net.nodes[e.v][0]) * (e.u < net.ends or e.v < net.ends) - 1e-9)
+        assert len({find(i) for i in range(len(up))}) == net.pieces
+        alone = sum(touch[i] == 0 and i < net.ends for i in range(len(up)))
+        assert all(touch[i] <= 1 for i in range(net.ends)) and net.stats()["cycle_rank"] == len(net.edges) - len(net.nodes) + net.pieces
+        assert alone <= net.pieces and {p for g in net.nodes for p in g} <= set(net.points)
+        turned = networks.Network.of(v[::-1], 1.0)  # branches are the same whichever end is first
+        same = lambda m: sorted(round(e.length, 9) for e in m.edges if e.u < m.ends and e.v < m.ends)
+        assert same(net) == same(turned)
