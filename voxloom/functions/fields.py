@@ -67,6 +67,23 @@ def curvature(phi: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, mean, np.nan), np.where(ok, gauss, np.nan)
 
 
+def curvature_samples(bone: np.ndarray, h: float, points: np.ndarray, sigma_um: float = 30.0) -> list[dict[str, float]]:
+    """Smoothed distance and both curvatures at given voxels (x, y, z); a point outside the volume or
+    without a whole stencil is an error."""
+    if not (np.isfinite(sigma_um) and sigma_um > 0):
+        raise MorphometryError("sigma must be finite and positive")
+    phi = smooth(signed_distance(bone, h), sigma_um / h)
+    mean, gauss = curvature(phi, h)
+    out = []
+    for x, y, z in np.asarray(points, int).reshape(-1, 3).tolist():
+        if not (0 <= x < phi.shape[2] and 0 <= y < phi.shape[1] and 0 <= z < phi.shape[0]):
+            raise MorphometryError(f"({x}, {y}, {z}) is outside the volume")
+        if not (np.isfinite(mean[z, y, x]) and np.isfinite(gauss[z, y, x])):
+            raise MorphometryError(f"({x}, {y}, {z}) has no curvature stencil")
+        out.append({"x": x, "y": y, "z": z, "phi": float(phi[z, y, x]), "mean": float(mean[z, y, x]), "gauss": float(gauss[z, y, x])})
+    return out
+
+
 def trilinear(f: np.ndarray, at: np.ndarray, outside: float) -> np.ndarray:
     """f (array [z, y, x]) at points (x, y, z); ``outside`` beyond the lattice. NaN corners with a
     weight make the value NaN."""

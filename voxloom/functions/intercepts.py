@@ -237,4 +237,12 @@ def fit_quadric(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anisotropy(points: np.ndarray) -> dict[str, float]:
     lam, vec = fit_quadric(points)
     radii = 1 / np.sqrt(lam)
-    return {"da": float(1 - lam[0] / lam[2]), "angle_deg": float(np.degrees(np.arccos(min(abs(vec[2, 0]), 1)))), "radius_a": float(radii[2]), "radius_b": float(radii[1]), "radius_c": float(radii[0])}
+    return {"da": float(1 - lam[0] / lam[2]), "angle_deg": float(np.degrees(np.arccos(min(abs(vec[2, 0]), 1)))), "radius_a": float(radii[2]), "radius_b": float(radii[1]), "radius_c": float(radii[0]), "d1": float(lam[0]), "d2": float(lam[1]), "d3": float(lam[2])}
+
+
+def over_repetitions(reps: list[dict[str, float]]) -> dict[str, float]:
+    """Summary of one specimen's repetitions."""
+    da = np.array([x["da"] for x in reps])
+    sd = float(da.std(ddof=1)) if len(da) > 1 else 0.0
+    mean = {f"{k}_mean" if k == "angle" else k: float(np.mean([x[name] for x in reps])) for k, name in (("angle", "angle_deg"), ("radius_a", "radius_a"), ("radius_b", "radius_b"), ("radius_c", "radius_c"))}
+    return {"da_mean": float(da.mean()), "da_sd": sd, "da_cv": sd / abs(da.mean()) if da.mean() else float("nan"), "da_min": float(da.min()), "da_max": float(da.max())} | mean

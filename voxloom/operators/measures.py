@@ -270,7 +270,7 @@ def _with_rep(keyed: DataFrame, kernel) -> DataFrame:
     from voxloom.operators.specimens import unpack
 
     keys = keyed.schema["specimen"].dataType
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", da double, angle_deg double, radius_a double, radius_b double, radius_c double, side int, depth int, status string, error string"
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", da double, angle_deg double, radius_a double, radius_b double, radius_c double, d1 double, d2 double, d3 double, side int, depth int, status string, error string"
     target = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,10 +45,12 @@ def families(ours: DataFrame, theirs: dict[str, DataFrame], columns: dict[str, l
 
 
 def run_summary(runs: DataFrame, by: list[str], value: str, ok: str = "ok") -> DataFrame:
-    """Runs, those that went well, their mean, and PASS, PARTIAL or FAIL of each group."""
-    good = F.count_if(F.col(ok))
+    """Runs, those that went well, and over these the mean, deviation (0 of one), coefficient of
+    variation (null where the mean is 0) and range; PASS, PARTIAL or FAIL of each group."""
+    good, v = F.count_if(F.col(ok)), F.when(F.col(ok) & ~F.isnan(F.col(value).cast("double")), F.col(value))
+    mean, sd = F.avg(v), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0)))
     return runs.groupBy(*by).agg(
-        F.count("*").alias("runs"), good.alias("ok"), F.avg(F.when(F.col(ok), F.col(value))).alias("mean"),
+        F.count("*").alias("runs"), good.alias("ok"), mean.alias("mean"), sd.alias("sd"), F.when(mean != 0, F.abs(sd / mean)).alias("cv"), F.min(v).alias("low"), F.max(v).alias("high"),
         F.when(good == F.count("*"), "PASS").when(good > 0, "PARTIAL").otherwise("FAIL").alias("status"),
     )
 
@@ -81,7 +83,10 @@ def header_name(header: Column) -> Column:
 
 
 def radii_check(fits: DataFrame) -> DataFrame:
-    """Anisotropy recomputed from the shortest and longest radius, beside the fit's own."""
+    """Anisotropy recomputed from the shortest and longest radius and from the smallest and largest
+    eigenvalue, beside the fit's own."""
     again = 1.0 - (F.col("radius_a") / F.col("radius_c")) * (F.col("radius_a") / F.col("radius_c"))
-    known = F.col("radius_c") > 0
-    return fits.select("specimen", "da", F.when(known, again).alias("da_from_radii"), F.when(known, F.abs(F.col("da") - again)).alias("difference"))
+    eigen = 1.0 - F.col("d1") / F.col("d3")
+    known = (F.col("radius_c") > 0) & (F.col("d3") > 0)
+    cols = {"da": F.col("da"), "da_from_radii": F.when(known, again), "da_from_eigenvalues": F.when(known, eigen), "difference": F.when(known, F.greatest(F.abs(F.col("da") - again), F.abs(F.col("da") - eigen)))}
+    return fits.select("specimen", *[c.alias(n) for n, c in cols.items()])

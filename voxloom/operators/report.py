@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,10 +120,7 @@ class _Measured:
         if name == "da":
             square = intercepts.domain(r)
             reps = [intercepts.anisotropy(intercepts.cloud(self.inside, square, c.da_seed, i, c.da_directions, c.da_lines, c.da_increment)) for i in range(c.da_repetitions)]
-            da = np.array([x["da"] for x in reps])
-            sd = float(da.std(ddof=1)) if len(da) > 1 else 0.0
-            mean = lambda k: float(np.mean([x[k] for x in reps]))
-            return {"da_mean": float(da.mean()), "da_sd": sd, "da_cv": sd / abs(da.mean()) if da.mean() else float("nan"), "da_min": float(da.min()), "da_max": float(da.max()), "angle_mean": mean("angle_deg"), "radius_a": mean("radius_a"), "radius_b": mean("radius_b"), "radius_c": mean("radius_c"), "side": square[2], "depth": b.shape[0]}
+            return intercepts.over_repetitions(reps) | {"side": square[2], "depth": b.shape[0]}
         if name == "ef":
             return pre("ef", shape.ef_stats(self.shapes()))
         if name == "pr":
@@ -186,9 +184,35 @@ def named(rows: DataFrame, filename: str = "specimen", **which) -> DataFrame:
     return rows.select(F.col(filename).cast("string").alias("filename"), *[F.col(a).alias(b) for a, b in columns(**which)])
 
 
+def plain_decimal(value: Column) -> Column:
+    """A double as the shortest decimal that reads back as the same value, never with an exponent, whole
+    numbers without a point. In Arrow batches: rows of the sink are few."""
+
+    @F.pandas_udf("string")
+    def written(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x is pd.NA else "NaN" if x != x else np.format_float_positional(x, trim="-") if np.isfinite(x) else "inf" if x > 0 else "-inf" for x in v.tolist()], dtype=object)
+
+    return F.when(value.isNotNull(), written(value.cast("double")))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header; a row for each specimen is small, so one task writes it."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file of that name with a header; an existing one is replaced.
+
+    ``rows`` are expected as a written table (``session.cut``): only their small result is merged
+    here by one task, the kernels have run in parallel before. Doubles are plain decimals.
+    """
+    spark = rows.sparkSession
+    shown = rows.select(*[plain_decimal(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`") for f in rows.schema])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.part-{uuid.uuid4().hex}")
+    shown.coalesce(1).write.csv(beside.toString(), header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    made = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{beside.toString()}/part-*.csv"))
+    fs.delete(target, True)
+    if not fs.rename(made[0].getPath(), target):
+        raise OSError(f"cannot write {path}")
+    fs.delete(beside, True)
 
 
 def skeleton_block(graph: DataFrame, tv_um3: Column) -> DataFrame:
@@ -214,8 +238,3 @@ def input_qc(counts: DataFrame) -> DataFrame:
 
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATALOGUE, "family string, descriptors string")
-
-
-def joined(parts: list[DataFrame]) -> DataFrame:
-    """Measures of separate runs side by side, by specimen."""
-    return reduce(lambda a, b: a.join(b, "specimen", "left"), parts)

@@ -39,19 +39,23 @@ def per_specimen(volumes: DataFrame, kernel: Kernel, schema: str, on_error: str
     """Rows that ``kernel(bone, roi, h)`` gives for each volume, with the specimen.
 
     on_error: ``keep`` gives a row with status FAIL and the error; ``omit`` leaves the specimen
-    out; ``raise`` fails the job. A missing region is the whole image.
+    out; ``raise`` fails the job. A missing region is the whole image. Where volumes have a column
+    ``problem``, rows with one fail with it.
     """
     kind = volumes.schema["specimen"].dataType.simpleString()
     ddl = f"specimen {kind}, {schema}" + (", status string, error string" if on_error == "keep" else "")
     target = to_arrow_schema(StructType.fromDDL(ddl))
+    names = ["specimen", "width", "height", "depth", "h_um", "bone", "roi", *(["problem"] if "problem" in volumes.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {n: b.column(n) for n in ("specimen", "width", "height", "depth", "h_um", "bone", "roi")}
+            cols = {n: b.column(n) for n in names}
             for i in range(b.num_rows):
                 v = {n: c[i].as_py() for n, c in cols.items()}
                 shape = (v["depth"], v["height"], v["width"])
                 try:
+                    if v.get("problem") is not None:
+                        raise MorphometryError(v["problem"])
                     bone = unpack(v["bone"], shape)
                     roi = unpack(v["roi"], shape) if v["roi"] is not None else np.ones(shape, bool)
                     found = kernel(bone, roi, v["h_um"])
@@ -63,7 +67,7 @@ def per_specimen(volumes: DataFrame, kernel: Kernel, schema: str, on_error: str
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([v["specimen"] if f.name == "specimen" else _plain(r.get(f.name)) for r in rows], f.type) for f in target], schema=target)
 
-    return volumes.select("specimen", "width", "height", "depth", "h_um", "bone", "roi").mapInArrow(run, ddl)
+    return volumes.select(*names).mapInArrow(run, ddl)
 
 
 def _plain(v):
@@ -108,7 +112,8 @@ def slices(volumes: DataFrame) -> DataFrame:
 
 def from_slices(layers: DataFrame) -> DataFrame:
     """Volumes of layer rows (specimen, z, width, height, h_um, bone, roi). One aggregation by
-    specimen; a layer is moved packed."""
+    specimen; a layer is moved packed. Layers that are not 0, 1, 2 ... once each, or differ in size,
+    fail the job: files of one name would make a volume that never was."""
     kind = layers.schema["specimen"].dataType
     arrow = to_arrow_schema(StructType().add("specimen", kind)).field(0).type
 
@@ -116,11 +121,13 @@ def from_slices(layers: DataFrame) -> DataFrame:
         for b in batches:
             for v in b.to_pylist():
                 parts = v["layers"]
+                if [p["z"] for p in parts] != list(range(len(parts))) or not v["even"]:
+                    raise ValueError(f"layers of {v['specimen']} are no volume")
                 shape = (v["height"], v["width"])
                 masks = {k: [np.unpackbits(np.frombuffer(p[k], np.uint8), count=shape[0] * shape[1]) for p in parts] for k in ("bone", "roi")}
                 row = {"specimen": [v["specimen"]], "width": [shape[1]], "height": [shape[0]], "depth": [len(parts)], "h_um": [v["h_um"]]}
                 row |= {k: [np.packbits(np.concatenate(m)).tobytes()] for k, m in masks.items()}
                 yield pa.RecordBatch.from_pydict(row, schema=VOLUME_SCHEMA(arrow))
 
-    held = layers.groupBy("specimen").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("h_um").alias("h_um"), F.sort_array(F.collect_list(F.struct("z", "bone", "roi"))).alias("layers"))
+    held = layers.groupBy("specimen").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("h_um").alias("h_um"), (F.count_distinct("width", "height") == 1).alias("even"), F.sort_array(F.collect_list(F.struct("z", "bone", "roi"))).alias("layers"))
     return held.mapInArrow(run, f"specimen {kind.simpleString()}, width int, height int, depth int, h_um double, bone binary, roi binary")

@@ -135,7 +135,7 @@ def rep_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def convergence_summary(s: SparkSession, d: str) -> DataFrame:
-    return _round(parity.run_summary(X.table(s, d, "orders").withColumn("ok", F.col("o_orderstatus") == "F"), ["o_orderpriority"], "o_totalprice"), mean=4)
+    return _round(parity.run_summary(X.table(s, d, "orders").withColumn("ok", F.col("o_orderstatus") == "F"), ["o_orderpriority"], "o_totalprice"), mean=4, sd=4, cv=6)
 
 
 def collapsed_edges(s: SparkSession, d: str) -> DataFrame:

@@ -148,7 +148,7 @@ SELECT config, CAST(8 * CAST(config = 1 AS INT) - 4 * (CAST(a + b + ab = 0 AS IN
 SELECT l_returnflag, q, round(CASE WHEN v0 IS NULL THEN v ELSE v0 + (v - v0) * (q - s0) / (share - s0) END, 4) AS value FROM p, (VALUES (0.1), (0.5), (0.9)) t(q_) , LATERAL (SELECT CAST(q_ AS DOUBLE) AS q) WHERE share >= q AND coalesce(s0, -1) < q""",
     "gini": "SELECT o_orderpriority, count(*) AS n, round(2 * sum(rn * o_totalprice) / (count(*) * sum(o_totalprice)) - (count(*) + 1.0) / count(*), 9) AS gini FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn FROM orders) GROUP BY o_orderpriority",
     "rep_summary": "SELECT l_suppkey, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(coalesce(stddev_samp(l_extendedprice), 0), 4) AS sd, round(abs(coalesce(stddev_samp(l_extendedprice), 0) / avg(l_extendedprice)), 6) AS cv, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_suppkey",
-    "convergence_summary": "SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS mean, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = count(*) THEN 'PASS' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM orders GROUP BY o_orderpriority",
+    "convergence_summary": "SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS mean, round(stddev_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS sd, round(abs(stddev_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F')), 6) AS cv, min(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS low, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS high, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = count(*) THEN 'PASS' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM orders GROUP BY o_orderpriority",
     "collapsed_edges": "SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS multiplicity, min(w) AS length, round(sum(CASE WHEN w > 0 THEN 1.0 / w ELSE 0 END), 6) AS conductance FROM (SELECT CAST(l_suppkey % 40 AS INT) AS a, CAST(l_partkey % 40 AS INT) AS b, l_quantity AS w FROM lineitem) WHERE a <> b GROUP BY ALL",
     "curvature_summary": "WITH c AS (SELECT l_linestatus, l_discount - 0.05 AS h, (l_tax - 0.04) * 0.01 AS k, l_quantity AS w FROM lineitem) SELECT l_linestatus, round(sum(w * h) / sum(w), 6) AS h_mean, round(sqrt(greatest(sum(w * h * h) / sum(w) - power(sum(w * h) / sum(w), 2), 0)), 6) AS h_sd, round(sum(w * abs(h)) / sum(w), 6) AS h_abs_mean, round(coalesce(sum(w) FILTER (WHERE k < 0), 0) / sum(w), 6) AS saddle, round(coalesce(sum(w) FILTER (WHERE k >= 0 AND h >= 0), 0) / sum(w), 6) AS convex, round(coalesce(sum(w) FILTER (WHERE k >= 0 AND h < 0), 0) / sum(w), 6) AS concave, round(coalesce(sum(w) FILTER (WHERE h * h - k < 0), 0) / sum(w), 6) AS negative_discriminant FROM c GROUP BY l_linestatus",
     "canonical_axis": _with(_BASE, "v AS (SELECT ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z FROM balls)", select="SELECT ball, round(k * x / n, 9) AS x, round(k * y / n, 9) AS y, round(k * z / n, 9) AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n, CASE WHEN z > 0 THEN 1 WHEN z < 0 THEN -1 WHEN y > 0 THEN 1 WHEN y < 0 THEN -1 ELSE sign(x) END AS k FROM v)"),

@@ -91,13 +91,16 @@ class Config:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; one of its own where unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master
+    gets a folder of its own, any other an error: executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
     spark.sparkContext.setCheckpointDir(found)
     return found

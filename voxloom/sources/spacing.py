@@ -26,6 +26,15 @@ def specimen_code(name: Column) -> Column:
     return F.upper(F.regexp_replace(stem, r"(_bone|_binary|_roi_mask|_roi|_mask)+$", ""))
 
 
+def by_code(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Files with their specimen code; a code of several files is an error that names some of them."""
+    coded = files.withColumn("code", specimen_code(F.col(path_col)))
+    twice = coded.groupBy("code").agg(F.count("*").alias("n"), F.min(path_col).alias("one"), F.max(path_col).alias("other")).filter("n > 1").limit(5).collect()
+    if twice:
+        raise SpacingError("several files for one code: " + "; ".join(f"{r['code']}: {r['one']}, {r['other']}" for r in twice))
+    return coded
+
+
 def unit_scale(unit: Column) -> Column:
     """Micrometres of a unit's name; null where unknown."""
     u = F.lower(F.trim(unit))

@@ -48,8 +48,11 @@ def pages(data: bytes) -> Iterator[dict[int, list]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise TiffError("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
     while at:
+        if at in seen:
+            raise TiffError("pages form a cycle")
+        seen.add(at)
         n = struct.unpack(order + "H", data[at : at + 2])[0]
         tags = {}
         for k in range(n):
@@ -137,6 +140,22 @@ def read_pages(data: bytes, threshold: int = 0, domain: str = "any") -> Iterator
         raise TiffError("every side needs two voxels")
 
 
+def read_volume(data: bytes, threshold: int = 0, domain: str = "any") -> tuple:
+    """(width, height, depth, x_um, y_um, z_um, packed voxels) of a whole file, spacing from its first
+    page. Whatever is wrong with the bytes is a TiffError."""
+    try:
+        found = list(read_pages(data, threshold, domain))
+    except TiffError:
+        raise
+    except (struct.error, zlib.error, ValueError, KeyError, IndexError, OverflowError, MemoryError) as why:
+        raise TiffError(f"damaged file: {why!r}") from why
+    _, w, h, *um, _ = found[0]
+    if w * h % 8 == 0:
+        return w, h, len(found), *um, b"".join(f[6] for f in found)
+    bits = [np.unpackbits(np.frombuffer(f[6], np.uint8), count=w * h) for f in found]
+    return w, h, len(found), *um, np.packbits(np.concatenate(bits)).tobytes()
+
+
 def write(volume: np.ndarray, h_um: float | None = None) -> bytes:
     """A TIFF file of a mask, one strip a page, with calibration."""
     text = b"ImageJ=1.53\nunit=um\nspacing=%r\n\0" % h_um if h_um else b"\0"
@@ -208,7 +227,8 @@ def register(spark: SparkSession) -> None:
 
 def discover(spark: SparkSession, folder: str, subdirs: tuple[str, ...] = ()) -> DataFrame:
     """TIFF files below a folder, or below some of its subfolders, with their bytes; ordered by
-    path where they are listed, not here: order is no property of a distributed table."""
+    path where they are listed, not here: order is no property of a distributed table. Spark's file
+    index leaves out files of length 0."""
     roots = [f"{folder.rstrip('/')}/{s}" for s in subdirs] or [folder]
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][iI][fF]*").load(roots).filter(F.lower("path").rlike(r"\.tiff?$"))
 
@@ -225,3 +245,23 @@ def decode(files: DataFrame, threshold: int = 0, domain: str = "any") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), target.types, strict=True)], schema=target)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+VOLUMES = "path string, width int, height int, depth int, x_um double, y_um double, z_um double, voxels binary, problem string"
+
+
+def decode_volumes(files: DataFrame, threshold: int = 0, domain: str = "any") -> DataFrame:
+    """One row for each binaryFile row: its volume, packed, or the problem that keeps it from being
+    read. Narrow; a task holds one file."""
+    target = to_arrow_schema(StructType.fromDDL(VOLUMES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    row = (path, *read_volume(content.as_py(), threshold, domain), None)
+                except TiffError as why:
+                    row = (path, *[None] * 7, str(why))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, target.types, strict=True)], schema=target)
+
+    return files.select("path", "content").mapInArrow(run, VOLUMES)
