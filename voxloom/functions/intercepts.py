@@ -33,6 +33,14 @@ class SplitMix64:
         return (self.next() >> 11) * 2.0**-53
 
 
+def first_draws(seeds: np.ndarray) -> np.ndarray:
+    """First number of the stream of each seed, all at once."""
+    z = seeds.astype(np.uint64) + np.uint64(_GOLDEN)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 def repetition_seed(seed: int, rep: int) -> int:
     return (seed ^ (rep + 1) * _GOLDEN) & _MASK
 

@@ -89,4 +89,4 @@ def radii_check(fits: DataFrame) -> DataFrame:
     eigen = 1.0 - F.col("d1") / F.col("d3")
     known = (F.col("radius_c") > 0) & (F.col("d3") > 0)
     cols = {"da": F.col("da"), "da_from_radii": F.when(known, again), "da_from_eigenvalues": F.when(known, eigen), "difference": F.when(known, F.greatest(F.abs(F.col("da") - again), F.abs(F.col("da") - eigen)))}
-    return fits.select("specimen", *[c.alias(n) for n, c in cols.items()])
+    return fits.select("specimen", *(["rep"] if "rep" in fits.columns else []), *[c.alias(n) for n, c in cols.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.voxels import ridge_limits
+from voxloom.session import cut
 
 OFFSETS6 = [o for o in product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
 OFFSETS26 = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
@@ -32,13 +33,29 @@ def neighbour_pairs(a: DataFrame, b: DataFrame, offsets: list[tuple[int, int, in
     return moved.join(other.hint("merge"), ["specimen", "nx", "ny", "nz"]).select("specimen", "x", "y", "z", "dx", "dy", "dz")
 
 
+def touching(voxels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs of set voxels of one table at the given offsets and their opposites: specimen, x, y, z, dx,
+    dy, dz, the first voxel at x, y, z. Each voxel votes once for each offset at the voxel it may
+    meet, one aggregation finds the votes that fell on set voxels, and a found pair counts both
+    ways: no join, and one row for each voxel and offset."""
+    marks = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz"), F.lit(1).cast("long").alias("bit")), *[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz"), F.lit(2 << k).cast("long").alias("bit")) for k, (a, b, c) in enumerate(offsets)])
+    votes = voxels.select("specimen", "x", "y", "z", F.explode(marks).alias("o")).select("specimen", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], "o.bit")
+    met = votes.groupBy("specimen", "x", "y", "z").agg(F.bit_or("bit").alias("bits")).filter("bits & 1 = 1 AND bits > 1")
+    there = F.explode(F.filter(F.array(*[F.struct(F.lit(2 << k).cast("long").alias("bit"), *[F.lit(-v).alias(f"d{c}") for c, v in zip("xyz", o, strict=True)]) for k, o in enumerate(offsets)]), lambda s: F.col("bits").bitwiseAND(s["bit"]) > 0))
+    one = met.select("specimen", "x", "y", "z", there.alias("o")).select("specimen", "x", "y", "z", "o.dx", "o.dy", "o.dz")
+    ways = F.explode(F.array(F.struct(*[F.col(c).alias(c) for c in ("x", "y", "z", "dx", "dy", "dz")]), F.struct(*[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"], *[(-F.col(f"d{c}")).alias(f"d{c}") for c in "xyz"])))
+    return one.select("specimen", ways.alias("w")).select("specimen", "w.*")
+
+
 def degree26(voxels: DataFrame) -> DataFrame:
-    """Number of set 26-neighbours of each voxel. Each voxel votes for its neighbours, which one
-    aggregation sums: half the rows of a self-join."""
-    votes = voxels.select("specimen", offset_rows([(0, 0, 0), *OFFSETS26]).alias("o"), "x", "y", "z").select(
-        "specimen", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.when((F.col("o.dx") == 0) & (F.col("o.dy") == 0) & (F.col("o.dz") == 0), 1).otherwise(0).alias("own")
-    )
-    return votes.groupBy("specimen", "x", "y", "z").agg((F.count("*") - F.sum("own")).alias("degree"), F.max("own").alias("own")).filter("own = 1").drop("own")
+    """Number of set 26-neighbours of each voxel: the sum over its cube, one axis at a time, less
+    itself. Each pass sums three rows for each voxel before it shuffles, instead of 27 at once."""
+    now = voxels.select("specimen", "x", "y", "z", F.lit(1).cast("long").alias("n"), F.lit(1).alias("own"))
+    for axis in "xyz":
+        moved = now.select("specimen", *[c for c in "xyz" if c != axis], "n", "own", F.col(axis).alias("at"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+        moved = moved.withColumn(axis, F.col("at") + F.col("d")).withColumn("own", F.when(F.col("d") == 0, F.col("own")).otherwise(0))
+        now = moved.groupBy("specimen", "x", "y", "z").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+    return now.filter("own = 1").select("specimen", "x", "y", "z", (F.col("n") - 1).alias("degree"))
 
 
 def ridge_table(spark: SparkSession, most: int) -> DataFrame:
@@ -81,7 +98,8 @@ def grid_representatives(points: DataFrame, cell_um: float, h_um: float) -> Data
     rows are combined before the shuffle and no window sorts them."""
     scaled = {c: (F.col(c) + 0.5) * h_um / cell_um for c in "xyz"}
     cells = {f"c{c}": F.floor(v).cast("int") for c, v in scaled.items()}
-    d2 = sum((scaled[c] - cells[f"c{c}"] - 0.5) * (scaled[c] - cells[f"c{c}"] - 0.5) for c in "xyz") * cell_um * cell_um
+    off = {c: (scaled[c] - cells[f"c{c}"] - 0.5) * cell_um for c in "xyz"}  # as the kernel rounds it, so ties are the same
+    d2 = off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"]
     best = points.select("specimen", *[v.alias(k) for k, v in cells.items()], F.struct(d2.alias("d2"), "z", "y", "x").alias("p"))
     return best.groupBy("specimen", "cx", "cy", "cz").agg(F.min("p").alias("p")).select("specimen", "cx", "cy", "cz", "p.x", "p.y", "p.z", "p.d2")
 
@@ -89,14 +107,31 @@ def grid_representatives(points: DataFrame, cell_um: float, h_um: float) -> Data
 # --- distributions -------------------------------------------------------------------------------
 
 
+def running(values: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """Rows of distinct values of a group with ``upto``, the weight of all values up to the row's, the
+    group's ``total``, and ``before``, the next smaller value (null for the smallest).
+
+    A group may hold more rows than a task: rows are dealt by ranges of value, each range sums its
+    own, and a table of one row for each group and range tells what lies before it. The ranges are
+    written to the shared folder, so both readers see the same ones.
+    """
+    dealt = cut(values.repartitionByRange(*[F.col(c) for c in by], F.col(value)).withColumn("piece", F.spark_partition_id()), "ranges")
+    pieces = dealt.groupBy(*by, "piece").agg(F.sum(weight).alias("held"), F.max(value).alias("last"))
+    order = Window.partitionBy(*by).orderBy("piece")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = pieces.select(*by, "piece", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"), F.sum("held").over(Window.partitionBy(*by)).alias("total"), F.max("last").over(ahead).alias("last"))
+    inside = Window.partitionBy(*by, "piece").orderBy(value)
+    own = dealt.select("*", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("own"), F.lag(value).over(inside).alias("beside"))
+    joined = own.join(known, [*by, "piece"])
+    return joined.select(*by, value, weight, (F.col("ahead") + F.col("own")).alias("upto"), "total", F.coalesce("beside", "last").alias("before"))
+
+
 def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: tuple[float, ...]) -> DataFrame:
     """Quantiles by interpolation over the share of weight up to and with each value. Equal values
-    are summed first, so the running window sees distinct values only."""
+    are summed first."""
     v = df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
-    w = Window.partitionBy(*by).orderBy("v")
-    run = v.withColumn("share", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(*by)))
-    run = run.withColumn("v0", F.lag("v").over(w)).withColumn("s0", F.lag("share").over(w))
-    cuts = run.select(*by, "v", "share", "v0", "s0", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")).filter((F.col("share") >= F.col("q")) & (F.coalesce("s0", F.lit(-1.0)) < F.col("q")))
+    run = running(v, by, "v", "w").select(*by, "v", (F.col("upto") / F.col("total")).alias("share"), F.col("before").alias("v0"), ((F.col("upto") - F.col("w")) / F.col("total")).alias("s0"))
+    cuts = run.select(*by, "v", "share", "v0", "s0", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")).filter((F.col("share") >= F.col("q")) & (F.col("v0").isNull() | (F.col("s0") < F.col("q"))))
     at = F.when(F.col("v0").isNull(), F.col("v")).otherwise(F.col("v0") + (F.col("v") - F.col("v0")) * (F.col("q") - F.col("s0")) / (F.col("share") - F.col("s0")))
     return cuts.select(*by, "q", at.alias("value"))
 
@@ -105,10 +140,8 @@ def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Gini coefficient of each group; null, NaN and negative values count as 0."""
     x = F.when(F.isnan(value) | (F.col(value) <= 0), 0.0).otherwise(F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     counted = df.groupBy(*by, x.alias("x")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by).orderBy("x")
     # ranks of equal values sum to k * (first + last) / 2
-    ranked = counted.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    part = ranked.withColumn("ranks", F.col("k") * (2 * F.col("upto") - F.col("k") + 1) / 2.0)
+    part = running(counted, by, "x", "k").withColumn("ranks", F.col("k") * (2 * F.col("upto") - F.col("k") + 1) / 2.0)
     n, total = F.sum("k"), F.sum(F.col("k") * F.col("x"))
     value_ = F.when(total <= 0, 0.0).otherwise(2 * F.sum(F.col("ranks") * F.col("x")) / (n * total) - (n + 1) / n)
     return part.groupBy(*by).agg(n.alias("n"), value_.alias("gini"))

@@ -42,6 +42,16 @@ def _kernel(kernel, schema: str, *cols: str, on_error: str = "keep", **digits: i
     return query
 
 
+def _wires(kernel, schema: str, *cols: str, on_error: str = "keep", **digits: int) -> Query:
+    """A kernel on the figures whose skeletons are known."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        df = M.run(X.wires(s, d), kernel, schema, on_error)
+        return _round(df.select("specimen", *cols) if cols else df, **digits)
+
+    return query
+
+
 def bv_tv(s: SparkSession, d: str) -> DataFrame:
     n = X.bone_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("bone_voxels"))
     return n.select("specimen", "bone_voxels", F.lit(9216).cast("long").alias("tv_voxels"), F.round(F.col("bone_voxels") / 9216.0, 9).alias("bv_tv"))
@@ -53,8 +63,7 @@ def phase_inside(s: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours6(s: SparkSession, d: str) -> DataFrame:
-    b = X.bone_voxels(s, d)
-    return R.neighbour_pairs(b, b, R.OFFSETS6).groupBy("specimen", "dx", "dy", "dz").agg(F.count("*").alias("pairs"))
+    return R.touching(X.bone_voxels(s, d), R.OFFSETS6[3:]).groupBy("specimen", "dx", "dy", "dz").agg(F.count("*").alias("pairs"))
 
 
 def degree26(s: SparkSession, d: str) -> DataFrame:
@@ -109,17 +118,12 @@ def orthogonality(s: SparkSession, d: str) -> DataFrame:
 
 
 def da_domain(s: SparkSession, d: str) -> DataFrame:
-    xy = s.range(24 * 24).select((F.col("id") % 24).cast("int").alias("x"), F.floor(F.col("id") / 24).cast("int").alias("y"))
-    bad = xy.filter(~X.in_disc(F.col("x"), F.col("y")))
-    # the smallest centred square that a bad column lies in; sides below all of them fit
-    def least(c: str):
-        v = F.col(c)
-        odd = lambda k: F.greatest(F.lit(0), F.when(v < 12, 24 - 2 * v).otherwise(2 * v - 22) - k)
-        return odd(0)
+    """The centred square of every specimen's region in which intercepts are sampled."""
+
+    def kernel(bone, roi, h) -> dict:
+        return dict(zip(("x0", "y0", "side"), intercepts.domain(roi), strict=True))
 
-    first = bad.select(F.greatest(least("x"), least("y")).alias("even"), F.greatest(*[F.when(F.col(c) < 11, 24 - 2 * F.col(c) - 1).otherwise(2 * F.col(c) - 21) for c in "xy"]).alias("odd"))
-    m = first.agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
-    return m.select(F.greatest(F.col("even") - 2, F.col("odd") - 2).cast("int").alias("side"))
+    return M.run(X.volumes(s, d), kernel, "x0 int, y0 int, side int", "omit")
 
 
 def weighted_quantile(s: SparkSession, d: str) -> DataFrame:
@@ -174,8 +178,8 @@ def ray_box(s: SparkSession, d: str) -> DataFrame:
 
 def splitmix64(s: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("long")
-    def draw(seed):
-        return seed.map(lambda v: intercepts.SplitMix64(v).next() >> 11)
+    def draw(seed: pd.Series) -> pd.Series:
+        return pd.Series((intercepts.first_draws(seed.to_numpy()) >> np.uint64(11)).astype(np.int64))
 
     return X.table(s, d, "part").select(F.col("p_partkey").alias("seed"), draw("p_partkey").alias("draw"))
 
@@ -311,18 +315,24 @@ def da_convergence(s: SparkSession, d: str) -> DataFrame:
     return parity.run_summary(every.withColumn("ok", F.col("status") == "OK"), ["specimen", "directions", "lines"], "da")
 
 
+_LENGTHS = {"mean_length": 6, "max_length": 6, "mean_tortuosity": 9}
+_AXIAL = {"axial_tortuosity": 9, "path_fraction": 9, "conductance": 6, "dissipation_gini": 6, "energy_error": 6}
+
+
 def graph_summary(s: SparkSession, d: str) -> DataFrame:
-    """Branch statistics by aggregation of the edge rows, beside the kernel's own."""
-    e = M.run(X.volumes(s, d), M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double", "omit")
-    return e.groupBy("specimen").agg(F.count("*").alias("branches"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"), F.avg(F.when(F.col("distance") > 0, F.col("length") / F.col("distance"))).alias("mean_tortuosity"))
+    """Branch statistics by aggregation of the edge rows."""
+    e = M.run(X.wires(s, d), M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double", "omit")
+    bent = F.avg(F.when(F.col("distance") > 0, F.col("length") / F.col("distance")))
+    return _round(e.groupBy("specimen").agg(F.count("*").alias("branches"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"), bent.alias("mean_tortuosity")), **_LENGTHS)
 
 
 def skeleton_block(s: SparkSession, d: str) -> DataFrame:
-    return report.skeleton_block(M.run(X.volumes(s, d), M.graph, M.GRAPH, "omit"), F.lit(9216 * 25.0**3))
+    out = report.skeleton_block(M.run(X.wires(s, d), M.graph, M.GRAPH, "omit"), F.lit(13824 * 25.0**3))
+    return _round(out, **{c: 9 if c == "mean_tortuosity" else 6 for c in out.columns[1:]})
 
 
 def terminals(s: SparkSession, d: str) -> DataFrame:
-    n = M.run(X.volumes(s, d), M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean", "omit")
+    n = M.run(X.wires(s, d), M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean", "omit")
     return n.groupBy("specimen").agg(F.count_if("top").alias("top"), F.count_if("bottom").alias("bottom"), F.count_if(F.col("top") & F.col("bottom")).alias("both"))
 
 
@@ -330,8 +340,31 @@ _COUNTS = "d2 long, n long"
 _TH = {"mean": 3, "sd": 3, "max": 3}
 _Q = dict.fromkeys(("p10", "p25", "median", "p75", "p90"), 3)
 
+_DIST = {"mean": 3, "sd": 3, "max": 3, **_Q, "iqr": 2, "cv": 5}
+_SURFACE = {"area": 2, "vertex_area": 2, "volume": 0}
+_DIGITS = {"conn_density": 15, "b0_density": 15, "b1_density": 15, "b2_density": 15, "bv_tv": 9, "bs_bv": 9, "bs_tv": 9, "delta_chi": 6, "connectivity": 6, "breadth": 6, "th_cv": 5, "sp_cv": 5}
+
+
 def radii_check(s: SparkSession, d: str) -> DataFrame:
-    return parity.radii_check(quadric_fit(s, d).filter("status = 'OK'"))
+    """Whether radii and eigenvalues of each fit tell the same anisotropy as the fit."""
+    rows = parity.radii_check(quadric_fit(s, d).filter("status = 'OK'"))
+    return rows.select("specimen", "rep", (F.col("difference") < 1e-9).alias("agree"))
+
+
+def schema(mode: str) -> Query:
+    """Result rows of a mode, doubles rounded to what sums in another order still share."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        rows = report.analyse(X.volumes(s, d), mode)
+        return _round(rows, **{f.name: _DIGITS.get(f.name, 3) for f in rows.schema if f.dataType.simpleString() == "double" and f.name not in ("bv", "tv", "bs")})
+
+    return query
+
+
+def skeleton_topology(s: SparkSession, d: str) -> DataFrame:
+    """Tunnels and voids of the skeletons of all ball specimens, which are those of the bone. (A small
+    piece may vanish as a whole, so the number of pieces is no invariant.)"""
+    return M.run(X.volumes(s, d), M.skeleton, M.SKELETON, "omit").select("specimen", "b1", "b2")
 
 
 def header_names(s: SparkSession, d: str) -> DataFrame:
@@ -363,36 +396,40 @@ QUERIES: dict[str, Query] = {
     "tb_th": _kernel(M.thickness(True), M.DISTRIBUTION, *_TH, on_error="omit", **_TH),
     "tb_sp": _kernel(M.thickness(False), M.DISTRIBUTION, *_TH, on_error="omit", **_TH),
     "thickness_quantiles": _kernel(M.thickness(True), M.DISTRIBUTION, *_Q, on_error="omit", **_Q),
-    "thickness_clean": _kernel(M.thickness(True), M.DISTRIBUTION),
-    "thickness_stats": _kernel(M.thickness(False), M.DISTRIBUTION),
-    "thickness_raw": _kernel(M.thickness(True, clean=False), M.DISTRIBUTION),
+    "thickness_clean": _kernel(M.thickness(True), M.DISTRIBUTION, **_DIST),
+    "thickness_stats": _kernel(M.thickness(False), M.DISTRIBUTION, **_DIST),
+    "thickness_raw": _kernel(M.thickness(True, clean=False), M.DISTRIBUTION, **_DIST),
     "mesh_surface_area": _kernel(M.surface, M.SURFACE, "area", on_error="omit", area=3),
     "midpoint_mesh": lambda s, d: _kernel(M.surface, M.SURFACE, "midpoint_area", on_error="omit", midpoint_area=3)(s, d).withColumnRenamed("midpoint_area", "area"),
     "surface_cases": _kernel(M.surface_cases, "case int, n long", on_error="omit"),
-    "vertex_area": _kernel(M.isosurface(30.0), M.ISOSURFACE, "area", "vertex_area", on_error="omit"),
-    "isosurface": _kernel(M.isosurface(30.0), M.ISOSURFACE),
+    "vertex_area": _kernel(M.isosurface(30.0), M.ISOSURFACE, "area", "vertex_area", on_error="omit", area=2, vertex_area=2),
+    "isosurface": _kernel(M.isosurface(30.0), M.ISOSURFACE, on_error="omit", **_SURFACE),
     "sdf": _kernel(M.field("distance"), M.FIELD, "n", "high", "low", "total", "squares", on_error="omit", high=6, low=6, total=3),
     "gaussian_smooth": _kernel(M.field("smooth"), M.FIELD, "n", "high", "low", "total", on_error="omit", high=4, low=4, total=2),
-    "curvature_grid": _kernel(M.field("curvature"), M.FIELD),
+    "curvature_grid": _kernel(M.field("curvature"), M.FIELD, on_error="omit", low=6, high=6, total=4, squares=4),
     "curvature_stats": wide(M.curvature(), M.CURVATURE),
     "curvature_summary": curvature_summary,
     "w102": wide(M.w102(), M.W102),
     "euler_lut": euler_lut,
-    "skeleton": _kernel(M.skeleton, M.SKELETON),
-    "junction_clusters": _kernel(M.graph, M.GRAPH, "junction_voxels", "junction_clusters", on_error="omit"),
-    "skeleton_degree": lambda s, d: M.run(X.volumes(s, d), M.skeleton_points, "x int, y int, z int, degree int", "omit").groupBy("specimen", "degree").agg(F.count("*").alias("voxels")),
-    "graph_stats": _kernel(M.graph, M.GRAPH),
-    "graph_edges": _kernel(M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double"),
-    "compressed_graph": _kernel(M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean"),
+    "skeleton": _wires(M.skeleton, M.SKELETON),
+    "skeleton_topology": skeleton_topology,
+    "skeleton_balls": _kernel(M.skeleton, M.SKELETON),
+    "junction_clusters": _wires(M.graph, M.GRAPH, "junction_voxels", "junction_clusters", on_error="omit"),
+    "skeleton_degree": lambda s, d: M.run(X.wires(s, d), M.skeleton_points, "x int, y int, z int, degree int", "omit").groupBy("specimen", "degree").agg(F.count("*").alias("voxels")),
+    "graph_stats": _wires(M.graph, M.GRAPH, **_LENGTHS),
+    "graph_stats_balls": _kernel(M.graph, M.GRAPH),
+    "graph_edges": _wires(M.graph_edges, "edge int, u int, v int, length double, pure_cycle boolean, distance double", length=6, distance=6),
+    "compressed_graph": _wires(M.graph_nodes, "node int, x int, y int, z int, voxels int, top boolean, bottom boolean"),
     "graph_summary": graph_summary,
     "skeleton_block": skeleton_block,
     "terminals": terminals,
     "collapsed_edges": collapsed_edges,
-    "axial_graph": _kernel(M.axial, M.AXIAL),
-    "axial_shortest_path": _kernel(M.axial, M.AXIAL, "axial_tortuosity", on_error="omit"),
-    "edge_connectivity": _kernel(M.axial, M.AXIAL, "edge_connectivity", "n_top", "n_bottom", on_error="omit"),
-    "cz_fraction": _kernel(M.axial, M.AXIAL, "path_fraction", on_error="omit"),
-    "dissipation_gini": _kernel(M.axial, M.AXIAL, "dissipation_gini", "conductance", "energy_error", on_error="omit"),
+    "axial_graph": _wires(M.axial, M.AXIAL, **_AXIAL),
+    "axial_graph_foam": lambda s, d: M.run(X.foam(s, d), M.axial, M.AXIAL),
+    "axial_shortest_path": _wires(M.axial, M.AXIAL, "axial_tortuosity", axial_tortuosity=9),
+    "edge_connectivity": _wires(M.axial, M.AXIAL, "edge_connectivity", "n_top", "n_bottom"),
+    "cz_fraction": _wires(M.axial, M.AXIAL, "path_fraction", path_fraction=9),
+    "dissipation_gini": _wires(M.axial, M.AXIAL, "dissipation_gini", "conductance", "energy_error", **{k: _AXIAL[k] for k in ("dissipation_gini", "conductance", "energy_error")}),
     "gini": gini,
     "weighted_quantile": weighted_quantile,
     "rep_summary": rep_summary,
@@ -403,10 +440,10 @@ QUERIES: dict[str, Query] = {
     "plate_rod": _kernel(M.plate_rod(), M.PLATE_ROD),
     "grid_representatives": grid_representatives,
     "orientation_samples": _kernel(M.orientation_samples, "x int, y int, z int, kind string, vx double, vy double, vz double, ef double, thickness_vox double, radius_vox int"),
-    "soi": _kernel(M.soi, M.SOI),
-    "t50": _kernel(M.soi, M.SOI, "t50", "n_grid_representatives", on_error="omit"),
+    "soi": lambda s, d: M.run(X.foam(s, d), M.soi, M.SOI),
+    "t50": _wires(M.soi, M.SOI, "t50", "n_grid_representatives"),
     "orientation_kde": orientation_kde,
-    "orientation_density": orientation_density,
+    "orientation_density": lambda s, d: _round(orientation_density(s, d), pdf=6),
     "canonical_axis": canonical_axis,
     "axis_angles": axis_angles,
     "axis_angle": axis_angle,
@@ -431,7 +468,7 @@ QUERIES: dict[str, Query] = {
     "parity_report": parity_report,
     "radii_check": radii_check,
     "header_names": header_names,
-    **{f"schema_{mode}": (lambda s, d, mode=mode: report.analyse(X.volumes(s, d), mode)) for mode in ("bonej", "classic", "refined", "experimental")},
+    **{f"schema_{mode}": schema(mode) for mode in ("bonej", "classic", "refined", "experimental")},
     "schema_standard": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-")),
     "families_core": lambda s, d: report.analyse(X.volumes(s, d), "standard", Config(roi_dir="-", preset="core")),
     "descriptor_catalog": lambda s, d: report.catalogue(s),

@@ -93,3 +93,86 @@ def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wi
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = found.repartition(tasks, "specimen").groupBy("specimen").agg(F.sort_array(F.collect_list(F.struct("ball", "cx", "cy", "cz", "r"))).alias("balls"))
     return held.mapInArrow(run, "specimen int, width int, height int, depth int, h_um double, bone binary, roi binary")
+
+
+#: Cells of the wire fixture: 4 x 6 places, a figure in each.
+WIRE_X, WIRE_Y = 4, 6
+
+
+def wire_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """specimen, x0, y0, z0, kind, length: the figure of each cell, from the cell's first part. Kinds:
+    0 straight line from top to bottom, 1 zigzag, 2 short line, 3 line with an arm, 4 ring of four."""
+    k = F.col("p_partkey")
+    cell = ((k * 7919 + 13) % (WIRE_X * WIRE_Y)).cast("int")
+    parts = table(spark, sf_dir, "part").select(F.floor(k / float(PARTS)).cast("int").alias("specimen"), cell.alias("cell"), F.struct(k, (F.col("p_size") % 5).cast("int").alias("kind")).alias("part"))
+    first = parts.groupBy("specimen", "cell").agg(F.min("part").alias("part"))
+    key, c = F.col("part.p_partkey"), F.col("cell")
+    return first.select(
+        "specimen", (6 * (c % WIRE_X) + 1).alias("x0"), (4 * F.floor(c / float(WIRE_X)) + 1).cast("int").alias("y0"), (3 + (key * 104729 + 7) % 18).cast("int").alias("z0"),
+        F.col("part.kind").alias("kind"), (2 + key % 15).cast("int").alias("length"),
+    )
+
+
+def draw_wire(v: np.ndarray, x: int, y: int, z: int, kind: int, length: int) -> None:
+    """Set the voxels of one figure in an array [z, y, x]."""
+    if kind in (0, 3):
+        v[:, y, x] = True
+    if kind == 1:
+        v[::2, y, x] = v[1::2, y, x + 1] = True
+    if kind == 2:
+        v[3 : 3 + length, y, x] = True
+    if kind == 3:
+        v[z, y, x + 1 : x + 4] = True
+    if kind == 4:
+        v[z, [y, y + 1, y, y - 1], [x, x + 1, x + 2, x + 1]] = True
+
+
+def wires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specimens of thin figures that their skeletons repeat, all connected ones from top to bottom or
+    within; the region is the whole image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                bone = np.zeros((N, N, N), bool)
+                for f in row["figures"]:
+                    draw_wire(bone, f["x0"], f["y0"], f["z0"], f["kind"], f["length"])
+                yield pa.RecordBatch.from_pydict({"specimen": [row["specimen"]], "width": [N], "height": [N], "depth": [N], "h_um": [H_UM], "bone": [np.packbits(bone).tobytes()], "roi": [None]}, schema=VOLUME_SCHEMA(pa.int32()))
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = wire_figures(spark, sf_dir).repartition(tasks, "specimen").groupBy("specimen").agg(F.collect_list(F.struct("x0", "y0", "z0", "kind", "length")).alias("figures"))
+    return held.mapInArrow(run, "specimen int, width int, height int, depth int, h_um double, bone binary, roi binary")
+
+
+FOAM_N, FOAM_PARTS = 48, 80
+
+
+def draw_element(v: np.ndarray, centre: tuple[int, int, int], axis: tuple[int, int, int], plate: bool) -> None:
+    """A plate (a disc of radius 10 and thickness 3) or a rod (radius 1.5, length 40) across its centre."""
+    g = np.arange(v.shape[0], dtype=np.float64)
+    d = np.stack(np.broadcast_arrays(g - centre[0], (g - centre[1])[:, None], (g - centre[2])[:, None, None]), axis=-1)
+    u = np.array(axis, float) / np.linalg.norm(axis)
+    along = d @ u
+    across = (d * d).sum(axis=-1) - along * along
+    v |= (np.abs(along) <= 1.5) & (across <= 100) if plate else (np.abs(along) <= 20) & (across <= 2.25)
+
+
+def foam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected specimens of 48 voxels a side with many plates and rods, one for each run of 80 parts:
+    even sizes are plates, odd ones rods. The region is the whole image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                bone = np.zeros((FOAM_N,) * 3, bool)
+                for e in row["elements"]:
+                    draw_element(bone, (e["cx"], e["cy"], e["cz"]), (e["ux"], e["uy"], e["uz"]), e["plate"])
+                yield pa.RecordBatch.from_pydict({"specimen": [row["specimen"]], "width": [FOAM_N], "height": [FOAM_N], "depth": [FOAM_N], "h_um": [H_UM], "bone": [np.packbits(bone).tobytes()], "roi": [None]}, schema=VOLUME_SCHEMA(pa.int32()))
+
+    k = F.col("p_partkey")
+    at = lambda m, a, n: ((k * m + a) % n).cast("int")
+    element = F.struct(k, at(7919, 13, FOAM_N).alias("cx"), at(104729, 7, FOAM_N).alias("cy"), at(1299709, 3, FOAM_N).alias("cz"), (at(31, 5, 7) - 3).alias("ux"), (at(57, 2, 9) - 4).alias("uy"), (at(13, 4, 5) + 1).alias("uz"), (F.col("p_size") % 2 == 0).alias("plate"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = table(spark, sf_dir, "part").select(F.floor(k / float(FOAM_PARTS)).cast("int").alias("specimen"), element.alias("element"))
+    held = parts.repartition(tasks, "specimen").groupBy("specimen").agg(F.sort_array(F.collect_list("element")).alias("elements"))
+    return held.mapInArrow(run, "specimen int, width int, height int, depth int, h_um double, bone binary, roi binary")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from voxloom.functions.surfaces import case_areas
+from voxloom.plans import oracle_figures, oracle_surfaces
 
 _BASE = """
 balls AS (SELECT CAST(floor(p_partkey / 40.0) AS INT) AS s, p_partkey AS ball, CAST((p_partkey * 7919 + 13) % 24 AS INT) AS cx,
@@ -80,16 +80,45 @@ def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n" + select
 
 
-def _areas(snap: str) -> str:
-    return "areas(c, a) AS (VALUES " + ", ".join(f"({i}, CAST({a!r} AS DOUBLE))" for i, a in enumerate(map(float, case_areas(snap)))) + ")"
-
-
 _CASES = """
 corner AS (SELECT CAST(a.i AS INT) AS ux, CAST(b.i AS INT) AS uy, CAST(c.i AS INT) AS uz, CAST(a.i + 2 * b.i + 4 * c.i AS INT) AS bit FROM range(2) a(i), range(2) b(i), range(2) c(i)),
 cubes AS (SELECT s, x - ux AS x, y - uy AS y, z - uz AS z, 255 - sum(1 << bit) AS c FROM bone, corner GROUP BY ALL)"""
 _TH_STATS = "SELECT s AS specimen, round(avg(v), 3) AS mean, round(coalesce(stddev_samp(v), 0), 3) AS sd, round(max(v), 3) AS max FROM scaled GROUP BY s"
 _TH_Q = "SELECT s AS specimen, {} FROM scaled GROUP BY s".format(", ".join(f"round(quantile_cont(CAST(t AS DOUBLE), {q}) * 25, 3) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))))
 
+_SMOOTH = (
+    _BASE, _GRID.replace("LEFT JOIN bone ON bone.s", "LEFT JOIN solid bone ON bone.s"), _edt("bone"), _edt("NOT bone").replace("f0", "h0").replace("f1", "h1").replace("f2", "h2").replace("edt", "edu"),
+    "raww AS (SELECT CAST(i AS INT) AS k, exp(-0.5 * power(i / 1.2, 2)) AS v FROM range(-5, 6) t(i))", "w AS (SELECT k, v / (SELECT sum(v) FROM raww) AS v FROM raww)",
+    "phi AS (SELECT s, x, y, z, 25.0 * (sqrt(edt.d2) - sqrt(edu.d2)) AS v FROM edt JOIN edu USING (s, x, y, z))",
+    "e1 AS (SELECT s, x, y, z, least(greatest(x + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s1 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e1 e JOIN phi ON phi.s = e.s AND phi.x = e.q AND phi.y = e.y AND phi.z = e.z GROUP BY ALL)",
+    "e2 AS (SELECT s, x, y, z, least(greatest(y + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s2 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e2 e JOIN s1 ON s1.s = e.s AND s1.y = e.q AND s1.x = e.x AND s1.z = e.z GROUP BY ALL)",
+    "e3 AS (SELECT s, x, y, z, least(greatest(z + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s3 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e3 e JOIN s2 ON s2.s = e.s AND s2.z = e.q AND s2.x = e.x AND s2.y = e.y GROUP BY ALL)",
+)
+_BETTI = (
+    "runs AS (SELECT s, y, z, min(x) AS lo, max(x) AS hi, row_number() OVER () AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY s, y, z ORDER BY x) AS k FROM bone) GROUP BY s, y, z, k)",
+    "touch AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.s = b.s AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1 AND a.id <> b.id)",
+    "reach(id, root) AS (SELECT id, id FROM runs UNION SELECT touch.b, root FROM reach JOIN touch ON touch.a = reach.id WHERE touch.b > root)",
+    "b0 AS (SELECT s, count(*) AS b0 FROM runs WHERE id NOT IN (SELECT id FROM reach WHERE root < id) GROUP BY s)",
+    "void AS (SELECT s, y, z, min(x) AS lo, max(x) AS hi, row_number() OVER () AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY s, y, z ORDER BY x) AS k FROM (SELECT sp.s, a.i AS x, b.i AS y, c.i AS z FROM sp, g a, g b, g c EXCEPT SELECT s, x, y, z FROM bone)) GROUP BY s, y, z, k)",
+    "vtouch AS (SELECT a.id AS a, b.id AS b FROM void a JOIN void b ON a.s = b.s AND abs(a.y - b.y) + abs(a.z - b.z) = 1 AND a.lo <= b.hi AND b.lo <= a.hi)",
+    "outer_(id) AS (SELECT id FROM void WHERE lo = 0 OR hi = 23 OR y IN (0, 23) OR z IN (0, 23) UNION SELECT vtouch.b FROM outer_ JOIN vtouch ON vtouch.a = outer_.id)",
+    "inner_ AS (SELECT * FROM void WHERE id NOT IN (SELECT id FROM outer_))",
+    "vreach(id, root) AS (SELECT id, id FROM inner_ UNION SELECT vtouch.b, root FROM vreach JOIN vtouch ON vtouch.a = vreach.id WHERE vtouch.b > root)",
+    "b2 AS (SELECT s, count(*) AS b2 FROM inner_ WHERE id NOT IN (SELECT id FROM vreach WHERE root < id) GROUP BY s)",
+)
+#: Runs of one component on the lowest and on the highest layer with bone.
+_SPANS = """
+rooted AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+span AS (SELECT s, max(CAST(low AND high AS INT)) = 1 AS spans FROM (SELECT s, root, max(CAST(z = lo_z AS INT)) = 1 AS low, max(CAST(z = hi_z AS INT)) = 1 AS high, min(lo_z) < min(hi_z) AS layers
+  FROM runs JOIN rooted USING (id) JOIN (SELECT s, min(z) AS lo_z, max(z) AS hi_z FROM runs GROUP BY s) USING (s) GROUP BY s, root) WHERE layers GROUP BY s)"""
+
+
+def _distribution(source: str) -> str:
+    cut = {n: f"quantile_cont(CAST(t AS DOUBLE), {q}) * 25" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))}
+    shown = ", ".join(f"round({c}, 3) AS {n}" for n, c in cut.items())
+    return f"SELECT s AS specimen, round(avg(v), 3) AS mean, round(coalesce(stddev_samp(v), 0), 3) AS sd, round(max(v), 3) AS max, {shown}, round({cut['p75']} - {cut['p25']}, 2) AS iqr, round(coalesce(stddev_samp(v), 0) / avg(v), 5) AS cv, 'OK' AS status, CAST(NULL AS VARCHAR) AS error FROM {source} GROUP BY s"
+
+
 ORACLES: dict[str, str] = {
     "bv_tv": _with(_BASE, select="SELECT s AS specimen, count(*) AS bone_voxels, CAST(9216 AS BIGINT) AS tv_voxels, round(count(*) / 9216.0, 9) AS bv_tv FROM bone GROUP BY s"),
     "phase_inside": _with(_BASE, select="SELECT s AS specimen, count(*) AS solid, count(disc.x) AS inside, 9216 - count(disc.x) AS marrow FROM solid LEFT JOIN disc USING (x, y) GROUP BY s"),
@@ -101,20 +130,7 @@ ORACLES: dict[str, str] = {
     "mean_breadth": _with(_BASE, _CELLS, select="SELECT s AS specimen, round(breadth * 25, 6) AS breadth FROM measures"),
     "edge_correction": _with(_BASE, _CELLS, select="SELECT s AS specimen, round(correction, 6) AS edge_correction, round(euler - correction, 6) AS delta_chi, round(1 - (euler - correction), 6) AS connectivity FROM measures"),
     "conn_density": _with(_BASE, _CELLS, select="SELECT s AS specimen, round((1 - (euler - correction)) / 9216.0, 9) AS conn_per_voxel FROM measures"),
-    "betti": _with(
-        _BASE, _CELLS,
-        "runs AS (SELECT s, y, z, min(x) AS lo, max(x) AS hi, row_number() OVER () AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY s, y, z ORDER BY x) AS k FROM bone) GROUP BY s, y, z, k)",
-        "touch AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.s = b.s AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1 AND a.id <> b.id)",
-        "reach(id, root) AS (SELECT id, id FROM runs UNION SELECT touch.b, root FROM reach JOIN touch ON touch.a = reach.id WHERE touch.b > root)",
-        "b0 AS (SELECT s, count(*) AS b0 FROM runs WHERE id NOT IN (SELECT id FROM reach WHERE root < id) GROUP BY s)",
-        "void AS (SELECT s, y, z, min(x) AS lo, max(x) AS hi, row_number() OVER () AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY s, y, z ORDER BY x) AS k FROM (SELECT sp.s, a.i AS x, b.i AS y, c.i AS z FROM sp, g a, g b, g c EXCEPT SELECT s, x, y, z FROM bone)) GROUP BY s, y, z, k)",
-        "vtouch AS (SELECT a.id AS a, b.id AS b FROM void a JOIN void b ON a.s = b.s AND abs(a.y - b.y) + abs(a.z - b.z) = 1 AND a.lo <= b.hi AND b.lo <= a.hi)",
-        "outer_(id) AS (SELECT id FROM void WHERE lo = 0 OR hi = 23 OR y IN (0, 23) OR z IN (0, 23) UNION SELECT vtouch.b FROM outer_ JOIN vtouch ON vtouch.a = outer_.id)",
-        "inner_ AS (SELECT * FROM void WHERE id NOT IN (SELECT id FROM outer_))",
-        "vreach(id, root) AS (SELECT id, id FROM inner_ UNION SELECT vtouch.b, root FROM vreach JOIN vtouch ON vtouch.a = vreach.id WHERE vtouch.b > root)",
-        "b2 AS (SELECT s, count(*) AS b2 FROM inner_ WHERE id NOT IN (SELECT id FROM vreach WHERE root < id) GROUP BY s)",
-        select="SELECT s AS specimen, b0, CAST(b0 + coalesce(b2, 0) - euler AS BIGINT) AS b1, coalesce(b2, 0) AS b2 FROM b0 JOIN measures USING (s) LEFT JOIN b2 USING (s)", recursive=True,
-    ),
+    "betti": _with(_BASE, _CELLS, *_BETTI, select="SELECT s AS specimen, b0, CAST(b0 + coalesce(b2, 0) - euler AS BIGINT) AS b1, coalesce(b2, 0) AS b2 FROM b0 JOIN measures USING (s) LEFT JOIN b2 USING (s)", recursive=True),
     "edt_squared": _with(_BASE, _GRID, _edt("bone"), select="SELECT s AS specimen, CAST(d2 AS BIGINT) AS d2, count(*) AS n FROM edt WHERE d2 > 0 GROUP BY ALL"),
     "ridge_templates": _with(_LIMITS, select="SELECT * FROM limits WHERE r2 <= 100"),
     "distance_ridge": _with(_BASE, _GRID, _D3, _LIMITS, _edt("bone"), _RIDGE_JOIN, select="SELECT s AS specimen, CAST(d2 AS BIGINT) AS d2, count(*) AS n FROM ridge GROUP BY ALL"),
@@ -122,8 +138,8 @@ ORACLES: dict[str, str] = {
     "tb_th": _with(_BASE, _GRID, _D3, _LIMITS, _edt("bone"), _RIDGE_JOIN, _BALLS, _THICK.format(want="bone"), select=_TH_STATS),
     "tb_sp": _with(_BASE, _GRID, _D3, _LIMITS, "inside AS (SELECT grid.*, disc.x IS NOT NULL AS roi FROM grid LEFT JOIN disc USING (x, y))", _edt("roi AND NOT bone").replace("FROM grid", "FROM inside"), _RIDGE_JOIN, _BALLS, _THICK.format(want="roi AND NOT bone").replace("FROM grid LEFT JOIN cover", "FROM inside AS grid LEFT JOIN cover"), select=_TH_STATS),
     "thickness_quantiles": _with(_BASE, _GRID, _D3, _LIMITS, _edt("bone"), _RIDGE_JOIN, _BALLS, _THICK.format(want="bone"), select=_TH_Q),
-    "mesh_surface_area": _with(_BASE, _CASES, _areas("foreground"), select="SELECT s AS specimen, round(sum(a) * 625, 3) AS area FROM cubes JOIN areas USING (c) GROUP BY s"),
-    "midpoint_mesh": _with(_BASE, _CASES, _areas("middle"), select="SELECT s AS specimen, round(sum(a) * 625, 3) AS area FROM cubes JOIN areas USING (c) GROUP BY s"),
+    "mesh_surface_area": _with(_BASE, _CASES, oracle_surfaces.CASE_SQL, oracle_surfaces.areas("foreground"), select="SELECT s AS specimen, round(sum(a) * 625, 3) AS area FROM cubes JOIN areas USING (c) GROUP BY s", recursive=True),
+    "midpoint_mesh": _with(_BASE, _CASES, oracle_surfaces.CASE_SQL, oracle_surfaces.areas("middle"), select="SELECT s AS specimen, round(sum(a) * 625, 3) AS area FROM cubes JOIN areas USING (c) GROUP BY s", recursive=True),
     "surface_cases": _with(_BASE, _CASES, select='SELECT s AS specimen, CAST(c AS INT) AS "case", count(*) AS n FROM cubes WHERE c > 0 GROUP BY ALL'),
     "sdf": _with(
         _BASE, _GRID.replace("LEFT JOIN bone ON bone.s", "LEFT JOIN solid bone ON bone.s"), _edt("bone"),
@@ -168,15 +184,7 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
     "input_qc": _with(_BASE, select="SELECT s AS specimen, count(*) AS foreground, 13824 - count(*) AS background, true AS both_phases, CAST(NULL AS VARCHAR) AS warning FROM solid GROUP BY s"),
     "header_names": "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'BV' WHEN 1 THEN 'TV' WHEN 2 THEN 'BV/TV' WHEN 3 THEN 'Tb.Th Mean' WHEN 4 THEN 'Connectivity density' WHEN 5 THEN 'Euler change/correction' WHEN 6 THEN 'Euler characteristic' END AS name FROM supplier",
     "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier WHERE s_suppkey < 1000) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
-    "gaussian_smooth": _with(
-        _BASE, _GRID.replace("LEFT JOIN bone ON bone.s", "LEFT JOIN solid bone ON bone.s"), _edt("bone"), _edt("NOT bone").replace("f0", "h0").replace("f1", "h1").replace("f2", "h2").replace("edt", "edu"),
-        "raww AS (SELECT CAST(i AS INT) AS k, exp(-0.5 * power(i / 1.2, 2)) AS v FROM range(-5, 6) t(i))", "w AS (SELECT k, v / (SELECT sum(v) FROM raww) AS v FROM raww)",
-        "phi AS (SELECT s, x, y, z, 25.0 * (sqrt(edt.d2) - sqrt(edu.d2)) AS v FROM edt JOIN edu USING (s, x, y, z))",
-        "e1 AS (SELECT s, x, y, z, least(greatest(x + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s1 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e1 e JOIN phi ON phi.s = e.s AND phi.x = e.q AND phi.y = e.y AND phi.z = e.z GROUP BY ALL)",
-        "e2 AS (SELECT s, x, y, z, least(greatest(y + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s2 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e2 e JOIN s1 ON s1.s = e.s AND s1.y = e.q AND s1.x = e.x AND s1.z = e.z GROUP BY ALL)",
-        "e3 AS (SELECT s, x, y, z, least(greatest(z + k, 0), 23) AS q, w.v AS w FROM phi CROSS JOIN w)", "s3 AS (SELECT e.s, e.x, e.y, e.z, sum(w * v) AS v FROM e3 e JOIN s2 ON s2.s = e.s AND s2.z = e.q AND s2.x = e.x AND s2.y = e.y GROUP BY ALL)",
-        select="SELECT s AS specimen, count(*) AS n, round(max(v), 4) AS high, round(min(v), 4) AS low, round(sum(v), 2) AS total FROM s3 GROUP BY s",
-    ),
+    "gaussian_smooth": _with(*_SMOOTH, select="SELECT s AS specimen, count(*) AS n, round(max(v), 4) AS high, round(min(v), 4) AS low, round(sum(v), 2) AS total FROM s3 GROUP BY s"),
     "orientation_kde": _with(
         _BASE, "v AS (SELECT ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls WHERE s = 0)", "t AS (SELECT ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
         "m AS (SELECT CASE WHEN a > pi() / 2 THEN a - pi() WHEN a <= -pi() / 2 THEN a + pi() ELSE a END AS theta, phi FROM t)",
@@ -186,5 +194,59 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
         select="SELECT i, j, round(sum(a * b) / (2 * pi() * power(radians(4.5), 2) * (SELECT count(*) FROM m)), 6) AS pdf FROM tv JOIN pv USING (theta, phi) GROUP BY i, j",
     ),
 }
+_TH_PARTS = (_BASE, _GRID, _D3, _LIMITS, _edt("bone"), _RIDGE_JOIN, _BALLS, _THICK.format(want="bone"))
+_SP_PARTS = (_BASE, _GRID, _D3, _LIMITS, "inside AS (SELECT grid.*, disc.x IS NOT NULL AS roi FROM grid LEFT JOIN disc USING (x, y))", _edt("roi AND NOT bone").replace("FROM grid", "FROM inside"), _RIDGE_JOIN, _BALLS, _THICK.format(want="roi AND NOT bone").replace("FROM grid LEFT JOIN cover", "FROM inside AS grid LEFT JOIN cover"))
+_RAW = "raw AS (SELECT cover.s, CAST(2 AS FLOAT) * CAST(sqrt(CAST(r2 AS DOUBLE)) AS FLOAT) AS t FROM cover JOIN bone USING (s, x, y, z)), rawscaled AS (SELECT s, t, CAST(t * CAST(25 AS FLOAT) AS DOUBLE) AS v FROM raw)"
+ORACLES |= {
+    "thickness_clean": _with(*_TH_PARTS, select=_distribution("scaled")),
+    "thickness_stats": _with(*_SP_PARTS, select=_distribution("scaled")),
+    "thickness_raw": _with(*_TH_PARTS[:-1], _RAW, select=_distribution("rawscaled")),
+    "spanning": _with(_BASE, _CELLS, *_BETTI, _SPANS, select="SELECT sp.s AS specimen, coalesce(spans, false) AS spans FROM sp LEFT JOIN span USING (s)", recursive=True),
+    "betti_density": _with(_BASE, _CELLS, *_BETTI, _SPANS, select="SELECT s AS specimen, b0 / 144000000.0 AS b0_density, (b0 + coalesce(b2, 0) - euler) / 144000000.0 AS b1_density, coalesce(b2, 0) / 144000000.0 AS b2_density, coalesce(spans, false) AS spans FROM b0 JOIN measures USING (s) LEFT JOIN b2 USING (s) LEFT JOIN span USING (s)", recursive=True),
+    "skeleton_topology": "SELECT specimen, b1, b2 FROM (" + ORACLES["betti"] + ")",
+    "isosurface": _with(*_SMOOTH, oracle_surfaces.CASE_SQL, oracle_surfaces.LEVEL_SQL, select="SELECT s AS specimen, vertices, triangles, round(area, 2) AS area, round(area, 2) AS vertex_area, round(volume, 0) AS volume FROM surface JOIN points USING (s)", recursive=True),
+    "vertex_area": _with(*_SMOOTH, oracle_surfaces.CASE_SQL, oracle_surfaces.LEVEL_SQL, select="SELECT s AS specimen, round(area, 2) AS area, round(area, 2) AS vertex_area FROM surface", recursive=True),
+    "curvature_grid": _with(*_SMOOTH, oracle_surfaces.CURVATURE_SQL, select="SELECT s AS specimen, count(*) AS n, round(min(h), 6) AS low, round(max(h), 6) AS high, round(sum(h), 4) AS total, round(sum(h * h), 4) AS squares FROM curved GROUP BY s"),
+    "da_domain": _with(_BASE, select="SELECT sp.s AS specimen, CAST((24 - d.side) // 2 AS INT) AS x0, CAST((24 - d.side) // 2 AS INT) AS y0, d.side FROM sp, (" + ORACLES["da_domain"] + ") d"),
+    "window_points": _with(_BASE, select="SELECT balls.s AS specimen, ball AS seed, x, y, z FROM balls JOIN bone ON bone.s = balls.s AND abs(x - cx) <= 4 AND abs(y - cy) <= 4 AND abs(z - cz) <= 4"),
+    "tiff_roundtrip": _with(_BASE, select="SELECT s AS specimen, CAST(24 AS BIGINT) AS pages, CAST(8 + 24 * (24 * 24 + 2 * ((length('ImageJ=1.53') + length('unit=um') + length('spacing=25.0') + 4 + 1) // 2) + 4 * 4 + 2 + 13 * 12 + 4) AS BIGINT) AS bytes, 25.0 AS h, true AS same, 'OK' AS status, CAST(NULL AS VARCHAR) AS error FROM sp"),
+    "radii_check": _with(_BASE, select="SELECT s AS specimen, CAST(i AS INT) AS rep, true AS agree FROM sp, range(5) t(i)"),
+    "eigh3": _with(
+        _BASE, "m AS (SELECT balls.s, ball, count(*) AS n, sum(x) AS mx, sum(y) AS my, sum(z) AS mz, sum(x * x) AS xx, sum(y * y) AS yy, sum(z * z) AS zz, sum(x * y) AS xy, sum(x * z) AS xz, sum(y * z) AS yz FROM balls JOIN bone ON bone.s = balls.s AND abs(x - cx) <= 4 AND abs(y - cy) <= 4 AND abs(z - cz) <= 4 GROUP BY ALL HAVING count(*) > 1)",
+        "c AS (SELECT s, ball, (n * xx - mx * mx) / (n * (n - 1.0)) AS a, (n * yy - my * my) / (n * (n - 1.0)) AS b, (n * zz - mz * mz) / (n * (n - 1.0)) AS c, (n * xy - mx * my) / (n * (n - 1.0)) AS d, (n * xz - mx * mz) / (n * (n - 1.0)) AS e, (n * yz - my * mz) / (n * (n - 1.0)) AS f FROM m)",
+        # the three roots of the characteristic polynomial by cosines
+        "q AS (SELECT *, (a + b + c) / 3 AS q, sqrt((power(a - (a + b + c) / 3, 2) + power(b - (a + b + c) / 3, 2) + power(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM c)",
+        "r AS (SELECT *, CASE WHEN p > 0 THEN acos(least(greatest(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - e * f) + e * (d * f - e * (b - q))) / (2 * p * p * p), -1), 1)) / 3 ELSE 0 END AS phi FROM q)",
+        select="SELECT s AS specimen, ball AS seed, round(q + 2 * p * cos(phi + 2 * pi() / 3), 6) AS e1, round(3 * q - (q + 2 * p * cos(phi + 2 * pi() / 3)) - (q + 2 * p * cos(phi)), 6) AS e2, round(q + 2 * p * cos(phi), 6) AS e3 FROM r",
+    ),
+    "orientation_density": _with(
+        _BASE, "v AS (SELECT s, ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls)", "t AS (SELECT s, ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
+        "m AS (SELECT s, ball, CASE WHEN a > pi() / 2 THEN a - pi() WHEN a <= -pi() / 2 THEN a + pi() ELSE a END AS theta, phi FROM t)", "size AS (SELECT s, count(*) AS n FROM m GROUP BY s)",
+        "gt AS (SELECT CAST(i AS INT) AS i, radians(0.5 * i) - pi() / 2 AS g FROM range(361) t(i))", "gp AS (SELECT CAST(i AS INT) AS j, radians(0.5 * i) AS g FROM range(181) t(i))",
+        "tv AS (SELECT i, s, ball, exp(-0.5 * power((g - theta) / radians(4.5), 2)) + exp(-0.5 * power((g + pi() + theta) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + theta) / radians(4.5), 2)) AS a FROM gt, m)",
+        "pv AS (SELECT j, s, ball, exp(-0.5 * power((g - phi) / radians(4.5), 2)) + exp(-0.5 * power((g + phi) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + phi) / radians(4.5), 2)) AS b FROM gp, m)",
+        select="SELECT s AS specimen, i, j, round(d / (2 * pi() * power(radians(4.5), 2) * n), 6) AS pdf FROM (SELECT s, i, j, sum(a * b) AS d FROM tv JOIN pv USING (s, ball) GROUP BY s, i, j) JOIN size USING (s)",
+    ),
+    "descriptor_catalog": "SELECT * FROM (VALUES ('paper', 'bone volume fraction, thickness, separation, connectivity density, anisotropy'), ('skeleton', 'eight normalised skeleton descriptors'), ('mechanical', 'five axial path and transport descriptors of the skeleton graph'), ('soi', 'structural organisation of plates and rods with its quality counts'), ('orientation', 'three local orientation descriptors'), ('minkowski', 'anisotropy of the surface-normal tensor')) t(family, descriptors)",
+} | oracle_figures.ORACLES
+#: Parts of the result schemas: volumes and topology, thickness, separation, Betti numbers.
+_VOLUMES = _with(_BASE, _CELLS, select="SELECT s AS specimen, n * 15625.0 AS bv, 144000000.0 AS tv, round(n / 9216.0, 9) AS bv_tv, CAST(euler AS BIGINT) AS euler, round(euler - correction, 6) AS delta_chi, round(1 - (euler - correction), 6) AS connectivity, round((1 - (euler - correction)) / 144000000.0, 15) AS conn_density, round(breadth * 25, 6) AS breadth FROM measures JOIN (SELECT s, count(*) AS n FROM bone GROUP BY s) USING (s)")
+_FACES = "SELECT specimen, bs, round(bs / (n * 15625.0), 9) AS bs_bv, round(bs / 144000000.0, 9) AS bs_tv FROM (" + ORACLES["interface_faces"] + ") JOIN (" + _with(_BASE, select="SELECT s AS specimen, count(*) AS n FROM bone GROUP BY s") + ") USING (specimen)"
+_B = "SELECT specimen, b0, b1, b2, round(b0 / 144000000.0, 15) AS b0_density, round(b1 / 144000000.0, 15) AS b1_density, round(b2 / 144000000.0, 15) AS b2_density FROM (" + ORACLES["betti"] + ")"
+
+
+def _schema(columns: str) -> str:
+    named = lambda p, key: f"SELECT specimen, {', '.join(f'{c} AS {p}_{c}' for c in ('mean', 'sd', 'max', 'p10', 'p25', 'median', 'p75', 'p90', 'iqr', 'cv'))} FROM ({ORACLES[key]})"
+    parts = {"v": _VOLUMES, "f": _FACES, "b": _B, "th": named("th", "thickness_clean"), "sp": named("sp", "thickness_stats")}
+    return f"SELECT specimen, {columns} FROM " + " JOIN ".join(f"({q}) {n}" if n == "v" else f"({q}) {n} USING (specimen)" for n, q in parts.items())
+
+
+_SIX = "th_mean, th_sd, th_max, sp_mean, sp_sd, sp_max"
+ORACLES |= {
+    "schema_bonej": _schema(f"bv, tv, bv_tv, euler, delta_chi, connectivity, conn_density, {_SIX}"),
+    "schema_classic": _schema(f"{_SIX}, bv, tv, bv_tv, euler, b1, b1_density"),
+    "schema_refined": _schema(f"{_SIX}, bv, tv, bv_tv, euler, b1, b1_density, bs, breadth"),
+    "schema_experimental": _schema("bv, tv, bv_tv, th_median, th_p10, th_p90, th_cv, sp_median, sp_p10, sp_p90, sp_cv, b0_density, b1_density, b2_density, bs, bs_bv, bs_tv, breadth"),
+}
 for _k in ("b0", "b1", "b2"):
     ORACLES["beta" + _k[1]] = f"SELECT specimen, {_k} FROM ({ORACLES['betti']})"
