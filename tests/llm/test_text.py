@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm import components, language_id, lz_fingerprint, minmax, pseudonyms, queries, toxicity
-from voxloom.llm.base import order_cuts, range_of
+from voxloom.llm.base import order_cuts, range_of, split_ranges
 
 SCHEMA = "doc_id long, text string, fingerprint string, score string"
 ODD = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "one two three"), (5, "A b C d e f g h i j"), (6, "a B c D e f g h i j"), (None, "a b c d e f g h i j"), (7, "x " * 30_000), (3, "one")]
@@ -60,6 +60,25 @@ def test_against_next(spark, sf_dir):
         assert 0 <= r["near_edited"] <= 1 and r["near_next"] == lz_fingerprint.likeness(lz_fingerprint.of_text(t), lz_fingerprint.of_text(x))
 
 
+def test_hot_ids_are_split(spark):
+    rows = [(None, f"null {k} words {k % 7}") for k in range(150)] + [(7, f"seven {k}") for k in range(120)] + [(k, f"text {k} of some words") for k in range(100)]
+    df = frame(spark, rows).repartition(5)
+    ranges = split_ranges(df.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")), "key", 16)
+    assert ranges.hot == [7, (1 << 63) - 1] and ranges.n > 16
+    sizes = df.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("h", ranges.hash(F.col("key"), F.col("text"))).groupBy(ranges.number(F.col("key"), F.col("h"))).count().collect()
+    assert max(r["count"] for r in sizes) < 70
+    got = lz_fingerprint.against_next(df).collect()
+    assert len(got) == len(rows)
+    order = lambda r: (r[0] is None, r[0] or 0)
+    hashes = dict(df.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).collect())
+    docs = sorted(rows, key=lambda r: (*order(r), hashes[r[1]] if r[0] in (None, 7) else 0, r[1]))
+    want = Counter()
+    for (i, t), (_, x) in zip(docs, docs[1:] + docs[:1], strict=True):
+        h = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - h] + x[:h]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_fingerprint_cases(spark):
     assert lz_fingerprint.fingerprints(frame(spark, ODD)).count() == len(ODD)
     assert lz_fingerprint.against_next(frame(spark, ODD)).count() == len(ODD)

@@ -4,6 +4,7 @@ import base64
 import io
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -179,3 +180,19 @@ def test_decode_of_odd_ids(spark):
     odd = b"the\xef\xbf\xbd\xef\xbf\xbd cat"
     assert got == {1: odd, 2: odd, 3: b"", None: b""}
     assert byte_bpe.decode_documents(df.limit(0), ranks).count() == 0
+
+
+def test_shards_are_bounded_and_hot_ids_are_split(spark, lib, tmp_path):
+    rows = [(None, f"null {k} words", "x") for k in range(150)] + [(7, f"seven {k}", "x") for k in range(120)] + [(k, f"text {k} of some words", "x") for k in range(100)] + [(500, "long " * 400, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(6)
+    out = f"file://{tmp_path}/ids"
+    shards = id_files.write_id_files(df, WORD, out, shard_ids=100)
+    assert len(shards) > 16 and sum(n >= 110 for _, _, n in shards) == 1
+    got = sorted(id_files.read_id_files(spark, shards, out).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in got] == sorted((i for i, *_ in rows), key=lambda i: (i is not None, i or 0))
+    want = Counter((i, array("I", [*ids_of(lib, t), 1]).tobytes()) for i, t, _ in rows)
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests in local mode) a temporary folder is set as checkpoint folder.
+    Where it is unset a local master (tests) gets a temporary folder as checkpoint folder, any other
+    master an error: executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -129,11 +134,62 @@ def order_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
 
 def range_of(key, cuts: list[int]):
     """Column: the number of the range of ascending ``cuts`` that ``key`` is in, 0 for null and
-    for keys below the second cut. A binary search in built-in functions."""
+    for keys below the second cut. A binary search in built-in functions; the cuts are one literal."""
     if len(cuts) < 2:
         return F.lit(0)
-    bounds = F.array(*[F.lit(c) for c in cuts[1:]])
+    bounds = F.lit(np.array(cuts[1:], np.int64))
     n = len(cuts) - 1
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
     go = lambda at, step: F.when((at + step <= n) & (F.try_element_at(bounds, at + step) <= key), at + step).otherwise(at)
     return F.aggregate(steps, F.lit(0), go)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows in ascending order of (key, hash). Keys below or between ``cuts`` share a range; an
+    id with more rows than a range should hold, as null may be, has ranges of its own, by ``hash`` of
+    the text. ``hash`` is 0 for all other ids."""
+
+    cuts: list[int]
+    shares: list[int]  # how many ranges each cut's rows are dealt over, by hash
+    hot: list[int]
+
+    @property
+    def n(self) -> int:
+        return max(1, sum(self.shares))
+
+    def hash(self, key, text):
+        """Column: 0 to 2**31 - 1 for rows of ids with ranges of their own, else 0."""
+        if not self.hot:
+            return F.lit(0).cast("long")
+        return F.when(F.array_contains(F.lit(np.array(self.hot, np.int64)), key), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 31))).otherwise(0)
+
+    def number(self, key, hash_):
+        """Column: the range of a row."""
+        own = range_of(key, self.cuts)
+        if not self.hot:
+            return own
+        first = F.lit(np.cumsum([0, *self.shares[:-1]]).astype(np.int64))
+        share = F.lit(np.array(self.shares, np.int64))
+        return (F.try_element_at(first, own + 1) + F.shiftright(hash_ * F.try_element_at(share, own + 1), 31)).cast("int")
+
+
+def split_ranges(df: DataFrame, key: str, parts: int) -> Ranges:
+    """Ranges of similar row counts over a key column without nulls: cuts at existing keys, and one more
+    count over them, which finds the ids that fill more than a range. Two passes over the keys; what
+    comes to the driver is as long as ``parts``."""
+    cuts = order_cuts(df, key, parts)
+    if not cuts:
+        return Ranges([], [], [])
+    found = df.groupBy(range_of(F.col(key), cuts).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    target = max(1, sum(r["n"] for r in found) // parts)
+    # a key with many rows is a cut itself, but smaller keys of its range's end may share it with others
+    heavy = {r["lo"]: r["n"] for r in found if r["n"] > 2 * target and r["lo"] == r["hi"]}
+    mixed = [r for r in found if r["n"] > 2 * target and r["lo"] != r["hi"]]
+    if mixed:
+        inside = range_of(F.col(key), cuts).isin([r["r"] for r in mixed])
+        heavy |= {r[key]: r["n"] for r in df.filter(inside).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > target).limit(4 * parts).collect()}
+    # a heavy id's range holds nothing else: the next id begins a new one
+    cuts = sorted({*cuts, *heavy, *(k + 1 for k in heavy if k < (1 << 63) - 1)})
+    shares = [-(-heavy[c] // target) if c in heavy else 1 for c in cuts]
+    return Ranges(cuts, shares, sorted(heavy))

@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import wordbpe
-from voxloom.llm.base import map_rows, order_cuts, range_of, shared_dir, table, texts
+from voxloom.llm.base import map_rows, shared_dir, split_ranges, table, texts
 
 BLOCK = 128
 PERCENTILE = 0.9
 END_ID = 1
+#: A shard file is closed after the document that brings it to so many ids (about 30 MB packed).
+SHARD_IDS = 1 << 24
 MAGIC = b"VXPF"
 _HEAD = struct.Struct("<IHH")
 _FOOT = struct.Struct("<QQQQI4s")
@@ -122,10 +124,11 @@ class ShardWriter:
         self.starts: list[np.ndarray] = []
         self.widths: list[np.ndarray] = []
         self.docs: list[tuple[int | None, int]] = []
-        self.n_ids = 0
+        self.n_ids = self.n_added = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, len(ids) // 4))
+        self.n_added += len(ids) // 4
         self.pending.append(ids)
         self.held += len(ids) // 4
         if self.held >= self.flush * BLOCK:
@@ -195,38 +198,44 @@ class Shard:
             at = to
 
 
-def write_id_files(df: DataFrame, tokenizer_path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> list[tuple[str, int, int]]:
+def write_id_files(df: DataFrame, tokenizer_path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> list[tuple[str, int, int]]:
     """Write ids of all documents, each with ``end_id`` behind it, to shard files in ascending
     doc_id order; returns (path, documents, ids) of each shard in order.
 
-    Texts are shuffled once, by ranges of doc_id; a range is one shard and streams to its file.
-    A file gets its name when it is whole, so a repeated or lost task leaves no half shard. Null
-    ids come first, rows of one id are ordered by text, null and empty texts have the end id
+    Texts are shuffled once, by ranges of doc_id; a range streams to its files, and a file is closed
+    after the document that brings it to ``shard_ids`` ids, so a reader's memory does not grow with
+    the input. A file gets its name when it is whole, so a repeated or lost task
+    leaves no half shard. Null ids come first; rows of one id are ordered by text, and where an id (or
+    null) fills more than a range by a hash of the text first. Null and empty texts have the end id
     only, an empty table gives no shard. Only one row for each shard comes to the driver.
     """
-    rows = texts(df, id_col, text_col)
+    rows = texts(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = range_of(F.col("doc_id"), order_cuts(rows, "doc_id", 4 * parts))
+    ranges = split_ranges(rows, "key", 4 * parts)
 
     def write(feed: Iterator[tuple]) -> Iterator[tuple]:
         from pyarrow import fs as pafs
 
         fs, folder = pafs.FileSystem.from_uri(out_dir)
         bpe, tail = wordbpe.load(tokenizer_path), int(end_id).to_bytes(4, "little")
-        shard = writer = sink = None
+        shard = writer = sink = temp = None
+        part = 0
 
         def done() -> tuple:
             n_docs, n_ids = writer.close()
             sink.close()
-            name = f"{folder}/shard-{shard:08d}.vxpf"
+            name = f"{folder}/shard-{shard:08d}-{part:06d}.vxpf"
             fs.move(temp, name)
-            return shard, name, n_docs, n_ids
+            return shard, part, name, n_docs, n_ids
 
         for bucket, doc_id, text in feed:
-            if bucket != shard:
-                if writer:
-                    yield done()
-                shard, temp = bucket, f"{folder}/.part-{bucket:08d}-{uuid.uuid4().hex}"
+            if writer and (bucket != shard or writer.n_added >= shard_ids):
+                yield done()
+                writer = None
+                part += 1
+            if not writer:
+                shard, part = bucket, part if bucket == shard else 0
+                temp = f"{folder}/.part-{bucket:08d}-{uuid.uuid4().hex}"
                 sink = fs.open_output_stream(temp)
                 writer = ShardWriter(sink)
             writer.add(doc_id, bpe.ids(text or "") + tail)
@@ -237,30 +246,28 @@ def write_id_files(df: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
 
     fs, folder = pafs.FileSystem.from_uri(out_dir)
     fs.create_dir(folder, recursive=True)
-    dealt = rows.withColumn("bucket", at).select("bucket", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
-    found = map_rows(dealt, write, "shard int, path string, n_docs long, n_ids long", keep="wordbpe").collect()
-    return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(found, key=lambda r: r["shard"])]
+    placed = rows.withColumn("hash", ranges.hash(F.col("key"), F.col("text"))).withColumn("bucket", ranges.number(F.col("key"), F.col("hash")))
+    dealt = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "hash", "text").select("bucket", "doc_id", "text")
+    found = map_rows(dealt, write, "shard int, part int, path string, n_docs long, n_ids long", keep="wordbpe").collect()
+    return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(found, key=lambda r: (r["shard"], r["part"]))]
 
 
-def read_id_files(spark: SparkSession, shards: list[tuple[str, int, int]], out_dir: str) -> DataFrame:
-    """Documents of shard files: doc_id, start (ids of all documents before it), n_tokens,
-    ids (binary). One task reads whole shards; a shard is a bounded range."""
+def read_id_files(spark: SparkSession, shards: list[tuple[str, int, int]], out_dir: str, digests: bool = False) -> DataFrame:
+    """Documents of shard files: doc_id, start (ids of all documents before it), n_tokens, and ids
+    (binary) or, with ``digests``, ids_crc32 (their crc32). A task holds one shard at a time."""
     before, starts = 0, {}
     for path, _, n in shards:
         starts[path.rpartition("/")[2]] = before
         before += n
     held = spark.sparkContext.broadcast(starts)  # one number for each shard
+    schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary")
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
         for path, data in feed:
             base = held.value[path.rpartition("/")[2]]
             for doc_id, start, ids in Shard(data).documents():
-                yield doc_id, base + start, len(ids) // 4, ids
+                yield doc_id, base + start, len(ids) // 4, zlib.crc32(ids) if digests else ids
 
-    return _map_files(spark, out_dir, shards, rows, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _map_files(spark, out_dir, shards, rows, schema):
     if not shards:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.vxpf").load(out_dir).select("path", "content")
@@ -268,20 +275,7 @@ def _map_files(spark, out_dir, shards, rows, schema):
 
 
 def read_digests(spark: SparkSession, shards: list[tuple[str, int, int]], out_dir: str) -> DataFrame:
-    """As ``read_id_files``, with the crc32 of each document's ids in place of the ids."""
-    before, starts = 0, {}
-    for path, _, n in shards:
-        starts[path.rpartition("/")[2]] = before
-        before += n
-    held = spark.sparkContext.broadcast(starts)
-
-    def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
-        for path, data in feed:
-            base = held.value[path.rpartition("/")[2]]
-            for doc_id, start, ids in Shard(data).documents():
-                yield doc_id, base + start, len(ids) // 4, zlib.crc32(ids)
-
-    return _map_files(spark, out_dir, shards, rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_id_files(spark, shards, out_dir, digests=True)
 
 
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,4 +283,4 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out_dir = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     shards = write_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out_dir)
-    return read_digests(spark, shards, out_dir)
+    return read_id_files(spark, shards, out_dir, digests=True)

@@ -19,30 +19,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.base import map_rows, order_cuts, range_of, table, texts
+from voxloom.llm.base import map_rows, split_ranges, table, texts
 
 K = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def parse(text: str, known: set[str], ends: list[int], at: int = 0) -> tuple[str, set[str], list[int]]:
-    """Parse on from position ``at``: adds phrases to ``known`` and their end positions to
-    ``ends``; returns the open phrase too."""
-    part = ""
-    add, note = known.add, ends.append
-    for c in text:
-        at += 1
-        part += c
-        if part not in known:
-            add(part)
-            note(at)
-            part = ""
-    return part, known, ends
-
-
-def resume(part: str, text: str, known: set[str], ends: list[int], at: int) -> str:
-    """``parse`` with an open phrase."""
+def parse(text: str, known: set[str], ends: list[int], at: int = 0, part: str = "") -> str:
+    """Parse on from position ``at`` with an open phrase ``part``: adds phrases to ``known`` and their end
+    positions to ``ends``; returns the phrase that is still open."""
     add, note = known.add, ends.append
     for c in text:
         at += 1
@@ -150,24 +136,34 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are shuffled once, to ranges of doc_id. The first document of a range also goes to the
     range before it (that of the first range to the last), so neighbours always meet and no
     single task sees all rows. The edited text shares its first half's parse. Rows with null ids
-    come last in the order, rows of one id are ordered by text; an empty table gives no rows; other
-    columns are ignored.
+    come last in the order, rows of one id are ordered by text; where an id (or null) fills more than
+    a range, its rows are ordered by a hash of the text first and dealt over several ranges. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     rows_in = texts(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = order_cuts(rows_in, "key", 4 * parts)
-    n = max(1, len(cuts))
-    own = range_of(F.col("key"), cuts)
-    starts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    is_first = F.try_element_at(starts, F.col("bucket") + 1) == F.col("key")
-    to = F.when(is_first, F.array("bucket", (F.col("bucket") + n - 1) % n)).otherwise(F.array("bucket"))
+    ranges = split_ranges(rows_in, "key", 4 * parts)
+    at = rows_in.withColumn("hash", ranges.hash(F.col("key"), F.col("text"))).withColumn("bucket", ranges.number(F.col("key"), F.col("hash")))
+    # ranges without a row have no first document: the range before the next one that has takes it
+    order = F.struct("key", "hash")
+    if ranges.hot:
+        firsts = {r["bucket"]: (r["o"]["key"], r["o"]["hash"]) for r in at.groupBy("bucket").agg(F.min(order).alias("o")).collect()}
+    else:
+        firsts = {k: (c, 0) for k, c in enumerate(ranges.cuts)}
+    held = sorted(firsts)
+    before = {b: held[k - 1] for k, b in enumerate(held)}
+    column = lambda values: F.lit(np.array([*values, 0], np.int64))
+    spot = F.col("bucket") + 1
+    first_key, first_hash, last = (column([v(b) for b in range(ranges.n)]) for v in (lambda b: firsts.get(b, (0, -1))[0], lambda b: firsts.get(b, (0, -1))[1], lambda b: before.get(b, 0)))
+    is_first = (F.try_element_at(first_key, spot) == F.col("key")) & (F.try_element_at(first_hash, spot) == F.col("hash"))
+    to = F.when(is_first, F.array(F.col("bucket"), F.try_element_at(last, spot).cast("int"))).otherwise(F.array("bucket"))
     dealt = (
-        rows_in.withColumn("bucket", own)
-        .select("doc_id", "text", "key", F.posexplode(to).alias("halo", "bucket"))
-        .select("bucket", "halo", "key", "doc_id", "text")
+        at.select("doc_id", "text", "key", "hash", F.posexplode(to).alias("halo", "bucket"))
+        .select("bucket", "halo", "key", "hash", "doc_id", "text")
         .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "halo", "key", "text")
+        .sortWithinPartitions("bucket", "halo", "key", "hash", "text")
+        .select("bucket", "halo", "doc_id", "text")
     )
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
@@ -178,7 +174,7 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keep = len(text) - len(text) // 2
             edited = text[:keep] + after[: len(text) // 2]
             part, known, cut = half
-            resume(part, edited[keep:], known, cut, keep)
+            parse(edited[keep:], known, cut, keep, part)
             sig_edited = signature(edited, cut, len(edited))
             digest = hashlib.sha256(edited.encode()).hexdigest()
             return doc_id, len(text), digest, written(sig), written(sig_edited), likeness(sig, sig_edited), likeness(sig, sig_after)
@@ -187,13 +183,13 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keep = len(text) - len(text) // 2
             known: set[str] = set()
             ends: list[int] = []
-            part, _, _ = parse(text[:keep], known, ends)
+            part = parse(text[:keep], known, ends)
             half = part, known.copy(), ends.copy()
-            resume(part, text[keep:], known, ends, keep)
+            parse(text[keep:], known, ends, keep, part)
             return signature(text, ends, len(text)), half
 
         closed = False
-        for b, halo, _, doc_id, text in feed:
+        for b, halo, doc_id, text in feed:
             text = text or ""
             if b != bucket:
                 bucket, held, closed = b, None, False
