@@ -9,16 +9,20 @@ by connected components.
 Work is done between classes: documents of one shingle set are one class with its smallest doc_id
 as representative, so copies cost nothing after the first aggregation. In each bucket, members are
 first compared with one pivot, not with each other. Buckets whose members then share a component
-are settled. In the others every pair from different components is still compared, so no link is
-given up: in small buckets as pairs, in large ones by families of buckets that overlap, where
-blocks of the members outside the family's largest component each stay in memory while all
-members stream by. Rows between tasks follow members times blocks, never pairs.
+are settled. In the others no link is given up: small buckets are compared as pairs, large ones by
+families of buckets that overlap, through postings with prefix and position filters. The shingles of
+a document are ordered with those that the family's first document lacks in front, so the few that
+make it different lead, and what the family shares is hardly ever looked up. A pair that reaches the
+threshold has its first common shingle early in both; only pairs that do, from different components,
+are candidates. They are tried one for each document and component until nothing joins any more,
+then all that are left.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +40,10 @@ MEMBERS_PER_SALT = 256
 BROADCAST_IDS = 1_000_000
 #: Unsettled buckets up to this size are compared as pairs, larger ones by families.
 SMALL_BUCKET = 16
-#: Documents of a family in a block, and members that stream by a block in one place.
-BLOCK, STREAM = 256, 4096
+#: Documents of a family whose postings are made in one place, with the family's first document.
+STREAM = 1024
+#: Places that the rows of one bucket key or one posting are dealt to; the other side goes to all.
+SALTS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -163,78 +169,91 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return map_rows(dealt, rows, "a long, b long")
 
 
-class _Block:
-    """Shingle sets of a block's documents as one sorted array, to count common shingles of a
-    set with all of them at once."""
-
-    def __init__(self):
-        self.sets: list[np.ndarray] = []
-        self.ids: list[int] = []
-        self.of: list[int] = []
-
-    def add(self, doc_id: int, component: int, found: np.ndarray) -> None:
-        self.sets.append(found)
-        self.ids.append(doc_id)
-        self.of.append(component)
-
-    def seal(self) -> None:
-        sizes = np.array([len(s) for s in self.sets])
-        every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(self.sets)), sizes)
-        order = np.argsort(every, kind="stable")
-        self.keys, first = np.unique(every[order], return_index=True)
-        self.owner, self.first = owner[order], np.append(first, len(every))
-        self.sizes, self.component = sizes, np.array(self.of)
-
-    def links(self, doc_id: int, component: int, found: np.ndarray, percent: int) -> list[int]:
-        """Documents of the block in other components that are linked with the set, one of each
-        component."""
-        if not len(self.keys) or not len(found):
-            return []
-        at = np.searchsorted(self.keys, found)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found)]
-        lo, hi = self.first[at], self.first[at + 1]
-        n = hi - lo
-        runs = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        common = np.bincount(self.owner[runs], minlength=len(self.sizes))
-        hit = np.flatnonzero((100 * common >= percent * (self.sizes + len(found) - common)) & (self.component != component))
-        return [self.ids[k] for k in {int(self.component[k]): k for k in hit}.values()]
-
-
-def confirm_families(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of each family; ``members`` has family, doc_id,
-    component. Every pair of a family from different components has one end outside the family's
-    largest component: those documents form blocks, and all members stream by each block."""
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
-    families = sizes.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    families = families.select("family", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM).cast("int").alias("salts")).filter("blocks > 0")
-    own = members.join(families, "family")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = own.filter("component <> largest").select("family", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), every("salts").alias("salt"), F.lit(0).alias("member"), "doc_id", "component")
-    streaming = own.select("family", every("blocks").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "doc_id", "component")
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _everywhere(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def postings(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """The leading shingles of each document of a family: family, doc_id, size (of its set), shingle,
+    place. ``members`` has family and doc_id; a family is named by its first document.
+
+    The order puts shingles that the first document lacks in front, by hash within either part; it is
+    one order for the family, and places up to size - percent * size / 100 are all that a pair at the
+    threshold can need. Memory holds the first document's set and one member's.
+    """
+    salts = members.groupBy("family").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts"))
+    own = members.join(salts, "family").select("family", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "doc_id")
+    first = salts.select("family", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("family").alias("doc_id"))
     dealt = (
-        _with_text(materialize(outside.unionByName(streaming), "dealt"), docs)
-        .select("family", "block", "salt", "member", "doc_id", "component", "text")
-        .repartition("family", "block", "salt")
-        .sortWithinPartitions("family", "block", "salt", "member")
+        _with_text(materialize(own.unionByName(first), "dealt"), docs)
+        .select("family", "salt", "member", "doc_id", "text")
+        .repartition("family", "salt")
+        .sortWithinPartitions("family", "salt", "member")
     )
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
-        group, block, sealed = None, _Block(), False
-        for family, number, salt, member, doc_id, component, text in feed:
-            if (family, number, salt) != group:
-                group, block, sealed = (family, number, salt), _Block(), False
+        group, common = None, np.zeros(0, np.uint64)
+        for family, salt, member, doc_id, text in feed:
+            if (family, salt) != group:
+                group, common = (family, salt), np.zeros(0, np.uint64)
             found = shingles(text, words)
             if not member:
-                block.add(doc_id, component, found)
+                common = np.union1d(common, found)
                 continue
-            if not sealed:
-                block.seal()
-                sealed = True
-            for other in block.links(doc_id, component, found, percent):
-                yield doc_id, other
-
-    return map_rows(dealt, rows, "a long, b long")
+            shared = np.isin(found, common, assume_unique=True)
+            n = len(found)
+            lead = np.concatenate([found[~shared], found[shared]])[: n + 1 - -(-percent * n // 100)]
+            for place, v in enumerate(lead.view(np.int64).tolist()):
+                yield family, doc_id, n, v, place
+
+    return map_rows(dealt, rows, "family long, doc_id long, size int, shingle long, place int")
+
+
+def candidates(posted: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, a_component, b_component, place) of documents of one family in different components with
+    a common shingle early enough in both for the threshold; ``a`` lies outside the family's largest
+    component. ``component`` has family, doc_id, component. A pair may come up several times."""
+    sizes = component.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    known = component.join(largest, "family").select("family", "doc_id", "component", "largest")
+    rows = posted.join(known, ["family", "doc_id"])
+    side = lambda p: rows.select("family", "shingle", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "component", "size", "place", "largest")])
+    a, b = _everywhere(side("a").filter("a_component <> a_largest")), _salted(side("b"), "b_doc_id")
+    both = a.join(b.hint("merge"), ["family", "shingle", "salt"])
+    need = F.floor((percent * (F.col("a_size") + F.col("b_size")) + 99 + percent) / F.lit(100 + percent))
+    early = (F.col("a_place") <= F.col("a_size") - need) & (F.col("b_place") <= F.col("b_size") - need)
+    return both.filter((F.col("a_component") != F.col("b_component")) & early).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), "a_component", "b_component", (F.col("a_place") + F.col("b_place")).alias("place"))
+
+
+def family_links(docs: DataFrame, members: DataFrame, edges: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Links between different components of families, enough of them that no two components of linked
+    documents stay apart. ``members`` has family and doc_id, ``edges`` the links known so far."""
+    posted = materialize(postings(docs, members, words, percent), "postings")
+    made: list[DataFrame] = []
+    tried = None
+    while True:
+        found = components(reduce(DataFrame.unionByName, made, edges))
+        component = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        rows = candidates(posted, materialize(component, "families"), percent)
+        pairs = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("pivot")).distinct()
+        if tried is not None:
+            rows = rows.withColumn("u", F.least("a", "b")).withColumn("v", F.greatest("a", "b")).join(tried.select(F.col("a").alias("u"), F.col("pivot").alias("v")), ["u", "v"], "left_anti")
+        # the likeliest partner of each document in each other component
+        one = pairs(rows.groupBy("a", "b_component").agg(F.min(F.struct("place", "b"))["b"].alias("b")))
+        one = materialize(one, "pairs")
+        if one.isEmpty():
+            return made
+        links = materialize(confirm(docs, one, words, percent), "links")
+        tried = one if tried is None else tried.unionByName(one)
+        if links.isEmpty():
+            # nothing joins by likeliest partners: all that are left
+            made.append(materialize(confirm(docs, materialize(pairs(rows).join(one, ["a", "pivot"], "left_anti"), "pairs"), words, percent), "links"))
+            return made
+        made.append(links)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -252,29 +271,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sig = materialize(signatures(docs, words=words), "signatures")
     with_id = sig.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(with_id.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = with_id.select("doc_id", "digest", "bands").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("a"), F.explode("bands").alias("key"))
+    # one row a class, however often its first document is repeated
+    firsts = with_id.select("doc_id", "digest", "bands").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    keys = _salted(firsts.select(F.col("doc_id").alias("a"), F.explode("bands").alias("key")), "a")
+    # rows of one key are summed and joined in several places
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("pivot")).filter("n > 1")
-    members = materialize(keys.join(shared, "key"), "members")
+    members = materialize(keys.join(_everywhere(shared), ["key", "salt"]), "members")
     pairs = materialize(members.filter("a <> pivot").select("a", "pivot").distinct(), "pairs")
     edges = materialize(confirm(docs, pairs, words, percent), "links")
     found = materialize(components(edges), "components")
-    left = members.select("key", "a", "n").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    left = members.select("key", "salt", "a", "n").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     # a bucket of two has been compared; of the others, those in one component are settled
     mixed = left.filter("n > 2").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("a").alias("first")).filter("lo <> hi").select("key", "first")
-    left = materialize(left.join(mixed, "key"), "unsettled")
+    left = materialize(left.join(_everywhere(mixed), ["key", "salt"]), "unsettled")
     small = left.filter(F.col("n") <= SMALL_BUCKET)
     other = small.select("key", F.col("a").alias("pivot"), F.col("component").alias("of"))
     again = small.join(other, "key").filter("a > pivot AND component <> of").select("a", "pivot").distinct().join(pairs, ["a", "pivot"], "left_anti")
     again = materialize(again, "pairs")
-    more = confirm(docs, again, words, percent)
+    more = materialize(confirm(docs, again, words, percent), "links")
+    known = edges.unionByName(more)
     large = left.filter(F.col("n") > SMALL_BUCKET)
     if not large.isEmpty():
         family = components(large.select(F.col("first").alias("a"), F.col("a").alias("b"))).withColumnRenamed("component", "family")
-        of_family = materialize(large.select(F.col("a").alias("node"), "component").distinct().join(family, "node").select("family", F.col("node").alias("doc_id"), "component"), "families")
-        more = more.unionByName(confirm_families(docs, of_family, words, percent))
-    more = materialize(more, "links")
-    if not more.isEmpty():
-        found = materialize(components(edges.unionByName(more)), "components")
+        of_family = materialize(family.select("family", F.col("node").alias("doc_id")), "families")
+        known = reduce(DataFrame.unionByName, family_links(docs, of_family, known, words, percent), known)
+        found = materialize(components(known), "components")
+    elif not more.isEmpty():
+        found = materialize(components(known), "components")
     grouped = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # documents without shingles or id stay out of the join on the digest
     inside = with_id.join(grouped, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
