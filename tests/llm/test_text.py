@@ -142,6 +142,42 @@ def test_near_duplicates(spark, sf_dir, words):
     assert got == brute(docs, words, 80)
 
 
+def test_families_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "STREAM", 30)
+    docs = family(90, 3, 100, most=14) + family(50, 4, 300, most=9)
+    # documents that lack a piece of the family's text, and two clusters of their own around it
+    base = docs[0][1].split()
+    docs += [(400 + k, " ".join(base[: 60 - k])) for k in range(20)] + [(500 + k, " ".join([*base[:50], *[f"tail{j}" for j in range(14)], f"x{k}"])) for k in range(8)]
+    sets = {i: minmax.shingles(t, 4) for i, t in docs}
+    linked = [(a, b) for a in sets for b in sets if a < b and minmax.linked(sets[a], sets[b], 80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    members = spark.createDataFrame([(100, i) for i in sets], "family long, doc_id long")
+    none = spark.createDataFrame([], "a long, b long")
+    posted = minmax.postings(df, members, 4, 80)
+    alone = members.withColumn("component", F.col("doc_id"))
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in minmax.candidates(posted, alone, 80).collect()}
+    largest = max(sets)  # of equal components the largest name counts, and its pairs have no outer end
+    assert {p for p in linked if largest not in p} <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+    made = [(r["a"], r["b"]) for links in minmax.family_links(df, members, none, 4, 80) for r in links.collect()]
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in made:
+        assert (min(a, b), max(a, b)) in linked
+        up[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in linked)
+
+
+def test_repeated_rows_of_one_class(spark):
+    rows = [(1, "a b c d e f g")] * 40 + [(2, "a b c d e f g")] * 30 + [(3, "x y z")] * 20
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minmax.near_duplicates(frame(spark, rows), words=4).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True)}
+
+
 def test_near_duplicate_cases(spark):
     rows = minmax.near_duplicates(frame(spark, ODD), words=4).collect()
     assert len(rows) == len(ODD)

@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each pass points the nodes of a star at its smallest node (Kiveris et al., 2014); passes are
-logarithmic in practice. Minima are aggregated before the shuffle and joined back, so a node with
-very many edges needs no single task, and each pass is written to the shared folder.
+logarithmic in practice. Minima are aggregated before the shuffle; the edges of a node meet its
+minimum in several tasks, dealt by their other end, so a node with very many edges needs no single
+task. Each pass is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,6 +18,17 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Tasks that the edges of one node are dealt to.
+SALTS = 8
+
+
+def _beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows (u, v) with the minimum m of u."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    every = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Nodes with an edge and their component's smallest node: (node, component).
 
@@ -29,10 +41,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u point at the smallest of u's neighbourhood
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _beside(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: u and its neighbours below point at the smallest of them
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _beside(large, low).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         e = materialize(small, "edges")
         now = _digest(e)
         if now == last:
