@@ -275,10 +275,10 @@ def eigh3(s: SparkSession, d: str) -> DataFrame:
 
 
 def orientation_kde(s: SparkSession, d: str) -> DataFrame:
-    """Density of one specimen's axes on a grid of 5 degrees, both axes reflected at their ends: what
-    its SQL holds. ``orientation_density`` is the whole job."""
+    """Density of every specimen's axes on a coarse grid of 5 degrees, both axes reflected at their
+    ends, in built-in functions. ``orientation_density`` has the grid of 0.5 degrees."""
     theta, phi = R.axis_angles(*[F.col(f"u{c}") for c in "xyz"])
-    at = _axes(s, d).filter("specimen = 0").select(theta.alias("t"), phi.alias("p"))
+    at = _axes(s, d).select("specimen", theta.alias("t"), phi.alias("p"))
     bw = math.radians(4.5)
 
     def side(g, v, lo: float, hi: float):
@@ -286,10 +286,10 @@ def orientation_kde(s: SparkSession, d: str) -> DataFrame:
         return bell(v) + bell(2 * lo - v) + bell(2 * hi - v)
 
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
-    cells = at.select("t", "p", steps(36).alias("i")).select("t", "p", "i", steps(18).alias("j"))
+    cells = at.select("specimen", "t", "p", steps(36).alias("i")).select("specimen", "t", "p", "i", steps(18).alias("j"))
     a = side(F.radians(5.0 * F.col("i")) - math.pi / 2, F.col("t"), -math.pi / 2, math.pi / 2)
     b = side(F.radians(5.0 * F.col("j")), F.col("p"), 0.0, math.pi / 2)
-    return cells.groupBy("i", "j").agg(F.round(F.sum(a * b) / (2 * math.pi * bw * bw * F.count("*")), 6).alias("pdf"))
+    return cells.groupBy("specimen", "i", "j").agg(F.round(F.sum(a * b) / (2 * math.pi * bw * bw * F.count("*")), 6).alias("pdf"))
 
 
 def orientation_density(s: SparkSession, d: str) -> DataFrame:

@@ -183,15 +183,15 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
     "specimen_code": "SELECT s_suppkey, upper(s_name) AS code FROM supplier",
     "input_qc": _with(_BASE, select="SELECT s AS specimen, count(*) AS foreground, 13824 - count(*) AS background, true AS both_phases, CAST(NULL AS VARCHAR) AS warning FROM solid GROUP BY s"),
     "header_names": "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'BV' WHEN 1 THEN 'TV' WHEN 2 THEN 'BV/TV' WHEN 3 THEN 'Tb.Th Mean' WHEN 4 THEN 'Connectivity density' WHEN 5 THEN 'Euler change/correction' WHEN 6 THEN 'Euler characteristic' END AS name FROM supplier",
-    "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier WHERE s_suppkey < 1000) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
+    "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
     "gaussian_smooth": _with(*_SMOOTH, select="SELECT s AS specimen, count(*) AS n, round(max(v), 4) AS high, round(min(v), 4) AS low, round(sum(v), 2) AS total FROM s3 GROUP BY s"),
     "orientation_kde": _with(
-        _BASE, "v AS (SELECT ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls WHERE s = 0)", "t AS (SELECT ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
-        "m AS (SELECT CASE WHEN a > pi() / 2 THEN a - pi() WHEN a <= -pi() / 2 THEN a + pi() ELSE a END AS theta, phi FROM t)",
+        _BASE, "v AS (SELECT s, ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls)", "t AS (SELECT s, ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
+        "m AS (SELECT s, ball, CASE WHEN a > pi() / 2 THEN a - pi() WHEN a <= -pi() / 2 THEN a + pi() ELSE a END AS theta, phi FROM t)", "size AS (SELECT s, count(*) AS n FROM m GROUP BY s)",
         "gt AS (SELECT CAST(i AS INT) AS i, radians(5.0 * i) - pi() / 2 AS g FROM range(37) t(i))", "gp AS (SELECT CAST(i AS INT) AS j, radians(5.0 * i) AS g FROM range(19) t(i))",
-        "tv AS (SELECT i, theta, phi, exp(-0.5 * power((g - theta) / radians(4.5), 2)) + exp(-0.5 * power((g + pi() + theta) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + theta) / radians(4.5), 2)) AS a FROM gt, m)",
-        "pv AS (SELECT j, theta, phi, exp(-0.5 * power((g - phi) / radians(4.5), 2)) + exp(-0.5 * power((g + phi) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + phi) / radians(4.5), 2)) AS b FROM gp, (SELECT DISTINCT theta, phi FROM m))",
-        select="SELECT i, j, round(sum(a * b) / (2 * pi() * power(radians(4.5), 2) * (SELECT count(*) FROM m)), 6) AS pdf FROM tv JOIN pv USING (theta, phi) GROUP BY i, j",
+        "tv AS (SELECT i, s, ball, exp(-0.5 * power((g - theta) / radians(4.5), 2)) + exp(-0.5 * power((g + pi() + theta) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + theta) / radians(4.5), 2)) AS a FROM gt, m)",
+        "pv AS (SELECT j, s, ball, exp(-0.5 * power((g - phi) / radians(4.5), 2)) + exp(-0.5 * power((g + phi) / radians(4.5), 2)) + exp(-0.5 * power((g - pi() + phi) / radians(4.5), 2)) AS b FROM gp, m)",
+        select="SELECT s AS specimen, i, j, round(d / (2 * pi() * power(radians(4.5), 2) * n), 6) AS pdf FROM (SELECT s, i, j, sum(a * b) AS d FROM tv JOIN pv USING (s, ball) GROUP BY s, i, j) JOIN size USING (s)",
     ),
 }
 _TH_PARTS = (_BASE, _GRID, _D3, _LIMITS, _edt("bone"), _RIDGE_JOIN, _BALLS, _THICK.format(want="bone"))
