@@ -1,6 +1,7 @@
 """Token counts, byte-level BPE, id files and packing against the public libraries."""
 
 import base64
+import functools
 import io
 import zlib
 from array import array
@@ -52,6 +53,43 @@ def test_whole_tokens_are_proven(lib):
     assert len(whole) > 10_000 and all(len(ids_of(lib, w)) == 1 for w in list(whole)[:300])
 
 
+@functools.cache
+def word_counter():
+    return token_counts.Counter(WORD, token_counts.prove_whole(WORD))
+
+
+@pytest.fixture
+def counter():
+    return word_counter()
+
+
+@pytest.mark.parametrize("text", [
+    "“Curly” quotes — and a long dash … don’t", "Привет, мир! Как дела?", "日本語のテキスト 漢字 한국어", "mixed \U0001f600 emoji \U0001f468‍\U0001f469 ok",
+    "<|endoftext|>", "<|endoftext|><|startoftext|>x", "e<|endoftext|>\u0301", "’<|startoftext|>‘s <|STARTOFTEXT|>", "<|endoftext|", "\u200b\ufeff \u2028",
+])
+def test_counts_of_any_script(lib, counter, text):
+    for t in (text, text * 40, "plain words " + text):
+        assert counter.count(t) == len(ids_of(lib, t))
+
+
+def test_words_of_any_script_take_the_shortcut(counter, monkeypatch):
+    words = [w for w in counter.whole if not w.isascii() and wordbpe.pieces(w) is None]
+    assert len(words) > 50  # proven words outside the certain range
+    asked = []
+    monkeypatch.setattr(counter.bpe, "model", type("Model", (), {"tokenize": staticmethod(lambda p: asked.append(p) or [p])})())
+    counter.pieces.clear(), counter.letters.clear()
+    assert counter.count("— " + " ".join(words[:50])) == 51 and asked in ([], ["âĢĶ"])
+    counter.pieces.clear(), counter.letters.clear()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "’", "\u0301", " ", "ß", "Привет", "the", "'S", "ﬁ", "１２"]), max_size=12).map("".join)))
+def test_counts_equal_the_libraries(text):
+    counter = word_counter()
+    text = text.encode("utf-8", "ignore").decode()
+    assert counter.count(text) == len(counter.bpe.library_ids(text))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abzAÉé \n\t'st12²½٣漢\U0001f600　\x85\x1c\xa0!?-_ǅ́ ᠎​İıſΣ<|>", max_size=40))
 def test_ids_equal_the_libraries(text):

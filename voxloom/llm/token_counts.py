@@ -2,7 +2,9 @@
 
 Offline, every vocabulary string that ends a word is encoded alone; the strings that come back
 as exactly one token are proven whole tokens. A pre-token in that set counts 1 without any
-merge; only the others are merged (and remembered, in a bounded memo).
+merge; only the others are merged (and remembered, in a bounded memo). That holds for texts of
+any script: where the pre-tokens of a text are not certain, the library's normaliser and
+pre-tokenizer split it, and its pieces are looked up in the same set.
 """
 
 from __future__ import annotations
@@ -30,7 +32,30 @@ def prove_whole(path: str) -> frozenset[str]:
                 continue
             ids.append(i)
     found = bpe.lib.encode_batch(strings, add_special_tokens=False)
-    return frozenset(s for s, i, e in zip(strings, ids, found, strict=True) if e.ids == [i] and wordbpe.pieces(s) == [s])
+    return frozenset(s for s, i, e in zip(strings, ids, found, strict=True) if e.ids == [i] and _one_piece(bpe, s))
+
+
+def _one_piece(bpe: wordbpe.WordBpe, s: str) -> bool:
+    found = wordbpe.pieces(s)
+    return found == [s] if found is not None else bpe.segments(s) == [[bpe.stand_ins(s)]]
+
+
+class Counter:
+    """Tokens of a text: 1 for each proven whole pre-token and each special string, merges for the rest."""
+
+    def __init__(self, path: str, whole: frozenset[str]):
+        self.bpe, self.whole = wordbpe.load(path), whole
+        in_letters = frozenset(map(self.bpe.stand_ins, whole))
+        self.pieces = wordbpe.Memo(lambda p: 1 if p in whole else len(self.bpe.piece_ids(p)))
+        # the same for pieces in byte stand-ins, as the library splits
+        self.letters = wordbpe.Memo(lambda p: 1 if p in in_letters else len(self.bpe.model.tokenize(p)), wordbpe.MEMO // 2)
+
+    def count(self, text: str) -> int:
+        found = wordbpe.pieces(text)
+        if found is not None:
+            return sum(map(self.pieces.__getitem__, found))
+        parts = self.bpe.segments(text)
+        return len(parts) - 1 + sum(sum(map(self.letters.__getitem__, p)) for p in parts)
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -38,18 +63,16 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     Narrow: one pass over the scan, no shuffle. Null and empty texts have 0 bytes and 0 tokens;
     a null id stays null; repeated rows give repeated results; an empty table gives no rows; other
-    columns are ignored. A text that holds a special string, or characters outside the proven
-    range, is counted by the library as a whole.
+    columns are ignored. A special string inside a text counts 1; what stands between is split by
+    itself.
     """
     whole = df.sparkSession.sparkContext.broadcast(prove_whole(tokenizer_path))
 
     def rows(feed: Iterator[tuple]) -> Iterator[tuple]:
-        bpe, single = wordbpe.load(tokenizer_path), whole.value
-        count = wordbpe.Memo(lambda p: 1 if p in single else len(bpe.piece_ids(p)))
+        counter = Counter(tokenizer_path, whole.value)
         for doc_id, text in feed:
             text = text or ""
-            found = wordbpe.pieces(text)
-            n = len(bpe.library_ids(text)) if found is None else sum(map(count.__getitem__, found))
+            n = counter.count(text)
             yield doc_id, len(text.encode()), n, n > limit
 
     return map_rows(texts(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keep="wordbpe")

@@ -17,6 +17,7 @@ from voxloom.llm.base import CACHES
 
 MEMO = 690_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _UNSAFE = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017e]")
 _L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -63,18 +64,27 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.model = self.lib.model
+        self.model, self.normalizer, self.splitter = self.lib.model, self.lib.normalizer, self.lib.pre_tokenizer
         self.letters = {b: c for c, b in byte_letters().items()}
         self.packed = Memo(lambda piece: array("I", self.piece_ids(piece)).tobytes())
 
     def library_ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
+    def segments(self, text: str) -> list[list[str]]:
+        """Pre-tokens of any text, in byte stand-ins, between its special strings: one list more than it
+        has special strings. The library takes special strings out first, then normalises and splits
+        each part by itself."""
+        parts = _SPECIAL.split(text)[::2] if "<|" in text else [text]
+        return [[p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))] if part else [] for part in parts]
+
+    def stand_ins(self, piece: str) -> str:
+        """The UTF-8 bytes of a pre-token as printable letters."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token, by the library's merges alone."""
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(piece)]
+        return [t.id for t in self.model.tokenize(self.stand_ins(piece))]
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
