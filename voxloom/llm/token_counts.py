@@ -17,6 +17,8 @@ from voxloom.llm import wordbpe
 from voxloom.llm.base import map_rows, table, texts
 
 LIMIT = 2048
+#: Characters up to which a run between spaces is remembered.
+CHUNK = 64
 
 
 def prove_whole(path: str) -> frozenset[str]:
@@ -37,7 +39,7 @@ def prove_whole(path: str) -> frozenset[str]:
 
 def _one_piece(bpe: wordbpe.WordBpe, s: str) -> bool:
     found = wordbpe.pieces(s)
-    return found == [s] if found is not None else bpe.segments(s) == [[bpe.stand_ins(s)]]
+    return found == [s] if found is not None else bpe.split(s) == [bpe.stand_ins(s)]
 
 
 class Counter:
@@ -48,14 +50,21 @@ class Counter:
         in_letters = frozenset(map(self.bpe.stand_ins, whole))
         self.pieces = wordbpe.Memo(lambda p: 1 if p in whole else len(self.bpe.piece_ids(p)))
         # the same for pieces in byte stand-ins, as the library splits
-        self.letters = wordbpe.Memo(lambda p: 1 if p in in_letters else len(self.bpe.model.tokenize(p)), wordbpe.MEMO // 2)
+        self.letters = wordbpe.Memo(lambda p: 1 if p in in_letters else len(self.bpe.model.tokenize(p)), wordbpe.MEMO // 4)
+        self.chunks = wordbpe.Memo(self.chunk, wordbpe.MEMO // 4)
 
     def count(self, text: str) -> int:
         found = wordbpe.pieces(text)
         if found is not None:
             return sum(map(self.pieces.__getitem__, found))
-        parts = self.bpe.segments(text)
-        return len(parts) - 1 + sum(sum(map(self.letters.__getitem__, p)) for p in parts)
+        between = wordbpe.parts(text)
+        # neither normal forms nor pre-tokens reach across a space
+        return len(between) - 1 + sum(self.chunks[c] if len(c) <= CHUNK else self.chunk(c) for part in between for c in part.split(" "))
+
+    def chunk(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        found = wordbpe.pieces(text)
+        return sum(map(self.pieces.__getitem__, found)) if found is not None else sum(map(self.letters.__getitem__, self.bpe.split(text)))
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:

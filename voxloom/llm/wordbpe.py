@@ -59,6 +59,11 @@ def pieces(text: str) -> list[str] | None:
     return _PIECE.findall(text.lower())
 
 
+def parts(text: str) -> list[str]:
+    """A text cut at its special strings, which the library takes out before it normalises."""
+    return _SPECIAL.split(text)[::2] if "<|" in text else [text]
+
+
 class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,12 +76,9 @@ class WordBpe:
     def library_ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def segments(self, text: str) -> list[list[str]]:
-        """Pre-tokens of any text, in byte stand-ins, between its special strings: one list more than it
-        has special strings. The library takes special strings out first, then normalises and splits
-        each part by itself."""
-        parts = _SPECIAL.split(text)[::2] if "<|" in text else [text]
-        return [[p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))] if part else [] for part in parts]
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of any text without special strings, in byte stand-ins, as the library splits it."""
+        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def stand_ins(self, piece: str) -> str:
         """The UTF-8 bytes of a pre-token as printable letters."""
