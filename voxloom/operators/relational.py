@@ -136,6 +136,18 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs
     return cuts.select(*by, "q", at.alias("value"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
+    """(by, q, value): quantiles by interpolation between the two nearest ranks; nulls and NaN do not count.
+    Equal values are counted first, ranks come from running sums over ranges of values."""
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    place = F.col("q") * (F.col("total") - 1)
+    low = F.floor(place)
+    held = lambda rank: (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("k"))
+    at = running(v, by, "v", "k").select(*by, "v", "k", "upto", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    share = F.when(held(low), 1 - (place - low)).otherwise(0.0) + F.when(held(low + 1), place - low).otherwise(0.0)
+    return at.withColumn("share", share).filter(held(low) | held(low + 1)).groupBy(*by, "q").agg(F.sum(F.col("v") * F.col("share")).alias("value"))
+
+
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Gini coefficient of each group; null, NaN and negative values count as 0."""
     x = F.when(F.isnan(value) | (F.col(value) <= 0), 0.0).otherwise(F.coalesce(F.col(value).cast("double"), F.lit(0.0)))

@@ -20,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def balls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """specimen, cx, cy, cz, r: narrow, three columns of the scan."""
+    return balls_of(table(spark, sf_dir, "part"))
+
+
+def balls_of(parts: DataFrame) -> DataFrame:
+    """specimen, cx, cy, cz, r of rows p_partkey, p_size: narrow, two columns of the scan."""
     at = lambda m, a: ((F.col("p_partkey") * m + a) % N).cast("int")
-    return table(spark, sf_dir, "part").select(
+    return parts.select(
         F.floor(F.col("p_partkey") / float(PARTS)).cast("int").alias("specimen"),
         F.col("p_partkey").alias("ball"),
         at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"),
@@ -74,6 +78,17 @@ def region(n: int = N) -> np.ndarray:
 def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wide: bool = False) -> DataFrame:
     """One row for each specimen in the operators' volume form. ``wide`` makes larger
     specimens of more parts, for measures that need room around them."""
+    found = balls(spark, sf_dir)
+    if wide:
+        at = lambda m, a: ((F.col("p_partkey") * m + a) % n).cast("int")
+        found = table(spark, sf_dir, "part").select(
+            F.floor(F.col("p_partkey") / float(WIDE_PARTS)).cast("int").alias("specimen"), F.col("p_partkey").alias("ball"), at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"), (5 + F.col("p_size") % 5).cast("int").alias("r")
+        )
+    return volumes_of(found, n)
+
+
+def volumes_of(found: DataFrame, n: int = N) -> DataFrame:
+    """Specimens of n voxels a side, painted from rows specimen, ball, cx, cy, cz, r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roi = region(n)
@@ -83,14 +98,8 @@ def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wi
                 bone = paint([(c["cx"], c["cy"], c["cz"], c["r"]) for c in found], n)
                 yield pa.RecordBatch.from_pydict({"specimen": [specimen], "width": [n], "height": [n], "depth": [n], "h_um": [H_UM], "bone": [np.packbits(bone).tobytes()], "roi": [np.packbits(roi).tobytes()]}, schema=VOLUME_SCHEMA(pa.int32()))
 
-    found = balls(spark, sf_dir)
-    if wide:
-        at = lambda m, a: ((F.col("p_partkey") * m + a) % n).cast("int")
-        found = table(spark, sf_dir, "part").select(
-            F.floor(F.col("p_partkey") / float(WIDE_PARTS)).cast("int").alias("specimen"), F.col("p_partkey").alias("ball"), at(7919, 13).alias("cx"), at(104729, 7).alias("cy"), at(1299709, 3).alias("cz"), (5 + F.col("p_size") % 5).cast("int").alias("r")
-        )
     # few bytes here become much work: without a number, adaptive execution would make one task of it
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = found.repartition(tasks, "specimen").groupBy("specimen").agg(F.sort_array(F.collect_list(F.struct("ball", "cx", "cy", "cz", "r"))).alias("balls"))
     return held.mapInArrow(run, "specimen int, width int, height int, depth int, h_um double, bone binary, roi binary")
 
