@@ -36,7 +36,7 @@ def load(spark: SparkSession, cfg: Config) -> DataFrame:
     if names.isEmpty():
         raise InputError("no TIFF files")
     own = F.when(spacing.isotropy(F.col("x_um"), F.col("y_um"), F.col("z_um")).isNull(), F.col("x_um"))
-    bones = tiff.decode_volumes(files, cfg.threshold, "strict" if cfg.strict else "any").withColumn("specimen", relative(cfg.binary_dir))
+    bones = tiff.volumes(spark, files, cfg.threshold, "strict" if cfg.strict else "any").withColumn("specimen", relative(cfg.binary_dir))
     if cfg.voxel_size is not None:
         bones = bones.withColumn("h_um", F.lit(float(cfg.voxel_size)))
     elif cfg.spacing_csv:
@@ -44,7 +44,7 @@ def load(spark: SparkSession, cfg: Config) -> DataFrame:
         spacing.require_all(names.join(known, "name", "left"))
         bones = bones.withColumn("name", spacing.base_name(F.col("path"))).join(known, "name").drop("name")
     elif cfg.spacing_dir:
-        other = tiff.decode_volumes(tiff.discover(spark, cfg.spacing_dir)).select(spacing.base_name(F.col("path")).alias("name"), own.alias("h_um")).groupBy("name").agg(F.min("h_um").alias("h_um"))
+        other = tiff.volumes(spark, tiff.discover(spark, cfg.spacing_dir)).select(spacing.base_name(F.col("path")).alias("name"), own.alias("h_um")).groupBy("name").agg(F.min("h_um").alias("h_um"))
         bones = bones.withColumn("name", spacing.base_name(F.col("path"))).join(other, "name", "left").drop("name")
     else:
         bones = bones.withColumn("h_um", own)
@@ -58,7 +58,7 @@ def load(spark: SparkSession, cfg: Config) -> DataFrame:
     if missing:
         raise InputError("no region for " + ", ".join(r["specimen"] for r in missing))
     size = lambda: F.struct("width", "height", "depth")
-    regions = tiff.decode_volumes(roi_files, 0, "roi").select(relative(cfg.roi_dir).alias("specimen"), size().alias("roi_size"), F.col("voxels").alias("roi"), F.coalesce("problem", F.lit("")).alias("roi_problem"))
+    regions = tiff.volumes(spark, roi_files, 0, "roi").select(relative(cfg.roi_dir).alias("specimen"), size().alias("roi_size"), F.col("voxels").alias("roi"), F.coalesce("problem", F.lit("")).alias("roi_problem"))
     both = bones.join(regions, "specimen", "left")
     why = F.when(F.col("roi_problem").isNull(), "no region").when(F.col("roi_problem") != "", F.concat(F.lit("region: "), "roi_problem")).when(F.col("roi_size") != size(), "region and volume differ in size")
     return both.select("specimen", "width", "height", "depth", "h_um", "bone", "roi", F.coalesce("problem", why).alias("problem"))
