@@ -25,7 +25,7 @@ from voxloom.llm.base import materialize, table
 
 SHARDS, SEED = 8, 11
 #: Rows of a range, which one task ranks.
-RANGE_ROWS = 1 << 16
+RANGE_ROWS = 1 << 11
 #: Copies of a row that one task writes out; more are dealt out first.
 COPIES = 4096
 #: Ranges in a block of the running sum over all of them.
@@ -47,11 +47,15 @@ def slim(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col:
     return _keyed(docs, seed, id_col, source_col, text_col).drop("text")
 
 
-def _start(rows: DataFrame, by: list[str], at: str, amount) -> DataFrame:
-    """For each range ``at`` within ``by``: the sum of ``amount`` over all ranges before it (start), and over all (total)."""
-    inside = Window.partitionBy(*by)
-    before = inside.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.groupBy(*by, at).agg(F.sum(amount).alias("amount")).select(*by, at, F.coalesce(F.sum("amount").over(before), F.lit(0)).alias("start"), F.sum("amount").over(inside).alias("total"))
+def _start(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """For rows (by, range, amount), one for each range: the sum of the amounts of all ranges before it (start).
+    In two steps, by blocks of ranges, so that a task sees BLOCK ranges or all blocks of a key."""
+    order = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("amount").over(w), F.lit(0))
+    rows = ranges.withColumn("block", F.expr(f"range div {BLOCK}L"))
+    blocks = rows.groupBy(*by, "block").agg(F.sum("amount").alias("amount")).select(*by, "block", before(order(by, "block")).alias("earlier"))
+    inner = rows.select(*by, "block", "range", before(order([*by, "block"], "range")).alias("inside"))
+    return inner.join(blocks, [*by, "block"]).select(*by, "range", (F.col("earlier") + F.col("inside")).alias("start"))
 
 
 def _ordered(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -62,7 +66,9 @@ def _ordered(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_c
     # eight hexadecimal digits are a number below 2**32, whose share of the whole picks the range
     rows = rows.withColumn("range", F.expr(f"shiftright(conv(substr(hash, 1, 8), 16, 10)::long * {ranges}L, 32)"))
 
-    starts = _start(rows, ["source"], "range", F.col("copies"))
+    amounts = rows.groupBy("source", "range").agg(F.sum("copies").alias("amount"))
+    totals = amounts.groupBy("source").agg(F.sum("amount").alias("total"))
+    starts = _start(amounts, ["source"]).join(totals, "source")
     order = Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).join(starts, ["source", "range"])
     ranked = ranked.select(*_ID, "copies", (F.col("start") + F.col("before")).alias("first"), "total")
@@ -74,11 +80,8 @@ def _ordered(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_c
     every = every.withColumn("fraction", (2 * F.col("source_rank") + 1).cast("double") / (2 * F.col("total")).cast("double")).drop("total")
     every = materialize(every.withColumn("range", F.floor(F.col("fraction") * ranges).cast("long")), "shard-ranks")
 
-    # running sum over all ranges in two steps, so that no task sees more than BLOCK of them and the blocks
-    blocks = every.groupBy("range").agg(F.count("*").alias("amount")).withColumn("block", F.expr(f"range div {BLOCK}L"))
-    inner = _start(blocks, ["block"], "range", F.col("amount"))
-    outer = _start(blocks.withColumn("all", F.lit(0)), ["all"], "block", F.col("amount")).select("block", F.col("start").alias("earlier"))
-    starts = inner.join(outer, "block").select("range", (F.col("start") + F.col("earlier")).alias("start"))
+    amounts = every.groupBy("range").agg(F.count("*").alias("amount")).withColumn("all", F.lit(0))
+    starts = _start(amounts, ["all"]).select("range", "start")
     place = F.row_number().over(Window.partitionBy("range").orderBy("fraction", "source", "source_rank"))
     found = every.withColumn("place", place).join(starts, "range")
     return found.select("doc_id", "source", "size", "text_crc32", "hash", "source_rank", "fraction", (F.col("start") + F.col("place") - 1).alias("position")), n
