@@ -41,7 +41,7 @@ ROWS_A_PLACE = 2_000_000
 WAVE = 16
 #: Distinct terms a task holds before it passes them on, bytes of a text taken apart at a time, and pairs
 #: of a posting's groups computed at a time.
-HELD, WINDOW, PAIRS = 200_000, 1 << 20, 1 << 20
+HELD, WINDOW, PAIRS = 500_000, 1 << 20, 1 << 20
 
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
@@ -105,10 +105,12 @@ def _name(col: str) -> Column:
 
 
 def postings(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, total, posts of (source, n)) of kept terms. A posting has at most as many entries as
-    the language has sources, of which the result has a row for every pair."""
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("posts"))
-    return whole.filter(F.col("docs") >= min_docs).drop("docs")
+    """(lang, term, total, size_class, posts of (source, n, count_class)) of kept terms. A posting has at most as
+    many entries as the language has sources, of which the result has a row for every pair. Counts are
+    already one row a term and group: they are dealt by term as they are, nothing is left to combine before."""
+    dealt = counts.repartition("lang", "term")
+    whole = dealt.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n", F.expr(_class("n")).alias("count_class"))).alias("posts"))
+    return whole.filter(F.col("docs") >= min_docs).select("lang", "term", "total", F.expr("length(bin(total))").alias("size_class"), "posts")
 
 
 def groups_of(docs: DataFrame, posts: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -136,7 +138,8 @@ def divergence(p: str, q: str) -> Column:
 
 
 def _rows(posts: DataFrame) -> DataFrame:
-    return posts.select("lang", "term", "total", F.explode("posts").alias("post")).select("lang", "term", "total", "post.source", "post.n")
+    found = posts.select("lang", "term", "total", "size_class", F.explode("posts").alias("post"))
+    return found.select("lang", "term", "total", "post.source", "post.n", (F.col("post.count_class") * 64 + F.col("size_class")).alias("bucket"))
 
 
 def _beside(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], n_rows: int) -> DataFrame:
@@ -165,11 +168,15 @@ def top_terms(posts: DataFrame, groups: DataFrame, k: int = TOP) -> DataFrame:
     """(lang, source, term, n, p, q, value, rank): the k terms of each group that diverge most upwards from
     its language (p > q), by value and then by the bytes of the term."""
     n_rows = posts.agg(F.sum(F.size("posts"))).first()[0] or 0
-    rows = _beside(_rows(posts), groups.select("lang", "source", "size", "terms", "lang_size"), ["lang", "source"], ["term"], n_rows)
-    rows = rows.select("lang", "source", "term", "n", "total", probability("n", "size", "terms").alias("p"), probability("total", "lang_size", "terms").alias("q")).filter("p > q")
-    rows = rows.withColumn("bucket", F.expr(f"({_class('n')}) * 1024 + length(bin(total))"))
+    sizes = groups.select("lang", "source", "size", "terms", "lang_size")
 
-    buckets = rows.groupBy("lang", "source", "bucket").agg(F.count("*").alias("members"), F.max("p").alias("p_high"), F.min("q").alias("q_low"))
+    def scored(found: DataFrame) -> DataFrame:
+        found = _beside(found, sizes, ["lang", "source"], ["term"], n_rows)
+        p, q = probability("n", "size", "terms").alias("p"), probability("total", "lang_size", "terms").alias("q")
+        return found.select("lang", "source", "term", "n", "bucket", p, q).filter("p > q")
+
+    rows = _rows(posts)
+    buckets = scored(rows).groupBy("lang", "source", "bucket").agg(F.count("*").alias("members"), F.max("p").alias("p_high"), F.min("q").alias("q_low"))
     buckets = buckets.withColumn("bound", divergence("p_high", "q_low"))
     ahead = Window.partitionBy("lang", "source").orderBy(F.desc("bound"), F.asc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     buckets = materialize(buckets.withColumn("ahead", F.coalesce(F.sum("members").over(ahead), F.lit(0))), "divergence-buckets")
@@ -184,7 +191,7 @@ def top_terms(posts: DataFrame, groups: DataFrame, k: int = TOP) -> DataFrame:
             if unseen.isEmpty():
                 break
         wave = unseen.filter(F.col("ahead") < high).select("lang", "source", "bucket")
-        seen = _beside(rows, wave, ["lang", "source", "bucket"], ["term"], n_rows)
+        seen = scored(_beside(rows, wave, ["lang", "source", "bucket"], ["term"], n_rows))
         seen = seen.select("lang", "source", "term", "n", "p", "q", divergence("p", "q").alias("value"))
         both = seen if best is None else best.drop("rank").unionByName(seen)
         best = materialize(_best(both, k), "divergence-terms")
@@ -197,35 +204,70 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // q
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the terms that two groups share add to what each adds by itself, summed within chunks."""
+def _sums(lang: str, start: np.ndarray, size: np.ndarray, g: np.ndarray, p: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the terms that two groups share add to what each adds by itself, for postings of one language
+    given by start and size in the lists of groups g, their p and their z; summed within chunks."""
+    for length in np.unique(size[size > 1]):
+        at = start[size == length]
+        step = max(1, PAIRS // int(length) ** 2)
+        part = max(1, PAIRS // int(length))  # rows of one posting's pairs, where they are more than PAIRS
+        for i in range(0, len(at), step):
+            take = at[i : i + step, None] + np.arange(length)
+            for j in range(0, int(length), part):
+                one, all_ = take[:, j : j + part, None], take[:, None, :]
+                more = _f(p[one], p[all_]) - _f(p[one], z[all_]) - _f(z[one], p[all_]) + _f(z[one], z[all_])
+                key = (g[one] << 32 | g[all_]).ravel()
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                sums = np.add.reduceat(more.ravel()[order], first)
+                left, right = key[first] >> 32, key[first] & 0xFFFFFFFF
+                keep = left != right
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, int(keep.sum())), pa.array(left[keep], pa.int32()), pa.array(right[keep], pa.int32()), pa.array(sums[keep], pa.int64())], names=["lang", "g", "h", "v"])
+
+
+def _by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Languages of a batch of (lang, lists), with start and size of their lists."""
+    langs = b.column(0).dictionary_encode()
+    start = b.column(1).offsets.to_numpy().astype(np.int64)
+    size = np.diff(start)
+    index = langs.indices.to_numpy()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        yield lang, start[:-1][index == k], size[index == k]
+
+
+def _shared_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for b in batches:
-        langs = np.array(b.column(0).to_pylist(), object)
-        lists = b.column(1)
-        start = lists.offsets.to_numpy().astype(np.int64)
-        size = np.diff(start)
-        g, p, z = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists.values.flatten())
-        for lang in set(langs):
-            for length in np.unique(size[langs == lang]):
-                at = np.flatnonzero((langs == lang) & (size == length))
-                step = max(1, PAIRS // int(length) ** 2)
-                part = max(1, PAIRS // int(length))  # rows of one posting's pairs, where they are more than PAIRS
-                for i in range(0, len(at), step):
-                    take = start[at[i : i + step], None] + np.arange(length)
-                    for j in range(0, int(length), part):
-                        one, all_ = take[:, j : j + part, None], take[:, None, :]
-                        more = _f(p[one], p[all_]) - _f(p[one], z[all_]) - _f(z[one], p[all_]) + _f(z[one], z[all_])
-                        key = (g[one] << 32 | g[all_]).ravel()
-                        order = np.argsort(key, kind="stable")
-                        key = key[order]
-                        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                        sums = np.add.reduceat(more.ravel()[order], first)
-                        left, right = key[first] >> 32, key[first] & 0xFFFFFFFF
-                        keep = left != right
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.repeat(lang, int(keep.sum())), pa.array(left[keep], pa.int32()), pa.array(right[keep], pa.int32()), pa.array(sums[keep], pa.int64())], names=["lang", "g", "h", "v"]
-                        )
+        g, p, z = (b.column(1).values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        for lang, start, size in _by_lang(b):
+            yield from _sums(lang, start, size, g, p, z)
+
+
+def _shared_known(known: dict[str, dict[str, tuple[int, int, int, int]]]):
+    """The same for postings as they are: ``known`` has gid, size, terms and p0 of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            lists = b.column(1).values
+            source = lists.field(0).dictionary_encode()
+            n = lists.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lang, start, size in _by_lang(b):
+                own = np.array([known[lang].get(s, (0, 0, 1, 1)) for s in source.dictionary.to_pylist()], np.int64).reshape(-1, 4)
+                g, total, terms, z = own[source.indices.to_numpy()].T
+                yield from _sums(lang, start, size, g, _probability(n, total + terms), z)
+
+    return run
+
+
+def _probability(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """``probability`` in arrays."""
+    p, rest = np.zeros_like(n), n + 1
+    for _ in range(3):
+        rest = rest * 1000
+        p, rest = p * 1000 + rest // d, rest % d
+    return p + 1
 
 
 def pair_divergences(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -238,22 +280,29 @@ def pair_divergences(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """
     whole = "decimal(38,0)"
     n_rows = posts.agg(F.sum(F.size("posts"))).first()[0] or 0
-    near = groups.select("lang", "source", "gid", "size", "terms", "p0")
-    rows = _beside(_rows(posts), near, ["lang", "source"], ["term"], n_rows).select("lang", "term", "gid", probability("n", "size", "terms").alias("p"), "p0")
-
     other = groups.select("lang", F.col("gid").alias("h"), F.col("p0").alias("z"))
     n_groups = groups.count()
     base = _beside(groups.select("lang", F.col("gid").alias("g"), "terms", "p0"), other, ["lang"], ["g"], n_groups * 1000).filter("g <> h")
     base = base.select("lang", "g", "h", F.coalesce(F.col("terms").cast(whole) * divergence("p0", "z"), F.lit(0)).cast(whole).alias("v"))
 
-    counts = rows.groupBy("lang", F.col("gid").alias("g"), "p", "p0").agg(F.count("*").alias("k"))
+    near = groups.select("lang", "source", "gid", "size", "terms", "p0")
+    counts = _rows(posts).groupBy("lang", "source", "n").agg(F.count("*").alias("k"))
+    counts = _beside(counts, near, ["lang", "source"], ["n"], n_rows).select("lang", F.col("gid").alias("g"), probability("n", "size", "terms").alias("p"), "p0", "k")
     alone = _beside(counts, other, ["lang"], ["g", "p"], n_rows).filter("g <> h")
     mine, theirs = divergence("p", "z") - divergence("p0", "z"), divergence("z", "p") - divergence("z", "p0")
     alone = alone.groupBy("lang", "g", "h").agg(F.sum(F.col("k").cast(whole) * mine).cast(whole).alias("mine"), F.sum(F.col("k").cast(whole) * theirs).cast(whole).alias("theirs"))
     alone = alone.select("lang", F.explode(F.array(F.struct("g", "h", F.col("mine").alias("v")), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), F.col("theirs").alias("v")))).alias("x")).select("lang", "x.*")
 
-    lists = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("gid", "p", "p0")).alias("groups")).filter(F.size("groups") > 1)
-    shared = lists.select("lang", "groups").mapInArrow(_shared, "lang string, g int, h int, v long")
+    out = "lang string, g int, h int, v long"
+    if n_groups <= BROADCAST_ROWS:
+        known: dict[str, dict[str, tuple[int, int, int, int]]] = {}
+        for r in near.filter("terms > 0").toLocalIterator():
+            known.setdefault(r["lang"], {})[r["source"]] = (r["gid"], r["size"], r["terms"], r["p0"])
+        shared = posts.filter(F.size("posts") > 1).select("lang", "posts").mapInArrow(_shared_known(known), out)
+    else:
+        rows = _beside(_rows(posts.filter(F.size("posts") > 1)), near, ["lang", "source"], ["term"], n_rows)
+        rows = rows.select("lang", "term", F.struct("gid", probability("n", "size", "terms").alias("p"), "p0").alias("group"))
+        shared = rows.groupBy("lang", "term").agg(F.collect_list("group").alias("groups")).select("lang", "groups").mapInArrow(_shared_listed, out)
     shared = shared.groupBy("lang", "g", "h").agg(F.sum(F.col("v").cast(whole)).cast(whole).alias("v"))
 
     sums = base.unionByName(alone).unionByName(shared).groupBy("lang", "g", "h").agg(F.sum("v").cast("long").alias("value"))
