@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 from voxloom.llm.base import map_rows, split_ranges, table, texts
 
 K = 128
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
-
 def parse(text: str, known: set[str], ends: list[int], at: int = 0, part: str = "") -> str:
     """Parse on from position ``at`` with an open phrase ``part``: adds phrases to ``known`` and their end
     positions to ``ends``; returns the phrase that is still open."""
@@ -40,33 +36,36 @@ def parse(text: str, known: set[str], ends: list[int], at: int = 0, part: str =
     return part
 
 
-_POWERS = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; grown to the longest text met."""
-    if _POWERS["n"] < n:
-        size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, b in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[key] = np.cumprod(p)
-        _POWERS["n"] = size
-    return _POWERS["up"], _POWERS["down"]
-
-
-def phrase_hashes(code_points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each code point range, equal for equal strings wherever they stand."""
-    up, down = _powers(len(code_points) + 1)
-    sums = np.zeros(len(code_points) + 1, np.uint64)
-    np.cumsum((code_points.astype(np.uint64) + np.uint64(0x1F1)) * down[: len(code_points)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * up[ends - 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+#: Elements that are hashed at a time; a range is never cut.
+HASHED = 1 << 18
+
+
+def _scatter(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def phrase_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of elements (code points or bytes), equal for equal strings wherever they
+    stand. Every element is scattered together with its place in the range before the sum is taken, so no
+    pattern of elements cancels out, as patterns do in powers of a base."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(starts):
+        done = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + HASHED, "right")))
+        n = size[at:to]
+        first = upto[at:to] - n - done
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        x = points[np.repeat(starts[at:to], n) + place].astype(np.uint64)
+        x |= (place + 1).astype(np.uint64) << np.uint64(21)  # code points have 21 bits
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out[at:to] = np.add.reduceat(_scatter(x), first)
+        at = to
+    return _scatter(out ^ (size.astype(np.uint64) << np.uint64(1)))
 
 
 def signature(text: str, ends: list[int], open_at: int) -> np.ndarray:
