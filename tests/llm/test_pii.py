@@ -1,5 +1,6 @@
 """Pseudonyms of every kind against a plain-Python twin, and the patterns on their worst cases."""
 
+import calendar
 import datetime
 import hashlib
 import re
@@ -17,6 +18,10 @@ def hashed(kind, *parts):
     return hashlib.sha256("|".join([KEY, kind, *map(str, parts)]).encode()).hexdigest()
 
 
+SPANS = ((0xE0, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x430, 0x44F), (0x410, 0x42F))
+NAMES = (LOWER, UPPER, TEN, *("".join(map(chr, range(a, b + 1))) for a, b in SPANS))
+
+
 def feistel(left, right, a, b, kind):
     for i in range(1, pseudonyms.ROUNDS + 1):
         if i % 2:
@@ -54,7 +59,7 @@ def laid_out(value, new):
 def email(v):
     local, domain = v.split("@")
     host, last = domain.rsplit(".", 1)
-    return shape(local, "email", (LOWER, UPPER, TEN)) + "@" + shape(host, "domain", (LOWER, UPPER, TEN)) + "." + last
+    return shape(local, "email", NAMES) + "@" + shape(host, "domain", NAMES) + "." + last
 
 
 def secret(v):
@@ -64,10 +69,11 @@ def secret(v):
 
 
 def ssn(v):
-    a, g, s = map(int, v.split("-"))
+    sep = v[3]
+    a, g, s = map(int, v.split(sep))
     left, right = feistel((a - 2 if a > 666 else a - 1) * 99 + g - 1, s - 1, 898 * 99, 9999, "ssn")
     a = left // 99 + 1
-    return f"{a + (a >= 666):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    return f"{a + (a >= 666):03d}{sep}{left % 99 + 1:02d}{sep}{right + 1:04d}"
 
 
 def phone(v):
@@ -83,7 +89,14 @@ def phone(v):
     return laid_out(v, code + f"{left + 20_000}{right:05d}")
 
 
+def token(v):
+    before = re.match("(?i:bearer) +|[spr]k-(?:[a-z]+-)*|gh[pousr]_", v)[0]
+    return before + shape(v[len(before) :], "token", (LOWER, UPPER, TEN))
+
+
 def iban(v):
+    if v.islower():
+        return iban(v.upper()).lower()
     plain = v.replace(" ", "")
     bban = plain[4:]
     moved = laid_out(bban, digits(re.sub("[^0-9]", "", bban), "iban"))
@@ -93,26 +106,37 @@ def iban(v):
 
 
 def date(v):
-    iso = v[4] == "-"
-    one, two, three = re.split("[-./]", v)
-    day_first = int(two) <= 12
-    y, m, d = (one, two, three) if iso else (three, two, one) if day_first else (three, one, two)
-    start = datetime.date(1800, 1, 1)
-    at = (datetime.date(int(y), int(m), int(d)) - start).days
-    left, right = feistel(at // 773, at % 773, 189, 773, "date")
-    to, sep = start + datetime.timedelta(left * 773 + right), re.search("[-./]", v)[0]
-    wide = not re.search("^[0-9][./]|[./-][0-9][./]", v)
-    d, m = (f"{to.day:02d}", f"{to.month:02d}") if wide else (str(to.day), str(to.month))
-    return f"{to.year:04d}-{m}-{d}" if iso else sep.join([d, m, f"{to.year:04d}"] if day_first else [m, d, f"{to.year:04d}"])
+    year_first = v[:4].isdigit()
+    sep = re.search("[-./]", v)[0]
+    one, two, three = v.split(sep)
+    day_first = not year_first and int(two) <= 12
+    y, m, d = (one, two, three) if year_first else (three, two, one) if day_first else (three, one, two)
+    at = datetime.date(int(y), int(m), int(d))
+    if year_first or (day_first and len(one) == len(two) == 2):
+        start = datetime.date(1800, 1, 1)
+        left, right = feistel((at - start).days // 773, (at - start).days % 773, 189, 773, "date")
+        to = start + datetime.timedelta(left * 773 + right)
+        return sep.join([f"{to.year}", f"{to.month:02d}", f"{to.day:02d}"] if year_first else [f"{to.day:02d}", f"{to.month:02d}", f"{to.year}"])
+    low, high, months = (1, 9 if len(one) == 1 else 31, 9 if len(two) == 1 else 12) if day_first else (13, 31, 9 if len(one) == 1 else 12)
+    days = [(m, d) for m in range(1, months + 1) for d in range(low, high + 1) if d <= calendar.monthrange(2000, m)[1]]
+    left, right = at.year - 1800, days.index((at.month, at.day))
+    while True:
+        left, right = feistel(left, right, 400, len(days), f"date {low} {high} {months}")
+        m, d = days[right]
+        if d <= calendar.monthrange(1800 + left, m)[1]:
+            break
+    fields = (d, m) if day_first else (m, d)
+    return sep.join([str(x).zfill(len(w)) for x, w in zip(fields, (one, two), strict=True)] + [str(1800 + left)])
 
 
 CASES = {
-    email: ["a.b-c_d%42@mail8.Example-Host.com", "x@y.zz", "Long." + "q7" * 40 + "@a.b.c.d.org", "me@10.0.0.1.example"],
+    email: ["a.b-c_d%42@mail8.Example-Host.com", "x@y.zz", "Long." + "q7" * 40 + "@a.b.c.d.org", "me@10.0.0.1.example", "user@münchen.de", "jöe@ex.com", "иван.п@пример.рф"],
+    token: ["Bearer eyJhbGciOi.J9_x-Y0=.abcDEF12345", "sk-proj-Abc123DEF456ghi789", "ghp_0123456789abcdefghijABCDEFGHIJ012345"],
     secret: ["token=0123456789abcdef0123456789abcdef01234567", 'password: "Abc_DEF-123/x+9', "api_key = " + "zZ9" * 50],
-    ssn: ["001-01-0001", "665-99-9999", "667-45-1234", "899-10-0500"],
+    ssn: ["001-01-0001", "665-99-9999", "667-45-1234", "899-10-0500", "123 45 6789"],
     phone: ["415 555 0123", "(212) 555-0199", "+1 415-555-0123", "+49 30 1234567", "+33 6 12 34 56 78", "+14155550123", "+7 (495) 123-45-67", "+353 1 234 5678", "012 345 6789"],
-    iban: ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
-    date: ["2024-02-29", "29/02/2024", "02/29/2024", "1.3.1999", "31.12.2199", "1800-01-01"],
+    iban: ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "de89370400440532013000"],
+    date: ["2024-02-29", "29/02/2024", "02/29/2024", "1.3.1999", "31.12.2199", "1800-01-01", "2020/01/31", "07/14/1847", "7/14/1847", "2/29/2024", "1.2.2020", "9/9/1800", "5.12.2199", "27/9/1865", "29/2/2096", "12/31/1999"],
 }
 
 
@@ -166,3 +190,42 @@ def test_key_is_the_sessions_own(spark):
     assert len(a) == 64 and pseudonyms.session_key(other) == a != pseudonyms.session_key(spark.newSession())
     other.conf.set(pseudonyms.KEY_SETTING, "mine")
     assert pseudonyms.session_key(other) == "mine"
+
+
+def written_dates(keep):
+    first = datetime.date(1800, 1, 1)
+    days = [first + datetime.timedelta(k) for k in range(146_097)]
+    return [text for d in days for text in keep(d)]
+
+
+FORMS = {
+    "month first": lambda d: [f"{d.month:02d}/{d.day}/{d.year}"] * (d.day > 12),
+    "month first, one digit": lambda d: [f"{d.month}.{d.day}.{d.year}"] * (d.day > 12 and d.month < 10),
+    "day first": lambda d: [f"{d.day:02d}/{d.month:02d}/{d.year}"],
+    "one digit each": lambda d: [f"{d.day}.{d.month}.{d.year}"] * (d.day < 10 and d.month < 10),
+    "one digit day": lambda d: [f"{d.day}/{d.month:02d}/{d.year}"] * (d.day < 10),
+    "one digit month": lambda d: [f"{d.day:02d}.{d.month}.{d.year}"] * (d.month < 10),
+}
+
+
+def test_different_dates_stay_different(spark):
+    """All dates of 400 years in every form: as many pseudonyms as values, each of its value's form."""
+    values = [(name, v) for name, keep in FORMS.items() for v in written_dates(keep)]
+    df = spark.createDataFrame(values, "form string, text string").repartition(8)
+    out = pseudonyms.pseudonymize(df, KEY, out_col="out", kinds_col="kinds").selectExpr("form", "text", "out", "kinds").toPandas()
+    assert out["kinds"].map(lambda k: list(k) == ["date"]).all()
+    sep = lambda c: c.str.replace(".", "/", regex=False)
+    own, new = out.assign(t=sep(out["text"])), out.assign(t=sep(out["out"]))
+    for name, part in own.groupby("form"):
+        made = new[new["form"] == name]["t"]
+        assert made.nunique() == len(part) and set(made) == set(part["t"]), name
+
+
+def test_key_stands_in_no_plan(spark, capsys):
+    key = "7f" * 32
+    df = spark.createDataFrame([("see 1.2.3.4", 1), (None, 2), ("nothing", 3)], "text string, pseudonym_key int")
+    out = pseudonyms.pseudonymize(df, key)
+    out.explain("extended")
+    assert key not in capsys.readouterr().out and key not in out._jdf.queryExecution().toString()
+    assert out.columns == df.columns and sorted(r["pseudonym_key"] for r in out.collect()) == [1, 2, 3]
+    assert out.filter("text IS NULL").count() == 1 and not out.filter("text = 'nothing'").isEmpty()
