@@ -104,6 +104,28 @@ def test_distances_of_slabs(spark, layers, block):
         assert (d2 == V.squared_distance(v)).all()
 
 
+@pytest.mark.parametrize("layers,around", [(1, 0), (3, 2), (50, 1)])
+def test_balls_of_slabs(spark, layers, around):
+    some = [v for v in FIGURES if not v.all()]
+    found = S.ridge_balls(S.from_volumes(volumes(spark, some), layers), layers, 500, around).collect()
+    for k, v in enumerate(some):
+        d2 = V.squared_distance(v)
+        want = V.propagate(d2, V.distance_ridge(d2))
+        rows = sorted((r["z0"], r) for r in found if r["specimen"] == k)
+        assert sum(r["layers"] for _, r in rows) == len(v)
+        for z, r in rows:
+            got = np.frombuffer(r["r2"], "<i4").reshape(-1, r["height"], r["width"])
+            assert (got == want[z - r["below"] : z + r["layers"] + r["above"]]).all()
+
+
+def test_thickness_of_slabs(spark, sf_dir):
+    vols = X.volumes(spark, sf_dir).limit(4).cache()
+    theirs = M.run(vols, M.thickness(True), M.DISTRIBUTION).toPandas().set_index("specimen").sort_index()
+    for layers in (5, 24):
+        ours = S.thickness(S.from_volumes(vols, layers), layers, 3000).toPandas().set_index("specimen").sort_index()
+        np.testing.assert_allclose(ours[["mean", "sd", "max"]], theirs[["mean", "sd", "max"]], rtol=1e-12)
+
+
 def test_a_full_volume_has_no_distance(spark):
     with pytest.raises(Exception, match="opposite phase"):
         S.squared_distance(S.from_volumes(volumes(spark, [np.ones((4, 4, 4), bool)]), 2)).collect()

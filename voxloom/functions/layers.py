@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from voxloom.functions.voxels import roots
+from voxloom.functions.voxels import OFFSETS26, ridge_limits, roots
 
 #: Squared distance of a voxel whose line or layer holds no voxel of the other phase. Sides may be up to
 #: 18,000 voxels: squared distances then stay below it, and sums with them below 2**31.
@@ -149,3 +149,64 @@ def layer_distance(selected: np.ndarray) -> np.ndarray:
     """Squared distance of each voxel to the nearest unselected one of its own layer."""
     d = row_distance(selected)
     return np.stack([envelope(layer) for layer in d]) if len(d) else d
+
+
+def ridge_points(d2: np.ndarray, own: slice) -> np.ndarray:
+    """Voxels (z, y, x, squared distance) of the distance ridge in the layers ``own``, in order; the layers around
+    them are there where the image has any. Layer by layer, so memory is that of some layers."""
+    values = np.unique(d2)
+    limits = np.zeros((3, int(values[-1]) + 1 if len(values) else 1), np.int64)
+    for v in values[values > 0].tolist():
+        limits[:, v] = ridge_limits(v)
+    found = []
+    for z in range(len(d2))[own]:
+        here = d2[z]
+        keep = here > 0
+        limit = limits[:, here]
+        for dz, dy, dx in OFFSETS26:
+            if not 0 <= z + dz < len(d2):
+                continue
+            ys, yo = slice(max(0, -dy), here.shape[0] - max(0, dy)), slice(max(0, dy), here.shape[0] - max(0, -dy))
+            xs, xo = slice(max(0, -dx), here.shape[1] - max(0, dx)), slice(max(0, dx), here.shape[1] - max(0, -dx))
+            keep[ys, xs] &= d2[z + dz][yo, xo] < limit[abs(dz) + abs(dy) + abs(dx) - 1][ys, xs]
+        y, x = np.nonzero(keep)
+        found.append(np.stack([np.full(len(y), z), y, x, here[y, x]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 4), int)
+
+
+#: Rows of balls that are painted at a time.
+PAINTED = 1 << 20
+
+
+def paint_balls(shape: tuple[int, int, int], balls: np.ndarray) -> np.ndarray:
+    """Largest squared radius of the balls (z, y, x, squared radius) that cover each voxel; centres may lie outside.
+    Balls of one radius are painted together, as rows of voxels along x that begin and end: a step for each
+    radius, not for each ball."""
+    out = np.zeros(shape, np.int32)
+    d, h, w = shape
+    order = np.argsort(balls[:, 3], kind="stable")
+    balls = balls[order]
+    for r2, at, n in zip(*np.unique(balls[:, 3], return_index=True, return_counts=True), strict=True):
+        r = int(np.sqrt(r2))
+        r -= r * r > r2
+        dz, dy = (a.ravel() for a in np.meshgrid(np.arange(-r, r + 1), np.arange(-r, r + 1), indexing="ij"))
+        left = r2 - dz * dz - dy * dy
+        dz, dy, left = dz[left >= 0], dy[left >= 0], left[left >= 0]
+        half = np.floor(np.sqrt(left)).astype(np.int64)
+        half -= half * half > left
+        half += (half + 1) ** 2 <= left
+        step = max(1, PAINTED // len(half))
+        for k in range(at, at + n, step):
+            some = balls[k : min(k + step, at + n)]
+            z, y = (some[:, :1] + dz).ravel(), (some[:, 1:2] + dy).ravel()
+            low, high = (some[:, 2:3] - half).ravel(), (some[:, 2:3] + half).ravel()
+            fit = (z >= 0) & (z < d) & (y >= 0) & (y < h) & (high >= 0) & (low < w)
+            rows, line = np.unique(z[fit] * h + y[fit], return_inverse=True)
+            edge = np.zeros((len(rows), w + 1), np.int32)
+            np.add.at(edge, (line, np.maximum(low[fit], 0)), 1)
+            np.add.at(edge, (line, np.minimum(high[fit] + 1, w)), -1)
+            covered = np.cumsum(edge[:, :w], axis=1) > 0
+            part = out.reshape(d * h, w)[rows]
+            part[covered] = r2  # ascending: a later ball is never smaller
+            out.reshape(d * h, w)[rows] = part
+    return out

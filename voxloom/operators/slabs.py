@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from voxloom.functions import layers as L
-from voxloom.functions.voxels import MorphometryError, phase
+from voxloom.functions.voxels import MorphometryError, clean_surface, phase
 from voxloom.operators.specimens import pack, per_specimen, unpack
 from voxloom.operators.unions import components
 from voxloom.session import cut
@@ -197,13 +197,14 @@ def topology(slabs: DataFrame) -> DataFrame:
     return every.select("specimen", "bone_voxels", "euler", b0.alias("b0"), b2.alias("b2"), "spans").select("specimen", "bone_voxels", "euler", "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2", "spans")
 
 
-_PIECE = "z0 int, layers int, y0 int, rows int, depth int, width int, height int, d2 binary"
+_PIECE = "z0 int, layers int, below int, above int, y0 int, rows int, depth int, width int, height int, d2 binary"
 
 
-def squared_distance(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS) -> DataFrame:
-    """(specimen, z0, layers, depth, width, height, d2): the squared distance of each bone voxel inside the region
-    to the nearest voxel that is none, 0 elsewhere, as 32-bit numbers [z, y, x] of slabs of ``layers`` layers.
-    A specimen without any voxel of the other phase fails the job.
+def squared_distance(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS, halo: int = 0) -> DataFrame:
+    """(specimen, z0, layers, below, above, depth, width, height, d2): the squared distance of each bone voxel inside
+    the region to the nearest voxel that is none, 0 elsewhere, as 32-bit numbers [z, y, x] of slabs of
+    ``layers`` layers, with up to ``halo`` layers of the slabs below and above. A specimen without any
+    voxel of the other phase fails the job.
 
     Lines along x and y lie in a layer. For those along z every slab is cut into blocks of rows, the blocks
     are put together, and the result is dealt back to slabs: two shuffles of the distances.
@@ -213,21 +214,26 @@ def squared_distance(slabs: DataFrame, layers: int = LAYERS, block_voxels: int =
     def flat(inside: np.ndarray, place: dict) -> list[dict]:
         own = L.layer_distance(inside[place["below"] :])
         rows = max(1, block_voxels // (place["depth"] * place["width"]))
-        return [place | {"y0": y, "rows": min(rows, place["height"] - y), "d2": own[:, y : y + rows].astype("<i4").tobytes()} for y in range(0, place["height"], rows)]
+        return [place | {"below": 0, "above": 0, "y0": y, "rows": min(rows, place["height"] - y), "d2": own[:, y : y + rows].astype("<i4").tobytes()} for y in range(0, place["height"], rows)]
 
     def lines(parts: list[np.ndarray], place: dict) -> list[dict]:
         whole = np.concatenate(parts)
         d2 = L.envelope(whole.reshape(place["depth"], -1)).reshape(whole.shape)
         if d2.max() >= L.FAR:
             raise MorphometryError("no voxel of the opposite phase")
-        return [place | {"z0": z, "layers": min(layers, place["depth"] - z), "d2": d2[z : z + layers].astype("<i4").tobytes()} for z in range(0, place["depth"], layers)]
+        rows = []
+        for z in range(0, place["depth"], layers):
+            n = min(layers, place["depth"] - z)
+            below, above = min(halo, z), min(halo, place["depth"] - z - n)
+            rows.append(place | {"z0": z, "layers": n, "below": below, "above": above, "d2": d2[z - below : z + n + above].astype("<i4").tobytes()})
+        return rows
 
     def slab(parts: list[np.ndarray], place: dict) -> list[dict]:
         return [place | {"y0": 0, "rows": place["height"], "d2": np.concatenate(parts, axis=1).tobytes()}]
 
     pieces = per_slab(slabs, flat, _PIECE)
     blocks = _gathered(pieces, kind, ["y0", "rows"], "z0", lines)
-    whole = _gathered(blocks, kind, ["z0", "layers"], "y0", slab)
+    whole = _gathered(blocks, kind, ["z0", "layers", "below", "above"], "y0", slab)
     return whole.drop("y0", "rows")
 
 
@@ -236,18 +242,110 @@ def _gathered(pieces: DataFrame, kind: str, by: list[str], along: str, kernel: C
     ddl = f"specimen {kind}, {_PIECE}"
     target = to_arrow_schema(StructType.fromDDL(ddl))
     keys = ["specimen", *by, "depth", "width", "height"]
+    fixed = {} if along == "y0" else {"below": 0, "above": 0}
     held = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(along, "layers" if along == "z0" else "rows", "d2"))).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                place = {n: b.column(n)[i].as_py() for n in keys}
+                place = fixed | {n: b.column(n)[i].as_py() for n in keys}
                 parts = []
                 for piece in b.column("pieces")[i].values:
                     n = piece[1].as_py()
-                    shape = (n, place["rows"], place["width"]) if along == "z0" else (place["layers"], n, place["width"])
+                    shape = (n, place["rows"], place["width"]) if along == "z0" else (place["below"] + place["layers"] + place["above"], n, place["width"])
                     parts.append(np.frombuffer(piece[2].as_buffer(), "<i4").reshape(shape))
                 for row in kernel(parts, place):
                     yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in target], schema=target)
 
     return held.mapInArrow(run, ddl)
+
+
+#: Layers around a slab whose thickness decides that of its own: surface voxels take the mean of inner ones.
+_AROUND = 2
+_BALLS = "z0 int, layers int, depth int, width int, height int, own boolean, balls binary, selected binary"
+
+
+def ridge_balls(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS, around: int = 0) -> DataFrame:
+    """(specimen, z0, layers, below, above, depth, width, height, r2, selected): for each voxel of a slab, and of
+    ``around`` layers on both sides, the largest squared radius of the ridge balls that cover it, as 32-bit
+    numbers; ``selected`` are the phase's voxels of the slab's own layers, packed.
+
+    A slab finds the ridge of its own layers and deals each ball to all slabs that it touches, as four
+    numbers; those paint them.
+    """
+    kind = slabs.schema["specimen"].dataType.simpleString()
+    distances = squared_distance(slabs, layers, block_voxels, 1)
+    target = to_arrow_schema(StructType.fromDDL(f"specimen {kind}, {_BALLS}"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                v = {n: b.column(n)[i].as_py() for n in ("specimen", "z0", "layers", "below", "above", "depth", "width", "height")}
+                d2 = np.frombuffer(b.column("d2")[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])
+                own = slice(v["below"], v["below"] + v["layers"])
+                balls = L.ridge_points(d2, own)
+                balls[:, 0] += v["z0"] - v["below"]
+                reach = np.floor(np.sqrt(balls[:, 3])).astype(np.int64) + 1 + around
+                first, last = np.maximum(balls[:, 0] - reach, 0) // layers, np.minimum(balls[:, 0] + reach, v["depth"] - 1) // layers
+                for k in range(int(first.min(initial=v["z0"] // layers)), int(last.max(initial=v["z0"] // layers)) + 1):
+                    mine = k * layers == v["z0"]
+                    part = balls[(first <= k) & (last >= k)].astype("<i4")
+                    if mine or len(part):
+                        row = {"specimen": v["specimen"], "z0": k * layers, "layers": min(layers, v["depth"] - k * layers), "own": mine, "balls": part.tobytes(), "selected": pack(d2[own] > 0) if mine else None}
+                        yield pa.RecordBatch.from_arrays([pa.array([(v | row)[f.name]], f.type) for f in target], schema=target)
+
+    held = distances.mapInArrow(deal, f"specimen {kind}, {_BALLS}").groupBy("specimen", "z0", "layers", "depth", "width", "height").agg(F.collect_list("balls").alias("balls"), F.max("selected").alias("selected"))
+    ddl = f"specimen {kind}, z0 int, layers int, below int, above int, depth int, width int, height int, r2 binary, selected binary"
+    painted = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                v = {n: b.column(n)[i].as_py() for n in ("specimen", "z0", "layers", "depth", "width", "height", "selected")}
+                v["below"], v["above"] = min(around, v["z0"]), min(around, v["depth"] - v["z0"] - v["layers"])
+                balls = np.concatenate([np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 4) for x in b.column("balls")[i].values]).astype(np.int64)
+                balls[:, 0] -= v["z0"] - v["below"]
+                v["r2"] = L.paint_balls((v["below"] + v["layers"] + v["above"], v["height"], v["width"]), balls).astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([v[f.name]], f.type) for f in painted], schema=painted)
+
+    return held.mapInArrow(paint, ddl)
+
+
+def thickness(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS) -> DataFrame:
+    """(specimen, n, mean, sd, max): local thickness of the bone inside the region, as ``measures.thickness`` gives it
+    for whole volumes. Slabs sum their own voxels; the sums are taken about a specimen's mean."""
+    kind = slabs.schema["specimen"].dataType.simpleString()
+    spacing = slabs.groupBy("specimen").agg(F.min("h_um").alias("h_um"))
+    ddl = f"specimen {kind}, value float, k long"
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                v = {n: b.column(n)[i].as_py() for n in ("layers", "below", "width", "height")}
+                r2 = np.frombuffer(b.column("r2")[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])
+                raw = np.float32(2) * np.sqrt(r2.astype(np.float64)).astype(np.float32)
+                own = clean_surface(raw)[v["below"] : v["below"] + v["layers"]]
+                values, k = np.unique(own[unpack(b.column("selected")[i].as_py(), own.shape)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("specimen")[i], len(values)), pa.array(values), pa.array(k)], names=["specimen", "value", "k"])
+
+    found = ridge_balls(slabs, layers, block_voxels, _AROUND).mapInArrow(counts, ddl).filter("value > 0").groupBy("specimen", "value").agg(F.sum("k").alias("k"))
+    scaled = cut(found.join(spacing, "specimen").select("specimen", (F.col("value") * F.col("h_um").cast("float")).cast("double").alias("value"), "k"), "thickness")
+    means = scaled.groupBy("specimen").agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("mean"), F.max("value").alias("max"))
+    off = F.col("value") - F.col("mean")
+    spread = scaled.join(means, "specimen").groupBy("specimen").agg(F.sum(F.col("k") * off * off).alias("squares"))
+    return means.join(spread, "specimen").select("specimen", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).otherwise(0.0).alias("sd"), "max")
+
+
+def value_counts(found: DataFrame, column: str) -> DataFrame:
+    """(specimen, d2, n): how many voxels of the slabs' own layers have each positive value."""
+    ddl = f"specimen {found.schema['specimen'].dataType.simpleString()}, d2 long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                v = {n: b.column(n)[i].as_py() for n in ("layers", "below", "width", "height")}
+                own = np.frombuffer(b.column(column)[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])[v["below"] : v["below"] + v["layers"]]
+                values, n = np.unique(own[own > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("specimen")[i], len(values)), pa.array(values.astype(np.int64)), pa.array(n)], names=["specimen", "d2", "n"])
+
+    return found.mapInArrow(run, ddl).groupBy("specimen", "d2").agg(F.sum("n").alias("n"))

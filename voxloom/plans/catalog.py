@@ -16,6 +16,7 @@ from voxloom.operators import measures as M
 from voxloom.operators import parity
 from voxloom.operators import relational as R
 from voxloom.operators import report
+from voxloom.operators import slabs as SL
 from voxloom.plans import fixtures as X
 from voxloom.plans.oracles import ORACLES
 from voxloom.session import Config
@@ -345,6 +346,34 @@ _SURFACE = {"area": 2, "vertex_area": 2, "volume": 0}
 _DIGITS = {"conn_density": 15, "b0_density": 15, "b1_density": 15, "b2_density": 15, "bv_tv": 9, "bs_bv": 9, "bs_tv": 9, "delta_chi": 6, "connectivity": 6, "breadth": 6, "th_cv": 5, "sp_cv": 5}
 
 
+#: Layers of a slab in the queries: not a divisor of a specimen's 24, and several slabs each.
+_LAYERS = 7
+
+
+def _slabs(s: SparkSession, d: str) -> DataFrame:
+    return SL.from_volumes(X.volumes(s, d), _LAYERS)
+
+
+def betti_slabs(s: SparkSession, d: str) -> DataFrame:
+    return SL.topology(_slabs(s, d)).select("specimen", "b0", "b1", "b2")
+
+
+def spanning_slabs(s: SparkSession, d: str) -> DataFrame:
+    return SL.topology(_slabs(s, d)).select("specimen", "spans")
+
+
+def edt_slabs(s: SparkSession, d: str) -> DataFrame:
+    return SL.value_counts(SL.squared_distance(_slabs(s, d), _LAYERS, 2000), "d2")
+
+
+def ridge_ball_slabs(s: SparkSession, d: str) -> DataFrame:
+    return SL.value_counts(SL.ridge_balls(_slabs(s, d), _LAYERS, 2000), "r2")
+
+
+def tb_th_slabs(s: SparkSession, d: str) -> DataFrame:
+    return _round(SL.thickness(_slabs(s, d), _LAYERS, 2000).select("specimen", "mean", "sd", "max"), **_TH)
+
+
 def radii_check(s: SparkSession, d: str) -> DataFrame:
     """Whether radii and eigenvalues of each fit tell the same anisotropy as the fit."""
     rows = parity.radii_check(quadric_fit(s, d).filter("status = 'OK'"))
@@ -385,6 +414,11 @@ QUERIES: dict[str, Query] = {
     "mean_breadth": _topology("breadth", breadth=6),
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
     "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / 9216.0, 9).alias("conn_per_voxel")),
+    "betti_slabs": betti_slabs,
+    "spanning_slabs": spanning_slabs,
+    "edt_slabs": edt_slabs,
+    "ridge_ball_slabs": ridge_ball_slabs,
+    "tb_th_slabs": tb_th_slabs,
     "betti": _kernel(M.betti, M.BETTI, "b0", "b1", "b2", on_error="omit"),
     **{f"beta{b[1]}": _kernel(M.betti, M.BETTI, b, on_error="omit") for b in ("b0", "b1", "b2")},
     "spanning": _kernel(M.betti, M.BETTI, "spans", on_error="omit"),
