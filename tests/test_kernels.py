@@ -171,6 +171,65 @@ def test_axial_facts():
         axial([0, 4, 8], [(0, 1, 4.0)])
 
 
+def dense(a):
+    """Potentials by elimination."""
+    g = np.zeros((a.n, a.n))
+    for (u, w), ls in a.pairs.items():
+        g[u, w] = g[w, u] = sum(1 / x for x in ls if x > 0)
+    lap = np.diag(g.sum(axis=1)) - g
+    fixed = np.array([k in a.top or k in a.bottom for k in range(a.n)])
+    v = np.array([1.0 if k in a.top else 0.0 for k in range(a.n)])
+    v[~fixed] = np.linalg.lstsq(lap[np.ix_(~fixed, ~fixed)], -lap[np.ix_(~fixed, fixed)] @ v[fixed], rcond=None)[0]
+    return v
+
+
+def test_potentials_against_elimination():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        n = int(rng.integers(6, 40))
+        zs = np.r_[0, rng.integers(3, 30, n - 2), 33].tolist()
+        edges = [(k, k + 1, float(rng.uniform(0.5, 9))) for k in range(n - 1)] + [(int(a), int(b), float(x)) for a, b, x in zip(*rng.integers(0, n, (2, 3 * n)), rng.uniform(0.5, 9, 3 * n), strict=True)]
+        a = networks.Axial([[(0, 0, z)] for z in zs], [networks.Edge(*e) for e in edges], [(0, 0, z) for z in zs], 1.0)
+        np.testing.assert_allclose(a.potentials(), dense(a), atol=1e-9)
+
+
+def test_potentials_of_pieces_and_loose_ends():
+    # a chain through, a piece at the top, one at the bottom, one at neither, a vertex on branches of length 0
+    zs = [0, 10, 20, 0, 9, 11, 20, 8, 12, 10]
+    edges = [(0, 1, 3.0), (1, 2, 1.0), (3, 4, 1.0), (5, 6, 1.0), (7, 8, 1.0), (1, 9, 0.0)]
+    a = networks.Axial([[(0, 0, z)] for z in zs], [networks.Edge(*e) for e in edges], [(0, 0, z) for z in zs], 1.0)
+    np.testing.assert_allclose(a.potentials(), [1, 0.25, 0, 1, 1, 0, 0, 0.5, 0.5, 0], atol=1e-12)
+
+
+def test_ladder_conductance():
+    """Two rails of n steps with rungs carry what two rails carry; a rail cut in the middle of each side leaves the way
+    over the rungs: by series and parallel branches."""
+    n = 12
+    node = lambda side, k: side * (n + 1) + k
+    zs = [4 * k for _ in (0, 1) for k in range(n + 1)]
+    rails = [(node(s, k), node(s, k + 1), 4.0) for s in (0, 1) for k in range(n)]
+    rungs = [(node(0, k), node(1, k), 3.0) for k in range(1, n)]
+    assert axial(zs, rails + rungs)["conductance"] == pytest.approx(2.0)
+    crossed = [e for e in rails if e[:2] not in ((node(0, 5), node(0, 6)), (node(1, 6), node(1, 7)))]
+    one = [(node(0, 5), node(1, 5), 3.0), (node(0, 7), node(1, 7), 3.0)]
+    # up the right rail to 6, over the rung, on by the left rail; rungs at 5 and 7 let the other rail help at both ends
+    got = axial(zs, crossed + [(node(0, 6), node(1, 6), 3.0)])
+    assert got["edge_connectivity"] == 1 and got["energy_error"] < 1e-9 and got["conductance"] == pytest.approx(4.0 * n / (20 + 4 + 3 + 4 + 20))
+    end = 1 / (1 / 20 + 1 / 23)
+    assert axial(zs, crossed + one + [(node(0, 6), node(1, 6), 3.0)])["conductance"] == pytest.approx(4.0 * n / (end + 11 + end))
+
+
+def test_many_vertices_in_little_memory():
+    """A grid of 140 x 140: its dense matrix would take 3 GB. Rows are at one height, so the flow is that of 140 rails."""
+    m = 140
+    at = lambda r, c: r * m + c
+    zs = [3 * r for r in range(m) for _ in range(m)]
+    edges = [networks.Edge(at(r, c), at(r + 1, c), 3.0) for r in range(m - 1) for c in range(m)] + [networks.Edge(at(r, c), at(r, c + 1), 2.0) for r in range(m) for c in range(m - 1)]
+    a = networks.Axial([[(0, 0, z)] for z in zs], edges, [(0, 0, z) for z in zs], 1.0)
+    v = a.potentials()
+    np.testing.assert_allclose(v, [1 - r / (m - 1) for r in range(m) for _ in range(m)], atol=1e-8)
+
+
 def test_gini():
     assert math.isnan(networks.gini(np.array([]))) and networks.gini(np.array([0.0, -1.0])) == 0
     assert networks.gini(np.array([1.0, 1.0, 1.0])) == pytest.approx(0)
