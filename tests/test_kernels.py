@@ -230,6 +230,40 @@ def test_many_vertices_in_little_memory():
     np.testing.assert_allclose(v, [1 - r / (m - 1) for r in range(m) for _ in range(m)], atol=1e-8)
 
 
+def test_window_moments_by_sums():
+    """Look-ups in summed volumes and rows of balls against the windows' points themselves."""
+    rng = np.random.default_rng(13)
+    bone = rng.random((17, 20, 23)) < 0.4
+    seeds = np.argwhere(bone)[::37]
+    radius = rng.integers(3, 9, len(seeds))
+    for ball, (n, first, second) in ((False, shape.cube_moments(bone, seeds, 4)), (True, shape.ball_moments(bone, seeds, radius))):
+        lam, vec = shape.principal(n, first, second)
+        for k, seed in enumerate(seeds):
+            p = shape.window_points(bone, tuple(seed), int(radius[k]) if ball else 4, ball) - seed[::-1]
+            assert n[k] == len(p) and first[k].tolist() == p.sum(axis=0).tolist()
+            assert second[k].tolist() == [(p[:, i] * p[:, j]).sum() for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]
+            np.testing.assert_allclose(lam[k], np.linalg.eigvalsh(np.cov(p.T)), rtol=1e-9, atol=1e-12)
+            np.testing.assert_allclose(np.cov(p.T) @ vec[k], vec[k] * lam[k], atol=1e-9)
+
+
+def test_flat_windows_have_no_shape():
+    v = np.zeros((9, 9, 9), bool)
+    v[4, 2:7, 2:7] = True
+    assert shape.cube_shapes(v, v, 4) == []
+    v[5, 4, 4] = True
+    assert len(shape.cube_shapes(v, v, 4)) == 26
+
+
+def test_near_pairs_miss_none():
+    rng = np.random.default_rng(14)
+    for n, m in ((50, 70), (1, 30), (0, 5), (40, 0)):
+        a, b = rng.integers(-20, 30, (n, 3)).astype(float), rng.integers(-20, 30, (m, 3)).astype(float)
+        i, j = shape.near_pairs(a, b, 7.5)
+        got = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert len(got) == len(i)
+        assert {(x, y) for x in range(n) for y in range(m) if ((a[x] - b[y]) ** 2).sum() <= 7.5**2} <= got
+
+
 def test_gini():
     assert math.isnan(networks.gini(np.array([]))) and networks.gini(np.array([0.0, -1.0])) == 0
     assert networks.gini(np.array([1.0, 1.0, 1.0])) == pytest.approx(0)

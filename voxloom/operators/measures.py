@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from voxloom.functions import fields, intercepts, networks, shape, surfaces, thinning, voxels
 from voxloom.functions.voxels import MorphometryError
-from voxloom.operators.specimens import per_specimen
+from voxloom.operators.specimens import per_specimen, unpack
 
 
 def _d(names: str, kind: str = "double") -> str:
@@ -223,21 +227,13 @@ def mil_points(directions: int = intercepts.DIRECTIONS, lines: int = intercepts.
     return kernel
 
 
-def anisotropy_repetitions(volumes: DataFrame, directions: int = intercepts.DIRECTIONS, lines: int = intercepts.LINES, repetitions: int = intercepts.REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED) -> DataFrame:
-    """One quadric for each specimen and repetition. Repetitions have their own random streams, so
-    they are dealt out as rows and sampled in parallel; a specimen's result does not depend on
-    where they run."""
-    reps = F.explode(F.array(*[F.lit(r) for r in range(repetitions)]))
-    tasks = int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = volumes.withColumn("rep", reps).repartition(tasks, "specimen", "rep")
-    keyed = dealt.withColumn("specimen", F.struct("specimen", "rep"))
+_QUADRIC = _d("da angle_deg radius_a radius_b radius_c d1 d2 d3") + ", side int, depth int"
 
-    def kernel(bone, roi, h, rep) -> dict:
-        square = intercepts.domain(roi)
-        p = intercepts.cloud(voxels.phase(bone, roi, True), square, seed, rep, directions, lines, increment)
-        return intercepts.anisotropy(p) | {"side": square[2], "depth": bone.shape[0]}
 
-    return _with_rep(keyed, kernel)
+def anisotropy_repetitions(volumes: DataFrame, directions: int = intercepts.DIRECTIONS, lines: int = intercepts.LINES, repetitions: int = intercepts.REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED) -> DataFrame:
+    """One quadric for each specimen and repetition. Repetitions have random streams of their own; they are
+    made where the specimen is, so no volume is moved or copied."""
+    return anisotropy_sweep(volumes, (directions,), (lines,), repetitions, increment, seed).drop("directions", "lines")
 
 
 #: The reference's sweep.
@@ -245,48 +241,35 @@ SWEEP_DIRECTIONS, SWEEP_LINES, SWEEP_REPETITIONS = (64, 128, 256, 512, 1024, 204
 
 
 def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIRECTIONS, lines: tuple[int, ...] = SWEEP_LINES, repetitions: int = SWEEP_REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED) -> DataFrame:
-    """One quadric for each specimen, direction count, line count and repetition. All are dealt out
-    as rows; blocks of specimens stay together in a setting, as its lines are drawn once a task."""
-    settings = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("directions", "lines", "rep"), x, strict=True)]) for x in product(directions, lines, range(repetitions))]))
-    tasks = int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = volumes.withColumn("at", settings).select(*volumes.columns, "at.*", F.pmod(F.hash("specimen"), F.lit(max(1, tasks // 48))).alias("block"))
-    dealt = dealt.repartition(tasks, "directions", "lines", "rep", "block").sortWithinPartitions("directions", "lines", "rep").drop("block")
-
-    def kernel(bone, roi, h, rep, directions, lines) -> dict:
-        square = intercepts.domain(roi)
-        p = intercepts.cloud(voxels.phase(bone, roi, True), square, seed, rep, directions, lines, increment)
-        return intercepts.anisotropy(p) | {"side": square[2], "depth": bone.shape[0]}
-
-    return _with_rep(dealt.withColumn("specimen", F.struct("specimen", "rep", "directions", "lines")), kernel)
-
-
-def _with_rep(keyed: DataFrame, kernel) -> DataFrame:
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    from voxloom.operators.specimens import unpack
+    """One quadric for each specimen, direction count, line count and repetition.
 
-    keys = keyed.schema["specimen"].dataType
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", da double, angle_deg double, radius_a double, radius_b double, radius_c double, d1 double, d2 double, d3 double, side int, depth int, status string, error string"
+    Settings come to the volumes: a task holds the packed volumes of an Arrow batch and makes one setting
+    after the other of all of them, since volumes of one domain share a setting's lines.
+    """
+    kind = volumes.schema["specimen"].dataType.simpleString()
+    ddl = f"specimen {kind}, rep int, directions int, lines int, {_QUADRIC}, status string, error string"
     target = to_arrow_schema(StructType.fromDDL(ddl))
+    names = ["specimen", "width", "height", "depth", "bone", "roi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for v in b.to_pylist():
-                at = (v["depth"], v["height"], v["width"])
-                key = v["specimen"]
-                try:
-                    roi = unpack(v["roi"], at) if v["roi"] is not None else np.ones(at, bool)
-                    row = kernel(unpack(v["bone"], at), roi, v["h_um"], **{k: x for k, x in key.items() if k != "specimen"}) | {"status": "OK", "error": None}
-                except MorphometryError as why:
-                    row = {"status": "FAIL", "error": str(why)}
-                row |= key
-                yield pa.RecordBatch.from_pydict({f.name: pa.array([row.get(f.name)], f.type) for f in target}, schema=target)
-
-    return keyed.mapInArrow(run, ddl)
+            for n, m, rep in product(directions, lines, range(repetitions)):
+                rows = [_quadric(b, i, seed, rep, n, m, increment) | {"rep": rep, "directions": n, "lines": m} for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(target)[1:]]], schema=target)
+
+    return volumes.select(*names).mapInArrow(run, ddl)
+
+
+def _quadric(b: pa.RecordBatch, i: int, seed: int, rep: int, directions: int, lines: int, increment: float) -> dict:
+    width, height, depth, bone, roi = (b.column(k)[i].as_py() for k in range(1, 6))
+    at = (depth, height, width)
+    try:
+        inside = unpack(roi, at) if roi is not None else np.ones(at, bool)
+        square = intercepts.domain(inside)
+        points = intercepts.cloud(voxels.phase(unpack(bone, at), inside, True), square, seed, rep, directions, lines, increment)
+        return intercepts.anisotropy(points) | {"side": square[2], "depth": depth, "status": "OK"}
+    except MorphometryError as why:
+        return {"status": "FAIL", "error": str(why)}
 
 
 def anisotropy(volumes: DataFrame, **options) -> DataFrame:

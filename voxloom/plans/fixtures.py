@@ -158,12 +158,14 @@ FOAM_N, FOAM_PARTS = 48, 80
 
 def draw_element(v: np.ndarray, centre: tuple[int, int, int], axis: tuple[int, int, int], plate: bool) -> None:
     """A plate (a disc of radius 10 and thickness 3) or a rod (radius 1.5, length 40) across its centre."""
-    g = np.arange(v.shape[0], dtype=np.float64)
-    d = np.stack(np.broadcast_arrays(g - centre[0], (g - centre[1])[:, None], (g - centre[2])[:, None, None]), axis=-1)
     u = np.array(axis, float) / np.linalg.norm(axis)
-    along = d @ u
-    across = (d * d).sum(axis=-1) - along * along
-    v |= (np.abs(along) <= 1.5) & (across <= 100) if plate else (np.abs(along) <= 20) & (across <= 2.25)
+    reach = 11 if plate else 21  # nothing of an element is farther from its centre
+    box = tuple(slice(max(0, c - reach), c + reach + 1) for c in centre[::-1])
+    z, y, x = (np.arange(n, dtype=np.float64)[k] - c for n, k, c in zip(v.shape, box, centre[::-1], strict=True))
+    z, y = z[:, None, None], y[:, None]
+    along = x * u[0] + y * u[1] + z * u[2]
+    across = x * x + y * y + z * z - along * along
+    v[box] |= (np.abs(along) <= 1.5) & (across <= 100) if plate else (np.abs(along) <= 20) & (across <= 2.25)
 
 
 def foam(spark: SparkSession, sf_dir: str) -> DataFrame:
