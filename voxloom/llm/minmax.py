@@ -57,6 +57,29 @@ _ROWS = _RNG.integers(0, 1 << 63, 4, np.uint64) | np.uint64(1)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+#: A number for each place in a word and byte. Bytes between words count nothing, so sums run over them.
+_LETTERS = 64
+_NUMBERS = np.random.default_rng(5).integers(0, 1 << 64, (_LETTERS, 256), np.uint64)
+_NUMBERS[:, _GAP] = 0
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, equal for equal words: the sum of the numbers of its bytes at their places, mixed
+    with its length. Longer words than the table has places are hashed by themselves."""
+    first = int(starts[0])
+    size = ends - starts
+    place = np.arange(len(raw) - first, dtype=np.int32)
+    place -= np.repeat((starts - first).astype(np.int32), np.diff(np.append(starts, len(raw))))
+    np.minimum(place, _LETTERS - 1, out=place)
+    place <<= 8
+    place |= raw[first:]
+    h = _mix(np.add.reduceat(_NUMBERS.ravel()[place], starts - first) ^ size.astype(np.uint64))
+    long = np.flatnonzero(size > _LETTERS)
+    if len(long):
+        h[long] = phrase_hashes(raw, starts[long], ends[long])
+    return h
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -80,7 +103,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     n = len(starts)
     if not n:
         return np.zeros(0, np.uint64)
-    w = phrase_hashes(raw, starts, ends)
+    w = word_hashes(raw, starts, ends)
     k = min(words, n)
     h = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
