@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import layers as L
+from voxloom.functions import surfaces
 from voxloom.functions import voxels as V
 from voxloom.operators import measures as M
 from voxloom.operators import slabs as S
@@ -126,6 +127,16 @@ def test_thickness_of_slabs(spark, sf_dir):
         np.testing.assert_allclose(ours[["mean", "sd", "max"]], theirs[["mean", "sd", "max"]], rtol=1e-12)
 
 
+@pytest.mark.parametrize("layers", [1, 4, 50])
+def test_surfaces_of_slabs(spark, layers):
+    got = {r["specimen"]: r for r in S.surface(S.from_volumes(volumes(spark, FIGURES), layers)).collect()}
+    for k, v in enumerate(FIGURES):
+        vertices, triangles = surfaces.isosurface(-np.pad(v, 1).astype(float), -0.5)
+        r = got[k]
+        assert (r["vertices"], r["triangles"]) == (len(vertices), len(triangles)), k
+        assert r["area"] == pytest.approx(surfaces.binary_area(v, 25.0)) and r["midpoint_area"] == pytest.approx(surfaces.binary_area(v, 25.0, "middle"))
+
+
 def test_a_full_volume_has_no_distance(spark):
     with pytest.raises(Exception, match="opposite phase"):
         S.squared_distance(S.from_volumes(volumes(spark, [np.ones((4, 4, 4), bool)]), 2)).collect()

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from voxloom.functions.surfaces import corner_cases
 from voxloom.functions.voxels import OFFSETS26, ridge_limits, roots
 
 #: Squared distance of a voxel whose line or layer holds no voxel of the other phase. Sides may be up to
@@ -98,6 +99,20 @@ def cell_counts(v: np.ndarray, below: int, last: bool) -> tuple[int, int, int, i
     return vertices, edges, faces, count(own)
 
 
+def surface_counts(v: np.ndarray, below: int, last: bool) -> tuple[np.ndarray, int]:
+    """Cubes of each case and vertices of the surface that a slab owns: the cubes whose upper layer is its own, and
+    those above the image's highest layer; the vertices on lattice edges of its own layers and up to them."""
+    own = np.pad(v[below:], ((0, 0), (1, 1), (1, 1)))
+    flat = sum(int(np.count_nonzero(np.take(own, range(1, n), a) != np.take(own, range(n - 1), a))) for a, n in ((1, own.shape[1]), (2, own.shape[2])))
+    whole = np.pad(v, ((1 - below, int(last)), (1, 1), (1, 1)))
+    cases = np.zeros(256, np.int64)
+    upright = 0
+    for z in range(len(whole) - 1):  # a layer of cubes at a time
+        cases += np.bincount(corner_cases(~whole[z : z + 2]).ravel(), minlength=256)
+        upright += int(np.count_nonzero(whole[z] != whole[z + 1]))
+    return cases, flat + upright
+
+
 def row_distance(selected: np.ndarray) -> np.ndarray:
     """Squared distance along the last axis to the nearest unselected voxel of the line; FAR without one."""
     n = selected.shape[-1]

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from voxloom.functions import layers as L
+from voxloom.functions import surfaces
 from voxloom.functions.voxels import MorphometryError, clean_surface, phase
 from voxloom.operators.specimens import pack, per_specimen, unpack
 from voxloom.operators.unions import components
@@ -336,6 +337,34 @@ def thickness(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_
     return means.join(spread, "specimen").select("specimen", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).otherwise(0.0).alias("sd"), "max")
 
 
+def surface_cases(slabs: DataFrame) -> DataFrame:
+    """(specimen, case, n): marching cubes of each case with a surface, of volumes of any size."""
+    counts = _surface(slabs).filter("case >= 0")
+    return counts.groupBy("specimen", "case").agg(F.sum("n").alias("n"))
+
+
+def _surface(slabs: DataFrame) -> DataFrame:
+    def kernel(inside: np.ndarray, place: dict) -> list[dict]:
+        cases, vertices = L.surface_counts(inside, place["below"], place["z0"] + place["layers"] == place["depth"])
+        return [{"case": int(c), "n": int(cases[c])} for c in np.flatnonzero(cases) if 0 < c < 255] + [{"case": -1, "n": vertices}]
+
+    return per_slab(slabs, kernel, "case int, n long")
+
+
+def surface(slabs: DataFrame) -> DataFrame:
+    """(specimen, area, midpoint_area, vertices, triangles) of the bone's surface: cases are counted by slab, and each
+    case has its area and its triangles. Cubes between two slabs belong to the upper one, so surfaces close."""
+    spacing = slabs.groupBy("specimen").agg(F.min("h_um").alias("h_um"))
+    of = lambda values: F.lit([float(x) for x in values])[F.col("case")]
+    h2 = F.col("h_um") * F.col("h_um")
+    cube = F.when(F.col("case") >= 0, F.col("n")).otherwise(0)
+    case = F.greatest(F.col("case"), F.lit(0))
+    found = _surface(slabs).withColumns({"k": cube, "v": F.col("n") - cube, "case": case}).groupBy("specimen").agg(
+        F.sum(F.col("k") * of(surfaces.case_areas())).alias("area"), F.sum(F.col("k") * of(surfaces.case_areas("middle"))).alias("middle"), F.sum("v").alias("vertices"), F.sum(F.col("k") * of([len(t) for t in surfaces.case_table()])).cast("long").alias("triangles")
+    )
+    return found.join(spacing, "specimen").select("specimen", (F.col("area") * h2).alias("area"), (F.col("middle") * h2).alias("midpoint_area"), "vertices", "triangles")
+
+
 def value_counts(found: DataFrame, column: str) -> DataFrame:
     """(specimen, d2, n): how many voxels of the slabs' own layers have each positive value."""
     ddl = f"specimen {found.schema['specimen'].dataType.simpleString()}, d2 long, n long"

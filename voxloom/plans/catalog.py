@@ -55,12 +55,12 @@ def _wires(kernel, schema: str, *cols: str, on_error: str = "keep", **digits: in
 
 def bv_tv(s: SparkSession, d: str) -> DataFrame:
     n = X.bone_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("bone_voxels"))
-    return n.select("specimen", "bone_voxels", F.lit(9216).cast("long").alias("tv_voxels"), F.round(F.col("bone_voxels") / 9216.0, 9).alias("bv_tv"))
+    return n.select("specimen", "bone_voxels", F.lit(X.REGION_VOXELS).cast("long").alias("tv_voxels"), F.round(F.col("bone_voxels") / float(X.REGION_VOXELS), 9).alias("bv_tv"))
 
 
 def phase_inside(s: SparkSession, d: str) -> DataFrame:
     inside = F.count_if(X.in_disc(F.col("x"), F.col("y")))
-    return X.solid_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("solid"), inside.alias("inside"), (9216 - inside).alias("marrow"))
+    return X.solid_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("solid"), inside.alias("inside"), (X.REGION_VOXELS - inside).alias("marrow"))
 
 
 def neighbours6(s: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def specimen_code(s: SparkSession, d: str) -> DataFrame:
 
 def input_qc(s: SparkSession, d: str) -> DataFrame:
     n = X.solid_voxels(s, d).groupBy("specimen").agg(F.count("*").alias("foreground"))
-    return report.input_qc(n.withColumn("background", 13824 - F.col("foreground")).withColumn("h_um", F.lit(25.0)))
+    return report.input_qc(n.withColumn("background", X.N**3 - F.col("foreground")).withColumn("h_um", F.lit(25.0)))
 
 
 def parity_report(s: SparkSession, d: str) -> DataFrame:
@@ -328,7 +328,7 @@ def graph_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def skeleton_block(s: SparkSession, d: str) -> DataFrame:
-    out = report.skeleton_block(M.run(X.wires(s, d), M.graph, M.GRAPH, "omit"), F.lit(13824 * 25.0**3))
+    out = report.skeleton_block(M.run(X.wires(s, d), M.graph, M.GRAPH, "omit"), F.lit(X.N**3 * X.H_UM**3))
     return _round(out, **{c: 9 if c == "mean_tortuosity" else 6 for c in out.columns[1:]})
 
 
@@ -413,7 +413,9 @@ QUERIES: dict[str, Query] = {
     "euler_chi": _topology("euler"),
     "mean_breadth": _topology("breadth", breadth=6),
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
-    "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / 9216.0, 9).alias("conn_per_voxel")),
+    "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / float(X.REGION_VOXELS), 9).alias("conn_per_voxel")),
+    "surface_cases_slabs": lambda s, d: SL.surface_cases(_slabs(s, d)),
+    "mesh_surface_area_slabs": lambda s, d: _round(SL.surface(_slabs(s, d)).select("specimen", "area"), area=3),
     "betti_slabs": betti_slabs,
     "spanning_slabs": spanning_slabs,
     "edt_slabs": edt_slabs,

@@ -75,6 +75,10 @@ def region(n: int = N) -> np.ndarray:
     return np.broadcast_to(g[:, None] + g[None, :] <= (n - 2) ** 2, (n, n, n)).copy()
 
 
+#: Voxels of the region of a specimen of N voxels a side.
+REGION_VOXELS = int(region().sum())
+
+
 def volumes(spark: SparkSession, sf_dir: str, n: int = N, parts: int = PARTS, wide: bool = False) -> DataFrame:
     """One row for each specimen in the operators' volume form. ``wide`` makes larger
     specimens of more parts, for measures that need room around them."""

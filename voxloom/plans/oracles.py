@@ -251,5 +251,5 @@ ORACLES |= {
 for _k in ("b0", "b1", "b2"):
     ORACLES["beta" + _k[1]] = f"SELECT specimen, {_k} FROM ({ORACLES['betti']})"
 #: Slabs give what whole volumes give.
-for _k, _of in (("betti_slabs", "betti"), ("spanning_slabs", "spanning"), ("edt_slabs", "edt_squared"), ("ridge_ball_slabs", "ridge_ball"), ("tb_th_slabs", "tb_th")):
+for _k, _of in (("betti_slabs", "betti"), ("spanning_slabs", "spanning"), ("edt_slabs", "edt_squared"), ("ridge_ball_slabs", "ridge_ball"), ("tb_th_slabs", "tb_th"), ("surface_cases_slabs", "surface_cases"), ("mesh_surface_area_slabs", "mesh_surface_area")):
     ORACLES[_k] = ORACLES[_of]
