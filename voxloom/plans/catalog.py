@@ -414,6 +414,8 @@ QUERIES: dict[str, Query] = {
     "mean_breadth": _topology("breadth", breadth=6),
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
     "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / float(X.REGION_VOXELS), 9).alias("conn_per_voxel")),
+    "ef_stats_wires": _wires(M.ef(), M.EF, **dict.fromkeys(("mean", "sd", "median", "plate", "rod", "intermediate"), 5)),
+    "plate_rod_wires": _wires(M.plate_rod(), M.PLATE_ROD, **dict.fromkeys(("plate", "rod", "intermediate", "mean_abs_ef", "plate_axial", "rod_axial"), 5)),
     "surface_cases_slabs": lambda s, d: SL.surface_cases(_slabs(s, d)),
     "mesh_surface_area_slabs": lambda s, d: _round(SL.surface(_slabs(s, d)).select("specimen", "area"), area=3),
     "betti_slabs": betti_slabs,

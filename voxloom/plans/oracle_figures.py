@@ -66,3 +66,28 @@ ORACLES: dict[str, str] = {
     "dissipation_gini": _on("SELECT s AS specimen, round(gini, 6) AS dissipation_gini, round(conductance, 6) AS conductance, 0.0 AS energy_error FROM axial JOIN spread USING (s)"),
     "t50": _on("SELECT s AS specimen, 50.0 AS t50, count(DISTINCT (x // 2, y // 2, z // 2)) AS n_grid_representatives FROM sk GROUP BY s"),
 }
+
+#: Windows of 9 x 9 x 9 voxels around the skeleton: covariances as whole numbers times 1 / n (n - 1), which cancels in
+#: the ratios of axes. Flat windows have determinant 0. The smallest eigenvalue is the determinant over the others;
+#: the square of an axis's z is the characteristic polynomial of the xy minor over the differences of eigenvalues.
+_WINDOWS = """
+solid_ AS MATERIALIZED (SELECT s, x, y, z FROM sk UNION ALL SELECT s, x0, y0, z0 FROM fig WHERE kind = 3),
+sums AS (SELECT k.s, k.x, k.y, k.z, count(*) AS n, sum(b.x - k.x) AS sx, sum(b.y - k.y) AS sy, sum(b.z - k.z) AS sz,
+  sum((b.x - k.x) * (b.x - k.x)) AS xx, sum((b.y - k.y) * (b.y - k.y)) AS yy, sum((b.z - k.z) * (b.z - k.z)) AS zz,
+  sum((b.x - k.x) * (b.y - k.y)) AS xy, sum((b.x - k.x) * (b.z - k.z)) AS xz, sum((b.y - k.y) * (b.z - k.z)) AS yz
+  FROM sk k JOIN solid_ b ON b.s = k.s AND abs(b.x - k.x) <= 4 AND abs(b.y - k.y) <= 4 AND abs(b.z - k.z) <= 4 GROUP BY ALL HAVING count(*) >= 6),
+cov AS (SELECT s, n * xx - sx * sx AS a, n * yy - sy * sy AS b, n * zz - sz * sz AS c, n * xy - sx * sy AS d, n * xz - sx * sz AS e, n * yz - sy * sz AS f FROM sums),
+full_ AS (SELECT *, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS det, (a + b + c) / 3.0 AS q FROM cov),
+scale_ AS (SELECT *, sqrt((power(a - q, 2) + power(b - q, 2) + power(c - q, 2) + 2.0 * (d * d + e * e + f * f)) / 6) AS p FROM full_ WHERE det > 0),
+turn AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / power(p, 3) / 2))) / 3 AS phi FROM scale_),
+two AS (SELECT *, q + 2 * p * cos(phi) AS l3, q + 2 * p * cos(phi + 2 * pi() / 3) AS l0 FROM turn),
+three AS (SELECT *, 3 * q - l0 - l3 AS l2 FROM two),
+lam AS (SELECT *, det / (l2 * l3) AS l1 FROM three),
+ef AS (SELECT s, greatest(-1.0, least(1.0, sqrt(l1 / l2) - sqrt(l2 / l3))) AS ef, ((a - l1) * (b - l1) - d * d) / ((l1 - l2) * (l1 - l3)) AS short_z2, ((a - l3) * (b - l3) - d * d) / ((l3 - l1) * (l3 - l2)) AS long_z2 FROM lam)"""
+_SHARES = "avg(CAST(ef < -0.25 AS INT)) AS plate, avg(CAST(ef > 0.25 AS INT)) AS rod"
+for _name, _what, _cols in (
+    ("ef_stats_wires", f"count(*) AS n, avg(ef) AS mean, coalesce(stddev_samp(ef), 0) AS sd, median(ef) AS median, {_SHARES}", ("mean", "sd", "median", "plate", "rod")),
+    ("plate_rod_wires", f"count(*) AS n, {_SHARES}, avg(abs(ef)) AS mean_abs_ef, avg(CASE WHEN ef < -0.25 THEN CAST(short_z2 >= 0.75 AS INT) END) AS plate_axial, avg(CASE WHEN ef > 0.25 THEN CAST(long_z2 >= 0.75 AS INT) END) AS rod_axial", ("plate", "rod", "mean_abs_ef", "plate_axial", "rod_axial")),
+):
+    _made = f"SELECT s AS specimen, n, {', '.join(f'round({c}, 5) AS {c}' for c in _cols)}, round(1 - plate - rod, 5) AS intermediate, {_OK} FROM (SELECT s, {_what} FROM ef GROUP BY s)"
+    ORACLES[_name] = "WITH " + _FIGURES.strip() + "," + re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", _WINDOWS, flags=re.M) + "\n" + _made
