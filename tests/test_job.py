@@ -122,11 +122,13 @@ def test_parity_command(spark, tmp_path, capsys):
     write("skeleton.csv", "sample", [b for _, b in columns[:8]], [[c, *v[:8]] for c, v in values.items()])
     write("minkowski_w102.csv", "sample", [b for _, b in columns[8:]], [[c, *(x + 1e-4 for x in v[8:])] for c, v in values.items()])
     assert compare.main([str(tmp_path / "ours.csv"), str(tmp_path)]) == 0
-    assert capsys.readouterr().out.split() == ["PASS", "skeleton", "SKIP", "mechanical", "SKIP", "soi", "SKIP", "orientation", "PASS", "minkowski"]
+    told = capsys.readouterr().out.splitlines()
+    assert [x.split(":")[0] for x in told] == ["PASS skeleton", "SKIP mechanical", "SKIP soi", "SKIP orientation", "PASS minkowski"]
+    assert told[0].endswith("8 columns x 24 specimens, 0 mismatches, 0 missing, max_abs=0, max_rel=0") and "max_abs=0.0001, max_rel=5.5" in told[4]
     write("skeleton.csv", "sample", [b for _, b in columns[:8]], [[c, *(x + (c == "QC007") for x in v[:8])] for c, v in values.items() if c != "QC009"])
     assert compare.main([str(tmp_path / "ours.csv"), str(tmp_path)]) == 1
     told = capsys.readouterr().out
-    assert "FAIL skeleton" in told and "QC007" in told and "QC009 missing in theirs" in told
+    assert "FAIL skeleton: 8 columns x 23 specimens, 8 mismatches, 1 missing, max_abs=1, max_rel=0.125" in told and "QC007" in told and "QC009 missing in theirs" in told
     write("ours.csv", "filename", ["a"], [["QC001", 1], ["qc001.tif", 2]])
     with pytest.raises(compare.ParityError):
         compare.main([str(tmp_path / "ours.csv"), str(tmp_path)])

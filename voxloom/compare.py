@@ -44,8 +44,10 @@ def _keyed(df: DataFrame, key: str, columns: list[tuple[str, str]], what: str) -
     return out
 
 
-def report(spark: SparkSession, ours_csv: str, folder: str, specimens: int = 24, tolerances: tuple[float, float] = (parity.ABS, parity.REL), mesh: tuple[float, float] = (parity.MESH_ABS, parity.MESH_REL)) -> list[tuple[str, str, list]]:
-    """(family, PASS, FAIL or SKIP, first differences as (code, columns)) of each family. Our codes must
+def report(spark: SparkSession, ours_csv: str, folder: str, specimens: int = 24, tolerances: tuple[float, float] = (parity.ABS, parity.REL), mesh: tuple[float, float] = (parity.MESH_ABS, parity.MESH_REL)) -> list[tuple[str, str, list, dict]]:
+    """(family, PASS, FAIL or SKIP, first differences as (code, columns), sums) of each family. The sums are the
+    number of specimens and columns compared, of values that differ and of specimens that one side lacks, and the
+    largest absolute and relative difference. Our codes must
     be QC001 to the number of specimens, each once; 0 allows any."""
     ours = spark.read.csv(ours_csv, header=True)
     codes = {r["code"] for r in _keyed(ours, "filename", [], ours_csv).select(parity.code(F.col("filename")).alias("code")).collect()}
@@ -55,15 +57,18 @@ def report(spark: SparkSession, ours_csv: str, folder: str, specimens: int = 24,
     for family, table in TABLES.items():
         columns = pairs(family)
         if not all(a in ours.columns for a, _ in columns):
-            out.append((family, "SKIP", []))
+            out.append((family, "SKIP", [], {}))
             continue
         theirs = spark.read.csv(f"{folder.rstrip('/')}/{table}.csv", header=True)
         a = _keyed(ours, "filename", [(x, f"c{k}") for k, (x, _) in enumerate(columns)], ours_csv)
         b = _keyed(theirs, "sample", [(y, f"c{k}") for k, (_, y) in enumerate(columns)], table)
-        rows = parity.compare(a, b, [f"c{k}" for k in range(len(columns))], *(mesh if family == "minkowski" else tolerances))
+        plain, tol = [f"c{k}" for k in range(len(columns))], mesh if family == "minkowski" else tolerances
+        rows = parity.compare(a, b, plain, *tol)
         odd = rows.filter(~F.col("pass") & (F.coalesce("missing", F.lit("")) != "ours")).orderBy("code").limit(MOST_SHOWN).collect()
-        out.append((family, "FAIL" if odd else "PASS", [(r["code"], [columns[int(c[1:])][0] for c in r["differ"] or []] or f"missing in {r['missing']}") for r in odd]))
-    if all(status == "SKIP" for _, status, _ in out):
+        sums = parity.differences(a, b, plain, *tol).agg(F.max("compared").alias("specimens"), F.count("*").alias("columns"), F.sum("mismatches").alias("mismatches"), F.max("max_abs").alias("max_abs"), F.max("max_rel").alias("max_rel")).first().asDict()
+        sums = {k: v or 0 for k, v in sums.items()} | {"missing": rows.filter("missing = 'theirs'").count()}
+        out.append((family, "FAIL" if odd else "PASS", [(r["code"], [columns[int(c[1:])][0] for c in r["differ"] or []] or f"missing in {r['missing']}") for r in odd], sums))
+    if all(status == "SKIP" for _, status, _, _ in out):
         raise ParityError("no family can be compared")
     return out
 
@@ -79,11 +84,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--w102-rtol", type=float, default=parity.MESH_REL)
     o = p.parse_args(argv)
     found = report(session(), o.ours, o.folder, o.specimens, (o.atol, o.rtol), (o.w102_atol, o.w102_rtol))
-    for family, status, odd in found:
-        print(status, family)
+    for family, status, odd, n in found:
+        told = f": {n['columns']} columns x {n['specimens']} specimens, {n['mismatches']} mismatches, {n['missing']} missing, max_abs={n['max_abs']:.6g}, max_rel={n['max_rel']:.6g}" if n else ""
+        print(f"{status} {family}{told}")
         for code, what in odd:
             print("  ", code, what)
-    return int(any(status == "FAIL" for _, status, _ in found))
+    return int(any(status == "FAIL" for _, status, _, _ in found))
 
 
 if __name__ == "__main__":

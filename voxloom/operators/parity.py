@@ -31,6 +31,21 @@ def compare(ours: DataFrame, theirs: DataFrame, columns: list[str], abs_: float
     return joined.select(*by, "code", F.coalesce(both & (F.size(odd) == 0), F.lit(False)).alias("pass"), F.when(F.coalesce(both, F.lit(False)), odd).alias("differ"), F.when(F.col("here").isNull(), "ours").when(F.col("there").isNull(), "theirs").alias("missing"))
 
 
+def differences(ours: DataFrame, theirs: DataFrame, columns: list[str], abs_: float = ABS, rel: float = REL, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each column over the codes of both sides: how many values were compared, how many differ by more
+    than both tolerances, and the largest absolute and relative difference of finite values (relative to
+    theirs). Codes of one side alone are those that ``compare`` names."""
+    a = ours.select(*by, code(F.col("filename")).alias("code"), *[F.col(c).cast("double").alias(f"a_{c}") for c in columns]).filter("code IS NOT NULL")
+    b = theirs.select(*by, code(F.col("filename")).alias("code"), *[F.col(c).cast("double").alias(f"b_{c}") for c in columns]).filter("code IS NOT NULL")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for c in columns])).alias("x")
+    rows = a.join(b, [*by, "code"]).select(pairs).select("x.*")
+    whole = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    off = F.when(whole(F.col("a")) & whole(F.col("b")), F.abs(F.col("a") - F.col("b")))
+    return rows.groupBy("column").agg(
+        F.count("*").alias("compared"), F.count_if(~close(F.col("a"), F.col("b"), abs_, rel)).alias("mismatches"), F.coalesce(F.max(off), F.lit(0.0)).alias("max_abs"), F.coalesce(F.max(off / F.greatest(F.abs(F.col("b")), F.lit(1e-30))), F.lit(0.0)).alias("max_rel")
+    )
+
+
 def families(ours: DataFrame, theirs: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
     """Report over families: a family whose columns are not all there is skipped."""
     out = None

@@ -224,13 +224,22 @@ def input_qc(s: SparkSession, d: str) -> DataFrame:
     return report.input_qc(n.withColumn("background", X.N**3 - F.col("foreground")).withColumn("h_um", F.lit(25.0)))
 
 
-def parity_report(s: SparkSession, d: str) -> DataFrame:
+def _two_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # codes have three digits: each thousand of suppliers uses them again
     sup = X.table(s, d, "supplier").withColumn("batch", F.floor(F.col("s_suppkey") / 1000.0))
     name = F.concat(F.lit("scan_qc"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit(".tif"))
     ours = sup.select("batch", name.alias("filename"), F.col("s_acctbal").alias("v"))
     theirs = sup.select("batch", name.alias("filename"), F.when(F.col("s_suppkey") % 10 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal") + 1e-9).alias("v"))
-    return parity.compare(ours, theirs, ["v"], by=("batch",)).select("code", "pass")
+    return ours, theirs
+
+
+def parity_report(s: SparkSession, d: str) -> DataFrame:
+    return parity.compare(*_two_tables(s, d), ["v"], by=("batch",)).select("code", "pass")
+
+
+def parity_differences(s: SparkSession, d: str) -> DataFrame:
+    found = parity.differences(*_two_tables(s, d), ["v"], by=("batch",))
+    return _round(found, max_abs=9, max_rel=9)
 
 
 def tiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
@@ -504,6 +513,7 @@ QUERIES: dict[str, Query] = {
     "input_qc": input_qc,
     "tiff_roundtrip": tiff_roundtrip,
     "parity_report": parity_report,
+    "parity_differences": parity_differences,
     "radii_check": radii_check,
     "header_names": header_names,
     **{f"schema_{mode}": schema(mode) for mode in ("bonej", "classic", "refined", "experimental")},

@@ -184,6 +184,7 @@ SELECT seed, CAST(xor(CAST(z AS UBIGINT), CAST(z AS UBIGINT) >> 31) >> 11 AS BIG
     "input_qc": _with(_BASE, select="SELECT s AS specimen, count(*) AS foreground, 13824 - count(*) AS background, true AS both_phases, CAST(NULL AS VARCHAR) AS warning FROM solid GROUP BY s"),
     "header_names": "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'BV' WHEN 1 THEN 'TV' WHEN 2 THEN 'BV/TV' WHEN 3 THEN 'Tb.Th Mean' WHEN 4 THEN 'Connectivity density' WHEN 5 THEN 'Euler change/correction' WHEN 6 THEN 'Euler characteristic' END AS name FROM supplier",
     "parity_report": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier) SELECT code, abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w))) AS pass FROM a",
+    "parity_differences": "WITH a AS (SELECT s_suppkey, 'QC' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_acctbal AS v, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal + 1e-9 END AS w FROM supplier) SELECT 'v' AS \"column\", count(*) AS compared, count(*) FILTER (WHERE NOT abs(v - w) <= greatest(1e-8, 1e-7 * greatest(abs(v), abs(w)))) AS mismatches, round(max(abs(v - w)), 9) AS max_abs, round(max(abs(v - w) / greatest(abs(w), 1e-30)), 9) AS max_rel FROM a",
     "gaussian_smooth": _with(*_SMOOTH, select="SELECT s AS specimen, count(*) AS n, round(max(v), 4) AS high, round(min(v), 4) AS low, round(sum(v), 2) AS total FROM s3 GROUP BY s"),
     "orientation_kde": _with(
         _BASE, "v AS (SELECT s, ball, cx - 11.5 AS x, cy - 11.5 AS y, cz - 11.5 AS z, CASE WHEN cz > 11.5 THEN 1 ELSE -1 END AS k FROM balls)", "t AS (SELECT s, ball, atan2(k * y, k * x) AS a, acos(least(abs(z) / sqrt(x * x + y * y + z * z), 1)) AS phi FROM v)",
