@@ -18,6 +18,7 @@ from voxloom.operators import relational as R
 from voxloom.operators import report
 from voxloom.operators import slabs as SL
 from voxloom.plans import fixtures as X
+from voxloom.plans import oracle_lines
 from voxloom.plans.oracles import ORACLES
 from voxloom.session import Config
 from voxloom.sources import spacing as S
@@ -423,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "mean_breadth": _topology("breadth", breadth=6),
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
     "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / float(X.REGION_VOXELS), 9).alias("conn_per_voxel")),
+    "mil_points_few": _kernel(M.mil_points(oracle_lines.DIRECTIONS, oracle_lines.LINES, oracle_lines.REPETITIONS), "rep int, direction int, mx double, my double, mz double", "rep", "direction", "mx", "my", "mz", on_error="omit", mx=6, my=6, mz=6),
     "ef_stats_wires": _wires(M.ef(), M.EF, **dict.fromkeys(("mean", "sd", "median", "plate", "rod", "intermediate"), 5)),
     "plate_rod_wires": _wires(M.plate_rod(), M.PLATE_ROD, **dict.fromkeys(("plate", "rod", "intermediate", "mean_abs_ef", "plate_axial", "rod_axial"), 5)),
     "surface_cases_slabs": lambda s, d: SL.surface_cases(_slabs(s, d)),

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from voxloom.plans import oracle_figures, oracle_surfaces
+from voxloom.functions import intercepts
+from voxloom.plans import fixtures, oracle_figures, oracle_lines, oracle_surfaces
 
 _BASE = """
 balls AS (SELECT CAST(floor(p_partkey / 40.0) AS INT) AS s, p_partkey AS ball, CAST((p_partkey * 7919 + 13) % 24 AS INT) AS cx,
@@ -254,3 +255,7 @@ for _k in ("b0", "b1", "b2"):
 #: Slabs give what whole volumes give.
 for _k, _of in (("betti_slabs", "betti"), ("spanning_slabs", "spanning"), ("edt_slabs", "edt_squared"), ("ridge_ball_slabs", "ridge_ball"), ("tb_th_slabs", "tb_th"), ("surface_cases_slabs", "surface_cases"), ("mesh_surface_area_slabs", "mesh_surface_area")):
     ORACLES[_k] = ORACLES[_of]
+_SQUARE = intercepts.domain(fixtures.region())
+ORACLES["mil_points_few"] = _with(
+    _BASE, oracle_lines._STREAM, oracle_lines.ray_sql((*_SQUARE[:2], 0), (_SQUARE[0] + _SQUARE[2], _SQUARE[1] + _SQUARE[2], fixtures.N), intercepts._diagonal(_SQUARE, fixtures.N)), select=oracle_lines.SELECT, recursive=True
+)
