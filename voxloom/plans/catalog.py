@@ -269,6 +269,20 @@ def quadric_fit(s: SparkSession, d: str) -> DataFrame:
     return M.anisotropy_repetitions(X.volumes(s, d))
 
 
+_FEW = {"directions": oracle_lines.DIRECTIONS, "lines": oracle_lines.LINES, "repetitions": oracle_lines.REPETITIONS}
+
+
+def quadric_fit_few(s: SparkSession, d: str) -> DataFrame:
+    """Fits of so few lines that SQL can follow their draws; repetitions without an ellipsoid are left out."""
+    found = M.anisotropy_repetitions(X.volumes(s, d), **_FEW).filter("status = 'OK'")
+    return _round(found.select("specimen", "rep", "da", "angle_deg", "radius_a", "radius_b", "radius_c"), da=6, angle_deg=3, radius_a=5, radius_b=5, radius_c=4)
+
+
+def degree_of_anisotropy_few(s: SparkSession, d: str) -> DataFrame:
+    found = M.anisotropy(X.volumes(s, d), **_FEW)
+    return _round(found.select("specimen", "repetitions", "da_mean", "da_sd", "da_min", "da_max", "angle_mean"), da_mean=6, da_sd=6, da_min=6, da_max=6, angle_mean=3)
+
+
 def eigh3(s: SparkSession, d: str) -> DataFrame:
     """Ascending eigenvalues of the window covariances: moments by SQL, eigenvalues of whole Arrow
     batches at once."""
@@ -424,7 +438,9 @@ QUERIES: dict[str, Query] = {
     "mean_breadth": _topology("breadth", breadth=6),
     "edge_correction": _topology("edge_correction", "delta_chi", "connectivity", edge_correction=6, delta_chi=6, connectivity=6),
     "conn_density": lambda s, d: _topology("connectivity")(s, d).select("specimen", F.round(F.col("connectivity") / float(X.REGION_VOXELS), 9).alias("conn_per_voxel")),
-    "mil_points_few": _kernel(M.mil_points(oracle_lines.DIRECTIONS, oracle_lines.LINES, oracle_lines.REPETITIONS), "rep int, direction int, mx double, my double, mz double", "rep", "direction", "mx", "my", "mz", on_error="omit", mx=6, my=6, mz=6),
+    "quadric_fit_few": quadric_fit_few,
+    "degree_of_anisotropy_few": degree_of_anisotropy_few,
+    "mil_points_few": _kernel(M.mil_points(**_FEW), "rep int, direction int, mx double, my double, mz double", "rep", "direction", "mx", "my", "mz", on_error="omit", mx=6, my=6, mz=6),
     "ef_stats_wires": _wires(M.ef(), M.EF, **dict.fromkeys(("mean", "sd", "median", "plate", "rod", "intermediate"), 5)),
     "plate_rod_wires": _wires(M.plate_rod(), M.PLATE_ROD, **dict.fromkeys(("plate", "rod", "intermediate", "mean_abs_ef", "plate_axial", "rod_axial"), 5)),
     "surface_cases_slabs": lambda s, d: SL.surface_cases(_slabs(s, d)),

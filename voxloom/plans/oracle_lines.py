@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from voxloom.functions import intercepts
 
-DIRECTIONS, LINES, REPETITIONS = 12, 1, 2
+DIRECTIONS, LINES, REPETITIONS = 60, 3, 2
 #: Draws that are listed; some 30 a direction are used.
 _DRAWS = 200 * DIRECTIONS
 _WRAP = 1 << 64
@@ -68,3 +68,26 @@ turns AS (SELECT s, rep, dir, sum(CAST(hit <> before AS INT)) AS changes FROM (S
 
 SELECT = """SELECT turns.s AS specimen, CAST(rep AS INT) AS rep, CAST(dir AS INT) AS direction, round(ax * total / greatest(changes, 1), 6) AS mx, round(ay * total / greatest(changes, 1), 6) AS my,
   round(az * total / greatest(changes, 1), 6) AS mz FROM turns JOIN sums USING (rep, dir)"""
+
+#: The general quadric by Gauss-Jordan on its nine normal equations, moved to its centre by Cramer's rule; eigenvalues of
+#: the centred form by the angle of the characteristic cubic.
+QUADRIC = """
+feat AS (SELECT s, rep, [x * x, y * y, z * z, 2 * x * y, 2 * x * z, 2 * y * z, 2 * x, 2 * y, 2 * z] AS f
+  FROM (SELECT turns.s, rep, ax * total / greatest(changes, 1) AS x, ay * total / greatest(changes, 1) AS y, az * total / greatest(changes, 1) AS z FROM turns JOIN sums USING (rep, dir))),
+cell AS (SELECT s, rep, i, j, sum(CASE WHEN j = 10 THEN f[i] ELSE f[i] * f[j] END) AS v FROM feat, range(1, 10) a(i), range(1, 11) b(j) GROUP BY s, rep, i, j),
+elim AS (
+  SELECT s, rep, 1 AS k, list(v ORDER BY i, j) AS m FROM cell GROUP BY s, rep
+  UNION ALL SELECT s, rep, k + 1, list_transform(range(1, 91), lambda t: CASE WHEN (t - 1) // 10 + 1 = k THEN m[t] / m[11 * k - 10] ELSE m[t] - m[(t - 1) // 10 * 10 + k] / m[11 * k - 10] * m[10 * k - 10 + (t - 1) % 10 + 1] END) FROM elim WHERE k < 10),
+form AS (SELECT s, rep, m[10] AS a, m[20] AS b, m[30] AS c, m[40] AS d, m[50] AS e, m[60] AS f, m[70] AS g, m[80] AS h, m[90] AS i FROM elim WHERE k = 10),
+centred AS (SELECT *, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS det FROM form),
+centre AS (SELECT *, -(g * (b * c - f * f) - d * (h * c - f * i) + e * (h * f - b * i)) / det AS cx, -(a * (h * c - i * f) - g * (d * c - f * e) + e * (d * i - h * e)) / det AS cy, -(a * (b * i - f * h) - d * (d * i - h * e) + g * (d * f - b * e)) / det AS cz FROM centred),
+unit_ AS (SELECT *, 1 + a * cx * cx + b * cy * cy + c * cz * cz + 2 * (d * cx * cy + e * cx * cz + f * cy * cz) AS norm FROM centre),
+fit AS (SELECT s, rep, a / norm AS a, b / norm AS b, c / norm AS c, d / norm AS d, e / norm AS e, f / norm AS f FROM unit_),
+mid AS (SELECT *, (a + b + c) / 3 AS q FROM fit),
+scale_ AS (SELECT *, sqrt((power(a - q, 2) + power(b - q, 2) + power(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM mid),
+turned AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / power(p, 3) / 2))) / 3 AS phi FROM scale_),
+ends AS (SELECT *, q + 2 * p * cos(phi) AS l2, q + 2 * p * cos(phi + 2 * pi() / 3) AS l0 FROM turned),
+lam AS (SELECT *, 3 * q - l0 - l2 AS l1 FROM ends),
+good AS (SELECT s, rep, 1 - l0 / l2 AS da, degrees(acos(least(1.0, sqrt(greatest(0.0, ((a - l0) * (b - l0) - d * d) / ((l0 - l1) * (l0 - l2))))))) AS angle_deg, 1 / sqrt(l2) AS radius_a, 1 / sqrt(l1) AS radius_b, 1 / sqrt(l0) AS radius_c FROM lam WHERE l0 > 0)"""
+FITS = "SELECT s AS specimen, CAST(rep AS INT) AS rep, round(da, 6) AS da, round(angle_deg, 3) AS angle_deg, round(radius_a, 5) AS radius_a, round(radius_b, 5) AS radius_b, round(radius_c, 4) AS radius_c FROM good"
+DEGREES = "SELECT s AS specimen, count(*) AS repetitions, round(avg(da), 6) AS da_mean, round(coalesce(stddev_samp(da), 0), 6) AS da_sd, round(min(da), 6) AS da_min, round(max(da), 6) AS da_max, round(avg(angle_deg), 3) AS angle_mean FROM good GROUP BY s"

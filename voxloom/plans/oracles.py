@@ -256,6 +256,7 @@ for _k in ("b0", "b1", "b2"):
 for _k, _of in (("betti_slabs", "betti"), ("spanning_slabs", "spanning"), ("edt_slabs", "edt_squared"), ("ridge_ball_slabs", "ridge_ball"), ("tb_th_slabs", "tb_th"), ("surface_cases_slabs", "surface_cases"), ("mesh_surface_area_slabs", "mesh_surface_area")):
     ORACLES[_k] = ORACLES[_of]
 _SQUARE = intercepts.domain(fixtures.region())
-ORACLES["mil_points_few"] = _with(
-    _BASE, oracle_lines._STREAM, oracle_lines.ray_sql((*_SQUARE[:2], 0), (_SQUARE[0] + _SQUARE[2], _SQUARE[1] + _SQUARE[2], fixtures.N), intercepts._diagonal(_SQUARE, fixtures.N)), select=oracle_lines.SELECT, recursive=True
-)
+_FEW = (_BASE, oracle_lines._STREAM, oracle_lines.ray_sql((*_SQUARE[:2], 0), (_SQUARE[0] + _SQUARE[2], _SQUARE[1] + _SQUARE[2], fixtures.N), intercepts._diagonal(_SQUARE, fixtures.N)))
+ORACLES["mil_points_few"] = _with(*_FEW, select=oracle_lines.SELECT, recursive=True)
+ORACLES["quadric_fit_few"] = _with(*_FEW, oracle_lines.QUADRIC, select=oracle_lines.FITS, recursive=True)
+ORACLES["degree_of_anisotropy_few"] = _with(*_FEW, oracle_lines.QUADRIC, select=oracle_lines.DEGREES, recursive=True)
