@@ -264,6 +264,17 @@ def test_near_pairs_miss_none():
         assert {(x, y) for x in range(n) for y in range(m) if ((a[x] - b[y]) ** 2).sum() <= 7.5**2} <= got
 
 
+def test_fewer_directions_are_the_first_ones():
+    rng = np.random.default_rng(15)
+    bone = rng.random((12, 10, 10)) < 0.4
+    square = (1, 1, 8)
+    for lines in (1, 5, 9):
+        many = intercepts.cloud(bone, square, 7, 1, 40, lines)
+        assert len(many) == 40
+        for n in (9, 16, 33):
+            assert (intercepts.cloud(bone, square, 7, 1, n, lines) == many[:n]).all()
+
+
 def test_gini():
     assert math.isnan(networks.gini(np.array([]))) and networks.gini(np.array([0.0, -1.0])) == 0
     assert networks.gini(np.array([1.0, 1.0, 1.0])) == pytest.approx(0)

@@ -244,7 +244,8 @@ def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIR
     """One quadric for each specimen, direction count, line count and repetition.
 
     Settings come to the volumes: a task holds the packed volumes of an Arrow batch and makes one setting
-    after the other of all of them, since volumes of one domain share a setting's lines.
+    after the other of all of them, since volumes of one domain share a setting's lines, and settings that differ
+    in directions alone share theirs.
     """
     kind = volumes.schema["specimen"].dataType.simpleString()
     ddl = f"specimen {kind}, rep int, directions int, lines int, {_QUADRIC}, status string, error string"
@@ -253,23 +254,34 @@ def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, m, rep in product(directions, lines, range(repetitions)):
-                rows = [_quadric(b, i, seed, rep, n, m, increment) | {"rep": rep, "directions": n, "lines": m} for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(target)[1:]]], schema=target)
+            for m, rep in product(lines, range(repetitions)):
+                rows = [r | {"rep": rep, "lines": m} for i in range(b.num_rows) for r in _quadrics(b, i, seed, rep, directions, m, increment)]
+                if rows:
+                    specimens = b.column(0).take(pa.array([k for k in range(b.num_rows) for _ in directions]))
+                    yield pa.RecordBatch.from_arrays([specimens, *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(target)[1:]]], schema=target)
 
     return volumes.select(*names).mapInArrow(run, ddl)
 
 
-def _quadric(b: pa.RecordBatch, i: int, seed: int, rep: int, directions: int, lines: int, increment: float) -> dict:
+def _quadrics(b: pa.RecordBatch, i: int, seed: int, rep: int, directions: tuple[int, ...], lines: int, increment: float) -> Iterator[dict]:
+    """A row for each direction count. Every direction gives a point, in the order of the stream, so the points of
+    fewer directions are the first of those of the most."""
     width, height, depth, bone, roi = (b.column(k)[i].as_py() for k in range(1, 6))
     at = (depth, height, width)
+    points, why = None, None
     try:
         inside = unpack(roi, at) if roi is not None else np.ones(at, bool)
         square = intercepts.domain(inside)
-        points = intercepts.cloud(voxels.phase(unpack(bone, at), inside, True), square, seed, rep, directions, lines, increment)
-        return intercepts.anisotropy(points) | {"side": square[2], "depth": depth, "status": "OK"}
-    except MorphometryError as why:
-        return {"status": "FAIL", "error": str(why)}
+        points = intercepts.cloud(voxels.phase(unpack(bone, at), inside, True), square, seed, rep, max(directions), lines, increment)
+    except MorphometryError as problem:
+        why = str(problem)
+    for n in directions:
+        try:
+            if points is None:
+                raise MorphometryError(why)
+            yield intercepts.anisotropy(points[:n]) | {"directions": n, "side": square[2], "depth": depth, "status": "OK"}
+        except MorphometryError as problem:
+            yield {"directions": n, "status": "FAIL", "error": str(problem)}
 
 
 def anisotropy(volumes: DataFrame, **options) -> DataFrame:
