@@ -1,9 +1,12 @@
 """Queries do their whole job: every specimen, the full grids and counts."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 
 from voxloom.functions import intercepts
+from voxloom.operators import measures as M
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as X
 
@@ -37,6 +40,29 @@ def test_kept_lines_change_nothing(monkeypatch):
         assert np.array_equal(a, intercepts.cloud(bone & keep, (2, 2, 14), 7, 1, 20, 16))
 
 
+def test_volumes_sampled_together():
+    found = np.random.default_rng(1).random((8, 20, 18, 18)) < 0.4
+    found[0] = False
+    bits = np.zeros(found.shape[1:], np.uint8)
+    for k, v in enumerate(found):
+        bits |= v.astype(np.uint8) << np.uint8(k)
+    for lines in (5, 70):  # up to some thousand samples a direction, more than a byte counts
+        together = intercepts.clouds(bits, 8, (2, 2, 14), 7, 1, 20, lines)
+        assert all(np.array_equal(a, intercepts.cloud(v, (2, 2, 14), 7, 1, 20, lines)) for a, v in zip(together, found, strict=True))
+
+
+def test_lines_of_a_sweep_are_drawn_once():
+    intercepts._kept_lines.cache_clear()
+    for _, lines, rep in product(range(2), M.SWEEP_LINES, range(M.SWEEP_REPETITIONS)):
+        intercepts.clouds(np.ones((6, 6, 6), np.uint8), 1, (0, 0, 6), 7, rep, 10, lines)
+    assert intercepts._kept_lines.cache_info().misses == len(M.SWEEP_LINES) * M.SWEEP_REPETITIONS
+
+
+def test_doubles_are_those_of_the_stream():
+    a, b = intercepts.SplitMix64(intercepts.SEED), intercepts.Doubles(intercepts.SEED)
+    assert [a.double() for _ in range(9000)] == [b.double() for _ in range(9000)]
+
+
 @pytest.mark.parametrize("name", ["w102", "curvature_stats"])
 def test_every_wide_specimen(spark, sf_dir, name):
     parts = X.table(spark, sf_dir, "part").count()

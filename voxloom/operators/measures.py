@@ -243,8 +243,8 @@ SWEEP_DIRECTIONS, SWEEP_LINES, SWEEP_REPETITIONS = (64, 128, 256, 512, 1024, 204
 def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIRECTIONS, lines: tuple[int, ...] = SWEEP_LINES, repetitions: int = SWEEP_REPETITIONS, increment: float = intercepts.INCREMENT, seed: int = intercepts.SEED) -> DataFrame:
     """One quadric for each specimen, direction count, line count and repetition.
 
-    Settings come to the volumes: a task holds the packed volumes of an Arrow batch and makes one setting
-    after the other of all of them, since volumes of one domain share a setting's lines, and settings that differ
+    Settings come to the volumes: a task takes a few volumes at a time and makes one setting after the other of
+    them. Volumes of one domain share a setting's lines and are sampled together, and settings that differ
     in directions alone share theirs.
     """
     kind = volumes.schema["specimen"].dataType.simpleString()
@@ -254,34 +254,43 @@ def anisotropy_sweep(volumes: DataFrame, directions: tuple[int, ...] = SWEEP_DIR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for m, rep in product(lines, range(repetitions)):
-                rows = [r | {"rep": rep, "lines": m} for i in range(b.num_rows) for r in _quadrics(b, i, seed, rep, directions, m, increment)]
-                if rows:
-                    specimens = b.column(0).take(pa.array([k for k in range(b.num_rows) for _ in directions]))
-                    yield pa.RecordBatch.from_arrays([specimens, *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(target)[1:]]], schema=target)
+            for at in range(0, b.num_rows, intercepts.TOGETHER):
+                part = b.slice(at, intercepts.TOGETHER)
+                rows = [r | {"specimen": i} for i, r in _quadrics(part, directions, lines, repetitions, increment, seed)]
+                specimens = part.column(0).take(pa.array([r["specimen"] for r in rows], pa.int32()))
+                yield pa.RecordBatch.from_arrays([specimens, *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(target)[1:]]], schema=target)
 
     return volumes.select(*names).mapInArrow(run, ddl)
 
 
-def _quadrics(b: pa.RecordBatch, i: int, seed: int, rep: int, directions: tuple[int, ...], lines: int, increment: float) -> Iterator[dict]:
-    """A row for each direction count. Every direction gives a point, in the order of the stream, so the points of
+def _quadrics(b: pa.RecordBatch, directions: tuple[int, ...], lines: tuple[int, ...], repetitions: int, increment: float, seed: int) -> Iterator[tuple[int, dict]]:
+    """(row of b, result) for each setting. Every direction gives a point, in the order of the stream, so the points of
     fewer directions are the first of those of the most."""
-    width, height, depth, bone, roi = (b.column(k)[i].as_py() for k in range(1, 6))
-    at = (depth, height, width)
-    points, why = None, None
-    try:
-        inside = unpack(roi, at) if roi is not None else np.ones(at, bool)
-        square = intercepts.domain(inside)
-        points = intercepts.cloud(voxels.phase(unpack(bone, at), inside, True), square, seed, rep, max(directions), lines, increment)
-    except MorphometryError as problem:
-        why = str(problem)
-    for n in directions:
+    groups: dict[tuple, list[int]] = {}
+    bits: dict[tuple, np.ndarray] = {}
+    for i in range(b.num_rows):
+        width, height, depth, bone, roi = (b.column(k)[i].as_py() for k in range(1, 6))
+        at = (depth, height, width)
         try:
-            if points is None:
-                raise MorphometryError(why)
-            yield intercepts.anisotropy(points[:n]) | {"directions": n, "side": square[2], "depth": depth, "status": "OK"}
-        except MorphometryError as problem:
-            yield {"directions": n, "status": "FAIL", "error": str(problem)}
+            inside = unpack(roi, at) if roi is not None else np.ones(at, bool)
+            square = intercepts.domain(inside)
+        except MorphometryError as why:
+            for m, rep, n in product(lines, range(repetitions), directions):
+                yield i, {"rep": rep, "lines": m, "directions": n, "status": "FAIL", "error": str(why)}
+            continue
+        held = groups.setdefault((at, square), [])
+        here = bits.setdefault((at, square), np.zeros(at, np.uint8))
+        here |= voxels.phase(unpack(bone, at), inside, True).astype(np.uint8) << np.uint8(len(held))
+        held.append(i)
+    for (key, held), m, rep in product(groups.items(), lines, range(repetitions)):
+        (depth, _, _), square = key
+        for i, points in zip(held, intercepts.clouds(bits[key], len(held), square, seed, rep, max(directions), m, increment), strict=True):
+            for n in directions:
+                try:
+                    found = intercepts.anisotropy(points[:n]) | {"side": square[2], "depth": depth, "status": "OK"}
+                except MorphometryError as problem:
+                    found = {"status": "FAIL", "error": str(problem)}
+                yield i, found | {"rep": rep, "lines": m, "directions": n}
 
 
 def anisotropy(volumes: DataFrame, **options) -> DataFrame:
