@@ -196,6 +196,18 @@ def test_min_max_is_unbiased():
     assert np.mean(hits) == pytest.approx(200 / 300, abs=0.03)
 
 
+def test_only_nodes_of_many_edges_are_repeated(spark):
+    rows = [(0, k) for k in range(1, components.MANY + 50)] + [(k, k + 1) for k in range(1000, 1400)]
+    df = spark.createDataFrame(rows, "u long, v long")
+    low = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    found = components._beside(df, low)
+    assert sorted((r["u"], r["v"], r["m"]) for r in found.collect()) == sorted((u, v, 1 if u == 0 else v) for u, v in rows)
+    assert components._repeated(low).count() == low.count() + components.SALTS - 1
+    chain = [(k, k + 1) for k in range(600)] + [(5000, 5000 + k) for k in range(1, 600)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(601)} | {k: 5000 for k in range(5000, 5600)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]

@@ -2,8 +2,8 @@
 
 Each pass points the nodes of a star at its smallest node (Kiveris et al., 2014); passes are
 logarithmic in practice. Minima are aggregated before the shuffle; the edges of a node meet its
-minimum in several tasks, dealt by their other end, so a node with very many edges needs no single
-task. Each pass is written to the shared folder; there is none where the edges are stars already, and none
+minimum in one task, or, where a node has very many of them, in several, dealt by their other end, so no
+single task holds them and other nodes are not repeated. Each pass is written to the shared folder; there is none where the edges are stars already, and none
 to see that they no longer change.
 """
 
@@ -23,15 +23,22 @@ def _settled(edges: DataFrame) -> bool:
     return seen.filter((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0))).isEmpty()
 
 
-#: Tasks that the edges of one node are dealt to.
-SALTS = 8
+#: Tasks that the edges of a node are dealt to that has more than MANY.
+SALTS, MANY = 8, 256
 
 
 def _beside(rows: DataFrame, low: DataFrame) -> DataFrame:
-    """Rows (u, v) with the minimum m of u."""
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    every = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(every, ["u", "salt"]).drop("salt")
+    """Rows (u, v) with the minimum m of u; ``low`` has u, m and n, the number of u's rows. Nodes with many rows are few
+    beside the rows, at most one in MANY, so only they are told to the rows and repeated."""
+    many = low.filter(F.col("n") > MANY).select("u", F.lit(SALTS).alias("salts"))
+    dealt = rows.join(F.broadcast(many), "u", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int")).drop("salts")
+    return dealt.join(_repeated(low), ["u", "salt"]).drop("salt")
+
+
+def _repeated(low: DataFrame) -> DataFrame:
+    """(u, m, salt): a row for each node, for each salt of those with many rows."""
+    one, several = low.filter(F.col("n") <= MANY).select("u", "m", F.lit(0).alias("salt")), low.filter(F.col("n") > MANY)
+    return one.unionByName(several.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,10 +50,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = materialize(e, "edges")
     while not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large star: neighbours above u point at the smallest of u's neighbourhood
         large = _beside(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # small star: u and its neighbours below point at the smallest of them
         small = _beside(large, low).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         e = materialize(small, "edges")
