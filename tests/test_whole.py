@@ -103,3 +103,20 @@ def test_window_points(spark, sf_dir):
     assert not got.duplicated().any()
     n = {r["seed"]: r["n"] for r in catalog.QUERIES["window_moments"](spark, sf_dir).collect()}
     assert got.groupby("seed").size().to_dict() == n
+
+
+@pytest.mark.parametrize("name", ["orientation_kde", "bv_tv", "phase_inside", "input_qc", "neighbours6", "degree26"])
+def test_rows_that_are_many_are_not_moved(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(X, "TASK_SPECIMENS", 1)
+    parts = X.table(spark, sf_dir, "part").count()
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # only the balls are dealt, to as many tasks as there are specimens
+    assert plan.count("Exchange hashpartitioning") == 1 and f", {max(4, -(-parts // X.PARTS))}), REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["window_points", "window_moments", "eigh3"])
+def test_windows_are_dealt_to_more_tasks_where_tables_grow(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(X, "TASK_SPECIMENS", 1)
+    tasks = X.tasks_of(X.table(spark, sf_dir, "part"))
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 4 and plan.count(f", {tasks}), REPARTITION_BY_NUM") == 4
