@@ -356,3 +356,17 @@ def test_networks_of_random_skeletons():
         turned = networks.Network.of(v[::-1], 1.0)  # branches are the same whichever end is first
         same = lambda m: sorted(round(e.length, 9) for e in m.edges if e.u < m.ends and e.v < m.ends)
         assert same(net) == same(turned)
+
+
+def test_lines_of_distances_need_no_offsets(monkeypatch):
+    calls = []
+    held = voxels.min_plus
+    monkeypatch.setattr(voxels, "min_plus", lambda f, axis: calls.append((f.dtype.itemsize, axis)) or held(f, axis))
+    rng = np.random.default_rng(0)
+    for share in (0.1, 0.6, 0.97):
+        v = rng.random((7, 9, 6)) < share
+        v[3, 4, 2] = False
+        off = np.argwhere(~v)
+        want = np.where(v, ((np.indices(v.shape).reshape(3, -1).T[:, None] - off) ** 2).sum(axis=2).min(axis=1).reshape(v.shape), 0)
+        assert np.array_equal(voxels.squared_distance(v), want)
+    assert set(calls) == {(4, 1), (4, 0)}
