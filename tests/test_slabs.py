@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,63 @@ def test_components_of_many_graphs(spark):
                 root[a] = root[b] = min(root[a], root[b])
         want |= {(g, n): r for n, r in root.items()}
     assert got == want
+
+
+def test_balls_of_many_slabs_together():
+    rng = np.random.default_rng(10)
+    some = [rng.random((6, 9, 8)) < p for p in (0.5, 0.7, 0.9, 0.98, 0.995)]
+    d2 = np.stack([V.squared_distance(v) for v in some]).astype(np.int32)
+    points = L.ridge_points(d2, slice(0, 6))
+    painted = L.paint_balls(d2.shape, points)
+    for k in range(len(some)):
+        ridge = V.distance_ridge(d2[k])
+        assert (np.argwhere(ridge) == points[points[:, 0] == k, 1:4]).all()
+        assert (painted[k] == V.propagate(d2[k], ridge)).all()
+    inner = L.ridge_points(d2, slice(2, 4))
+    assert (inner == points[(points[:, 1] >= 2) & (points[:, 1] < 4)][np.argsort(points[(points[:, 1] >= 2) & (points[:, 1] < 4), 1], kind="stable")]).all()
+
+
+def test_small_slabs_are_taken_together():
+    n = 5000
+    names = ["z0", "layers", "below", "depth", "width", "height"]
+    small = [[7 * (k % 2), 7, k % 2, 24, 24, 24] for k in range(n)]
+    large = [[0, 16, 0, 900, 700, 800]] * 3
+    rows = pa.record_batch([pa.array(c, pa.int32()) for c in zip(*small, *large, strict=True)], names=names)
+    taken = list(S._alike(rows, names))
+    assert sorted(np.concatenate([at for _, at in taken]).tolist()) == list(range(n + 3))
+    assert [len(at) for place, at in taken if place["width"] == 700] == [1, 1, 1]
+    assert len(taken) - 3 <= 2 + n * 7.5 * 24 * 24 / S.TOGETHER * 1.1  # not one by one
+    for place, at in taken:
+        assert all([c[i].as_py() for c in rows.columns] == [place[k] for k in names] for i in at[[0, -1]])
+        assert len(at) == 1 or len(at) * S._voxels(place) <= S.TOGETHER
+
+
+def test_groups_go_over_batches():
+    rng = np.random.default_rng(11)
+    keys = [(s, z) for s in ("a", "b", None, "c") for z in range(5)]
+    rows = [(s, z, k) for s, z in keys for k in range(rng.integers(1, 9))]
+    whole = pa.record_batch([pa.array([r[i] for r in rows]) for i in range(3)], names=["specimen", "z0", "k"])
+    for cuts in ([], range(1, len(rows)), [0, 0, 3, 3, 40], sorted(rng.integers(0, len(rows), 12).tolist())):
+        ends = [*cuts, len(rows)]
+        batches = [whole.slice(a, b - a) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        got = []
+        for part, begins in S._groups(iter(batches), ["specimen", "z0"]):
+            got += [part.slice(a, b - a).to_pydict() for a, b in zip(begins, [*begins[1:], part.num_rows], strict=True)]
+        assert [(set(g["specimen"]), set(g["z0"])) for g in got] == [({s}, {z}) for s, z in keys]
+        assert [(s, z, k) for g in got for s, z, k in zip(*g.values(), strict=True)] == rows
+
+
+def test_balls_of_slabs_with_names(spark):
+    """Volumes of several sizes, known by strings, more than one to a task: dealt by sorted rows, not by lists."""
+    some = [v for v in FIGURES if not v.all()] * 3
+    rows = [(f"s{k}", *v.shape[::-1], 25.0, pack(v), None) for k, v in enumerate(some)]
+    vols = spark.createDataFrame(rows, "specimen string, width int, height int, depth int, h_um double, bone binary, roi binary")
+    found = S.ridge_balls(S.from_volumes(vols, 3), 3, 100)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {}
+    for r in S.value_counts(found, "r2").collect():
+        counts.setdefault(r["specimen"], {})[r["d2"]] = r["n"]
+    for k, v in enumerate(some):
+        d2 = V.squared_distance(v)
+        values, n = np.unique(V.propagate(d2, V.distance_ridge(d2)), return_counts=True)
+        assert counts.get(f"s{k}", {}) == {a: b for a, b in zip(values.tolist(), n.tolist(), strict=True) if a}

@@ -113,13 +113,13 @@ def surface_counts(v: np.ndarray, below: int, last: bool) -> tuple[np.ndarray, i
     return cases, flat + upright
 
 
-def row_distance(selected: np.ndarray) -> np.ndarray:
-    """Squared distance along the last axis to the nearest unselected voxel of the line; FAR without one."""
-    n = selected.shape[-1]
-    at = np.arange(n, dtype=np.int32)
+def row_distance(selected: np.ndarray, axis: int = -1) -> np.ndarray:
+    """Squared distance along an axis to the nearest unselected voxel of the line; FAR without one."""
+    n = selected.shape[axis]
+    at = np.arange(n, dtype=np.int32).reshape([-1 if k == axis % selected.ndim else 1 for k in range(selected.ndim)])
     far = np.int32(1 << 15)
-    left = np.maximum.accumulate(np.where(selected, -far, at), axis=-1)
-    right = np.minimum.accumulate(np.where(selected, far * 2, at)[..., ::-1], axis=-1)[..., ::-1]
+    left = np.maximum.accumulate(np.where(selected, -far, at), axis=axis)
+    right = np.flip(np.minimum.accumulate(np.flip(np.where(selected, far * 2, at), axis), axis=axis), axis)
     near = np.minimum(at - left, right - at)
     return np.where(near >= n, np.int32(FAR), near * near).astype(np.int32)
 
@@ -160,48 +160,67 @@ def envelope(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def layer_distance(selected: np.ndarray) -> np.ndarray:
-    """Squared distance of each voxel to the nearest unselected one of its own layer."""
-    d = row_distance(selected)
-    return np.stack([envelope(layer) for layer in d]) if len(d) else d
+#: Offsets that are tried for all lines at once; lines with larger distances are left to the envelope.
+OFFSETS = 16
+
+
+def nearest(f: np.ndarray, axis: int) -> np.ndarray:
+    """min over q of f(q) + (p - q)**2 along an axis, f as 32-bit squared distances up to FAR. Offsets stop once they
+    cannot improve; after OFFSETS of them the lines that still might be improved are solved by the envelope, so
+    the work stays linear in the length of a line."""
+    out = f.copy()
+    n = f.shape[axis]
+    f, view = np.moveaxis(f, axis, 0), np.moveaxis(out, axis, 0)
+    for k in range(1, n):
+        if k * k >= view.max():
+            break
+        if k > OFFSETS:
+            open_ = view.max(axis=0) > k * k
+            view[:, open_] = envelope(f[:, open_])
+            break
+        moved = f + np.int32(k * k)
+        np.minimum(view[k:], moved[:-k], out=view[k:])
+        np.minimum(view[:-k], moved[k:], out=view[:-k])
+    return out
 
 
 def ridge_points(d2: np.ndarray, own: slice) -> np.ndarray:
-    """Voxels (z, y, x, squared distance) of the distance ridge in the layers ``own``, in order; the layers around
-    them are there where the image has any. Layer by layer, so memory is that of some layers."""
+    """Voxels (slab, z, y, x, squared distance) of the distance ridge in the layers ``own`` of slabs [slab, z, y, x] of one
+    shape; the layers around them are there where the image has any. Layer by layer, of the slabs together, and a
+    neighbour is only looked up for the voxels that none before it has ruled out."""
     values = np.unique(d2)
-    limits = np.zeros((3, int(values[-1]) + 1 if len(values) else 1), np.int64)
+    limits = np.zeros((3, int(values[-1]) + 1 if len(values) else 1), np.int32)
     for v in values[values > 0].tolist():
         limits[:, v] = ridge_limits(v)
+    padded = np.pad(d2, ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=-1)
+    flat, steps = padded.reshape(-1), np.array(padded.strides) // padded.itemsize
     found = []
-    for z in range(len(d2))[own]:
-        here = d2[z]
-        keep = here > 0
-        limit = limits[:, here]
-        for dz, dy, dx in OFFSETS26:
-            if not 0 <= z + dz < len(d2):
-                continue
-            ys, yo = slice(max(0, -dy), here.shape[0] - max(0, dy)), slice(max(0, dy), here.shape[0] - max(0, -dy))
-            xs, xo = slice(max(0, -dx), here.shape[1] - max(0, dx)), slice(max(0, dx), here.shape[1] - max(0, -dx))
-            keep[ys, xs] &= d2[z + dz][yo, xo] < limit[abs(dz) + abs(dy) + abs(dx) - 1][ys, xs]
-        y, x = np.nonzero(keep)
-        found.append(np.stack([np.full(len(y), z), y, x, here[y, x]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 4), int)
+    for z in range(d2.shape[1])[own]:
+        slab, y, x = np.nonzero(d2[:, z] > 0)
+        at = slab * steps[0] + (z + 1) * steps[1] + (y + 1) * steps[2] + x + 1
+        value = flat[at]
+        for o in sorted(OFFSETS26, key=lambda o: sum(map(abs, o))):
+            keep = flat[at + int(np.dot(o, steps[1:]))] < limits[sum(map(abs, o)) - 1][value]
+            at, value = at[keep], value[keep]
+        slab, y, x = at // steps[0], at // steps[2] % padded.shape[2] - 1, at % steps[2] - 1
+        found.append(np.stack([slab, np.full(len(at), z), y, x, value], axis=1).astype(np.int32))
+    return np.concatenate(found) if found else np.zeros((0, 5), np.int32)
 
 
 #: Rows of balls that are painted at a time.
 PAINTED = 1 << 20
 
 
-def paint_balls(shape: tuple[int, int, int], balls: np.ndarray) -> np.ndarray:
-    """Largest squared radius of the balls (z, y, x, squared radius) that cover each voxel; centres may lie outside.
-    Balls of one radius are painted together, as rows of voxels along x that begin and end: a step for each
-    radius, not for each ball."""
+def paint_balls(shape: tuple[int, int, int, int], balls: np.ndarray) -> np.ndarray:
+    """Largest squared radius of the balls (slab, z, y, x, squared radius) that cover each voxel [slab, z, y, x]; centres
+    may lie outside. Balls of one radius are painted together, as rows of voxels along x that begin and end: a
+    step for each radius, not for each ball."""
     out = np.zeros(shape, np.int32)
-    d, h, w = shape
-    order = np.argsort(balls[:, 3], kind="stable")
+    slabs, d, h, w = shape
+    order = np.argsort(balls[:, 4], kind="stable")
     balls = balls[order]
-    for r2, at, n in zip(*np.unique(balls[:, 3], return_index=True, return_counts=True), strict=True):
+    number = np.zeros(slabs * d * h, np.int64)
+    for r2, at, n in zip(*np.unique(balls[:, 4], return_index=True, return_counts=True), strict=True):
         r = int(np.sqrt(r2))
         r -= r * r > r2
         dz, dy = (a.ravel() for a in np.meshgrid(np.arange(-r, r + 1), np.arange(-r, r + 1), indexing="ij"))
@@ -213,15 +232,19 @@ def paint_balls(shape: tuple[int, int, int], balls: np.ndarray) -> np.ndarray:
         step = max(1, PAINTED // len(half))
         for k in range(at, at + n, step):
             some = balls[k : min(k + step, at + n)]
-            z, y = (some[:, :1] + dz).ravel(), (some[:, 1:2] + dy).ravel()
-            low, high = (some[:, 2:3] - half).ravel(), (some[:, 2:3] + half).ravel()
+            z, y = some[:, 1:2] + dz, some[:, 2:3] + dy
+            low, high = some[:, 3:4] - half, some[:, 3:4] + half
             fit = (z >= 0) & (z < d) & (y >= 0) & (y < h) & (high >= 0) & (low < w)
-            rows, line = np.unique(z[fit] * h + y[fit], return_inverse=True)
-            edge = np.zeros((len(rows), w + 1), np.int32)
-            np.add.at(edge, (line, np.maximum(low[fit], 0)), 1)
-            np.add.at(edge, (line, np.minimum(high[fit] + 1, w)), -1)
-            covered = np.cumsum(edge[:, :w], axis=1) > 0
-            part = out.reshape(d * h, w)[rows]
+            row = ((some[:, :1] * d + z) * h + y)[fit]
+            number[row] = 1
+            rows = np.flatnonzero(number)
+            number[rows] = np.arange(len(rows))
+            line = number[row] * (w + 1)
+            number[rows] = 0
+            ends = len(rows) * (w + 1)
+            edge = np.bincount(line + np.maximum(low[fit], 0), minlength=ends) - np.bincount(line + np.minimum(high[fit] + 1, w), minlength=ends)
+            covered = np.cumsum(edge.reshape(-1, w + 1)[:, :w], axis=1) > 0
+            part = out.reshape(-1, w)[rows]
             part[covered] = r2  # ascending: a later ball is never smaller
-            out.reshape(d * h, w)[rows] = part
+            out.reshape(-1, w)[rows] = part
     return out

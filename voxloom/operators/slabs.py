@@ -6,7 +6,8 @@ two of them see, whose runs come in the same order in both. Distances need whole
 lie in a layer, for the third the layers' lines are dealt out by rows and dealt back.
 
 A task holds one slab, or the lines of one block of rows: with 16 layers, or blocks of 16,777,216 voxels, of
-a volume of 1,000 voxels a side some 200 MB.
+a volume of 1,000 voxels a side some 200 MB. Distances and balls take small slabs or blocks of one shape together,
+TOGETHER voxels at a time, so that many small volumes cost no more than their voxels.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,6 +32,8 @@ from voxloom.session import cut
 LAYERS = 16
 #: Voxels of a block of whole lines along z.
 BLOCK_VOXELS = 1 << 24
+#: Voxels of small slabs or blocks that are worked on together; larger ones are taken alone.
+TOGETHER = 1 << 20
 _PLACE = "z0 int, layers int, below int, depth int, width int, height int"
 SLAB = f"{_PLACE}, h_um double, bone binary, roi binary"
 _NAMES = ["z0", "layers", "below", "depth", "width", "height"]
@@ -198,7 +202,98 @@ def topology(slabs: DataFrame) -> DataFrame:
     return every.select("specimen", "bone_voxels", "euler", b0.alias("b0"), b2.alias("b2"), "spans").select("specimen", "bone_voxels", "euler", "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2", "spans")
 
 
-_PIECE = "z0 int, layers int, below int, above int, y0 int, rows int, depth int, width int, height int, d2 binary"
+def _voxels(place: dict) -> int:
+    return (place["below"] + place["layers"] + place.get("above", 0)) * place["height"] * place["width"]
+
+
+def _alike(rows: pa.RecordBatch, names: list[str], voxels: Callable[[dict], int] = _voxels) -> Iterator[tuple[dict, np.ndarray]]:
+    """Numbers of rows that agree in the columns ``names``, with these values: as many at a time as hold TOGETHER
+    voxels, one at least."""
+    kinds, of = np.unique(np.stack([rows.column(n).to_numpy() for n in names], axis=1), axis=0, return_inverse=True)
+    of = of.ravel()
+    order, ends = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(kinds)))
+    for kind, at in zip(kinds.tolist(), np.split(order, ends[:-1]), strict=True):
+        place = dict(zip(names, kind, strict=True))
+        step = max(1, TOGETHER // max(1, voxels(place)))
+        for i in range(0, len(at), step):
+            yield place, at[i : i + step]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a column of binaries, end to end."""
+    _, ends, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(ends, wide)[column.offset : column.offset + len(column) + 1] if ends else np.zeros(1, wide)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
+    """Binaries of the items of an array's first axis; with ``sizes``, of as many of them each."""
+    data = np.ascontiguousarray(data)
+    each = data.itemsize * int(np.prod(data.shape[1:]))
+    ends = np.append(0, np.cumsum(np.ones(len(data), np.int64) if sizes is None else sizes)) * each
+    if ends[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB in a column of a batch")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _rows(target: pa.Schema, specimens: pa.Array, place: dict, **columns: pa.Array) -> pa.RecordBatch:
+    """A row for each specimen; a value of ``place`` stands in all of them."""
+    columns["specimen"] = specimens.cast(target.field("specimen").type)
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.repeat(pa.scalar(place[f.name], f.type), len(specimens)) for f in target], schema=target)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows as batches of whole groups of equal keys, with the row where each group begins."""
+    held: list[pa.RecordBatch] = []  # the group that may go on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            code = b.column(k).dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        new[0] = not held or any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys)
+        begins = np.flatnonzero(new)
+        if len(begins):
+            last = int(begins[-1])
+            before = sum(h.num_rows for h in held)
+            if before + last:
+                yield pa.concat_batches([*held, b.slice(0, last)]), np.unique(np.append(0, begins[:-1] + before))
+            held, b = [], b.slice(last)
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held), np.zeros(1, np.int64)
+
+
+def _gathered(pieces: DataFrame, by: list[str], along: str, names: list[str], voxels: Callable[[dict], int], kernel: Callable[[dict, pa.Array, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``kernel(place, specimens, pieces, counts)`` gives for groups that agree in ``names``: their specimens, and
+    their pieces in the order of the groups and of ``along``, ``counts`` of each."""
+    kind = pieces.schema["specimen"].dataType.simpleString()
+    keys = ["specimen", *by]
+    # few bytes here become much work: with a number, adaptive execution leaves the tasks as they are
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, *keys).sortWithinPartitions(*keys, along)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in _groups(batches, keys):
+            counts = np.diff(np.append(begins, rows.num_rows))
+            for place, at in _alike(rows.select(names).take(pa.array(begins)), names, voxels):
+                n = counts[at]
+                found = np.arange(n.sum()) + np.repeat(begins[at] - (np.cumsum(n) - n), n)
+                yield from kernel(place, rows.column("specimen").take(pa.array(begins[at])), rows.take(pa.array(found)), n)
+
+    return dealt.mapInArrow(run, f"specimen {kind}, {schema}")
+
+
+_BITS = "z0 int, y0 int, rows int, depth int, width int, height int, bits binary"
+_LINES = "z0 int, layers int, below int, above int, y0 int, depth int, width int, height int, d2 binary"
+_DISTANCES = "z0 int, layers int, below int, above int, depth int, width int, height int, d2 binary"
+_SIDES = ["depth", "width", "height"]
+
+
+def _target(kind: str, schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(f"specimen {kind}, {schema}"))
 
 
 def squared_distance(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS, halo: int = 0) -> DataFrame:
@@ -207,63 +302,53 @@ def squared_distance(slabs: DataFrame, layers: int = LAYERS, block_voxels: int =
     ``layers`` layers, with up to ``halo`` layers of the slabs below and above. A specimen without any
     voxel of the other phase fails the job.
 
-    Lines along x and y lie in a layer. For those along z every slab is cut into blocks of rows, the blocks
-    are put together, and the result is dealt back to slabs: two shuffles of the distances.
+    Every slab is cut into blocks of rows, the blocks are put together, so lines along z and x are whole, and the
+    result is dealt back to slabs, where those along y are: one shuffle of bits and one of distances.
     """
     kind = slabs.schema["specimen"].dataType.simpleString()
+    bits, made, done = (_target(kind, schema) for schema in (_BITS, _LINES, _DISTANCES))
 
-    def flat(inside: np.ndarray, place: dict) -> list[dict]:
-        own = L.layer_distance(inside[place["below"] :])
-        rows = max(1, block_voxels // (place["depth"] * place["width"]))
-        return [place | {"below": 0, "above": 0, "y0": y, "rows": min(rows, place["height"] - y), "d2": own[:, y : y + rows].astype("<i4").tobytes()} for y in range(0, place["height"], rows)]
-
-    def lines(parts: list[np.ndarray], place: dict) -> list[dict]:
-        whole = np.concatenate(parts)
-        d2 = L.envelope(whole.reshape(place["depth"], -1)).reshape(whole.shape)
-        if d2.max() >= L.FAR:
-            raise MorphometryError("no voxel of the opposite phase")
-        rows = []
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, at in _alike(b, _NAMES) if b.num_rows else ():
+                some = b.take(pa.array(at))
+                own = np.packbits(_inside(some, place)[:, place["below"] :], axis=-1)
+                rows = max(1, block_voxels // (place["depth"] * place["width"]))
+                for y in range(0, place["height"], rows):
+                    yield _rows(bits, some.column("specimen"), place | {"y0": y, "rows": min(rows, place["height"] - y)}, bits=_binaries(own[:, :, y : y + rows]))
+
+    def lines(place: dict, specimens: pa.Array, pieces: pa.RecordBatch, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        packed = _bytes(pieces.column("bits")).reshape(len(specimens), place["depth"], place["rows"], -1)
+        d2 = L.nearest(L.row_distance(np.unpackbits(packed, axis=-1, count=place["width"]).view(bool), 1), 3)
+        d2 = d2.swapaxes(1, 2)  # rows first: blocks one after another are a slab
         for z in range(0, place["depth"], layers):
             n = min(layers, place["depth"] - z)
             below, above = min(halo, z), min(halo, place["depth"] - z - n)
-            rows.append(place | {"z0": z, "layers": n, "below": below, "above": above, "d2": d2[z - below : z + n + above].astype("<i4").tobytes()})
-        return rows
-
-    def slab(parts: list[np.ndarray], place: dict) -> list[dict]:
-        return [place | {"y0": 0, "rows": place["height"], "d2": np.concatenate(parts, axis=1).tobytes()}]
-
-    pieces = per_slab(slabs, flat, _PIECE)
-    blocks = _gathered(pieces, kind, ["y0", "rows"], "z0", lines)
-    whole = _gathered(blocks, kind, ["z0", "layers", "below", "above"], "y0", slab)
-    return whole.drop("y0", "rows")
+            yield _rows(made, specimens, place | {"z0": z, "layers": n, "below": below, "above": above}, d2=_binaries(d2[:, :, z - below : z + n + above].astype("<i4")))
 
+    def slab(place: dict, specimens: pa.Array, pieces: pa.RecordBatch, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        f = _bytes(pieces.column("d2")).view("<i4").reshape(len(specimens), place["height"], -1, place["width"])
+        d2 = L.nearest(f, 1).swapaxes(1, 2)
+        if d2.max() >= L.FAR:
+            raise MorphometryError("no voxel of the opposite phase")
+        yield _rows(done, specimens, place, d2=_binaries(d2))
 
-def _gathered(pieces: DataFrame, kind: str, by: list[str], along: str, kernel: Callable[[list[np.ndarray], dict], list[dict]]) -> DataFrame:
-    """Put pieces together along an axis and apply a kernel to each whole."""
-    ddl = f"specimen {kind}, {_PIECE}"
-    target = to_arrow_schema(StructType.fromDDL(ddl))
-    keys = ["specimen", *by, "depth", "width", "height"]
-    fixed = {} if along == "y0" else {"below": 0, "above": 0}
-    held = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(along, "layers" if along == "z0" else "rows", "d2"))).alias("pieces"))
+    pieces = slabs.select("specimen", *_NAMES, "bone", "roi").mapInArrow(flat, f"specimen {kind}, {_BITS}")
+    blocks = _gathered(pieces, ["y0"], "z0", ["y0", "rows", *_SIDES], lambda p: p["depth"] * p["rows"] * p["width"], lines, _LINES)
+    return _gathered(blocks, ["z0"], "y0", ["z0", "layers", "below", "above", *_SIDES], _voxels, slab, _DISTANCES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                place = fixed | {n: b.column(n)[i].as_py() for n in keys}
-                parts = []
-                for piece in b.column("pieces")[i].values:
-                    n = piece[1].as_py()
-                    shape = (n, place["rows"], place["width"]) if along == "z0" else (place["below"] + place["layers"] + place["above"], n, place["width"])
-                    parts.append(np.frombuffer(piece[2].as_buffer(), "<i4").reshape(shape))
-                for row in kernel(parts, place):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in target], schema=target)
 
-    return held.mapInArrow(run, ddl)
+def _inside(slabs: pa.RecordBatch, place: dict) -> np.ndarray:
+    """Bone inside the region of slabs of one shape [slab, z, y, x]."""
+    shape = (len(slabs), place["below"] + place["layers"], place["height"], place["width"])
+    bone, roi = (np.unpackbits(_bytes(slabs.column(c)).reshape(len(slabs), -1), axis=1, count=int(np.prod(shape[1:]))).view(bool).reshape(shape) for c in ("bone", "roi"))
+    return phase(bone, roi, True)
 
 
 #: Layers around a slab whose thickness decides that of its own: surface voxels take the mean of inner ones.
 _AROUND = 2
-_BALLS = "z0 int, layers int, depth int, width int, height int, own boolean, balls binary, selected binary"
+_BALLS = "z0 int, layers int, depth int, width int, height int, balls binary, selected binary"
+_PAINTED = "z0 int, layers int, below int, above int, depth int, width int, height int, r2 binary, selected binary"
 
 
 def ridge_balls(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS, around: int = 0) -> DataFrame:
@@ -275,41 +360,51 @@ def ridge_balls(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOC
     numbers; those paint them.
     """
     kind = slabs.schema["specimen"].dataType.simpleString()
-    distances = squared_distance(slabs, layers, block_voxels, 1)
-    target = to_arrow_schema(StructType.fromDDL(f"specimen {kind}, {_BALLS}"))
+    target, painted = _target(kind, _BALLS), _target(kind, _PAINTED)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                v = {n: b.column(n)[i].as_py() for n in ("specimen", "z0", "layers", "below", "above", "depth", "width", "height")}
-                d2 = np.frombuffer(b.column("d2")[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])
-                own = slice(v["below"], v["below"] + v["layers"])
-                balls = L.ridge_points(d2, own)
-                balls[:, 0] += v["z0"] - v["below"]
-                reach = np.floor(np.sqrt(balls[:, 3])).astype(np.int64) + 1 + around
-                first, last = np.maximum(balls[:, 0] - reach, 0) // layers, np.minimum(balls[:, 0] + reach, v["depth"] - 1) // layers
-                for k in range(int(first.min(initial=v["z0"] // layers)), int(last.max(initial=v["z0"] // layers)) + 1):
-                    mine = k * layers == v["z0"]
-                    part = balls[(first <= k) & (last >= k)].astype("<i4")
-                    if mine or len(part):
-                        row = {"specimen": v["specimen"], "z0": k * layers, "layers": min(layers, v["depth"] - k * layers), "own": mine, "balls": part.tobytes(), "selected": pack(d2[own] > 0) if mine else None}
-                        yield pa.RecordBatch.from_arrays([pa.array([(v | row)[f.name]], f.type) for f in target], schema=target)
-
-    held = distances.mapInArrow(deal, f"specimen {kind}, {_BALLS}").groupBy("specimen", "z0", "layers", "depth", "width", "height").agg(F.collect_list("balls").alias("balls"), F.max("selected").alias("selected"))
-    ddl = f"specimen {kind}, z0 int, layers int, below int, above int, depth int, width int, height int, r2 binary, selected binary"
-    painted = to_arrow_schema(StructType.fromDDL(ddl))
-
-    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                v = {n: b.column(n)[i].as_py() for n in ("specimen", "z0", "layers", "depth", "width", "height", "selected")}
-                v["below"], v["above"] = min(around, v["z0"]), min(around, v["depth"] - v["z0"] - v["layers"])
-                balls = np.concatenate([np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 4) for x in b.column("balls")[i].values]).astype(np.int64)
-                balls[:, 0] -= v["z0"] - v["below"]
-                v["r2"] = L.paint_balls((v["below"] + v["layers"] + v["above"], v["height"], v["width"]), balls).astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([v[f.name]], f.type) for f in painted], schema=painted)
-
-    return held.mapInArrow(paint, ddl)
+        for place, some, d2 in _of_slabs(batches, "d2"):
+            own = slice(place["below"], place["below"] + place["layers"])
+            balls = L.ridge_points(d2, own)
+            balls[:, 1] += place["z0"] - place["below"]
+            reach = np.floor(np.sqrt(balls[:, 4])).astype(np.int64) + 1 + around
+            first, last = np.maximum(balls[:, 1] - reach, 0) // layers, np.minimum(balls[:, 1] + reach, place["depth"] - 1) // layers
+            n = last - first + 1
+            ball = np.repeat(np.arange(len(balls)), n)
+            to = np.arange(len(ball)) + np.repeat(first - (np.cumsum(n) - n), n)
+            places = -(-place["depth"] // layers)
+            key = balls[ball, 0].astype(np.int64) * places + to
+            order = np.argsort(key, kind="stable")
+            mine = np.arange(len(some)) * places + place["z0"] // layers
+            rows = np.unique(np.concatenate([mine, key]))  # a slab has a row of its own, with balls or without
+            sizes = np.diff(np.append(np.searchsorted(key[order], rows), len(key)))
+            z0 = rows % places * layers
+            selected = np.full(len(rows), None, object)
+            selected[np.searchsorted(rows, mine)] = [pack(v[own] > 0) for v in d2]
+            yield _rows(
+                target, some.column("specimen").take(pa.array(rows // places)), place, z0=pa.array(z0, pa.int32()), layers=pa.array(np.minimum(layers, place["depth"] - z0), pa.int32()),
+                balls=_binaries(balls[ball[order], 1:].astype("<i4"), sizes), selected=pa.array(selected, pa.binary()),
+            )
+
+    def paint(place: dict, specimens: pa.Array, rows: pa.RecordBatch, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        below, above = min(around, place["z0"]), min(around, place["depth"] - place["z0"] - place["layers"])
+        sizes = rows.column("balls").cast(pa.binary())
+        slab = np.repeat(np.repeat(np.arange(len(counts)), counts), pc.binary_length(sizes).to_numpy() // 16)
+        balls = np.column_stack([slab.astype(np.int32), _bytes(sizes).view("<i4").reshape(-1, 4)])
+        balls[:, 1] -= place["z0"] - below
+        r2 = L.paint_balls((len(counts), below + place["layers"] + above, place["height"], place["width"]), balls)
+        yield _rows(painted, specimens, place | {"below": below, "above": above}, r2=_binaries(r2.astype("<i4")), selected=rows.column("selected").drop_null())
+
+    dealt = squared_distance(slabs, layers, block_voxels, 1).mapInArrow(deal, f"specimen {kind}, {_BALLS}")
+    return _gathered(dealt, ["z0"], "z0", ["z0", "layers", *_SIDES], lambda p: (p["layers"] + 2 * around) * p["height"] * p["width"], paint, _PAINTED)
+
+
+def _of_slabs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[dict, pa.RecordBatch, np.ndarray]]:
+    """Slabs of one place and shape, with the 32-bit numbers [slab, z, y, x] of a column."""
+    for b in batches:
+        for place, at in _alike(b, ["z0", "layers", "below", "above", *_SIDES]) if b.num_rows else ():
+            some = b.take(pa.array(at))
+            yield place, some, _bytes(some.column(column)).view("<i4").reshape(len(at), -1, place["height"], place["width"])
 
 
 def thickness(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_VOXELS) -> DataFrame:
