@@ -237,3 +237,34 @@ def test_balls_of_slabs_with_names(spark):
         d2 = V.squared_distance(v)
         values, n = np.unique(V.propagate(d2, V.distance_ridge(d2)), return_counts=True)
         assert counts.get(f"s{k}", {}) == {a: b for a, b in zip(values.tolist(), n.tolist(), strict=True) if a}
+
+
+def test_surfaces_of_many_images_are_cleaned_together():
+    """Bit for bit the sums in the order of the offsets, for one image and for several at once."""
+    rng = np.random.default_rng(12)
+    t = np.where(rng.random((4, 7, 8, 6)) < 0.9, rng.random((4, 7, 8, 6)) * 9, 0).astype(np.float32)
+    t[3] = 2.5
+    got = V.clean_surface(t)
+    for k, one in enumerate(t):
+        surface = np.any([V.shifted(one, o, np.float32(-1)) == 0 for o in V.OFFSETS26], axis=0) & (one > 0)
+        inner = np.where((one > 0) & ~surface, one, np.float32(0))
+        total, count = np.zeros_like(inner), np.zeros(one.shape, np.int32)
+        for o in V.OFFSETS26:
+            total += V.shifted(inner, o, np.float32(0))
+            count += V.shifted(inner, o, np.float32(0)) > 0
+        want = np.where(surface & (count > 0), total / np.maximum(count, 1).astype(np.float32), one)
+        assert got[k].dtype == np.float32 and (got[k] == want).all() and (V.clean_surface(one) == want).all()
+
+
+def test_thickness_of_many_small_slabs(spark):
+    """Volumes of several sizes, many to a task, in slabs that differ in the layers around them."""
+    some = [v for v in FIGURES if not v.all()] * 2
+    ours = {r["specimen"]: r for r in S.thickness(S.from_volumes(volumes(spark, some), 3), 3, 100).collect()}
+    for k, v in enumerate(some):
+        t = V.local_thickness(v)
+        if not v.any():
+            assert k not in ours
+            continue
+        want = V.distribution(t, 25.0, quantiles=False)
+        assert ours[k]["n"] == np.count_nonzero(t)
+        np.testing.assert_allclose([ours[k][c] for c in ("mean", "sd", "max")], [want[c] for c in ("mean", "sd", "max")], rtol=1e-6)

@@ -415,14 +415,12 @@ def thickness(slabs: DataFrame, layers: int = LAYERS, block_voxels: int = BLOCK_
     ddl = f"specimen {kind}, value float, k long"
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                v = {n: b.column(n)[i].as_py() for n in ("layers", "below", "width", "height")}
-                r2 = np.frombuffer(b.column("r2")[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])
-                raw = np.float32(2) * np.sqrt(r2.astype(np.float64)).astype(np.float32)
-                own = clean_surface(raw)[v["below"] : v["below"] + v["layers"]]
-                values, k = np.unique(own[unpack(b.column("selected")[i].as_py(), own.shape)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("specimen")[i], len(values)), pa.array(values), pa.array(k)], names=["specimen", "value", "k"])
+        for place, some, r2 in _of_slabs(batches, "r2"):
+            raw = np.float32(2) * np.sqrt(r2.astype(np.float64)).astype(np.float32)
+            own = clean_surface(raw)[:, place["below"] : place["below"] + place["layers"]]
+            selected = np.stack([unpack(v, own.shape[1:]) for v in some.column("selected").to_pylist()])
+            slab, values, k = _counted(own.view(np.int32), selected)
+            yield pa.RecordBatch.from_arrays([some.column("specimen").take(slab), pa.array(values.astype(np.int32).view(np.float32)), pa.array(k)], names=["specimen", "value", "k"])
 
     found = ridge_balls(slabs, layers, block_voxels, _AROUND).mapInArrow(counts, ddl).filter("value > 0").groupBy("specimen", "value").agg(F.sum("k").alias("k"))
     scaled = cut(found.join(spacing, "specimen").select("specimen", (F.col("value") * F.col("h_um").cast("float")).cast("double").alias("value"), "k"), "thickness")
@@ -460,6 +458,13 @@ def surface(slabs: DataFrame) -> DataFrame:
     return found.join(spacing, "specimen").select("specimen", (F.col("area") * h2).alias("area"), (F.col("middle") * h2).alias("midpoint_area"), "vertices", "triangles")
 
 
+def _counted(values: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Slab, value and count of each value >= 0 of slabs [slab, z, y, x] among the voxels ``at``."""
+    slab = np.repeat(np.arange(len(values)), np.count_nonzero(at, axis=(1, 2, 3)))
+    found, k = np.unique(slab << 32 | values[at], return_counts=True)
+    return pa.array(found >> 32), found & 0xFFFFFFFF, k
+
+
 def value_counts(found: DataFrame, column: str) -> DataFrame:
     """(specimen, d2, n): how many voxels of the slabs' own layers have each positive value."""
     ddl = f"specimen {found.schema['specimen'].dataType.simpleString()}, d2 long, n long"
