@@ -268,3 +268,46 @@ def test_thickness_of_many_small_slabs(spark):
         want = V.distribution(t, 25.0, quantiles=False)
         assert ours[k]["n"] == np.count_nonzero(t)
         np.testing.assert_allclose([ours[k][c] for c in ("mean", "sd", "max")], [want[c] for c in ("mean", "sd", "max")], rtol=1e-6)
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2])
+def test_nearest_is_the_minimum(axis):
+    """Short offsets and, for lines that they leave open, the envelope: lines shorter and longer than the offsets."""
+    rng = np.random.default_rng(13)
+    for n in (1, 2, L.OFFSETS + 1, 60):
+        for high, share in ((3, 0.1), (3, 0.97), (5000, 0.9)):
+            f = rng.integers(0, high, (n, 14, 15)).astype(np.int32)
+            f[rng.random(f.shape) < share] = L.FAR
+            f[:, 0] = L.FAR
+            f = np.moveaxis(f, 0, axis)
+            want = np.minimum(V.min_plus(f.astype(np.int64), axis), L.FAR)
+            got = L.nearest(f, axis)
+            assert got.dtype == np.int32 and (got == want).all()
+
+
+def test_row_distance_along_every_axis():
+    v = np.random.default_rng(14).random((9, 20, 7)) < 0.9
+    v[:, :, 3] = True
+    for axis in range(3):
+        want = np.minimum(V.min_plus(np.where(v, np.int64(1) << 40, 0), axis), L.FAR)
+        assert (L.row_distance(v, axis) == want).all()
+
+
+def test_values_of_many_slabs_are_counted_together():
+    """Slabs of one shape are one output batch, each with its own counts of its own layers."""
+    rng = np.random.default_rng(15)
+    d2 = rng.integers(0, 4, (50, 5, 6, 7)).astype("<i4")
+    slab, values, n = S._counted(d2[:, 1:4], d2[:, 1:4] > 0)
+    got = {(s, v): k for s, v, k in zip(slab.to_pylist(), values.tolist(), n.tolist(), strict=True)}
+    assert got == {(s, v): int((d2[s, 1:4] == v).sum()) for s in range(50) for v in (1, 2, 3)}
+
+
+def test_distances_move_bits_and_then_distances(spark):
+    """Two shuffles, and no piece is held in a list of a group."""
+    some = [v for v in FIGURES if not v.all()] * 4
+    found = S.squared_distance(S.from_volumes(volumes(spark, some), 3), 3, 40, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "collect_list" not in plan
+    for r in found.collect():
+        want = V.squared_distance(some[r["specimen"]])[r["z0"] - r["below"] : r["z0"] + r["layers"] + r["above"]]
+        assert (np.frombuffer(r["d2"], "<i4").reshape(want.shape) == want).all()

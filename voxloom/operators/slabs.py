@@ -470,11 +470,9 @@ def value_counts(found: DataFrame, column: str) -> DataFrame:
     ddl = f"specimen {found.schema['specimen'].dataType.simpleString()}, d2 long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                v = {n: b.column(n)[i].as_py() for n in ("layers", "below", "width", "height")}
-                own = np.frombuffer(b.column(column)[i].as_buffer(), "<i4").reshape(-1, v["height"], v["width"])[v["below"] : v["below"] + v["layers"]]
-                values, n = np.unique(own[own > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("specimen")[i], len(values)), pa.array(values.astype(np.int64)), pa.array(n)], names=["specimen", "d2", "n"])
+        for place, some, all_ in _of_slabs(batches, column):
+            own = all_[:, place["below"] : place["below"] + place["layers"]]
+            slab, values, n = _counted(own, own > 0)
+            yield pa.RecordBatch.from_arrays([some.column("specimen").take(slab), pa.array(values), pa.array(n)], names=["specimen", "d2", "n"])
 
     return found.mapInArrow(run, ddl).groupBy("specimen", "d2").agg(F.sum("n").alias("n"))
